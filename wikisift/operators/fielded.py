@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from wikisift.functions.text import term_vector, tokens
 from wikisift.functions.urls import result_url
 from wikisift.operators.ranking import ranked
-from wikisift.operators.search import with_bucket, query_terms
+from wikisift.operators.search import hit_order, query_terms, with_bucket
 from wikisift.operators.skew import fits_broadcast, join_lookup
 from wikisift.sources.tables import write_by_term
 
@@ -178,7 +178,7 @@ def fielded_search(
     if ranges:
         allowed = index.docs.where(in_ranges(ranges)).select("doc_id")
         hits = hits.join(allowed, "doc_id", "left_semi")
-    return ranked(hits.select("query_id", "doc_id", "score"), "query_id", [F.desc("score"), F.asc("doc_id")], limit)
+    return ranked(hits.select("query_id", "doc_id", "score"), "query_id", hit_order(), limit)
 
 
 def range_search(docs: DataFrame, ranges: Mapping[str, Range], limit: int | None = LIMIT) -> DataFrame:

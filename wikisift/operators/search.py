@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from wikisift.functions.text import tokens
 from wikisift.operators.postings import TextIndex
 from wikisift.operators.ranking import ranked
-from wikisift.operators.skew import fits_broadcast, join_lookup
-from wikisift.sources.tables import term_bucket
+from wikisift.operators.skew import BROADCAST_ROWS, fits_broadcast, join_lookup
+from wikisift.sources.tables import materialize, term_bucket
 
 TF_MODES = ("raw", "log", "max")
 MODE_COLUMNS = ("similarity", "tf", "normalize")
@@ -39,6 +39,33 @@ def with_bucket(terms: DataFrame, table: DataFrame) -> tuple[DataFrame, list[str
     return terms.withColumn("term_bucket", term_bucket(F.col("term"))), ["term_bucket", "term"]
 
 
+def hit_order() -> list[Column]:
+    """Best score first, then document id (Q-RANK).
+
+    Distributed sums add in any order, so equal scores may differ in their last bits;
+    compared at nine decimals they tie the same way in every run.
+    """
+    return [F.desc(F.round("score", 9)), F.asc("doc_id")]
+
+
+def _prune(matches: DataFrame, weighted: DataFrame, index: TextIndex, fits: bool) -> DataFrame:
+    """Keep only matches in documents that hold the rarest term of their query.
+
+    A hit has to hold every term, so the shortest posting list of a query bounds its
+    hits. The document frequencies tell the size of these lists without reading them;
+    when they fit, they are broadcast and the long lists of common words shrink to the
+    candidates before anything is shuffled. Otherwise nothing is pruned.
+    """
+    rarest = weighted.groupBy("query_id").agg(F.min(F.struct("df", "term")).alias("rarest"))
+    rarest = rarest.select("query_id", "rarest.df", "rarest.term")
+    candidates = rarest.agg(F.sum("df")).first()[0] or 0
+    if not fits or candidates > BROADCAST_ROWS:
+        return matches
+    keyed, keys = with_bucket(rarest.drop("df"), index.postings)
+    holding = index.postings.join(F.broadcast(keyed), keys).select("query_id", "doc_id")
+    return matches.join(F.broadcast(holding), ["query_id", "doc_id"], "left_semi")
+
+
 def search(
     queries: DataFrame,
     index: TextIndex,
@@ -67,9 +94,14 @@ def search(
     fits = fits_broadcast(terms)
     terms, keys = with_bucket(terms, index.terms)
     # At most as many rows as there are query terms, so what fits before fits after.
-    weighted = join_lookup(index.terms.drop("df"), terms, keys, "term", fits).drop("term_bucket")
-    weighted, keys = with_bucket(weighted, index.postings)
-    matches = join_lookup(index.postings, weighted, keys, "doc_id", fits)
+    weighted = join_lookup(index.terms, terms, keys, "term", fits).drop("term_bucket")
+    stored = "term_bucket" in index.postings.columns
+    if stored:
+        weighted = materialize(weighted, "query-terms")
+    keyed, keys = with_bucket(weighted.drop("df"), index.postings)
+    matches = join_lookup(index.postings, keyed, keys, "doc_id", fits)
+    if stored:
+        matches = _prune(matches, weighted, index, fits)
 
     def mode(name: str) -> Column:
         default = F.lit(defaults[name])
@@ -100,9 +132,9 @@ def search(
     )
     if not rank and limit is None:
         return hits
-    return ranked(hits, "query_id", [F.desc("score"), F.asc("doc_id")], limit)
+    return ranked(hits, "query_id", hit_order(), limit)
 
 
 def top_hits(hits: DataFrame, limit: int = 100) -> DataFrame:
     """Best hits of a single query in order (Q-TOP): each task keeps its own best ones."""
-    return hits.orderBy(F.desc("score"), F.asc("doc_id")).limit(limit)
+    return hits.orderBy(*hit_order()).limit(limit)

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from wikisift.operators.fielded import FieldIndex
 from wikisift.operators.pages import dump_articles, site_articles, with_attributes
 from wikisift.operators.searchdocs import build_search_docs, join_titles
-from wikisift.sources.dump import DUMP_SCHEMA, read_dump_target
+from wikisift.sources.dump import read_dump_target
 from wikisift.sources.site import read_site
 from wikisift.sources.tables import write_once
 
@@ -43,11 +43,3 @@ def build_dump_index(
     )
     return FieldIndex.build(build_search_docs(joined)).save(output)
 
-
-__all__ = [
-    "DUMP_SCHEMA",
-    "build_dump_index",
-    "dump_attribute_table",
-    "dump_table",
-    "site_attribute_table",
-]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 # Fixed value: the columns of a dump page.
-DUMP_SCHEMA = StructType.fromDDL(
+DUMP_SCHEMA = (
     "id BIGINT, ns BIGINT, redirect STRUCT<_title: STRING>, "
     "revision STRUCT<comment: STRING, contributor: STRUCT<id: BIGINT, ip: STRING, username: STRING>, "
     "format: STRING, id: BIGINT, minor: STRING, model: STRING, origin: BIGINT, parentid: BIGINT, "
@@ -26,7 +26,7 @@ def list_dumps(spark: SparkSession, folder: str, target: str = "*") -> DataFrame
     return files.agg(F.min("path").alias("path")).where("path IS NOT NULL") if target == "1" else files
 
 
-def read_dump(spark: SparkSession, paths: str | list[str], schema: StructType = DUMP_SCHEMA) -> DataFrame:
+def read_dump(spark: SparkSession, paths: str | list[str], schema: str | StructType = DUMP_SCHEMA) -> DataFrame:
     """One row per ``<page>``.
 
     The XML reader takes a whole bz2 file in one task. Cut at the end tag of a page
