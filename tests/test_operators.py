@@ -57,7 +57,7 @@ def test_search_modes(spark, abc, limit):
 
 
 def test_stored_index_and_mixed_batch(spark, abc, tmp_path):
-    stored = abc.save(str(tmp_path / "index"))
+    stored = abc.save(str(tmp_path / "index"), buckets=7)
     queries = spark.createDataFrame(
         [(0, "a", "log", None, None), (1, "a b", None, None, "cos"), (2, "a", None, "euc", None), (3, "c", None, None, None)],
         "query_id bigint, query_text string, tf string, normalize string, similarity string")

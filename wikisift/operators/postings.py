@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wikisift.functions.text import term_vector, tokens
-from wikisift.sources.tables import write_by_term
+from wikisift.sources.tables import TERM_BUCKETS, write_by_term
 
 
 def document_vectors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -35,12 +35,15 @@ def postings_of(vectors: DataFrame) -> DataFrame:
     The two document-level numbers stand in every posting, so that no ranking mode
     has to join the hits with a table of all documents; unused ones are not read.
     """
-    return vectors.select(
+    # Two steps: next to an explode, the document's numbers would be computed per term.
+    numbers = vectors.select(
         "doc_id",
+        "terms",
         _tf_max(F.col("terms")).alias("tf_max"),
         _square_sum(F.col("terms")).alias("sum_sq"),
-        F.explode("terms").alias("t"),
-    ).select("t.term", "doc_id", "t.tf", "tf_max", "sum_sq")
+    )
+    exploded = numbers.select("doc_id", "tf_max", "sum_sq", F.explode("terms").alias("t"))
+    return exploded.select("t.term", "doc_id", "t.tf", "tf_max", "sum_sq")
 
 
 def doc_stats_of(vectors: DataFrame) -> DataFrame:
@@ -92,16 +95,17 @@ class TextIndex:
         """A lazy index; save a large one, as every use of a table reads the documents again."""
         return cls.of_vectors(document_vectors(docs, id_col, text_col))
 
-    def save(self, path: str) -> TextIndex:
+    def save(self, path: str, buckets: int = TERM_BUCKETS) -> TextIndex:
         """Write all tables. Texts are tokenised once: the rest is read from the vectors."""
         spark = self.vectors.sparkSession
         self.vectors.write.mode("overwrite").parquet(f"{path}/vectors")
         stored = TextIndex.of_vectors(spark.read.parquet(f"{path}/vectors"))
         stored.docs.write.mode("overwrite").parquet(f"{path}/docs")
-        write_by_term(stored.postings, f"{path}/postings", ["term", "doc_id"])
+        write_by_term(stored.postings, f"{path}/postings", ["term", "doc_id"], buckets)
         postings = spark.read.parquet(f"{path}/postings")
         docs = spark.read.parquet(f"{path}/docs")
-        write_by_term(with_idf(term_stats(postings), count_docs(docs)), f"{path}/terms", ["term"])
+        terms = with_idf(term_stats(postings), count_docs(docs))
+        write_by_term(terms, f"{path}/terms", ["term"], buckets)
         return TextIndex.load(spark, path)
 
     @classmethod

@@ -9,7 +9,7 @@ from wikisift.functions.text import tokens
 from wikisift.operators.postings import TextIndex
 from wikisift.operators.ranking import ranked
 from wikisift.operators.skew import BROADCAST_ROWS, fits_broadcast, join_lookup
-from wikisift.sources.tables import materialize, term_bucket
+from wikisift.sources.tables import bucket_count, materialize, term_bucket
 
 TF_MODES = ("raw", "log", "max")
 MODE_COLUMNS = ("similarity", "tf", "normalize")
@@ -34,9 +34,10 @@ def with_bucket(terms: DataFrame, table: DataFrame) -> tuple[DataFrame, list[str
     The bucket is the partition column of stored tables, so the join prunes their
     folders at run time.
     """
-    if "term_bucket" not in table.columns:
+    buckets = bucket_count(table)
+    if buckets is None:
         return terms, ["term"]
-    return terms.withColumn("term_bucket", term_bucket(F.col("term"))), ["term_bucket", "term"]
+    return terms.withColumn("term_bucket", term_bucket(F.col("term"), buckets)), ["term_bucket", "term"]
 
 
 def hit_order() -> list[Column]:
@@ -95,7 +96,7 @@ def search(
     terms, keys = with_bucket(terms, index.terms)
     # At most as many rows as there are query terms, so what fits before fits after.
     weighted = join_lookup(index.terms, terms, keys, "term", fits).drop("term_bucket")
-    stored = "term_bucket" in index.postings.columns
+    stored = bucket_count(index.postings) is not None
     if stored:
         weighted = materialize(weighted, "query-terms")
     keyed, keys = with_bucket(weighted.drop("df"), index.postings)

@@ -67,25 +67,31 @@ def spread(df: DataFrame, per_core: int = 2) -> DataFrame:
     return df.repartition(cores * per_core)
 
 
-def term_bucket(term: Column, buckets: int = TERM_BUCKETS) -> Column:
+def term_bucket(term: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
-def write_by_term(
-    df: DataFrame, path: str, order: list[str], buckets: int = TERM_BUCKETS, mode: str = "overwrite"
-) -> None:
+def bucket_count(table: DataFrame) -> int | None:
+    """Number of term buckets of a stored table; None for one that is not stored by term."""
+    return table.schema["term"].metadata.get("buckets") if "term_bucket" in table.columns else None
+
+
+def write_by_term(df: DataFrame, path: str, order: list[str], buckets: int = TERM_BUCKETS) -> None:
     """Write a term-keyed table so that a lookup reads few files and row groups.
 
     Partitioned by a hash bucket of the term, which a join with query terms prunes at
     run time, and range-partitioned on (bucket, term, ...), so a term that fills a
     third of the table is cut into many tasks and files while rare terms share one.
+    The number of buckets, to be raised with the table, is kept in its schema.
     """
-    keyed = df.withColumn("term_bucket", term_bucket(F.col("term"), buckets))
+    term = F.col("term").alias("term", metadata={"buckets": buckets})
+    others = [c for c in df.columns if c not in ("term", "term_bucket")]
+    keyed = df.select(term, *others, term_bucket(F.col("term"), buckets).alias("term_bucket"))
     keys = ["term_bucket", *order]
     (
         keyed.repartitionByRange(*keys)
         .sortWithinPartitions(*keys)
-        .write.mode(mode)
+        .write.mode("overwrite")
         .partitionBy("term_bucket")
         .parquet(path)
     )
