@@ -36,7 +36,7 @@ _stored: dict[tuple[str, str, str], object] = {}
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(df) if name in ("documents", "pages") else df
+    return spread(df) if name in ("documents", "pages", "part") else df
 
 
 def stored(kind: str, spark: SparkSession, sf_dir: str, build: Callable[[str], object]):
@@ -278,7 +278,7 @@ def crawl_frontier(spark, sf_dir):
 
 
 def _pairs(df: DataFrame, key: str, text: str, rules: tuple[Source, ...]) -> DataFrame:
-    found = df.select(key, F.posexplode(extract_attributes(F.col(text), rules)).alias("n", "a"))
+    found = df.select(key, F.posexplode(extract_attributes(text, rules)).alias("n", "a"))
     return found.select(key, F.col("n").cast("bigint").alias("n"), "a.name", "a.value")
 
 
@@ -454,7 +454,7 @@ def parsed_numbers(spark, sf_dir):
 
 def technologies(spark, sf_dir):
     dump = table_wiki.part_dump(table(spark, sf_dir, "part"))
-    found = dump.select("id", V.attribute_values(extract_attributes(F.col("value"), presets.COMPUTERS), "tech").alias("tech"))
+    found = dump.select("id", V.attribute_values(extract_attributes("value", presets.COMPUTERS), "tech").alias("tech"))
     architecture, logic = V.technology(F.col("tech"))
     return found.select("id", architecture.alias("architecture"), logic.alias("logic"))
 

@@ -14,7 +14,7 @@ PLAIN_SENTENCE = re.compile(
 
 
 def extract(spark, sources, texts):
-    rows = evaluate(spark, lambda c: extract_attributes(c, sources), texts)
+    rows = evaluate(spark, lambda c: extract_attributes("value", sources), texts)
     return [None if r is None else [(a.name, a.value) for a in r] for r in rows]
 
 
@@ -60,7 +60,7 @@ def test_rule_kinds_against_brute_force(spark):
     texts = ["".join(rng.choice(words) for _ in range(rng.randint(0, 25))) for _ in range(400)]
     rules = [
         (Source(segment=r"[^;]+", attributes=(
-            Attribute("first", r"x=", r"(\d)"),
+            Attribute("first", r"x=", r"x=(\d)", contains="x="),
             Attribute("all", r"y=", r"(\d)", multiple=True),
             Attribute("either", value=r"(k)v|(q)", multiple=True),
         )),),
@@ -121,3 +121,15 @@ def test_long_texts_do_not_overflow(spark):
 def test_unlinked_company_keeps_its_trailing_space(spark):
     got = extract(spark, presets.COMPUTERS, ["\n| owner = Acme Corp [[DEC]]"])
     assert got == [[("company", "Acme Corp "), ("company", "DEC")]]
+
+
+def test_patterns_with_quotes_and_dollars(spark):
+    rules = (Source(attributes=(
+        Attribute("it's", value="it's (\\w+)"),
+        Attribute('a "b"', value='"(\\w+)"'),
+        Attribute("both", value="""'(x)"|(y)'"""),
+        Attribute("money", value=r"\$\{(\d)\}|(z)$", explicit="${HOME}"),
+    )),)
+    text = """it's fine "quoted" y' ${5}"""
+    assert extract(spark, rules, [text]) == [[
+        ("it's", "fine"), ('a "b"', "quoted"), ("both", "y"), ("money", "${HOME}"), ("money", "5")]]

@@ -26,6 +26,12 @@ def hits(df):
     return [(r.query_id, r.doc_id, round(r.score, 9), r["rank"]) for r in df.orderBy("query_id", "rank").collect()]
 
 
+def pruned_scans(df):
+    """For each scan of a table stored by term: are its partitions pruned at run time?"""
+    lines = df._jdf.queryExecution().executedPlan().toString().splitlines()
+    return ["dynamicpruning" in line for line in lines if "FileScan" in line and "term_bucket" in line]
+
+
 def test_index_tables(abc):
     assert sorted(abc.postings.collect()) == [
         ("a", 0, 2, 2, 5), ("a", 1, 1, 1, 2), ("b", 0, 1, 2, 5), ("c", 1, 1, 1, 2), ("c", 2, 1, 1, 1)]
@@ -65,7 +71,8 @@ def test_stored_index_and_mixed_batch(spark, abc, tmp_path):
     assert hits(got) == hits(search(queries, abc))
     assert [h[:2] for h in hits(got)] == [(0, 0), (0, 1), (1, 0), (2, 0), (2, 1), (3, 1), (3, 2)]
     plan = got._jdf.queryExecution().toString()
-    assert "dynamicpruning" in plan
+    # both reads of the postings, for all terms and for the rarest ones
+    assert pruned_scans(got) == [True, True]
     assert "WindowGroupLimit" in plan
     assert "SortMergeJoin" not in plan and "CartesianProduct" not in plan
 
@@ -252,6 +259,8 @@ def test_fielded_search(spark, fields, tmp_path):
         got = fielded_search(queries, index)
         for i, text in enumerate(["digital serial", "the", "nothing", "vacuum-tubes pdp-x"]):
             assert [(h[1], h[2]) for h in hits(got) if h[0] == i] == bm25(text, boosts), text
+    # the postings and the terms are read by bucket
+    assert pruned_scans(got) and all(pruned_scans(got))
     both = fielded_search(queries, fields, require_all=True)
     assert [h[:2] for h in hits(both) if h[0] == 0] == [(0, 0)]
     ranged = fielded_search(queries, fields, ranges={"release": (1950, 1975), "word_size": (None, 16)})

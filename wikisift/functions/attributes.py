@@ -1,22 +1,27 @@
-"""Rule-based attribute extraction (A1-A10): rules are data, compiled to Catalyst expressions.
+"""Rule-based attribute extraction (A1-A10): rules are data, turned into one SQL expression.
 
 A ``Source`` says where to look, an ``Attribute`` what to take there. Segment
 patterns are case-sensitive, predicates and values are not. The result is one
 ``array<struct<name,value>>`` column in the order the rules find things.
+
+A rule set makes an expression of some hundred functions. As SQL text it reaches the
+JVM in one call; built from ``Column`` objects it would take as many calls as it has
+functions, which costs more than running it on a small table.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from wikisift.functions.expr import let, null_if_empty
-
 PAIRS = "array<struct<name:string,value:string>>"
+NO_PAIRS = f"cast(array() AS {PAIRS})"
+NO_VALUES = "cast(array() AS array<string>)"
 
 
 @dataclass(frozen=True)
@@ -24,6 +29,8 @@ class Attribute:
     """One named value to look for in a segment.
 
     name       attribute name; None for a rule that only runs its children
+    contains   literal that every match of ``value`` holds; without it in the segment
+               the patterns are not tried, which saves most of their cost
     predicate  must be found in the segment, when given
     value      its first non-empty group is the value
     multiple   take every match of ``value``, not only the first (A6)
@@ -39,6 +46,7 @@ class Attribute:
     concat: bool = False
     explicit: str | None = None
     children: tuple[Attribute, ...] = ()
+    contains: str | None = None
 
 
 @dataclass(frozen=True)
@@ -54,12 +62,15 @@ class Source:
     all_attributes: bool = False
 
 
-def _nothing() -> Column:
-    return F.array().cast(PAIRS)
-
-
-def _pair(name: str | None, value: Column) -> Column:
-    return F.struct(F.lit(name).cast("string").alias("name"), value.alias("value"))
+def _quote(text: str) -> str:
+    """A raw SQL literal; ``${`` is taken apart, as Spark would look up a variable there."""
+    if "${" in text:
+        before, after = text.split("${", 1)
+        return f"concat({_quote(before + '$')}, {_quote('{' + after)})"
+    for mark in ("'", '"'):
+        if mark not in text:
+            return f"r{mark}{text}{mark}"
+    return "concat(" + ', "\'", '.join(_quote(part) for part in text.split("'")) + ")"
 
 
 def _group_count(pattern: str) -> int:
@@ -67,29 +78,58 @@ def _group_count(pattern: str) -> int:
     return len(re.findall(r"\((?!\?)|\(\?<(?![=!])", bare))
 
 
-def _values(rule: Attribute, segment: Column) -> Column:
+_numbers = itertools.count()
+
+
+def _bind(value: str, body: Callable[[str], str]) -> str:
+    """Evaluate ``value`` once and use it any number of times in ``body``."""
+    name = f"x{next(_numbers)}"
+    return f"element_at(transform(array({value}), {name} -> {body(name)}), 1)"
+
+
+def _each(items: str, body: Callable[[str], str]) -> str:
+    name = f"x{next(_numbers)}"
+    return f"transform({items}, {name} -> {body(name)})"
+
+
+def _pair(name: str | None, value: str) -> str:
+    title = "cast(NULL AS string)" if name is None else _quote(name)
+    return f"named_struct('name', {title}, 'value', {value})"
+
+
+def _found(pattern: str, segment: str) -> str:
+    return f"{segment} RLIKE {_quote('(?i)' + pattern)}"
+
+
+def _values(rule: Attribute, segment: str) -> str:
     """Values of a rule in a segment as ``array<string>``; unmatched groups count as empty."""
-    pattern = "(?i)" + rule.value
     groups = range(1, _group_count(rule.value) + 1)
     if not groups:
-        return F.array().cast("array<string>")
+        return NO_VALUES
+    pattern = _quote("(?i)" + rule.value)
 
-    def combine(found: list[Column]) -> Column:
-        if rule.concat:
-            return null_if_empty(F.concat_ws(" ", *map(null_if_empty, found)))
-        return F.coalesce(*map(null_if_empty, found))
+    def combine(found: list[str]) -> str:
+        known = ", ".join(f"nullif({v}, '')" for v in found)
+        return f"nullif(concat_ws(' ', {known}), '')" if rule.concat else f"coalesce({known})"
 
     if not rule.multiple:
-        first = combine([F.regexp_extract(segment, pattern, g) for g in groups])
-        return F.array_compact(F.array(first))
-
-    per_group = [F.regexp_extract_all(segment, F.lit(pattern), F.lit(g)) for g in groups]
-    if len(per_group) == 1:
-        return F.filter(per_group[0], lambda v: v != "")
-    zipped = F.arrays_zip(*(g.alias(f"g{i}") for i, g in enumerate(per_group)))
-    return F.array_compact(
-        F.transform(zipped, lambda m: combine([m[f"g{i}"] for i in range(len(per_group))]))
-    )
+        first = combine([f"regexp_extract({segment}, {pattern}, {g})" for g in groups])
+        values = f"array_compact(array({first}))"
+    else:
+        scans = [f"regexp_extract_all({segment}, {pattern}, {g})" for g in groups]
+        if len(scans) == 1:
+            values = f"filter({scans[0]}, v -> v != '')"
+        else:
+            # Each group is one more scan, so first look whether there is anything to scan for.
+            columns = [f"m.`{i}`" for i in range(len(scans))]
+            zipped = f"arrays_zip({', '.join(scans)})"
+            values = (
+                f"CASE WHEN {_found(rule.value, segment)} "
+                f"THEN array_compact(transform({zipped}, m -> {combine(columns)})) ELSE {NO_VALUES} END"
+            )
+    if rule.contains is not None:
+        return f"CASE WHEN contains({segment}, {_quote(rule.contains)}) THEN {values} ELSE {NO_VALUES} END"
+    return values
 
 
 def _may_fail_with_output(rule: Attribute) -> bool:
@@ -98,108 +138,106 @@ def _may_fail_with_output(rule: Attribute) -> bool:
 
 
 def _never_succeeds(rule: Attribute) -> bool:
-    if rule.value is not None:
-        return False
-    return all(map(_never_succeeds, rule.children))
+    return rule.value is None and all(map(_never_succeeds, rule.children))
+
+
+def _result(pairs: str, matched: str) -> str:
+    return f"named_struct('pairs', {pairs}, 'matched', {matched})"
+
+
+def _children(rule: Attribute, segment: str) -> str:
+    found = ", ".join(_match(child, segment) for child in rule.children)
+    return _bind(
+        f"array({found})",
+        lambda results: _result(
+            f"flatten(transform({results}, c -> c.pairs))", f"exists({results}, c -> c.matched)"
+        ),
+    )
 
 
-def _match(rule: Attribute, segment: Column) -> Column:
+def _match(rule: Attribute, segment: str) -> str:
     """``struct<pairs,matched>`` of one rule on one segment."""
 
-    def result(pairs: Column, matched: Column) -> Column:
-        return F.struct(pairs.alias("pairs"), matched.alias("matched"))
-
-    def children() -> Column:
-        found = [_match(child, segment) for child in rule.children]
-        return let(
-            F.array(*found),
-            lambda all_found: result(
-                F.flatten(F.transform(all_found, lambda c: c["pairs"])),
-                F.exists(all_found, lambda c: c["matched"]),
-            ),
+    def pairs_of(values: str) -> str:
+        if not rule.children:
+            return _each(values, lambda v: _pair(rule.name, v))
+        return "flatten({})".format(
+            _each(values, lambda v: f"concat(array({_pair(rule.name, v)}), {_children(rule, segment)}.pairs)")
         )
 
     if rule.value is not None:
-
-        def pairs_of(values: Column) -> Column:
-            if not rule.children:
-                return F.transform(values, lambda v: _pair(rule.name, v))
-            return F.flatten(
-                F.transform(
-                    values,
-                    lambda v: F.concat(F.array(_pair(rule.name, v)), children()["pairs"]),
-                )
-            )
-
-        body = let(_values(rule, segment), lambda vs: result(pairs_of(vs).cast(PAIRS), F.size(vs) > 0))
+        body = _bind(
+            _values(rule, segment),
+            lambda vs: _result(f"cast({pairs_of(vs)} AS {PAIRS})", f"size({vs}) > 0"),
+        )
     elif rule.children:
-        body = children()
+        body = _children(rule, segment)
     else:
-        body = result(_nothing(), F.lit(False))
-
+        body = _result(NO_PAIRS, "false")
     if rule.explicit is not None:
-        constant = F.array(_pair(rule.name, F.lit(rule.explicit))).cast(PAIRS)
-        body = let(body, lambda b: result(F.concat(constant, b["pairs"]), b["matched"]))
+        constant = f"cast(array({_pair(rule.name, _quote(rule.explicit))}) AS {PAIRS})"
+        body = _bind(body, lambda b: _result(f"concat({constant}, {b}.pairs)", f"{b}.matched"))
     if rule.predicate is not None:
-        body = F.when(segment.rlike("(?i)" + rule.predicate), body).otherwise(
-            result(_nothing(), F.lit(False))
+        body = (
+            f"CASE WHEN {_found(rule.predicate, segment)} THEN {body} "
+            f"ELSE {_result(NO_PAIRS, 'false')} END"
         )
     return body
 
 
-def _pairs(rule: Attribute, segment: Column) -> Column:
+def _pairs(rule: Attribute, segment: str) -> str:
     """Only the pairs of a rule; shorter than ``_match`` where the outcome is not asked for."""
     if rule.explicit is None and rule.value is not None and not rule.children:
-        found = F.transform(_values(rule, segment), lambda v: _pair(rule.name, v)).cast(PAIRS)
+        found = _each(_values(rule, segment), lambda v: _pair(rule.name, v))
     elif rule.explicit is not None and rule.value is None and not rule.children:
-        found = F.array(_pair(rule.name, F.lit(rule.explicit))).cast(PAIRS)
+        found = f"array({_pair(rule.name, _quote(rule.explicit))})"
     else:
-        return _match(rule, segment)["pairs"]
+        return f"{_match(rule, segment)}.pairs"
+    found = f"cast({found} AS {PAIRS})"
     if rule.predicate is None:
         return found
-    return F.when(segment.rlike("(?i)" + rule.predicate), found).otherwise(_nothing())
+    return f"CASE WHEN {_found(rule.predicate, segment)} THEN {found} ELSE {NO_PAIRS} END"
 
 
-def _all_attributes(rules: Sequence[Attribute], segment: Column) -> Column:
-    return F.concat(*(_pairs(rule, segment) for rule in rules))
+def _all_attributes(rules: Sequence[Attribute], segment: str) -> str:
+    return f"concat({', '.join(_pairs(rule, segment) for rule in rules)})"
 
 
-def _first_success(rules: Sequence[Attribute], segment: Column) -> Column:
+def _first_success(rules: Sequence[Attribute], segment: str) -> str:
     """Pairs of the rules up to and with the first that matches.
 
     ``coalesce`` stops at its first non-null argument, so later rules are not even
     evaluated once one has matched.
     """
     if not rules:
-        return _nothing()
+        return NO_PAIRS
     if not any(map(_may_fail_with_output, rules)):
-        tries = [
-            F.get(F.filter(F.array(_pairs(rule, segment)), lambda p: F.size(p) > 0), F.lit(0))
-            for rule in rules
-        ]
-        return F.coalesce(*tries, _nothing())
+        tries = [f"get(filter(array({_pairs(rule, segment)}), p -> size(p) > 0), 0)" for rule in rules]
+        return f"coalesce({', '.join(tries)}, {NO_PAIRS})"
     first, rest = rules[0], rules[1:]
     if _never_succeeds(first):
-        return F.concat(_pairs(first, segment), _first_success(rest, segment))
-    return let(
+        return f"concat({_pairs(first, segment)}, {_first_success(rest, segment)})"
+    return _bind(
         _match(first, segment),
-        lambda m: F.when(m["matched"], m["pairs"]).otherwise(
-            F.concat(m["pairs"], _first_success(rest, segment))
-        ),
+        lambda m: f"CASE WHEN {m}.matched THEN {m}.pairs "
+        f"ELSE concat({m}.pairs, {_first_success(rest, segment)}) END",
     )
 
 
-def extract_source(text: Column, source: Source) -> Column:
-    """Pairs of one source as ``array<struct<name,value>>``."""
+def _source(source: Source, text: str) -> str:
     if not source.attributes:
-        return _nothing()
+        return NO_PAIRS
     if source.segment is None:
         return _all_attributes(source.attributes, text)
     search = _all_attributes if source.all_attributes else _first_success
-    segments = F.regexp_extract_all(text, F.lit(source.segment), F.lit(0))
-    return F.flatten(F.transform(segments, lambda s: search(source.attributes, s)))
+    segments = f"regexp_extract_all({text}, {_quote(source.segment)}, 0)"
+    return f"flatten({_each(segments, lambda s: search(source.attributes, s))})"
 
 
-def extract_attributes(text: Column, sources: Sequence[Source]) -> Column:
-    """All pairs of all sources, in rule order; NULL for NULL text (A1)."""
-    return F.concat(*(extract_source(text, source) for source in sources))
+def extract_attributes(text: str, sources: Sequence[Source]) -> Column:
+    """All pairs of all sources, in rule order; NULL for NULL text (A1).
+
+    ``text`` is a column name or an SQL expression; it is evaluated once.
+    """
+    body = _bind(text, lambda t: f"concat({', '.join(_source(s, t) for s in sources)})")
+    return F.expr(body)

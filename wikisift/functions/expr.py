@@ -18,6 +18,15 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def once(value: Column) -> Column:
+    """``value`` as the output of a generator, for use in a ``select``.
+
+    Filters and projections above copy the expression of an ordinary column into
+    themselves and so repeat its work. A generated column is computed once.
+    """
+    return F.explode(F.array(value))
+
+
 def null_if_empty(text: Column) -> Column:
     return F.nullif(text, F.lit(""))
 

@@ -89,6 +89,7 @@ COMPUTERS = (
                 "company?",
                 value=r"(?:sold|launched|introduced|developed) (?:.{0,20}? )?by.{0,20}?" + LINK,
                 children=(Attribute("release", value=rf"(?:in|on) {DATE}"),),
+                contains="[[",
             ),
             Attribute(
                 None,

@@ -17,7 +17,7 @@ from wikisift.functions.urls import result_url
 from wikisift.operators.ranking import ranked
 from wikisift.operators.search import hit_order, query_terms, with_bucket
 from wikisift.operators.skew import fits_broadcast, join_lookup
-from wikisift.sources.tables import TERM_BUCKETS, write_by_term
+from wikisift.sources.tables import TERM_BUCKETS, materialize, write_by_term
 
 # Searched fields with their boosts, ranged columns, result limit.
 BOOSTS = {"title": 4.0, "text": 1.0, "company": 5.0, "architecture": 5.0, "logic": 5.0}
@@ -189,11 +189,15 @@ def range_search(docs: DataFrame, ranges: Mapping[str, Range], limit: int | None
 
 
 def show_hits(hits: DataFrame, docs: DataFrame, extern_base: str, site_base: str) -> DataFrame:
-    """Add title and result URLs to hits (Q-SHOW, P15)."""
+    """Add title and result URLs to hits (Q-SHOW, P15).
+
+    The hits are written first: the best few per query are then a small table that
+    Spark broadcasts by its known size, instead of shuffling all documents.
+    """
     shown = docs.select(
         "doc_id",
         "title",
         result_url(F.col("extern_title"), extern_base).alias("extern_url"),
         result_url(F.col("site_title"), site_base).alias("site_url"),
     )
-    return hits.join(shown, "doc_id")
+    return materialize(hits, "hits").join(shown, "doc_id")

@@ -15,9 +15,14 @@ def raw_links(pages: DataFrame) -> DataFrame:
 
 
 def resolved_links(pages: DataFrame) -> DataFrame:
-    """``(url, to_url, position)`` with absolute targets, also those outside the site."""
-    return raw_links(pages).select(
-        "url", resolve_link(F.col("url"), F.col("href")).alias("to_url"), "position"
+    """``(url, to_url, position)`` with absolute targets, also those outside the site.
+
+    Resolved before the explode, so that the conditions on a target read a column and
+    do not each resolve it again.
+    """
+    targets = F.transform(hrefs(F.col("html")), lambda href: resolve_link(F.col("url"), href))
+    return pages.select("url", F.posexplode(targets).alias("position", "to_url")).select(
+        "url", "to_url", "position"
     )
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from wikisift.functions import presets
 from wikisift.functions.attributes import Source, extract_attributes
-from wikisift.functions.expr import let
+from wikisift.functions.expr import let, once
 from wikisift.functions.text import (
     dump_categories,
     html_to_text,
@@ -37,7 +37,7 @@ def on_topic(categories: Column, allow: str, deny: str) -> Column:
 def page_texts(pages: DataFrame, unknown: str = "keep") -> DataFrame:
     """``(page_name, text)`` of article pages."""
     kept = pages.where(is_article_page(F.col("page_name"), F.col("html")))
-    return kept.select("page_name", html_to_text(F.col("html"), unknown).alias("text"))
+    return kept.select("page_name", once(html_to_text(F.col("html"), unknown)).alias("text"))
 
 
 def dump_articles(
@@ -64,5 +64,5 @@ def with_attributes(articles: DataFrame, rules: tuple[Source, ...] = presets.COM
     Sorted before the rules run: a sort samples its input, which would run them twice.
     """
     return articles.orderBy("title").select(
-        "title", extract_attributes(F.col("value"), rules).alias("attributes"), "value"
+        "title", extract_attributes("value", rules).alias("attributes"), "value"
     )

@@ -62,7 +62,7 @@ def _prune(matches: DataFrame, weighted: DataFrame, index: TextIndex, fits: bool
     candidates = rarest.agg(F.sum("df")).first()[0] or 0
     if not fits or candidates > BROADCAST_ROWS:
         return matches
-    keyed, keys = with_bucket(rarest.drop("df"), index.postings)
+    keyed, keys = with_bucket(rarest.where(F.col("df") > 0).drop("df"), index.postings)
     holding = index.postings.join(F.broadcast(keyed), keys).select("query_id", "doc_id")
     return matches.join(F.broadcast(holding), ["query_id", "doc_id"], "left_semi")
 
@@ -98,7 +98,8 @@ def search(
     weighted = join_lookup(index.terms, terms, keys, "term", fits).drop("term_bucket")
     stored = bucket_count(index.postings) is not None
     if stored:
-        weighted = materialize(weighted, "query-terms")
+        # The condition always holds; Spark prunes partitions only by a side that has one.
+        weighted = materialize(weighted, "query-terms").where(F.col("n_terms") > 0)
     keyed, keys = with_bucket(weighted.drop("df"), index.postings)
     matches = join_lookup(index.postings, keyed, keys, "doc_id", fits)
     if stored:

@@ -10,6 +10,7 @@ from wikisift.operators.pages import page_texts
 from wikisift.operators.postings import TextIndex
 from wikisift.operators.ranking import assign_ids
 from wikisift.operators.search import search
+from wikisift.sources.tables import materialize
 
 
 def build_site_index(pages: DataFrame, path: str) -> tuple[DataFrame, TextIndex]:
@@ -25,7 +26,7 @@ def search_pages(
     queries: DataFrame, doc_ids: DataFrame, index: TextIndex, prefix: str, **options
 ) -> DataFrame:
     """Hits of :func:`search` with page names and URLs (Q-SHOW)."""
-    hits = search(queries, index, **options).join(doc_ids, "doc_id")
+    hits = materialize(search(queries, index, **options), "hits").join(doc_ids, "doc_id")
     return hits.withColumn("url", page_url(F.col("page_name"), prefix))
 
 

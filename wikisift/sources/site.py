@@ -17,5 +17,13 @@ def read_site(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def distinct_pages(pages: DataFrame) -> DataFrame:
-    """One row per page name: the name alone identifies a page."""
-    return pages.dropDuplicates(["page_name"])
+    """One row per page name, as the name alone identifies a page.
+
+    Of several contents the smallest is kept, so that every run keeps the same one.
+    Copies are reduced on the map side before the shuffle.
+    """
+    others = [c for c in pages.columns if c != "page_name"]
+    if not others:
+        return pages.distinct()
+    kept = pages.groupBy("page_name").agg(F.min(F.struct(*others)).alias("kept"))
+    return kept.select("page_name", "kept.*")

@@ -36,8 +36,9 @@ def incremental_index(pages: DataFrame, path: str, batch_id: int) -> None:
     """Index the pages ``(page_name, html)`` that no earlier batch has indexed."""
     spark = pages.sparkSession
     known = read_table(spark, path, "doc_ids").where(F.col("batch_id") < batch_id)
-    texts = page_texts(distinct_pages(unseen(pages, known, "page_name")))
-    start = (known.agg(F.max("doc_id")).first()[0] or -1) + 1 if not known.isEmpty() else 0
+    texts = page_texts(unseen(distinct_pages(pages), known, "page_name"))
+    last = known.agg(F.max("doc_id")).first()[0]
+    start = 0 if last is None else last + 1
 
     ids_path = f"{path}/doc_ids/batch_id={batch_id}"
     ids = assign_ids(texts.select("page_name"), "page_name", "doc_id", start)
