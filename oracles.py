@@ -304,9 +304,11 @@ def all_sql() -> dict[str, str]:
         "most_frequent_quantity": """SELECT l_suppkey, l_quantity FROM (SELECT l_suppkey, l_quantity,
             row_number() OVER (PARTITION BY l_suppkey ORDER BY count(*) DESC, l_quantity) AS n
             FROM lineitem GROUP BY l_suppkey, l_quantity) WHERE n = 1""",
-        "supplier_word_size": """SELECT l_suppkey, l_quantity::INTEGER AS quantity FROM (SELECT l_suppkey, l_quantity,
-            row_number() OVER (PARTITION BY l_suppkey ORDER BY count(*) DESC, l_quantity) AS n
-            FROM lineitem GROUP BY l_suppkey, l_quantity) WHERE n = 1""",
+        "document_number": r"""WITH found AS (SELECT doc_id, unnest(regexp_extract_all(text, '\d+'))::DOUBLE AS v FROM documents),
+            best AS (SELECT doc_id, v, row_number() OVER (PARTITION BY doc_id ORDER BY count(*) DESC, v) AS n
+                FROM found GROUP BY doc_id, v)
+            SELECT doc_id, CASE WHEN v IS NOT NULL THEN least(v, 2147483647)::INTEGER END AS number
+            FROM documents LEFT JOIN (SELECT doc_id, v FROM best WHERE n = 1) USING (doc_id)""",
         "parsed_numbers": """SELECT event_id,
             round(CASE event_type WHEN 'error' THEN 16.0 WHEN 'view' THEN 1e18 ELSE value END, 6) AS number,
             CASE event_type WHEN 'error' THEN 16000 WHEN 'view' THEN 2147483647

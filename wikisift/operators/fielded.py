@@ -17,7 +17,7 @@ from wikisift.functions.urls import result_url
 from wikisift.operators.ranking import ranked
 from wikisift.operators.search import hit_order, query_terms, with_bucket
 from wikisift.operators.skew import fits_broadcast, join_lookup
-from wikisift.sources.tables import TERM_BUCKETS, materialize, write_by_term
+from wikisift.sources.tables import choose_buckets, materialize, write_by_term
 
 # Searched fields with their boosts, ranged columns, result limit.
 BOOSTS = {"title": 4.0, "text": 1.0, "company": 5.0, "architecture": 5.0, "logic": 5.0}
@@ -85,7 +85,7 @@ class FieldIndex:
         postings = fielded_postings(vectors)
         return cls(docs, postings, field_term_stats(postings), field_stats(vectors))
 
-    def save(self, path: str, buckets: int = TERM_BUCKETS) -> FieldIndex:
+    def save(self, path: str, buckets: int | None = None) -> FieldIndex:
         """Write all tables, replacing an index of an earlier run."""
         spark = self.docs.sparkSession
         self.docs.write.mode("overwrite").parquet(f"{path}/docs")
@@ -93,6 +93,7 @@ class FieldIndex:
         fields = tuple(f for f in BOOSTS if f in docs.columns)
         fielded_vectors(docs, fields).write.mode("overwrite").parquet(f"{path}/vectors")
         vectors = spark.read.parquet(f"{path}/vectors")
+        buckets = buckets or choose_buckets(vectors.agg(F.sum(F.size("terms"))).first()[0] or 0)
         keys = ["term", "field", "doc_id"]
         write_by_term(fielded_postings(vectors), f"{path}/postings", keys, buckets)
         postings = spark.read.parquet(f"{path}/postings")

@@ -4,29 +4,30 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wikisift.functions.text import term_vector, tokens
-from wikisift.sources.tables import TERM_BUCKETS, write_by_term
+from wikisift.sources.tables import choose_buckets, write_by_term
 
 
 def document_vectors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, terms array<struct<term,tf>>)``, counted inside each row: no shuffle.
+    """``(doc_id, terms array<struct<term,tf>>, tf_max, sum_sq, len)``: no shuffle.
 
-    Documents are identified by ``id_col``, one row each.
+    Terms are counted inside each row. Documents are identified by ``id_col``, one row
+    each. ``sum_sq`` is the sum of squared term counts, ``len`` the number of tokens.
     """
-    return docs.select(
+    vectors = docs.select(
         F.col(id_col).alias("doc_id"), term_vector(tokens(F.col(text_col))).alias("terms")
     )
-
-
-def _square_sum(terms: Column) -> Column:
-    return F.aggregate(terms, F.lit(0).cast("bigint"), lambda total, t: total + t["tf"] * t["tf"])
-
-
-def _tf_max(terms: Column) -> Column:
-    return F.coalesce(F.array_max(F.transform(terms, lambda t: t["tf"])), F.lit(0).cast("bigint"))
+    zero = F.lit(0).cast("bigint")
+    return vectors.select(
+        "doc_id",
+        "terms",
+        F.coalesce(F.array_max(F.transform("terms", lambda t: t["tf"])), zero).alias("tf_max"),
+        F.aggregate("terms", zero, lambda total, t: total + t["tf"] * t["tf"]).alias("sum_sq"),
+        F.aggregate("terms", zero, lambda total, t: total + t["tf"]).alias("len"),
+    )
 
 
 def postings_of(vectors: DataFrame) -> DataFrame:
@@ -34,27 +35,16 @@ def postings_of(vectors: DataFrame) -> DataFrame:
 
     The two document-level numbers stand in every posting, so that no ranking mode
     has to join the hits with a table of all documents; unused ones are not read.
+    They come from an earlier step: next to the explode they would be computed per term.
     """
-    # Two steps: next to an explode, the document's numbers would be computed per term.
-    numbers = vectors.select(
-        "doc_id",
-        "terms",
-        _tf_max(F.col("terms")).alias("tf_max"),
-        _square_sum(F.col("terms")).alias("sum_sq"),
-    )
-    exploded = numbers.select("doc_id", "tf_max", "sum_sq", F.explode("terms").alias("t"))
+    exploded = vectors.select("doc_id", "tf_max", "sum_sq", F.explode("terms").alias("t"))
     return exploded.select("t.term", "doc_id", "t.tf", "tf_max", "sum_sq")
 
 
-def doc_stats_of(vectors: DataFrame) -> DataFrame:
+def doc_stats(vectors: DataFrame) -> DataFrame:
     """``(doc_id, tf_max, euc, len)`` of documents with at least one term."""
-    length = F.aggregate("terms", F.lit(0).cast("bigint"), lambda total, t: total + t["tf"])
-    return vectors.where(F.size("terms") > 0).select(
-        "doc_id",
-        _tf_max(F.col("terms")).alias("tf_max"),
-        (1 / F.sqrt(_square_sum(F.col("terms")).cast("double"))).alias("euc"),
-        length.alias("len"),
-    )
+    euc = 1 / F.sqrt(F.col("sum_sq").cast("double"))
+    return vectors.where(F.col("len") > 0).select("doc_id", "tf_max", euc.alias("euc"), "len")
 
 
 def build_postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -78,39 +68,41 @@ def count_docs(stats: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class TextIndex:
-    """The tables a search reads: postings, terms ``(term, df, idf)``, documents."""
+    """The tables a search reads: document vectors, postings, terms ``(term, df, idf)``."""
 
     vectors: DataFrame
     postings: DataFrame
     terms: DataFrame
-    docs: DataFrame
+
+    @property
+    def docs(self) -> DataFrame:
+        return doc_stats(self.vectors)
 
     @classmethod
     def of_vectors(cls, vectors: DataFrame) -> TextIndex:
-        postings, docs = postings_of(vectors), doc_stats_of(vectors)
-        return cls(vectors, postings, with_idf(term_stats(postings), count_docs(docs)), docs)
+        postings = postings_of(vectors)
+        return cls(vectors, postings, with_idf(term_stats(postings), count_docs(doc_stats(vectors))))
 
     @classmethod
     def build(cls, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> TextIndex:
         """A lazy index; save a large one, as every use of a table reads the documents again."""
         return cls.of_vectors(document_vectors(docs, id_col, text_col))
 
-    def save(self, path: str, buckets: int = TERM_BUCKETS) -> TextIndex:
+    def save(self, path: str, buckets: int | None = None) -> TextIndex:
         """Write all tables. Texts are tokenised once: the rest is read from the vectors."""
         spark = self.vectors.sparkSession
         self.vectors.write.mode("overwrite").parquet(f"{path}/vectors")
-        stored = TextIndex.of_vectors(spark.read.parquet(f"{path}/vectors"))
-        stored.docs.write.mode("overwrite").parquet(f"{path}/docs")
-        write_by_term(stored.postings, f"{path}/postings", ["term", "doc_id"], buckets)
+        vectors = spark.read.parquet(f"{path}/vectors")
+        buckets = buckets or choose_buckets(vectors.agg(F.sum(F.size("terms"))).first()[0] or 0)
+        write_by_term(postings_of(vectors), f"{path}/postings", ["term", "doc_id"], buckets)
         postings = spark.read.parquet(f"{path}/postings")
-        docs = spark.read.parquet(f"{path}/docs")
-        terms = with_idf(term_stats(postings), count_docs(docs))
+        terms = with_idf(term_stats(postings), count_docs(doc_stats(vectors)))
         write_by_term(terms, f"{path}/terms", ["term"], buckets)
         return TextIndex.load(spark, path)
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> TextIndex:
-        return cls(*(spark.read.parquet(f"{path}/{name}") for name in ("vectors", "postings", "terms", "docs")))
+        return cls(*(spark.read.parquet(f"{path}/{name}") for name in ("vectors", "postings", "terms")))
 
 
 def documents_of_term(postings: DataFrame, term: str) -> DataFrame:

@@ -53,14 +53,17 @@ def _prune(matches: DataFrame, weighted: DataFrame, index: TextIndex, fits: bool
     """Keep only matches in documents that hold the rarest term of their query.
 
     A hit has to hold every term, so the shortest posting list of a query bounds its
-    hits. The document frequencies tell the size of these lists without reading them;
-    when they fit, they are broadcast and the long lists of common words shrink to the
-    candidates before anything is shuffled. Otherwise nothing is pruned.
+    hits. The document frequencies tell the size of all lists without reading them.
+    When there is much to read and the shortest lists fit, these are broadcast and the
+    long lists of common words shrink to the candidates before anything is shuffled.
     """
     rarest = weighted.groupBy("query_id").agg(F.min(F.struct("df", "term")).alias("rarest"))
     rarest = rarest.select("query_id", "rarest.df", "rarest.term")
-    candidates = rarest.agg(F.sum("df")).first()[0] or 0
-    if not fits or candidates > BROADCAST_ROWS:
+    everything = weighted.agg(F.sum("df")).first()[0] or 0
+    if not fits or everything <= BROADCAST_ROWS:
+        return matches
+    candidates = rarest.agg(F.sum("df")).first()[0]
+    if candidates > BROADCAST_ROWS:
         return matches
     keyed, keys = with_bucket(rarest.where(F.col("df") > 0).drop("df"), index.postings)
     holding = index.postings.join(F.broadcast(keyed), keys).select("query_id", "doc_id")

@@ -8,7 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-TERM_BUCKETS = 64
+ROWS_PER_BUCKET = 1_000_000
+MAX_BUCKETS = 4096
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -67,6 +68,11 @@ def spread(df: DataFrame, per_core: int = 2) -> DataFrame:
     return df.repartition(cores * per_core)
 
 
+def choose_buckets(rows: int) -> int:
+    """Term buckets for a table of so many rows: folders worth pruning, but not too many."""
+    return min(max(-(-rows // ROWS_PER_BUCKET), 1), MAX_BUCKETS)
+
+
 def term_bucket(term: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
@@ -76,13 +82,13 @@ def bucket_count(table: DataFrame) -> int | None:
     return table.schema["term"].metadata.get("buckets") if "term_bucket" in table.columns else None
 
 
-def write_by_term(df: DataFrame, path: str, order: list[str], buckets: int = TERM_BUCKETS) -> None:
+def write_by_term(df: DataFrame, path: str, order: list[str], buckets: int) -> None:
     """Write a term-keyed table so that a lookup reads few files and row groups.
 
     Partitioned by a hash bucket of the term, which a join with query terms prunes at
     run time, and range-partitioned on (bucket, term, ...), so a term that fills a
     third of the table is cut into many tasks and files while rare terms share one.
-    The number of buckets, to be raised with the table, is kept in its schema.
+    The number of buckets is kept in the schema of the table.
     """
     term = F.col("term").alias("term", metadata={"buckets": buckets})
     others = [c for c in df.columns if c not in ("term", "term_bucket")]

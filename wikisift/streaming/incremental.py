@@ -18,7 +18,9 @@ from wikisift.operators.ranking import assign_ids
 from wikisift.sources.site import distinct_pages
 
 DOC_IDS = "doc_id bigint, page_name string"
-VECTORS = "doc_id bigint, terms array<struct<term:string,tf:bigint>>"
+VECTORS = (
+    "doc_id bigint, terms array<struct<term:string,tf:bigint>>, tf_max bigint, sum_sq bigint, len bigint"
+)
 
 
 def create_index(spark: SparkSession, path: str) -> None:
