@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 from wikisift.functions.text import term_vector, tokens
 from wikisift.functions.urls import result_url
 from wikisift.operators.ranking import ranked
-from wikisift.operators.search import hit_order, query_terms, with_bucket
+from wikisift.operators.search import few_terms, hit_order, query_terms, with_bucket
 from wikisift.operators.skew import fits_broadcast, join_lookup
-from wikisift.sources.tables import choose_buckets, materialize, write_by_term
+from wikisift.sources.tables import bucket_count, choose_buckets, materialize, write_by_term
 
 # Searched fields with their boosts, ranged columns, result limit.
 BOOSTS = {"title": 4.0, "text": 1.0, "company": 5.0, "architecture": 5.0, "logic": 5.0}
@@ -162,8 +162,14 @@ def fielded_search(
     weighted = weighted.select(
         "query_id", "clause", "term", "field", "avg_len", (F.col("boost") * idf).alias("weight")
     )
-    weighted, keys = with_bucket(weighted, index.postings)
-    matches = join_lookup(index.postings, weighted, [*keys, "field"], "doc_id", fits)
+    postings = index.postings
+    if bucket_count(postings) is not None and fits:
+        # The condition always holds; Spark prunes partitions only by a side that has one.
+        weighted = materialize(weighted, "query-terms").where(F.col("avg_len") > 0)
+        terms = few_terms(weighted)
+        postings = postings.where(F.col("term").isin(terms)) if terms else postings
+    weighted, keys = with_bucket(weighted, postings)
+    matches = join_lookup(postings, weighted, [*keys, "field"], "doc_id", fits)
     tf = F.col("tf").cast("double")
     score = F.col("weight") * tf / (tf + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +14,8 @@ from wikisift.operators.skew import BROADCAST_ROWS, fits_broadcast, join_lookup
 from wikisift.sources.tables import bucket_count, materialize, term_bucket
 
 TF_MODES = ("raw", "log", "max")
+# Batches of up to this many queries are summed up on the driver.
+SMALL_BATCH = 1000
 MODE_COLUMNS = ("similarity", "tf", "normalize")
 
 
@@ -49,24 +53,57 @@ def hit_order() -> list[Column]:
     return [F.desc(F.round("score", 9)), F.asc("doc_id")]
 
 
-def _prune(matches: DataFrame, weighted: DataFrame, index: TextIndex, fits: bool) -> DataFrame:
+@dataclass(frozen=True)
+class _ListSizes:
+    """What the document frequencies tell about a search before any posting is read."""
+
+    total: int
+    shortest: int
+    terms: list[str]
+
+
+def _list_sizes(weighted: DataFrame) -> _ListSizes:
+    """Rows of all posting lists, of the shortest one of each query, and the terms if few.
+
+    Spark pushes a list of values down to Parquet whole only up to a number of them;
+    with more terms the buckets alone have to do.
+    """
+    per_query = weighted.groupBy("query_id").agg(
+        F.sum("df").alias("total"),
+        F.min("df").alias("shortest"),
+        F.slice(F.collect_set("term"), 1, _pushed_values(weighted) + 1).alias("terms"),
+    )
+    rows = per_query.limit(SMALL_BATCH + 1).collect()
+    if len(rows) > SMALL_BATCH:
+        sums = per_query.agg(F.sum("total").alias("total"), F.sum("shortest").alias("shortest")).first()
+        return _ListSizes(sums.total, sums.shortest, [])
+    terms = {term for row in rows for term in row.terms}
+    few = sorted(terms) if len(terms) <= _pushed_values(weighted) else []
+    return _ListSizes(sum(r.total for r in rows), sum(r.shortest for r in rows), few)
+
+
+def few_terms(weighted: DataFrame) -> list[str]:
+    """The distinct terms, if no more than a scan takes as a list; else none."""
+    most = _pushed_values(weighted)
+    terms = [row.term for row in weighted.select("term").distinct().limit(most + 1).collect()]
+    return terms if len(terms) <= most else []
+
+
+def _pushed_values(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.parquet.pushdown.inFilterThreshold"))
+
+
+def _prune(matches: DataFrame, weighted: DataFrame, postings: DataFrame) -> DataFrame:
     """Keep only matches in documents that hold the rarest term of their query.
 
     A hit has to hold every term, so the shortest posting list of a query bounds its
-    hits. The document frequencies tell the size of all lists without reading them.
-    When there is much to read and the shortest lists fit, these are broadcast and the
-    long lists of common words shrink to the candidates before anything is shuffled.
+    hits. These lists are broadcast, and the long lists of common words shrink to the
+    candidates before anything is shuffled.
     """
     rarest = weighted.groupBy("query_id").agg(F.min(F.struct("df", "term")).alias("rarest"))
     rarest = rarest.select("query_id", "rarest.df", "rarest.term")
-    everything = weighted.agg(F.sum("df")).first()[0] or 0
-    if not fits or everything <= BROADCAST_ROWS:
-        return matches
-    candidates = rarest.agg(F.sum("df")).first()[0]
-    if candidates > BROADCAST_ROWS:
-        return matches
-    keyed, keys = with_bucket(rarest.where(F.col("df") > 0).drop("df"), index.postings)
-    holding = index.postings.join(F.broadcast(keyed), keys).select("query_id", "doc_id")
+    keyed, keys = with_bucket(rarest.where(F.col("df") > 0).drop("df"), postings)
+    holding = postings.join(F.broadcast(keyed), keys).select("query_id", "doc_id")
     return matches.join(F.broadcast(holding), ["query_id", "doc_id"], "left_semi")
 
 
@@ -103,10 +140,17 @@ def search(
     if stored:
         # The condition always holds; Spark prunes partitions only by a side that has one.
         weighted = materialize(weighted, "query-terms").where(F.col("n_terms") > 0)
-    keyed, keys = with_bucket(weighted.drop("df"), index.postings)
-    matches = join_lookup(index.postings, keyed, keys, "doc_id", fits)
-    if stored:
-        matches = _prune(matches, weighted, index, fits)
+    postings, prune = index.postings, False
+    if stored and fits:
+        lists = _list_sizes(weighted)
+        prune = lists.total > BROADCAST_ROWS >= lists.shortest
+        if lists.terms:
+            # Files are sorted by term: the scan skips the row groups and pages of others.
+            postings = postings.where(F.col("term").isin(lists.terms))
+    keyed, keys = with_bucket(weighted.drop("df"), postings)
+    matches = join_lookup(postings, keyed, keys, "doc_id", fits)
+    if prune:
+        matches = _prune(matches, weighted, postings)
 
     def mode(name: str) -> Column:
         default = F.lit(defaults[name])

@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ROWS_PER_BUCKET = 1_000_000
+ROWS_PER_BUCKET = 250_000
 MAX_BUCKETS = 4096
 
 
