@@ -26,7 +26,7 @@ from wikisift.sources.site import distinct_pages
 from wikisift.sources.tables import materialize, scratch_dir, spread
 from wikisift.streaming import incremental
 
-SITE = "https://blog.tionsh.example.net/"
+SITE = "https://"
 EXTERN_BASE, SITE_BASE = "https://en.wikipedia.org/wiki/", "https://site.example/wiki/"
 TWO_TERMS = "the and"
 

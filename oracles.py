@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-SITE = "https://blog.tionsh.example.net/"
+SITE = "https://"
 MODES = (
     ("raw", None, None),
     ("log", None, None),

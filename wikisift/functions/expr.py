@@ -22,7 +22,8 @@ def once(value: Column) -> Column:
     """``value`` as the output of a generator, for use in a ``select``.
 
     Filters and projections above copy the expression of an ordinary column into
-    themselves and so repeat its work. A generated column is computed once.
+    themselves and so repeat its work, also the filters that Spark adds under an
+    explode. A generated column is computed once.
     """
     return F.explode(F.array(value))
 

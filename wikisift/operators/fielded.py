@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wikisift.functions.expr import once
 from wikisift.functions.text import term_vector, tokens
 from wikisift.functions.urls import result_url
 from wikisift.operators.ranking import ranked
@@ -47,7 +48,7 @@ def fielded_vectors(docs: DataFrame, fields: tuple[str, ...] = tuple(BOOSTS)) ->
         "field",
         "doc_id",
         F.size("tokens").cast("bigint").alias("len"),
-        term_vector(F.col("tokens")).alias("terms"),
+        once(term_vector(F.col("tokens"))).alias("terms"),
     )
 
 

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wikisift.functions.expr import once
 from wikisift.functions.text import term_vector, tokens
 from wikisift.sources.tables import choose_buckets, write_by_term
 
@@ -18,7 +19,7 @@ def document_vectors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     each. ``sum_sq`` is the sum of squared term counts, ``len`` the number of tokens.
     """
     vectors = docs.select(
-        F.col(id_col).alias("doc_id"), term_vector(tokens(F.col(text_col))).alias("terms")
+        F.col(id_col).alias("doc_id"), once(term_vector(tokens(F.col(text_col)))).alias("terms")
     )
     zero = F.lit(0).cast("bigint")
     return vectors.select(
