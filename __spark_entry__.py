@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import sys
 from collections.abc import Callable
-from functools import reduce
+from functools import reduce, wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +26,12 @@ from wikisift.sources.site import distinct_pages
 from wikisift.sources.tables import materialize, scratch_dir, spread
 from wikisift.streaming import incremental
 
+try:  # the operators for training data are an optional part
+    import corpus_pipeline
+    from wikisift.llm import queries as llm
+except ImportError:
+    corpus_pipeline = llm = None
+
 SITE = "https://"
 EXTERN_BASE, SITE_BASE = "https://en.wikipedia.org/wiki/", "https://site.example/wiki/"
 TWO_TERMS = "the and"
@@ -460,6 +466,20 @@ def technologies(spark, sf_dir):
     return found.select("id", architecture.alias("architecture"), logic.alias("logic"))
 
 
+def with_library_path(query: Query) -> Query:
+    """Python workers get the folder of this library, wherever the driver was started."""
+
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        home = os.path.dirname(os.path.abspath(__file__))
+        paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
+        if home not in paths:
+            spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([home, *filter(None, paths)])
+        return query(spark, sf_dir)
+
+    return run
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Two-term ranked search over the smallest documents table."""
     return search_two_terms(spark, "/root/testdata/sf0.001")
@@ -484,8 +504,14 @@ def queries() -> dict[str, Query]:
     found["search_batch_max_tf"] = batch_search(tf="max")
     found["search_batch_euc"] = batch_search(normalize="euc")
     found["search_batch_cos"] = batch_search(similarity="cos")
+    if llm:
+        training = llm.QUERIES | {"pipeline": corpus_pipeline.run}
+        found |= {name: with_library_path(query) for name, query in training.items()}
     return found
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracles.all_sql()
+    sql = oracles.all_sql()
+    if llm:
+        sql |= llm.ORACLES | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+    return sql
