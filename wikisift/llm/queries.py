@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wikisift.llm import language, ngram_join
+from wikisift.llm import decontamination, language, ngram_join
 
-QUERIES = {q.__name__: q for q in (ngram_join.op4_ngram_join, language.op10_language_id)}
+QUERIES = {q.__name__: q for q in (ngram_join.op4_ngram_join, decontamination.op6_decontamination, language.op10_language_id)}
 ORACLES: dict[str, str] = {}
