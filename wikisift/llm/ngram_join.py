@@ -3,11 +3,10 @@
 The product of the document by n-gram incidence matrix with its transpose holds all
 overlap counts. It is never formed whole: an n-gram is a block, the documents that hold
 it. Sizes bound what a block must look at. With threshold t, two linked documents of
-sizes x and y share at least t/(1+t)*(x+y) n-grams, so in any common order of all
-n-grams they share one of the first x-ceil(t*x)+1 of the one and the first
-y-ceil(t*y)+1 of the other; at their first common n-gram, what is left of each set must
-still make up the overlap; and t*x <= y <= x/t. Pairs that these bounds leave get their
-overlap accumulated in full.
+sizes x and y share at least t/(1+t)*(x+y) n-grams, and t*x <= y <= x/t. So in any common
+order of all n-grams they share one of the first x-ceil(t*x)+1 of the one and the first
+y-ceil(t*y)+1 of the other. The counts accumulated over these first n-grams, plus all
+that can be left, discard most pairs; the rest get their overlap counted in full.
 
 The result is the set of connected components, so pairs inside one component need not be
 looked at twice. Each block first compares its documents with one of them (linear work,
@@ -38,7 +37,8 @@ from wikisift.sources.tables import materialize
 
 _FILTER_BITS = 23
 _MAX_HOT = 1_000_000
-_PAIRS = "a bigint, b bigint"
+_SURE = 1 << 40
+_PAIRS = "a bigint, b bigint, na bigint, nb bigint, c bigint"
 
 
 def _sets(piece: ragged.Piece, n: int):
@@ -143,29 +143,41 @@ def _shared(rows: DataFrame) -> DataFrame:
     return rows.repartition("h").sortWithinPartitions("h", "n", "sid").mapInArrow(run, "h bigint, sid bigint, n int, pos int")
 
 
-def _possible(n1, p1, n2, p2, percent: int):
-    """The bounds of sizes and of what is left after the first common n-gram."""
-    small, large = np.minimum(n1, n2), np.maximum(n1, n2)
-    left = np.minimum(n1 - p1, n2 - p2)
-    return (100 * small >= percent * large) & ((100 + percent) * left >= percent * (n1 + n2))
-
-
-def _pairs_table(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-    low, high = np.minimum(a, b), np.maximum(a, b)
+def _pairs_table(a, b, na, nb, count) -> pa.RecordBatch:
+    """Pairs with the smaller ``sid`` first, each once, and how often it came up."""
+    swap = a > b
+    low, high = np.where(swap, b, a), np.where(swap, a, b)
+    n_low, n_high = np.where(swap, nb, na), np.where(swap, na, nb)
+    count = np.broadcast_to(count, low.shape)
     if len(low):
         order = np.lexsort((high, low))
-        low, high = low[order], high[order]
-        first = np.concatenate([[True], (low[1:] != low[:-1]) | (high[1:] != high[:-1])])
-        low, high = low[first], high[first]
-    return pa.RecordBatch.from_arrays([pa.array(low), pa.array(high)], names=["a", "b"])
+        low, high, n_low, n_high, count = low[order], high[order], n_low[order], n_high[order], count[order]
+        first = np.flatnonzero(np.concatenate([[True], (low[1:] != low[:-1]) | (high[1:] != high[:-1])]))
+        count = np.add.reduceat(count, first)
+        low, high, n_low, n_high = low[first], high[first], n_low[first], n_high[first]
+    arrays = [pa.array(x.astype(np.int64)) for x in (low, high, n_low, n_high, count)]
+    return pa.RecordBatch.from_arrays(arrays, names=["a", "b", "na", "nb", "c"])
+
+
+def _counted(pairs: DataFrame) -> DataFrame:
+    return pairs.groupBy("a", "b").agg(F.min("na").alias("na"), F.min("nb").alias("nb"), F.sum("c").alias("c"))
+
+
+def _can_reach(count, percent: int):
+    """Whether ``count`` common n-grams among the first ones leave the threshold in reach.
+
+    Past the end of the shorter list of first n-grams, no more can be common than its set has left.
+    """
+    left = F.floor((percent * F.greatest("na", "nb") + 99) / 100) - 1
+    return (100 + percent) * (count + left) >= percent * (F.col("na") + F.col("nb"))
 
 
 def _star_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """Each document with the smallest of its block that its size can match."""
+    """Each document with the smallest of its block that its size can match, where they have enough in common."""
 
     def run(batches):
         for h, sid, n, pos in _blocks(batches, 4):
-            n, pos = n.astype(np.int64), pos.astype(np.int64)
+            n = n.astype(np.int64)
             # Blocks are sorted by size, so a document starts a new star when the last one is too small for it.
             centre = np.arange(len(h))
             opens = np.concatenate([[0], np.flatnonzero(h[1:] != h[:-1]) + 1, [len(h)]])
@@ -175,39 +187,55 @@ def _star_pairs(rows: DataFrame, percent: int) -> DataFrame:
                     stop = first + int(np.searchsorted(n[first:end], n[first] * 100 // percent, side="right"))
                     centre[first:stop] = first
                     first = stop
-            good = (centre != np.arange(len(h))) & _possible(n, pos, n[centre], pos[centre], percent)
-            yield _pairs_table(sid[good], sid[centre[good]])
+            at = np.flatnonzero(centre != np.arange(len(h)))
+            yield _pairs_table(sid[at], sid[centre[at]], n[at], n[centre[at]], np.int64(1))
 
-    return rows.repartition("h").sortWithinPartitions("h", "n", "sid").mapInArrow(run, _PAIRS).distinct()
+    rows = rows.repartition("h").sortWithinPartitions("h", "n", "sid")
+    return _counted(rows.mapInArrow(run, _PAIRS)).where(_can_reach(F.col("c"), percent))
 
 
-def _cross_pairs(rows: DataFrame, percent: int, block: int = 1024) -> DataFrame:
-    """All possible pairs of documents of one block that are of different components."""
+def _cross_pairs(rows: DataFrame, percent: int, hot: int, block: int = 1024) -> DataFrame:
+    """All pairs of one block that are of different components and can reach the threshold.
+
+    A pair gathers its count from the blocks of up to ``hot`` documents; what it may share in
+    larger ones is added to the bound. In larger blocks the bound is what both have left there.
+    """
 
     def run(batches):
         for h, sid, n, pos, comp in _blocks(batches, 5):
             n, pos = n.astype(np.int64), pos.astype(np.int64)
             opens = np.concatenate([[0], np.flatnonzero(h[1:] != h[:-1]) + 1, [len(h)]])
-            found_a, found_b, held = [], [], 0
+            found, held = [], 0
             for first, end in zip(opens[:-1], opens[1:]):
+                large = end - first > hot
                 for i in range(first, end, block):
-                    rows_ = np.arange(i, min(i + block, end))
-                    limit = n[rows_[-1]] * 100 // percent
+                    some = np.arange(i, min(i + block, end))
+                    limit = n[some[-1]] * 100 // percent
                     stop = first + int(np.searchsorted(n[first:end], limit, side="right"))
                     for j in range(i, stop, block):
-                        cols = np.arange(j, min(j + block, stop))
-                        fits = (cols[None, :] > rows_[:, None]) & (comp[rows_][:, None] != comp[cols][None, :])
-                        fits &= _possible(n[rows_][:, None], pos[rows_][:, None], n[cols][None, :], pos[cols][None, :], percent)
+                        others = np.arange(j, min(j + block, stop))
+                        fits = (others[None, :] > some[:, None]) & (comp[some][:, None] != comp[others][None, :])
+                        fits &= 100 * n[some][:, None] >= percent * n[others][None, :]
+                        if large:
+                            left = np.minimum((n - pos)[some][:, None], (n - pos)[others][None, :])
+                            fits &= (100 + percent) * left >= percent * (n[some][:, None] + n[others][None, :])
                         r, c = np.nonzero(fits)
-                        found_a.append(sid[rows_[r]]), found_b.append(sid[cols[c]])
+                        r, c = some[r], others[c]
+                        found.append((sid[r], sid[c], n[r], n[c], np.full(len(r), _SURE if large else 1, np.int64)))
                         held += len(r)
                         if held > 200_000:
-                            yield _pairs_table(np.concatenate(found_a), np.concatenate(found_b))
-                            found_a, found_b, held = [], [], 0
+                            yield _pairs_table(*map(np.concatenate, zip(*found)))
+                            found, held = [], 0
             if held:
-                yield _pairs_table(np.concatenate(found_a), np.concatenate(found_b))
+                yield _pairs_table(*map(np.concatenate, zip(*found)))
 
-    return rows.repartition("h").sortWithinPartitions("h", "n", "sid").mapInArrow(run, _PAIRS).distinct()
+    blocks = rows.where("held IS NULL").select("h", "sid", "n", "pos", "comp").repartition("h").sortWithinPartitions("h", "n", "sid")
+    pairs = _counted(blocks.mapInArrow(run, _PAIRS))
+    in_large = materialize(rows.where(F.col("block") > hot).groupBy("sid").agg(F.count(F.lit(1)).alias("more")), "in-large")
+    for end in ("a", "b"):
+        pairs = pairs.join(in_large.select(F.col("sid").alias(end), F.col("more").alias(f"more_{end}")), end, "left")
+    more = F.least(F.coalesce("more_a", F.lit(0)), F.coalesce("more_b", F.lit(0)))
+    return pairs.where(_can_reach(F.col("c") + more, percent)).select("a", "b")
 
 
 def _needed_filter(sids: DataFrame):
@@ -266,23 +294,21 @@ def _with_components(rows: DataFrame, links: DataFrame) -> DataFrame:
 def set_links(texts: DataFrame, n: int, percent: int, hot: int) -> DataFrame:
     """Links ``(a, b)`` between sets that connect just what all pairs at or above the threshold connect."""
     spark = texts.sparkSession
-    links = spark.createDataFrame([], _PAIRS)
+    links = None
     late = np.zeros(0, np.uint64)
     while True:
         rows = materialize(_shared(_first_ngrams(texts, n, percent, spark.sparkContext.broadcast(late))), "shared")
-        star = materialize(_star_pairs(rows, percent), "star")
-        links = links.union(_links(star, texts, n, percent))
+        star = materialize(_star_pairs(rows, percent).select("a", "b"), "star")
+        found = _links(star, texts, n, percent)
+        links = found if links is None else links.union(found)
         rows = materialize(_with_components(rows, links), "mixed")
         seen = spark.createDataFrame([(int(h),) for h in late.view(np.int64)], "h bigint")
         new = rows.where(F.col("block") > hot).select("h", "block").distinct().join(seen, "h", "left_anti")
         new = np.array([r["h"] for r in new.orderBy(F.desc("block"), "h").limit(max(_MAX_HOT - len(late), 0)).collect()], np.int64)
-        open_rows = rows
-        if len(new):
-            held_back = materialize(spark.createDataFrame([(int(h),) for h in new], "h bigint"), "hot")
-            open_rows = rows.join(held_back, "h", "left_anti")
-        cross = _cross_pairs(open_rows.select("h", "sid", "n", "pos", "comp"), percent)
-        cross = cross.join(star, ["a", "b"], "left_anti")
-        links = links.union(_links(cross, texts, n, percent))
+        held_back = spark.createDataFrame([(int(h),) for h in new], "h bigint")
+        # Blocks held back count as large for what their documents may share.
+        cross = _cross_pairs(rows.join(held_back.withColumn("held", F.lit(True)), "h", "left"), percent, hot)
+        links = links.union(_links(cross.join(star, ["a", "b"], "left_anti"), texts, n, percent))
         if not len(new):
             return links
         # Linked pairs that only share n-grams of the blocks held back are among the documents of these blocks.
@@ -310,7 +336,7 @@ def _only(texts: DataFrame, n: int, sids: DataFrame) -> DataFrame:
 
 
 def near_duplicates(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, percent: int = 75, hot: int = 200,
+    docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, percent: int = 75, hot: int = 64,
 ) -> DataFrame:
     """``(doc_id, n_shingles, component_id)`` of every row: the smallest id reachable by links.
 
