@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from wikisift.llm import decontamination, language, ngram_join
+from wikisift.llm import decontamination, language, mixing, ngram_join, sharding
 
-QUERIES = {q.__name__: q for q in (ngram_join.op4_ngram_join, decontamination.op6_decontamination, language.op10_language_id)}
+QUERIES = {
+    query.__name__: query
+    for query in (
+        mixing.op2_mixing, ngram_join.op4_ngram_join, decontamination.op6_decontamination, sharding.op9_sharding,
+        language.op10_language_id,
+    )
+}
 ORACLES: dict[str, str] = {}
