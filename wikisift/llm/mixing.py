@@ -4,8 +4,7 @@ Each source gets a share of ``total_percent`` of all words by its weight, but at
 ``max_repeats`` times its own words; what is above is shared again by weight among the
 others, until nothing is. Full passes over a source are taken whole; for the rest the
 source's documents are dealt by a hash into permuted blocks, and blocks are drawn in
-order until the target is met, the last one in part (up to the document that comes
-nearest). So no document is taken more than ``ceil(max_repeats)`` times.
+order until the target is met, the last one in part (its documents that still fit). So no document is taken more than ``ceil(max_repeats)`` times.
 
 Blocks go to output shards by a multivariate-hypergeometric splitting tree: the exact
 number of blocks drawn of each source is split between the two halves of the shards as a
@@ -37,7 +36,7 @@ from wikisift.sources.tables import materialize
 
 _SPAN = 1024  # blocks summed up together
 _TREE_SOURCES = 4096  # sources whose quotas are split together
-_BROADCAST_SOURCES = 10_000
+_BROADCAST_SOURCES = 2_000
 _TWO_64 = float(2**64)
 
 
@@ -98,6 +97,22 @@ def _cut(sums: DataFrame, place: str) -> DataFrame:
     )
 
 
+def _fill(part: pd.DataFrame) -> pd.DataFrame:
+    """Documents of the last block of a source, in the order of their draws: each that still fits, and one more if that is nearer."""
+    part = part.sort_values("draw")
+    left, taken, words = float(part["rest"].iloc[0]), [], part["words"].to_numpy()
+    for i, size in enumerate(words):
+        if size <= left:
+            taken.append(i)
+            left -= size
+    others = np.setdiff1d(np.arange(len(words)), taken)
+    if len(others):
+        nearest = others[np.abs(words[others] - left).argmin()]
+        if abs(words[nearest] - left) < left:
+            taken.append(int(nearest))
+    return pd.DataFrame({"source_no": [part["source_no"].iloc[0]], "last_docs": [part["draw"].to_numpy()[sorted(taken)]]})
+
+
 def _split(quota: np.ndarray, shards: int, rng: np.random.Generator) -> np.ndarray:
     """Blocks of each source (rows) for each shard (columns)."""
     if shards == 1:
@@ -142,10 +157,10 @@ def plan_sources(
     spans = sums.groupBy("source_no", "span").agg(F.sum("words").alias("words"), F.min("rest").alias("rest"))
     span_cut = _cut(spans, "span")
     block_cut = materialize(_cut(sums.drop("rest").join(span_cut, ["source_no", "span"]), "block"), "mix-cut")
-    # Only the documents of one block of each source take part in this window.
-    ends = placed.drop("rest").join(_hinted(block_cut), ["source_no", "block"]).groupBy("source_no", "draw").agg(F.sum("size").alias("words"), F.min("rest").alias("rest"))
-    running = ends.withColumn("before", F.sum("words").over(Window.partitionBy("source_no").orderBy("draw")) - F.col("words"))
-    inside = running.where(F.col("before") + F.col("words") / 2 <= F.col("rest")).groupBy("source_no").agg(F.max("draw").alias("last_draw"))
+    # Only the documents of one block of each source take part from here on.
+    ends = placed.drop("rest").join(_hinted(block_cut), ["source_no", "block"])
+    ends = ends.groupBy("source_no", "draw").agg(F.sum("size").alias("words"), F.min("rest").alias("rest"))
+    inside = ends.groupBy("source_no").applyInPandas(_fill, "source_no bigint, last_docs array<bigint>")
     plan = plan.join(block_cut.select("source_no", F.col("block").alias("last_block")), "source_no", "left")
     plan = materialize(plan.join(inside, "source_no", "left"), "mix-plan")
     drawn = F.col("passes") * F.col("blocks") + F.coalesce(F.col("last_block") + 1, F.lit(0))
@@ -175,12 +190,12 @@ def draws(
     narrow = materialize(narrow, "mix-sizes")
     plan = plan_sources(narrow, weights, total_percent, max_repeats, shards, block_docs, seed)
     small = plan.select(
-        F.struct("source").alias("_of"), F.struct("source_no", "source_size", "target", "passes", "blocks", "last_block", "last_draw", "shard_starts").alias("_plan")
+        F.struct("source").alias("_of"), F.struct("source_no", "source_size", "target", "passes", "blocks", "last_block", "last_docs", "shard_starts").alias("_plan")
     )
     rows = sized.withColumn("_of", F.struct(F.col(source).alias("source"))).withColumn("_draw", draw)
     rows = rows.join(_hinted(small), rows["_of"].eqNullSafe(small["_of"])).drop(small["_of"])
     block = _place(F.col("_plan.blocks"), F.col("_draw"))
-    extra = (block < F.col("_plan.last_block")) | ((block == F.col("_plan.last_block")) & (F.col("_draw") <= F.col("_plan.last_draw")))
+    extra = (block < F.col("_plan.last_block")) | ((block == F.col("_plan.last_block")) & F.array_contains("_plan.last_docs", F.col("_draw")))
     copies = F.col("_plan.passes") + F.coalesce(extra, F.lit(False)).cast("int")
     mix = F.struct(
         F.col(size).alias("size"), "_plan.source_size", "_plan.target", copies.alias("copies"), block.alias("block"),
