@@ -44,14 +44,6 @@ SCRIPTS = [
 SCRIPT_NAMES = list(dict.fromkeys(name for name, _, _ in SCRIPTS)) + ["other"]
 _SCRIPT_OF = [(SCRIPT_NAMES.index(name), first, last) for name, first, last in SCRIPTS]
 
-# ASCII characters other than letters separate words here.
-_LETTERS = np.full(256, 0x20, np.uint8)
-for _c in range(128, 256):
-    _LETTERS[_c] = _c
-for _c in range(26):
-    _LETTERS[65 + _c] = _LETTERS[97 + _c] = 97 + _c
-
-
 @dataclass
 class LanguageModel:
     """Log scores per language (columns in the order of ``languages``)."""
@@ -91,7 +83,7 @@ def _script(word: bytes) -> int:
 
 def _distinct(data: np.ndarray, offsets: np.ndarray):
     """Words of a piece and its distinct words: spans, words before each document, first occurrence, number."""
-    folded = _LETTERS[data]
+    folded = ragged.LETTERS_ONLY[data]
     starts, ends, before = ragged.words(folded, offsets)
     keys = ragged.Hasher(folded).spans(starts, ends)
     unique, first, inverse = np.unique(keys, return_index=True, return_inverse=True)

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from wikisift.llm import decontamination, language, mixing, ngram_join, sharding
+from wikisift.llm import decontamination, language, mixing, ngram_join, quality, secrets, sharding, tokens
 
 QUERIES = {
     query.__name__: query
     for query in (
-        mixing.op2_mixing, ngram_join.op4_ngram_join, decontamination.op6_decontamination, sharding.op9_sharding,
-        language.op10_language_id,
+        mixing.op2_mixing, tokens.op3_token_files, ngram_join.op4_ngram_join, decontamination.op6_decontamination,
+        secrets.op7_secrets, quality.op8_quality, sharding.op9_sharding, language.op10_language_id,
     )
 }
 ORACLES: dict[str, str] = {}

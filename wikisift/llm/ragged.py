@@ -19,6 +19,10 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+# Lower-cased ASCII letters and all bytes of longer characters; the rest is blank.
+LETTERS_ONLY = np.full(256, 0x20, np.uint8)
+LETTERS_ONLY[65:91] = LETTERS_ONLY[97:123] = np.arange(97, 123)
+LETTERS_ONLY[128:] = np.arange(128, 256)
 _BYTE_VALUES = np.random.Generator(np.random.PCG64(2024)).integers(1, 2**63, 256, dtype=np.uint64)
 _powers: dict[int, np.ndarray] = {}
 
