@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from wikisift.llm import decontamination, language, lines, mixing, ngram_join, quality, secrets, sharding, tokens
+from wikisift.llm import decontamination, language, lines, mixing, ngram_join, quality, secrets, sharding, suffix_dedup, tokens
 
 QUERIES = {
     query.__name__: query
     for query in (
-        mixing.op2_mixing, tokens.op3_token_files, ngram_join.op4_ngram_join, lines.op5_line_dedup,
+        suffix_dedup.op1_suffix_dedup, mixing.op2_mixing, tokens.op3_token_files, ngram_join.op4_ngram_join, lines.op5_line_dedup,
         decontamination.op6_decontamination, secrets.op7_secrets, quality.op8_quality, sharding.op9_sharding, language.op10_language_id,
     )
 }
