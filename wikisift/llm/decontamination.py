@@ -179,7 +179,7 @@ def _blocks(benchmark: DataFrame, item: str, text: str, block_bytes: int):
     count = max(-(-2 * total // block_bytes), 1)
     for k in range(count):
         part = rows if count == 1 else rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(count)) == k)
-        yield [(r["item"], r["text"]) for r in part.orderBy("item", "text").toLocalIterator()]
+        yield [(r["item"], r["text"]) for r in part.orderBy("item", "text").collect()]
 
 
 def find_leaks(

@@ -189,19 +189,20 @@ def draws(
     narrow = sized.select(F.col(source).alias("source"), F.col(size).alias("size"), draw.alias("draw"))
     narrow = materialize(narrow, "mix-sizes")
     plan = plan_sources(narrow, weights, total_percent, max_repeats, shards, block_docs, seed)
-    small = plan.select(
-        F.struct("source").alias("_of"), F.struct("source_no", "source_size", "target", "passes", "blocks", "last_block", "last_docs", "shard_starts").alias("_plan")
-    )
-    rows = sized.withColumn("_of", F.struct(F.col(source).alias("source"))).withColumn("_draw", draw)
-    rows = rows.join(_hinted(small), rows["_of"].eqNullSafe(small["_of"])).drop(small["_of"])
-    block = _place(F.col("_plan.blocks"), F.col("_draw"))
-    extra = (block < F.col("_plan.last_block")) | ((block == F.col("_plan.last_block")) & F.array_contains("_plan.last_docs", F.col("_draw")))
-    copies = F.col("_plan.passes") + F.coalesce(extra, F.lit(False)).cast("int")
+    # All own columns stand in one struct each, under names that ``docs`` does not use.
+    of, info, hashed = (_fresh(name, sized.columns) for name in ("mix_of", "mix_plan", "mix_draw"))
+    plan_columns = ("source_no", "source_size", "target", "passes", "blocks", "last_block", "last_docs", "shard_starts")
+    small = plan.select(F.struct("source").alias(of), F.struct(*plan_columns).alias(info))
+    rows = sized.withColumns({of: F.struct(F.col(source).alias("source")), hashed: draw})
+    rows = rows.join(_hinted(small), of)
+    facts, block = F.col(info), _place(F.col(info)["blocks"], F.col(hashed))
+    last = (block == facts["last_block"]) & F.array_contains(facts["last_docs"], F.col(hashed))
+    copies = facts["passes"] + F.coalesce((block < facts["last_block"]) | last, F.lit(False)).cast("int")
     mix = F.struct(
-        F.col(size).alias("size"), "_plan.source_size", "_plan.target", copies.alias("copies"), block.alias("block"),
-        F.col("_plan.blocks").alias("blocks"), F.col("_plan.shard_starts").alias("shard_starts"), F.col("_draw").alias("draw"),
+        F.col(size).alias("size"), facts["source_size"].alias("source_size"), facts["target"].alias("target"), copies.alias("copies"),
+        block.alias("block"), facts["blocks"].alias("blocks"), facts["shard_starts"].alias("shard_starts"), F.col(hashed).alias("draw"),
     )
-    return rows.select(*[rows[f"`{c}`"] for c in docs.columns], mix.alias(_fresh("mix", docs.columns))), plan
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns], mix.alias(_fresh("mix", docs.columns))), plan
 
 
 def mixture(docs: DataFrame, seed: int = 11, **options) -> DataFrame:

@@ -11,9 +11,9 @@ that can be left, discard most pairs; the rest get their overlap counted in full
 The result is the set of connected components, so pairs inside one component need not be
 looked at twice. Each block first compares its documents with one of them (linear work,
 which merges large groups of copies), then only documents of different components.
-Blocks of n-grams that more than ``hot`` documents hold come last in the order: their
-documents get new first n-grams, and only what has nothing but such n-grams is compared
-in these blocks. No pair is dropped anywhere.
+N-grams that more than ``hot`` documents hold come last in the order. Most are known from
+the first scan; where a block turns out larger, its documents get new first n-grams. Only
+what has nothing but such n-grams is compared in large blocks. No pair is dropped anywhere.
 
 Documents with equal sets are one row (``sid``) from the first scan on. Sets and n-grams
 are known by 64-bit hashes.
@@ -37,6 +37,7 @@ from wikisift.sources.tables import materialize
 
 _FILTER_BITS = 23
 _MAX_HOT = 1_000_000
+_COUNTED_TOGETHER = 4_000_000
 _SURE = 1 << 40
 _PAIRS = "a bigint, b bigint, na bigint, nb bigint, c bigint"
 
@@ -52,7 +53,8 @@ def _sets(piece: ragged.Piece, n: int):
         first = np.concatenate([[True], (grams[1:] != grams[:-1]) | (owner[1:] != owner[:-1])])
         grams, owner = grams[first], owner[first]
     sizes = np.bincount(owner, minlength=piece.n)
-    sums = np.concatenate([[0], np.cumsum(ragged.mix(grams), dtype=np.uint64)]).astype(np.uint64)
+    sums = np.zeros(len(grams) + 1, np.uint64)
+    np.cumsum(ragged.mix(grams), out=sums[1:])
     ends = np.cumsum(sizes)
     sids = ragged.mix((sums[ends] - sums[ends - sizes]) ^ ragged.mix(sizes.astype(np.uint64)))
     return grams, owner, sizes, sids.view(np.int64)
@@ -71,21 +73,36 @@ def _overlap_bound(sizes: np.ndarray, percent: int) -> np.ndarray:
 
 
 def set_table(docs: DataFrame, key: str, text: str, n: int) -> DataFrame:
-    """``(doc_id, n_shingles, sid)`` of every row."""
+    """Every row as ``(doc_id, n_shingles, sid, copies null)``, and how often n-grams came up in a batch.
+
+    The latter have the n-gram as ``sid`` and the number of sets that hold it as ``copies``,
+    from 2 on. They cover all rows and only serve to find frequent n-grams.
+    """
 
     def run(batches):
+        names = ["doc_id", "n_shingles", "sid", "copies"]
         for b in batches:
-            sizes, sids = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            seen, held = [], 0
             for piece in ragged.pieces(b.column(1)):
-                _, _, s, i = _sets(piece, n)
-                sizes.append(s), sids.append(i)
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(np.concatenate(sizes).astype(np.int64)), pa.array(np.concatenate(sids))],
-                names=["doc_id", "n_shingles", "sid"],
-            )
+                grams, owner, sizes, sids = _sets(piece, n)
+                seen.append(grams[_once(sids, sizes)[owner]])
+                held += len(seen[-1])
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).slice(piece.rows[0], piece.n), pa.array(sizes.astype(np.int64)), pa.array(sids), pa.nulls(piece.n, pa.int64())], names=names
+                )
+                if held > _COUNTED_TOGETHER:
+                    yield counted(seen, b.column(0).type, names)
+                    seen, held = [], 0
+            if held:
+                yield counted(seen, b.column(0).type, names)
+
+    def counted(seen, kind, names):
+        grams, count = np.unique(np.concatenate(seen), return_counts=True)
+        grams, count = grams[count > 1], count[count > 1]
+        return pa.RecordBatch.from_arrays([pa.nulls(len(grams), kind), pa.nulls(len(grams), pa.int64()), pa.array(grams.view(np.int64)), pa.array(count)], names=names)
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, n_shingles bigint, sid bigint")
+    return docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, n_shingles bigint, sid bigint, copies bigint")
 
 
 def _first_ngrams(texts: DataFrame, n: int, percent: int, late) -> DataFrame:
@@ -243,8 +260,8 @@ def _needed_filter(sids: DataFrame):
     slot = F.shiftrightunsigned("sid", 64 - _FILTER_BITS)
     words = sids.select(F.shiftright(slot, 6).alias("w"), F.call_function("shiftleft", F.lit(1).cast("bigint"), (slot % 64).cast("int")).alias("bit"))
     bits = np.zeros(1 << (_FILTER_BITS - 6), np.uint64)
-    for r in words.groupBy("w").agg(F.bit_or("bit").alias("bits")).toLocalIterator():
-        bits[r["w"]] = np.uint64(r["bits"] & 0xFFFFFFFFFFFFFFFF)
+    found = words.groupBy("w").agg(F.bit_or("bit").alias("bits")).toArrow()
+    bits[found["w"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
     return bits
 
 
@@ -271,6 +288,8 @@ def _links(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFram
     """The pairs whose overlap, counted in full, reaches the threshold."""
     spark = pairs.sparkSession
     pairs = materialize(pairs, "pairs")
+    if pairs.isEmpty():
+        return pairs
     sids = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
     wanted = spark.sparkContext.broadcast(_needed_filter(sids))
     sets = materialize(_set_arrays(texts, n, wanted).dropDuplicates(["sid"]), "sets")
@@ -291,30 +310,35 @@ def _with_components(rows: DataFrame, links: DataFrame) -> DataFrame:
     return labelled.join(mixed, "h").select("h", "sid", "n", "pos", "comp", "block")
 
 
-def set_links(texts: DataFrame, n: int, percent: int, hot: int) -> DataFrame:
-    """Links ``(a, b)`` between sets that connect just what all pairs at or above the threshold connect."""
-    spark = texts.sparkSession
-    links = None
-    late = np.zeros(0, np.uint64)
+def _frequent(counts: DataFrame, hot: int) -> DataFrame:
+    """The n-grams ``h`` of ``counts(h, n)`` that come up in more than ``hot`` sets; of very many, the most frequent."""
+    return materialize(counts.where(F.col("n") > hot).orderBy(F.desc("n"), "h").limit(_MAX_HOT).select("h"), "frequent")
+
+
+def set_links(texts: DataFrame, late: DataFrame, n: int, percent: int, hot: int) -> DataFrame:
+    """Links ``(a, b)`` between sets that connect just what all pairs at or above the threshold connect.
+
+    ``late`` are n-grams ``h`` to be put last from the beginning; they do not change the result.
+    """
+    spark, links = texts.sparkSession, None
     while True:
-        rows = materialize(_shared(_first_ngrams(texts, n, percent, spark.sparkContext.broadcast(late))), "shared")
+        last = np.sort(late.toArrow()["h"].to_numpy().view(np.uint64))
+        rows = materialize(_shared(_first_ngrams(texts, n, percent, spark.sparkContext.broadcast(last))), "shared")
         star = materialize(_star_pairs(rows, percent).select("a", "b"), "star")
         found = _links(star, texts, n, percent)
         links = found if links is None else links.union(found)
         rows = materialize(_with_components(rows, links), "mixed")
-        seen = spark.createDataFrame([(int(h),) for h in late.view(np.int64)], "h bigint")
-        new = rows.where(F.col("block") > hot).select("h", "block").distinct().join(seen, "h", "left_anti")
-        new = np.array([r["h"] for r in new.orderBy(F.desc("block"), "h").limit(max(_MAX_HOT - len(late), 0)).collect()], np.int64)
-        held_back = spark.createDataFrame([(int(h),) for h in new], "h bigint")
+        large = rows.where(F.col("block") > hot).select("h", F.col("block").alias("n")).distinct().join(late, "h", "left_anti")
+        held_back = _frequent(large, hot)
         # Blocks held back count as large for what their documents may share.
         cross = _cross_pairs(rows.join(held_back.withColumn("held", F.lit(True)), "h", "left"), percent, hot)
         links = links.union(_links(cross.join(star, ["a", "b"], "left_anti"), texts, n, percent))
-        if not len(new):
+        if held_back.isEmpty():
             return links
         # Linked pairs that only share n-grams of the blocks held back are among the documents of these blocks.
         touched = rows.join(held_back, "h", "left_semi").select("sid").distinct()
         texts = _only(texts, n, materialize(touched, "touched"))
-        late = np.sort(np.concatenate([late, new.view(np.uint64)]))
+        late = materialize(late.union(held_back).distinct(), "late")
 
 
 def _only(texts: DataFrame, n: int, sids: DataFrame) -> DataFrame:
@@ -342,10 +366,12 @@ def near_duplicates(
 
     Two documents link when 100 times their overlap reaches ``percent`` times their union.
     """
-    sets = materialize(set_table(docs, key, text, n), "set-table")
+    scanned = materialize(set_table(docs, key, text, n), "set-table")
+    sets = scanned.where("copies IS NULL").drop("copies")
+    late = _frequent(scanned.where("copies IS NOT NULL").groupBy(F.col("sid").alias("h")).agg(F.sum("copies").alias("n")), hot)
     named = sets.where("n_shingles > 0 AND doc_id IS NOT NULL")
     first = materialize(named.groupBy("sid").agg(F.min("doc_id").alias("first")), "first-docs")
-    links = set_links(docs.where(F.col(key).isNotNull()).select(F.col(text).alias("text")), n, percent, hot)
+    links = set_links(docs.where(F.col(key).isNotNull()).select(F.col(text).alias("text")), late, n, percent, hot)
     ends = links.select("a", "b")
     for end in ("a", "b"):
         ends = ends.join(first.select(F.col("sid").alias(end), F.col("first").alias(f"doc_{end}")), end)

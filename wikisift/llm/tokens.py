@@ -69,7 +69,6 @@ def _encoder(path: str, words_apart: bool):
 def write_file(target: str, doc_ids: list[int | None], boundaries: np.ndarray, ids: bytes, width: int) -> None:
     """Write one file; ``target`` is a path or a URI that Arrow can open."""
     fs, path = pafs.FileSystem.from_uri(target)
-    fs.create_dir(path.rpartition("/")[0], recursive=True)
     unnamed = sum(d is None for d in doc_ids)
     named = np.array(doc_ids[unnamed:], np.int64)
     draft = f"{path.rpartition('/')[0]}/_draft-{uuid.uuid4().hex}"
@@ -114,8 +113,9 @@ def write_tokens(
     ``words_apart`` says that it drops white space before anything else, so pieces
     between blanks can be looked up instead of tokenised again.
     """
-    spark = docs.sparkSession
     target = _uri(output)
+    fs, path = pafs.FileSystem.from_uri(target)
+    fs.create_dir(path, recursive=True)
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         kind, tokenise = _encoder(tokenizer, words_apart)
