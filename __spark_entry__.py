@@ -23,7 +23,7 @@ from wikisift.operators.search import query_table, search, top_hits
 from wikisift.plans import table_wiki
 from wikisift.sources.dump import read_dump
 from wikisift.sources.site import distinct_pages
-from wikisift.sources.tables import materialize, scratch_dir, spread
+from wikisift.sources.tables import materialize, scratch_dir, spread, stream_table
 from wikisift.streaming import incremental
 
 try:  # the operators for training data are an optional part
@@ -188,6 +188,8 @@ def incremental_ids(spark, sf_dir):
     incremental.create_index(spark, path)
     incremental.incremental_index(df.where(F.startswith("page_name", F.lit("http://"))), path, 0)
     incremental.incremental_index(df, path, 1)
+    # Another run that begins at 0 again replaces nothing and finds nothing new.
+    incremental.incremental_index(df, path, 0)
     ids = incremental.read_table(spark, path, "doc_ids")
     vectors = incremental.read_table(spark, path, "vectors")
     return ids.join(vectors.select("doc_id", F.size("terms").cast("bigint").alias("n_terms")), "doc_id").select(
@@ -199,7 +201,7 @@ def streamed_ids(spark, sf_dir):
     """The page table as a stream of files, indexed batch by batch."""
     base = f"{scratch_dir(spark)}/streamed-{spark.range(1).select(F.uuid()).first()[0]}"
     schema = "page_id bigint, url string, html string"
-    files = spark.readStream.schema(schema).option("pathGlobFilter", "pages.parquet").parquet(sf_dir)
+    files = stream_table(spark, f"{sf_dir}/pages.parquet", schema)
     stream = files.select(F.col("url").alias("page_name"), "html")
     incremental.stream_index(stream, f"{base}/index", f"{base}/offsets").awaitTermination()
     return incremental.read_table(spark, f"{base}/index", "doc_ids").select("doc_id", "page_name", "batch_id")

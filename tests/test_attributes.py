@@ -5,6 +5,7 @@ from tests.helpers import PDP_X, PDP_X_ATTRIBUTES, evaluate
 from wikisift.functions import presets
 from wikisift.functions.attributes import Attribute, Source, extract_attributes
 
+# Segment patterns in their plain forms.
 PLAIN_INFOBOX = re.compile(
     r"(?:^|\n)\| *[^\n=]*?=(?:[^|\n{\[]*(?:\{\{(?:.*?\n?)+\}\}|\[\[.*?\]\])? *,?)+"
 )
@@ -18,70 +19,59 @@ def extract(spark, sources, texts):
     return [None if r is None else [(a.name, a.value) for a in r] for r in rows]
 
 
-def brute_force(sources, text):
-    """Row-at-a-time reading of the rules."""
-    out = []
-
-    def match(rule, segment):
-        if rule.predicate and not re.search(rule.predicate, segment, re.I):
-            return False
-        if rule.explicit:
-            out.append((rule.name, rule.explicit))
-        if rule.value is None:
-            return any([match(child, segment) for child in rule.children])
-        success = False
-        for m in re.finditer(rule.value, segment, re.I):
-            groups = [g for g in m.groups() if g]
-            if groups:
-                out.append((rule.name, " ".join(groups) if rule.concat else groups[0]))
-                for child in rule.children:
-                    match(child, segment)
-                success = True
-            if not rule.multiple:
-                break
-        return success
-
-    for source in sources:
-        segments = [text] if source.segment is None else [m.group() for m in re.finditer(source.segment, text)]
-        for segment in segments:
-            for rule in source.attributes:
-                if match(rule, segment) and source.segment is not None and not source.all_attributes:
-                    break
-    return out
-
-
 def test_computer_preset(spark):
     assert extract(spark, presets.COMPUTERS, [PDP_X, None, ""]) == [PDP_X_ATTRIBUTES, None, []]
 
 
-def test_rule_kinds_against_brute_force(spark):
-    rng = random.Random(11)
-    words = ["k", "v", "12", "7", "x=", "y=", ";", "on", "off", " ", "a1b2", "q"]
-    texts = ["".join(rng.choice(words) for _ in range(rng.randint(0, 25))) for _ in range(400)]
-    rules = [
-        (Source(segment=r"[^;]+", attributes=(
-            Attribute("first", r"x=", r"x=(\d)", contains="x="),
-            Attribute("all", r"y=", r"(\d)", multiple=True),
-            Attribute("either", value=r"(k)v|(q)", multiple=True),
-        )),),
-        (Source(segment=r"[^;]+", all_attributes=True, attributes=(
-            Attribute("both", value=r"(\d)(v)?", multiple=True, concat=True),
-            Attribute("parent", value=r"(on)", multiple=True, children=(Attribute("child", value=r"(\d+)"),)),
-        )),),
-        (Source(segment=r"[^;]+", attributes=(
-            Attribute("flag", "OFF", explicit="is off"),
-            Attribute("n", value=r"(\d+)"),
-            Attribute(None, "on", children=(Attribute("c", value=r"(k)"), Attribute("e", "q", explicit="Q"))),
-            Attribute("last", value="(v)"),
-        )),),
-        (Source(attributes=(
-            Attribute("one", value=r"x=(\d+)"),
-            Attribute("mixed", "k", r"(v)", explicit="K"),
-            Attribute("no group", value="k"),
-        )), Source(segment="k.", attributes=(Attribute("pair", value="(k.)"),))),
-    ]
-    for sources in rules:
-        assert extract(spark, sources, texts) == [brute_force(sources, t) for t in texts]
+FIRST_SUCCESS = (Source(segment=r"[^;]+", attributes=(
+    Attribute("first", r"x=", r"x=(\d)", contains="x="),
+    Attribute("all", r"y=", r"(\d)", multiple=True),
+    Attribute("either", value=r"(k)v|(q)", multiple=True),
+)),)
+ALL_RULES = (Source(segment=r"[^;]+", all_attributes=True, attributes=(
+    Attribute("both", value=r"(\d)(v)?", multiple=True, concat=True),
+    Attribute("parent", value=r"(on)", multiple=True, children=(Attribute("child", value=r"(\d+)"),)),
+)),)
+NESTED = (Source(segment=r"[^;]+", attributes=(
+    Attribute("flag", "OFF", explicit="is off"),
+    Attribute("n", value=r"(\d+)"),
+    Attribute(None, "on", children=(Attribute("c", value=r"(k)"), Attribute("e", "q", explicit="Q"))),
+    Attribute("last", value="(v)"),
+)),)
+TWO_SOURCES = (Source(attributes=(
+    Attribute("one", value=r"x=(\d+)"),
+    Attribute("mixed", "k", r"(v)", explicit="K"),
+    Attribute("no group", value="k"),
+)), Source(segment="k.", attributes=(Attribute("pair", value="(k.)"),)))
+
+# Worked out by hand from what each kind of rule is for.
+WORKED = [
+    (FIRST_SUCCESS, "x=7;y=12 7", "first=7 all=1 all=2 all=7"),  # each segment ends with its first success
+    (FIRST_SUCCESS, "x=7 y=3", "first=7"),
+    (FIRST_SUCCESS, "x=k", ""),  # the condition holds, the value does not: the next rules are tried
+    (FIRST_SUCCESS, "x=kv", "either=k"),
+    (FIRST_SUCCESS, "y=kv q", "either=k either=q"),  # the first group that took part is the value
+    (FIRST_SUCCESS, "Y=4;Q", "all=4 either=Q"),  # case does not matter
+    (FIRST_SUCCESS, "", ""),
+    (ALL_RULES, "1v 2 on", "both=1_v both=2 parent=on child=1"),  # groups joined, children read the segment
+    (ALL_RULES, "on on 5;7", "both=5 parent=on child=5 parent=on child=5 both=7"),
+    (ALL_RULES, ";;v", ""),
+    (NESTED, "off 12", "flag=is_off n=12"),  # a fixed value alone is no success
+    (NESTED, "on k q", "c=k e=Q"),  # all children are read, one success is enough
+    (NESTED, "on q v", "e=Q last=v"),
+    (NESTED, "ON v;on k v", "last=v c=k"),
+    (NESTED, "3 on k", "n=3"),
+    (TWO_SOURCES, "x=12 k v", "one=12 mixed=K mixed=v pair=k_"),  # without segments nothing stops
+    (TWO_SOURCES, "kk", "mixed=K pair=kk"),  # a pattern without groups gives no value
+    (TWO_SOURCES, "v x=1", "one=1"),
+]
+
+
+def test_rule_kinds(spark):
+    for rules in (FIRST_SUCCESS, ALL_RULES, NESTED, TWO_SOURCES):
+        cases = [(text, want) for r, text, want in WORKED if r is rules]
+        got = extract(spark, rules, [text for text, _ in cases])
+        assert [" ".join(f"{n}={v.replace(' ', '_')}" for n, v in pairs) for pairs in got] == [want for _, want in cases]
 
 
 def segments(spark, pattern, texts):

@@ -146,6 +146,13 @@ def test_most_frequent(spark):
     assert whole == [2, 2147483647, 1, None, 2147483647, -1]
     rows = spark.createDataFrame([(0, v) for v in cases[0]] + [(1, 5.0), (1, -1.0)], "g int, v double")
     assert sorted(most_frequent_by(rows, "g", "v").collect()) == [(0, 2.0), (1, -1.0)]
+    odd = [(0, float("nan")), (0, 1.0), (1, None), (1, None), (1, 3.0), (2, None)]
+    odd = spark.createDataFrame(odd, "g int, v double")
+    assert sorted(most_frequent_by(odd, "g", "v").collect()) == [(0, 1.0), (1, 3.0)]
+    least = spark.createDataFrame([(0, -(2**63)), (0, -(2**63)), (0, 5)], "g int, v bigint")
+    assert most_frequent_by(least, "g", "v").first().v == -(2**63)
+    words = spark.createDataFrame([(0, "b"), (0, "a")], "g int, v string")
+    assert most_frequent_by(words, "g", "v").first().v == "a"
 
 
 def test_numbers(spark):
@@ -195,6 +202,14 @@ def test_url_rules(spark):
         "#top": (PREFIX + "Main_Page?x=1", True),
         "?q=1": (PREFIX + "?q=1", True),
         "mailto:a@b": ("mailto:a@b", False),
+        "/../../x": ("https://site.example/../../x", False),
+        "../../../x": ("https://site.example/../../x", False),
+        "a//../b": (PREFIX + "b", True),
+        "/a/./b": ("https://site.example/a/./b", False),
+        "a/..": (PREFIX, True),
+        "..": ("https://site.example/", False),
+        "../..": ("https://site.example/..", False),
+        "a/b//c/": (PREFIX + "a/b/c/", True),
     }
     got = evaluate(spark, lambda c: U.resolve_link(F.lit(base), c), list(cases))
     assert got == [url for url, _ in cases.values()]

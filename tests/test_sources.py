@@ -1,11 +1,12 @@
 import bz2
 import os
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
 
 from tests.helpers import PDP_X, PDP_X_ATTRIBUTES
-from wikisift.operators.fielded import fielded_search
+from wikisift.operators.fielded import FieldIndex, fielded_search
 from wikisift.operators.pages import dump_articles, with_attributes
 from wikisift.operators.search import query_table, search
 from wikisift.operators.searchdocs import build_search_docs, join_titles
@@ -13,7 +14,7 @@ from wikisift.plans.dump_pipeline import build_dump_index
 from wikisift.plans.site_index import build_site_index, count_hits, search_pages
 from wikisift.sources.dump import DUMP_SCHEMA, list_dumps, read_dump, read_dump_target
 from wikisift.sources.site import distinct_pages, read_site
-from wikisift.sources.tables import is_complete, materialize, scratch_dir, spread, write_once
+from wikisift.sources.tables import is_complete, materialize, scratch_dir, spread, stream_table, write_once
 from wikisift.streaming import incremental as inc
 
 
@@ -182,9 +183,12 @@ def test_title_join(spark):
 
 
 def test_whole_dump_pipeline(spark, dump_folder, site_folder, tmp_path):
+    dump_folder = shutil.copytree(dump_folder, tmp_path / "dumps")
+    site_folder = shutil.copytree(site_folder, tmp_path / "site")
+
     def run():
         return build_dump_index(
-            spark, dump_folder, "*", site_folder, str(tmp_path / "work"), str(tmp_path / "index"))
+            spark, str(dump_folder), "*", str(site_folder), str(tmp_path / "work"), str(tmp_path / "index"))
 
     index = run()
     docs = {r.title: r for r in index.docs.collect()}
@@ -195,6 +199,30 @@ def test_whole_dump_pipeline(spark, dump_folder, site_folder, tmp_path):
     assert {(h.query_id, h.doc_id) for h in hits} >= {(0, pdp.doc_id), (1, docs["VAX 11"].doc_id)}
     # a second run reads the intermediate tables and replaces the index
     assert sorted(run().docs.collect()) == sorted(docs.values())
+    # a dump and a page that arrive later are read too, the others are not read again
+    late = dump_xml([page_xml(9, "Late machine", "A machine.\n[[Category:Serial computers]]")])
+    (tmp_path / "dumps" / "c.xml.bz2").write_bytes(bz2.compress(late))
+    write_pages(tmp_path / "site", {"Late_page": SITE["VAX_11"]})
+    assert {r.title for r in run().docs.collect()} - set(docs) == {"Late machine", "Late page"}
+
+
+def test_custom_fields_are_kept(spark, tmp_path):
+    docs = spark.createDataFrame([(0, "one", ["red", "blue"]), (1, "two", ["green"])], "doc_id bigint, title string, keywords array<string>")
+    index = FieldIndex.build(docs, fields=("title", "keywords")).save(str(tmp_path / "f"))
+    assert index.searched == ("keywords", "title")
+    hits = fielded_search(query_table(spark, ["blue"]), index, boosts={"title": 1.0, "keywords": 2.0})
+    assert [r.doc_id for r in hits.collect()] == [0]
+
+
+def test_streams_of_tables(spark, tmp_path):
+    rows = spark.range(50)
+    rows.repartition(3).write.parquet(str(tmp_path / "folder.parquet"))
+    rows.coalesce(1).write.parquet(str(tmp_path / "x"))
+    next((tmp_path / "x").glob("part-*.parquet")).rename(tmp_path / "file.parquet")
+    for name in ("folder", "file"):
+        stream = stream_table(spark, str(tmp_path / f"{name}.parquet"), "id bigint").writeStream.format("memory")
+        stream.queryName(f"stream_{name}").trigger(availableNow=True).start().awaitTermination(60)
+        assert spark.table(f"stream_{name}").count() == 50
 
 
 def test_site_index(spark, site_folder, tmp_path):
@@ -214,15 +242,25 @@ def test_incremental_index(spark, tmp_path):
     second = spark.createDataFrame([("C", "c x"), ("A", "changed"), ("Special:Z", "z")], schema)
     inc.create_index(spark, path)
     for batch, pages in enumerate([first, second]):
-        inc.incremental_index(pages, path, batch)
+        inc.incremental_index(pages, path, batch, "r")
     expected = [(0, "A", 0), (1, "B", 0), (2, "C", 1)]
 
     def ids():
-        return sorted(map(tuple, inc.read_table(spark, path, "doc_ids").collect()))
+        return sorted(tuple(r) for r in inc.read_table(spark, path, "doc_ids").select("doc_id", "page_name", "batch_id").collect())
 
     assert ids() == expected
     # a batch that runs again replaces itself
-    inc.incremental_index(second, path, 1)
+    inc.incremental_index(second, path, 1, "r")
+    assert ids() == expected
+    # another run with the same batch number replaces nothing
+    third = spark.createDataFrame([("D", "d"), ("A", "again")], schema)
+    for _ in range(2):
+        inc.incremental_index(third, path, 1, "other")
+        assert ids() == [*expected, (3, "D", 1)]
+    # vectors of a batch whose ids were not written do not count
+    inc.read_table(spark, path, "vectors").limit(1).drop("run", "batch_id").write.parquet(f"{path}/vectors/run=lost/batch_id=7")
+    assert inc.read_table(spark, path, "vectors").count() == 4
+    inc.incremental_index(third.where("page_name = 'A'"), path, 1, "other")
     assert ids() == expected
     index = inc.stored_index(spark, path)
     assert {r.term: r.df for r in index.terms.collect()} == {"a": 1, "b": 1, "c": 1, "x": 3}

@@ -41,24 +41,33 @@ def hrefs(html: Column) -> Column:
     return F.regexp_extract_all(html, F.lit(HREF), F.lit(1))
 
 
-def _remove_dot_segments(path: Column) -> Column:
-    def step(acc: Column, part: Column) -> Column:
-        above = F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))
-        return (
-            F.when(part == ".", acc)
-            .when((part == "..") & (F.size(acc) > 1), above)
-            .otherwise(F.array_append(acc, part))
-        )
+def _normalize(path: Column) -> Column:
+    """A rooted path without empty and ``.`` segments; ``..`` takes the segment before it, unless that is ``..`` too."""
+
+    def last(kept: Column) -> Column:
+        return F.coalesce(F.try_element_at(kept, F.lit(-1)), F.lit(""))
+
+    def step(kept: Column, part: Column) -> Column:
+        takes = (part == "..") & (F.size(kept) > 0) & (last(kept) != "..")
+        return F.when(takes, F.slice(kept, F.lit(1), F.size(kept) - 1)).otherwise(F.array_append(kept, part))
 
-    parts = F.split(path, "/", -1)
-    kept = F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/")
-    # A trailing '.' or '..' names a folder, so its slash stays.
-    folder = F.when(path.rlike(r"/\.\.?$"), "/").otherwise("")
-    return F.when(path.rlike(r"(^|/)\.\.?(/|$)"), F.concat(kept, folder)).otherwise(path)
+    parts = F.filter(F.split(path, "/", -1), lambda part: ~part.isin("", "."))
+
+    def joined(kept: Column) -> Column:
+        # A final slash, '.' or '..' that took a segment names a folder.
+        folder = path.rlike(r"/\.?$") | (path.rlike(r"/\.\.$") & (last(kept) != ".."))
+        slash = F.when(folder & (F.size(kept) > 0), "/").otherwise("")
+        return F.concat(F.lit("/"), F.array_join(kept, "/"), slash)
+
+    kept = F.aggregate(parts, F.array().cast("array<string>"), step)
+    return F.when(path.rlike(r"//|(^|/)\.\.?(/|$)"), let(kept, joined)).otherwise(path)
 
 
 def resolve_link(base: Column, href: Column) -> Column:
-    """An href against the URL of its page, without fragment."""
+    """An href against the URL of its page, without fragment.
+
+    Only paths merged with the page's folder are normalised; rooted ones stay as written.
+    """
     page = F.regexp_replace(base, "[?#].*$", "")
     scheme = F.regexp_extract(page, r"^([a-zA-Z][a-zA-Z0-9+.-]*:)", 1)
     origin = F.regexp_extract(page, r"^([a-zA-Z][a-zA-Z0-9+.-]*:(?://[^/]*)?)", 1)
@@ -75,9 +84,9 @@ def resolve_link(base: Column, href: Column) -> Column:
             .when(F.startswith(target, F.lit("//")), F.concat(scheme, target))
             .when(
                 F.startswith(target, F.lit("/")),
-                F.concat(origin, _remove_dot_segments(target_path), query),
+                F.concat(origin, target),
             )
-            .otherwise(F.concat(origin, _remove_dot_segments(F.concat(folder, target_path)), query))
+            .otherwise(F.concat(origin, _normalize(F.concat(folder, target_path)), query))
         )
 
     return let(strip_fragment(href), resolved)

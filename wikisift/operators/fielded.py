@@ -78,25 +78,26 @@ class FieldIndex:
     postings: DataFrame
     terms: DataFrame
     fields: DataFrame
+    searched: tuple[str, ...] = tuple(BOOSTS)
 
     @classmethod
     def build(cls, docs: DataFrame, fields: tuple[str, ...] = tuple(BOOSTS)) -> FieldIndex:
         """A lazy index; save a large one, as every use of a table reads the documents again."""
         vectors = fielded_vectors(docs, fields)
         postings = fielded_postings(vectors)
-        return cls(docs, postings, field_term_stats(postings), field_stats(vectors))
+        return cls(docs, postings, field_term_stats(postings), field_stats(vectors), tuple(fields))
 
     def save(self, path: str, buckets: int | None = None) -> FieldIndex:
         """Write all tables, replacing an index of an earlier run."""
         spark = self.docs.sparkSession
         self.docs.write.mode("overwrite").parquet(f"{path}/docs")
         docs = spark.read.parquet(f"{path}/docs")
-        fields = tuple(f for f in BOOSTS if f in docs.columns)
-        fielded_vectors(docs, fields).write.mode("overwrite").parquet(f"{path}/vectors")
+        fielded_vectors(docs, self.searched).write.mode("overwrite").parquet(f"{path}/vectors")
         vectors = spark.read.parquet(f"{path}/vectors")
-        buckets = buckets or choose_buckets(vectors.agg(F.sum(F.size("terms"))).first()[0] or 0)
+        rows = vectors.agg(F.sum(F.size("terms"))).first()[0] or 0
+        buckets = buckets or choose_buckets(rows)
         keys = ["term", "field", "doc_id"]
-        write_by_term(fielded_postings(vectors), f"{path}/postings", keys, buckets)
+        write_by_term(fielded_postings(vectors), f"{path}/postings", keys, buckets, rows)
         postings = spark.read.parquet(f"{path}/postings")
         write_by_term(field_term_stats(postings), f"{path}/terms", ["term", "field"], buckets)
         field_stats(vectors).write.mode("overwrite").parquet(f"{path}/fields")
@@ -105,7 +106,8 @@ class FieldIndex:
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> FieldIndex:
         names = ("docs", "postings", "terms", "fields")
-        return cls(*(spark.read.parquet(f"{path}/{name}") for name in names))
+        tables = [spark.read.parquet(f"{path}/{name}") for name in names]
+        return cls(*tables, tuple(r["field"] for r in tables[-1].orderBy("field").collect()))
 
 
 def in_ranges(ranges: Mapping[str, Range]) -> Column:

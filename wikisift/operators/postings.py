@@ -94,8 +94,9 @@ class TextIndex:
         spark = self.vectors.sparkSession
         self.vectors.write.mode("overwrite").parquet(f"{path}/vectors")
         vectors = spark.read.parquet(f"{path}/vectors")
-        buckets = buckets or choose_buckets(vectors.agg(F.sum(F.size("terms"))).first()[0] or 0)
-        write_by_term(postings_of(vectors), f"{path}/postings", ["term", "doc_id"], buckets)
+        rows = vectors.agg(F.sum(F.size("terms"))).first()[0] or 0
+        buckets = buckets or choose_buckets(rows)
+        write_by_term(postings_of(vectors), f"{path}/postings", ["term", "doc_id"], buckets, rows)
         postings = spark.read.parquet(f"{path}/postings")
         terms = with_idf(term_stats(postings), count_docs(doc_stats(vectors)))
         write_by_term(terms, f"{path}/terms", ["term"], buckets)

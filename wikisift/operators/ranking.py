@@ -63,10 +63,10 @@ def ranked(
 
 
 def most_frequent_by(df: DataFrame, group: str, value: str) -> DataFrame:
-    """Most frequent value per group, the smallest on a tie (G7 over rows).
+    """Most frequent value per group, the smallest on a tie (G7 over rows); NULL is no value.
 
     Counted per (group, value) first, so a group of any size arrives pre-aggregated.
     """
-    counts = df.groupBy(group, value).agg(F.count(F.lit(1)).alias("_n"))
-    best = counts.groupBy(group).agg(F.max(F.struct("_n", (-F.col(value)).alias("_v"))).alias("_best"))
-    return best.select(group, (-F.col("_best._v")).alias(value))
+    counts = df.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count(F.lit(1)).alias("_n"))
+    best = counts.groupBy(group).agg(F.min(F.struct((-F.col("_n")).alias("_n"), F.col(value).alias("_v"))).alias("_best"))
+    return best.select(group, F.col("_best._v").alias(value))

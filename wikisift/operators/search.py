@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wikisift.functions.text import tokens
@@ -136,6 +136,9 @@ def search(
     terms, keys = with_bucket(terms, index.terms)
     # At most as many rows as there are query terms, so what fits before fits after.
     weighted = join_lookup(index.terms, terms, keys, "term", fits).drop("term_bucket")
+    # A query with an unknown term has no hits, so none of its other lists is read.
+    known = F.count(F.lit(1)).over(Window.partitionBy("query_id"))
+    weighted = weighted.withColumn("_known", known).where(F.col("_known") == F.col("n_terms")).drop("_known")
     stored = bucket_count(index.postings) is not None
     if stored:
         # The condition always holds; Spark prunes partitions only by a side that has one.

@@ -2,32 +2,88 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from wikisift.operators.fielded import FieldIndex
 from wikisift.operators.pages import dump_articles, site_articles, with_attributes
 from wikisift.operators.searchdocs import build_search_docs, join_titles
-from wikisift.sources.dump import read_dump_target
+from wikisift.sources.dump import DUMP_SCHEMA, list_dumps, read_dump
 from wikisift.sources.site import read_site
-from wikisift.sources.tables import write_once
+from wikisift.sources.tables import materialize
+
+
+def _missing(spark: SparkSession, files: DataFrame, done: str) -> DataFrame:
+    """The files of ``(file)`` that the table ``done`` does not name yet."""
+    spark.createDataFrame([], "file string").write.mode("ignore").parquet(f"{done}/run=none")
+    return files.join(spark.read.parquet(done).select("file"), "file", "left_anti")
+
+
+def _extend(spark: SparkSession, rows: DataFrame, files: DataFrame, path: str) -> None:
+    """Append ``rows`` as one run, then the files they come from, which publishes the run."""
+    run = uuid.uuid4().hex
+    rows.write.parquet(f"{path}/rows/run={run}")
+    files.write.parquet(f"{path}/files/run={run}")
+
+
+def _published(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """Rows of all published runs; what an interrupted run left behind is not among them."""
+    runs = spark.read.parquet(f"{path}/files").select("run").distinct()
+    rows = spark.read.schema(StructType([*schema.fields, StructField("run", StringType())])).parquet(f"{path}/rows")
+    return rows.join(runs, "run", "left_semi").drop("run")
+
+
+def _kept_up(spark: SparkSession, files: DataFrame, read, path: str) -> DataFrame:
+    """A table of all ``files``: those not read so far are read by ``read(files)`` and added."""
+    missing = materialize(_missing(spark, files, f"{path}/files"), "missing-files")
+    rows = read(missing)
+    if not missing.isEmpty():
+        _extend(spark, rows, missing, path)
+    return _published(spark, path, rows.schema)
 
 
 def dump_table(spark: SparkSession, folder: str, target: str, work: str) -> DataFrame:
-    """Dump pages as Parquet, converted once."""
-    name = "all" if target == "*" else target.removesuffix(".bz2")
-    return write_once(read_dump_target(spark, folder, target), f"{work}/{name}.parquet")
+    """Pages of the dumps a target names as Parquet, each dump converted once, also one that arrives later."""
+    files = list_dumps(spark, folder, target).select(F.col("path").alias("file"))
+    pages = _kept_up(spark, files, lambda missing: _read_dumps(spark, missing), f"{work}/dumps")
+    return pages.join(files, "file", "left_semi")
+
+
+def _read_dumps(spark: SparkSession, files: DataFrame) -> DataFrame:
+    """``(file, page columns)``; one row per dump file on the driver, a handful."""
+    paths = [r["file"] for r in files.collect()]
+    if not paths:
+        return spark.createDataFrame([], StructType([StructField("file", StringType()), *StructType.fromDDL(DUMP_SCHEMA).fields]))
+    return reduce(DataFrame.unionByName, (read_dump(spark, p).select(F.lit(p).alias("file"), "*") for p in paths))
 
 
 def dump_attribute_table(spark: SparkSession, folder: str, target: str, work: str) -> DataFrame:
-    """Articles of the dump with their attributes, extracted once."""
-    name = "all" if target == "*" else target.removesuffix(".bz2")
-    dump = dump_table(spark, folder, target, work)
-    return write_once(with_attributes(dump_articles(dump)), f"{work}/attr_{name}.parquet")
+    """Articles of the dumps with their attributes, extracted once for each dump."""
+    pages = dump_table(spark, folder, target, work)
+    files = list_dumps(spark, folder, target).select(F.col("path").alias("file"))
+
+    def read(missing: DataFrame) -> DataFrame:
+        part = pages.join(missing, "file", "left_semi")
+        return with_attributes(dump_articles(part))
+
+    name = "all" if target == "*" else files.first()["file"].rpartition("/")[2]
+    return _kept_up(spark, files, read, f"{work}/attr_dumps-{name}")
 
 
 def site_attribute_table(spark: SparkSession, folder: str, work: str) -> DataFrame:
-    """Articles of the site with their attributes, extracted once."""
-    return write_once(with_attributes(site_articles(read_site(spark, folder))), f"{work}/attr_site.parquet")
+    """Articles of the site with their attributes, extracted once for each page file."""
+    pages = read_site(spark, folder)
+    files = pages.select(F.col("page_name").alias("file"))
+
+    def read(missing: DataFrame) -> DataFrame:
+        part = pages.join(missing.withColumnRenamed("file", "page_name"), "page_name", "left_semi")
+        return with_attributes(site_articles(part))
+
+    return _kept_up(spark, files, read, f"{work}/attr_site")
 
 
 def build_dump_index(

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROWS_PER_BUCKET = 250_000
-MAX_BUCKETS = 4096
+MANY_BUCKETS = 4096
+ROWS_PER_TASK = 5_000_000
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -45,6 +46,15 @@ def is_complete(spark: SparkSession, path: str) -> bool:
     return marker.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(marker)
 
 
+def stream_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Stream of a Parquet table as its files appear, be it a folder of part files or a single file."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    reader = spark.readStream.schema(schema)
+    if place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(place).isDirectory():
+        return reader.parquet(path)
+    return reader.option("pathGlobFilter", place.getName()).parquet(place.getParent().toString())
+
+
 def write_once(df: DataFrame, path: str) -> DataFrame:
     """Write ``df`` unless ``path`` already holds a finished table; read it back.
 
@@ -69,8 +79,12 @@ def spread(df: DataFrame, per_core: int = 2) -> DataFrame:
 
 
 def choose_buckets(rows: int) -> int:
-    """Term buckets for a table of so many rows: folders worth pruning, but not too many."""
-    return min(max(-(-rows // ROWS_PER_BUCKET), 1), MAX_BUCKETS)
+    """Term buckets for a table of so many rows: folders worth pruning, but not too many.
+
+    From ``MANY_BUCKETS`` on, the number and the size of buckets grow alike.
+    """
+    buckets = max(-(-rows // ROWS_PER_BUCKET), 1)
+    return buckets if buckets <= MANY_BUCKETS else round((MANY_BUCKETS * buckets) ** 0.5)
 
 
 def term_bucket(term: Column, buckets: int) -> Column:
@@ -82,20 +96,22 @@ def bucket_count(table: DataFrame) -> int | None:
     return table.schema["term"].metadata.get("buckets") if "term_bucket" in table.columns else None
 
 
-def write_by_term(df: DataFrame, path: str, order: list[str], buckets: int) -> None:
+def write_by_term(df: DataFrame, path: str, order: list[str], buckets: int, rows: int = 0) -> None:
     """Write a term-keyed table so that a lookup reads few files and row groups.
 
     Partitioned by a hash bucket of the term, which a join with query terms prunes at
     run time, and range-partitioned on (bucket, term, ...), so a term that fills a
     third of the table is cut into many tasks and files while rare terms share one.
-    The number of buckets is kept in the schema of the table.
+    The number of buckets is kept in the schema of the table. ``rows``, if known, sets the
+    number of tasks: no task writes much more than ``ROWS_PER_TASK``.
     """
     term = F.col("term").alias("term", metadata={"buckets": buckets})
     others = [c for c in df.columns if c not in ("term", "term_bucket")]
     keyed = df.select(term, *others, term_bucket(F.col("term"), buckets).alias("term_bucket"))
     keys = ["term_bucket", *order]
+    tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // ROWS_PER_TASK))
     (
-        keyed.repartitionByRange(*keys)
+        keyed.repartitionByRange(tasks, *keys)
         .sortWithinPartitions(*keys)
         .write.mode("overwrite")
         .partitionBy("term_bucket")

@@ -1,12 +1,16 @@
 """Add new pages to a stored index, in batches or from a stream of files.
 
-Every batch owns one ``batch_id`` folder in each table and replaces it as a whole. Which
-pages are new, and their ids, depend only on earlier batches, so a batch that is run
-again after a failure gives the same tables.
+A batch is one folder ``run=<run>/batch_id=<n>`` in each table and is replaced as a whole.
+A run is one stream, known by the id in its checkpoint, or one call; so a batch that is
+run again after a failure replaces itself, and nothing else can. Which pages are new, and
+their ids, depend only on the other batches that are stored. The ids are written last and
+publish the batch: readers take vectors of published batches only. One writer at a time.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -16,6 +20,7 @@ from wikisift.operators.pages import page_texts
 from wikisift.operators.postings import TextIndex, document_vectors, unseen
 from wikisift.operators.ranking import assign_ids
 from wikisift.sources.site import distinct_pages
+from wikisift.sources.tables import materialize
 
 DOC_IDS = "doc_id bigint, page_name string"
 VECTORS = (
@@ -26,33 +31,47 @@ VECTORS = (
 def create_index(spark: SparkSession, path: str) -> None:
     """Empty tables to start from; an existing index is left as it is."""
     for table, schema in (("doc_ids", DOC_IDS), ("vectors", VECTORS)):
-        spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{path}/{table}/batch_id=-1")
+        spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{path}/{table}/run=none/batch_id=-1")
 
 
 def read_table(spark: SparkSession, path: str, table: str) -> DataFrame:
-    schema = {"doc_ids": DOC_IDS, "vectors": VECTORS}[table]
-    return spark.read.schema(schema + ", batch_id bigint").parquet(f"{path}/{table}")
+    """The rows of all published batches, with ``run`` and ``batch_id``."""
+
+    def stored(name: str, schema: str) -> DataFrame:
+        return spark.read.schema(schema + ", run string, batch_id bigint").parquet(f"{path}/{name}")
+
+    ids = stored("doc_ids", DOC_IDS)
+    if table == "doc_ids":
+        return ids
+    published = ids.select("run", "batch_id").distinct()
+    return stored("vectors", VECTORS).join(published, ["run", "batch_id"], "left_semi")
+
 
+def incremental_index(pages: DataFrame, path: str, batch_id: int = 0, run: str | None = None) -> None:
+    """Index the pages ``(page_name, html)`` that no other batch has indexed.
 
-def incremental_index(pages: DataFrame, path: str, batch_id: int) -> None:
-    """Index the pages ``(page_name, html)`` that no earlier batch has indexed."""
+    Only a batch of the same ``run`` and ``batch_id`` is replaced; a call without ``run``
+    is a run of its own.
+    """
     spark = pages.sparkSession
-    known = read_table(spark, path, "doc_ids").where(F.col("batch_id") < batch_id)
-    texts = page_texts(unseen(distinct_pages(pages), known, "page_name"))
+    run = run or uuid.uuid4().hex
+    batch = f"run={run}/batch_id={batch_id}"
+    own = (F.col("run") == run) & (F.col("batch_id") >= batch_id)
+    known = read_table(spark, path, "doc_ids").where(~own)
+    texts = page_texts(distinct_pages(unseen(pages, known, "page_name")))
     last = known.agg(F.max("doc_id")).first()[0]
     start = 0 if last is None else last + 1
 
-    ids_path = f"{path}/doc_ids/batch_id={batch_id}"
-    ids = assign_ids(texts.select("page_name"), "page_name", "doc_id", start)
-    ids.select("doc_id", "page_name").write.mode("overwrite").parquet(ids_path)
-    ids = spark.read.schema(DOC_IDS).parquet(ids_path)
+    ids = assign_ids(texts.select("page_name"), "page_name", "doc_id", start).select("doc_id", "page_name")
+    ids = materialize(ids, "new-ids")
     vectors = document_vectors(texts.join(ids, "page_name"))
-    vectors.write.mode("overwrite").parquet(f"{path}/vectors/batch_id={batch_id}")
+    vectors.write.mode("overwrite").parquet(f"{path}/vectors/{batch}")
+    ids.write.mode("overwrite").parquet(f"{path}/doc_ids/{batch}")
 
 
 def stored_index(spark: SparkSession, path: str) -> TextIndex:
     """All batches as one index."""
-    return TextIndex.of_vectors(read_table(spark, path, "vectors").drop("batch_id"))
+    return TextIndex.of_vectors(read_table(spark, path, "vectors").drop("run", "batch_id"))
 
 
 def stream_site(spark: SparkSession, folder: str) -> DataFrame:
@@ -70,6 +89,12 @@ def stream_index(pages: DataFrame, path: str, checkpoint: str, once: bool = True
     batches beyond the tables themselves.
     """
     create_index(pages.sparkSession, path)
-    writer = pages.writeStream.foreachBatch(lambda df, batch_id: incremental_index(df, path, batch_id))
+
+    def index_batch(df: DataFrame, batch_id: int) -> None:
+        # Kept in the checkpoint, so a restarted stream is the same run and a new one is not.
+        run = df.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        incremental_index(df, path, batch_id, run)
+
+    writer = pages.writeStream.foreachBatch(index_batch)
     writer = writer.option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
