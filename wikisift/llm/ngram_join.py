@@ -39,7 +39,7 @@ _FILTER_BITS = 23
 _MAX_HOT = 1_000_000
 _COUNTED_TOGETHER = 4_000_000
 _SURE = 1 << 40
-_PAIRS = "a bigint, b bigint, na bigint, nb bigint, c bigint"
+_PAIRS = "a bigint, b bigint, na bigint, nb bigint, c bigint, more bigint"
 
 
 def _sets(piece: ragged.Piece, n: int):
@@ -160,33 +160,32 @@ def _shared(rows: DataFrame) -> DataFrame:
     return rows.repartition("h").sortWithinPartitions("h", "n", "sid").mapInArrow(run, "h bigint, sid bigint, n int, pos int")
 
 
-def _pairs_table(a, b, na, nb, count) -> pa.RecordBatch:
-    """Pairs with the smaller ``sid`` first, each once, and how often it came up."""
+def _pairs_table(a, b, na, nb, count, more) -> pa.RecordBatch:
+    """Pairs with the smaller ``sid`` first, each once, how often it came up, and how often it may have elsewhere."""
     swap = a > b
     low, high = np.where(swap, b, a), np.where(swap, a, b)
     n_low, n_high = np.where(swap, nb, na), np.where(swap, na, nb)
-    count = np.broadcast_to(count, low.shape)
+    count, more = np.broadcast_to(count, low.shape), np.broadcast_to(more, low.shape)
     if len(low):
         order = np.lexsort((high, low))
-        low, high, n_low, n_high, count = low[order], high[order], n_low[order], n_high[order], count[order]
+        low, high, n_low, n_high, count, more = (x[order] for x in (low, high, n_low, n_high, count, more))
         first = np.flatnonzero(np.concatenate([[True], (low[1:] != low[:-1]) | (high[1:] != high[:-1])]))
         count = np.add.reduceat(count, first)
-        low, high, n_low, n_high = low[first], high[first], n_low[first], n_high[first]
-    arrays = [pa.array(x.astype(np.int64)) for x in (low, high, n_low, n_high, count)]
-    return pa.RecordBatch.from_arrays(arrays, names=["a", "b", "na", "nb", "c"])
+        low, high, n_low, n_high, more = (x[first] for x in (low, high, n_low, n_high, more))
+    arrays = [pa.array(x.astype(np.int64)) for x in (low, high, n_low, n_high, count, more)]
+    return pa.RecordBatch.from_arrays(arrays, names=["a", "b", "na", "nb", "c", "more"])
 
 
-def _counted(pairs: DataFrame) -> DataFrame:
-    return pairs.groupBy("a", "b").agg(F.min("na").alias("na"), F.min("nb").alias("nb"), F.sum("c").alias("c"))
-
-
-def _can_reach(count, percent: int):
-    """Whether ``count`` common n-grams among the first ones leave the threshold in reach.
+def _promising(pairs: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose common n-grams among the first ones leave the threshold in reach.
 
     Past the end of the shorter list of first n-grams, no more can be common than its set has left.
     """
+    counted = pairs.groupBy("a", "b").agg(
+        F.min("na").alias("na"), F.min("nb").alias("nb"), F.sum("c").alias("c"), F.min("more").alias("more")
+    )
     left = F.floor((percent * F.greatest("na", "nb") + 99) / 100) - 1
-    return (100 + percent) * (count + left) >= percent * (F.col("na") + F.col("nb"))
+    return counted.where((100 + percent) * (F.col("c") + F.col("more") + left) >= percent * (F.col("na") + F.col("nb"))).select("a", "b")
 
 
 def _star_pairs(rows: DataFrame, percent: int) -> DataFrame:
@@ -205,10 +204,10 @@ def _star_pairs(rows: DataFrame, percent: int) -> DataFrame:
                     centre[first:stop] = first
                     first = stop
             at = np.flatnonzero(centre != np.arange(len(h)))
-            yield _pairs_table(sid[at], sid[centre[at]], n[at], n[centre[at]], np.int64(1))
+            yield _pairs_table(sid[at], sid[centre[at]], n[at], n[centre[at]], np.int64(1), np.int64(0))
 
     rows = rows.repartition("h").sortWithinPartitions("h", "n", "sid")
-    return _counted(rows.mapInArrow(run, _PAIRS)).where(_can_reach(F.col("c"), percent))
+    return _promising(rows.mapInArrow(run, _PAIRS), percent)
 
 
 def _cross_pairs(rows: DataFrame, percent: int, hot: int, block: int = 1024) -> DataFrame:
@@ -219,7 +218,7 @@ def _cross_pairs(rows: DataFrame, percent: int, hot: int, block: int = 1024) ->
     """
 
     def run(batches):
-        for h, sid, n, pos, comp in _blocks(batches, 5):
+        for h, sid, n, pos, comp, more in _blocks(batches, 6):
             n, pos = n.astype(np.int64), pos.astype(np.int64)
             opens = np.concatenate([[0], np.flatnonzero(h[1:] != h[:-1]) + 1, [len(h)]])
             found, held = [], 0
@@ -238,7 +237,7 @@ def _cross_pairs(rows: DataFrame, percent: int, hot: int, block: int = 1024) ->
                             fits &= (100 + percent) * left >= percent * (n[some][:, None] + n[others][None, :])
                         r, c = np.nonzero(fits)
                         r, c = some[r], others[c]
-                        found.append((sid[r], sid[c], n[r], n[c], np.full(len(r), _SURE if large else 1, np.int64)))
+                        found.append((sid[r], sid[c], n[r], n[c], np.full(len(r), _SURE if large else 1, np.int64), np.minimum(more[r], more[c])))
                         held += len(r)
                         if held > 200_000:
                             yield _pairs_table(*map(np.concatenate, zip(*found)))
@@ -246,13 +245,10 @@ def _cross_pairs(rows: DataFrame, percent: int, hot: int, block: int = 1024) ->
             if held:
                 yield _pairs_table(*map(np.concatenate, zip(*found)))
 
-    blocks = rows.where("held IS NULL").select("h", "sid", "n", "pos", "comp").repartition("h").sortWithinPartitions("h", "n", "sid")
-    pairs = _counted(blocks.mapInArrow(run, _PAIRS))
     in_large = materialize(rows.where(F.col("block") > hot).groupBy("sid").agg(F.count(F.lit(1)).alias("more")), "in-large")
-    for end in ("a", "b"):
-        pairs = pairs.join(in_large.select(F.col("sid").alias(end), F.col("more").alias(f"more_{end}")), end, "left")
-    more = F.least(F.coalesce("more_a", F.lit(0)), F.coalesce("more_b", F.lit(0)))
-    return pairs.where(_can_reach(F.col("c") + more, percent)).select("a", "b")
+    open_rows = rows.where("held IS NULL").join(in_large, "sid", "left").withColumn("more", F.coalesce("more", F.lit(0)))
+    open_rows = open_rows.select("h", "sid", "n", "pos", "comp", "more").repartition("h").sortWithinPartitions("h", "n", "sid")
+    return _promising(open_rows.mapInArrow(run, _PAIRS), percent)
 
 
 def _needed_filter(sids: DataFrame):
@@ -324,7 +320,7 @@ def set_links(texts: DataFrame, late: DataFrame, n: int, percent: int, hot: int)
     while True:
         last = np.sort(late.toArrow()["h"].to_numpy().view(np.uint64))
         rows = materialize(_shared(_first_ngrams(texts, n, percent, spark.sparkContext.broadcast(last))), "shared")
-        star = materialize(_star_pairs(rows, percent).select("a", "b"), "star")
+        star = materialize(_star_pairs(rows, percent), "star")
         found = _links(star, texts, n, percent)
         links = found if links is None else links.union(found)
         rows = materialize(_with_components(rows, links), "mixed")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from wikisift.llm import decontamination, language, lines, mixing, ngram_join, quality, secrets, sharding, suffix_dedup, tokens
+from wikisift.llm.oracles import ORACLES
 
 QUERIES = {
     query.__name__: query
@@ -11,4 +12,5 @@ QUERIES = {
         decontamination.op6_decontamination, secrets.op7_secrets, quality.op8_quality, sharding.op9_sharding, language.op10_language_id,
     )
 }
-ORACLES: dict[str, str] = {}
+
+__all__ = ["ORACLES", "QUERIES"]
