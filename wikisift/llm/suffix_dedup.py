@@ -61,8 +61,8 @@ def _anchors(piece: ragged.Piece, length: int, gram: int):
         return empty, empty, empty.astype(np.uint64), empty, empty
     at = np.arange(size - gram + 1)
     grams = ragged.Hasher(piece.data).spans(at, at + gram)
-    bits = np.uint64(max(int(size).bit_length(), 1))
-    low = (np.uint64(1) << bits) - np.uint64(1)
+    # Compared by 32 bits of the hash, then leftmost; the same wherever the window stands.
+    low = np.uint64(0xFFFFFFFF)
     best = _sliding_min((grams & ~low) | at.astype(np.uint64), length - gram + 1)
     anchor = (best & low).astype(np.int64)  # of each window
     owner = np.repeat(np.arange(piece.n), np.diff(piece.offsets))[: len(anchor)]
@@ -100,8 +100,11 @@ def _anchor_table(texts: DataFrame, length: int, gram: int) -> DataFrame:
     return texts.mapInArrow(run, "h bigint, t bigint, pos int, before smallint, after smallint")
 
 
-def _groups(batches, keys: int, least: int):
-    """Tables of whole groups (equal first ``keys`` columns) of a sorted stream, of about ``least`` rows or more."""
+def _groups(batches, keys: int, least: int, most: int | None = None):
+    """Tables of whole groups (equal first ``keys`` columns) of a sorted stream, of about ``least`` rows or more.
+
+    With ``most``, a group of more rows than that may be cut over several tables.
+    """
     held: list[pa.RecordBatch] = []
     rows = 0
     for b in batches:
@@ -113,6 +116,8 @@ def _groups(batches, keys: int, least: int):
         columns = [table.column(i).to_numpy() for i in range(keys)]
         same = np.logical_and.reduce([c == c[-1] for c in columns])
         cut = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
+        if most is not None and rows - cut > most:
+            cut = rows
         if cut:
             yield table.slice(0, cut)
         held, rows = table.slice(cut).to_batches(), table.num_rows - cut
@@ -121,31 +126,39 @@ def _groups(batches, keys: int, least: int):
 
 
 def _shared_anchors(anchors: DataFrame, chunk: int) -> DataFrame:
-    """Anchors that occur at two places or more, with a chunk number and the number of chunks of their group."""
+    """Anchors that occur at two places or more, with a chunk number and whether their group has several.
+
+    A group is read as a stream: only its last row and the number of rows so far are kept.
+    """
 
     def run(batches):
-        for table in _groups(batches, 1, 100_000):
+        last, seen = None, 0  # last row, and how many of its group came before this table
+        for table in _groups(batches, 1, 100_000, 2 * chunk):
             h, t, pos = (table.column(i).to_numpy() for i in range(3))
-            other = np.concatenate([[True], (h[1:] != h[:-1]) | (t[1:] != t[:-1]) | (pos[1:] != pos[:-1])])
+            other = np.concatenate([[(h[0], t[0], pos[0]) != last], (h[1:] != h[:-1]) | (t[1:] != t[:-1]) | (pos[1:] != pos[:-1])])
+            goes_on = last is not None and h[0] == last[0]
+            last = h[-1], t[-1], pos[-1]
             table = table.filter(pa.array(other))
             h = table.column(0).to_numpy()
             if not len(h):
                 continue
             opens = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
             sizes = np.diff(np.append(opens, len(h)))
-            size = np.repeat(sizes, sizes)
-            chunks = -(-size // chunk)
-            number = (np.arange(len(h)) - np.repeat(opens, sizes)) % chunks
-            table = table.append_column("part", pa.array(number.astype(np.int32))).append_column("parts", pa.array(chunks.astype(np.int32)))
+            before = np.zeros(len(opens), np.int64)
+            before[0] = seen if goes_on else 0
+            number = (np.arange(len(h)) - np.repeat(opens - before, sizes)) // chunk
+            size = np.repeat(sizes + before, sizes)
+            seen = int(sizes[-1] + before[-1])
+            table = table.append_column("part", pa.array(number.astype(np.int32))).append_column("several", pa.array(size > chunk))
             yield from table.filter(pa.array(size > 1)).to_batches()
 
     sorted_rows = anchors.repartition("h").sortWithinPartitions("h", "t", "pos")
-    return sorted_rows.mapInArrow(run, "h bigint, t bigint, pos int, before smallint, after smallint, part int, parts int")
+    return sorted_rows.mapInArrow(run, "h bigint, t bigint, pos int, before smallint, after smallint, part int, several boolean")
 
 
 def _snippets(shared: DataFrame, texts: DataFrame, length: int) -> DataFrame:
     """Each shared anchor with the bytes of its windows."""
-    lists = shared.groupBy("t").agg(F.collect_list(F.struct("h", "pos", "before", "after", "part", "parts")).alias("anchors"))  # bounded by the text
+    lists = shared.groupBy("t").agg(F.collect_list(F.struct("h", "pos", "before", "after", "part", "several")).alias("anchors"))  # bounded by the text
 
     def once(batches):
         for b in batches:
@@ -167,13 +180,13 @@ def _snippets(shared: DataFrame, texts: DataFrame, length: int) -> DataFrame:
                 bytes_ = memoryview(data)
                 cut = [bytes(bytes_[p - x : p - y + length]) for p, x, y in zip(pos, before, after)]
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([a["h"] for a in found]), pa.array([a["part"] for a in found], pa.int32()), pa.array([a["parts"] for a in found], pa.int32()),
+                    pa.array([a["h"] for a in found]), pa.array([a["part"] for a in found], pa.int32()), pa.array([a["several"] for a in found]),
                     pa.array([t] * len(found)), pa.array(pos, pa.int32()), pa.array(before, pa.int16()), pa.array(after, pa.int16()), pa.array(cut, pa.binary()),
-                ], names=["h", "part", "parts", "t", "pos", "before", "after", "snippet"])
+                ], names=["h", "part", "several", "t", "pos", "before", "after", "snippet"])
 
     distinct = texts.mapInArrow(once, texts.schema)
     joined = distinct.join(materialize(lists, "anchor-lists"), "t").sortWithinPartitions("t").select("t", F.col("text").cast("binary").alias("text"), "anchors")
-    return joined.mapInArrow(run, "h bigint, part int, parts int, t bigint, pos int, before smallint, after smallint, snippet binary")
+    return joined.mapInArrow(run, "h bigint, part int, several boolean, t bigint, pos int, before smallint, after smallint, snippet binary")
 
 
 def _phrases(rows: np.ndarray) -> np.ndarray:
@@ -247,7 +260,11 @@ def _settle(snippets: DataFrame, length: int, gram: int) -> DataFrame:
 
     def run(batches):
         for table in _groups(batches, 2, _BATCH_ROWS):
-            h, part, parts, t, pos, before, after = (table.column(i).to_numpy() for i in range(7))
+            keys = [table.column(i).to_numpy() for i in (0, 1, 3, 4)]
+            # A text whose copies went through several tasks brings the same snippets again.
+            again = np.logical_and.reduce([k[1:] == k[:-1] for k in keys])
+            table = table.filter(pa.array(np.concatenate([[True], ~again])))
+            h, part, several, t, pos, before, after = (table.column(i).to_numpy() for i in range(7))
             pos, before, after = pos.astype(np.int64), before.astype(np.int64), after.astype(np.int64)
             group = np.cumsum(np.concatenate([[True], (h[1:] != h[:-1]) | (part[1:] != part[:-1])]))
             bytes_ = table.column(7).combine_chunks()
@@ -274,7 +291,7 @@ def _settle(snippets: DataFrame, length: int, gram: int) -> DataFrame:
             t_, first_, last_ = _runs(t, pos, twice[number])
             names = ["t", "first", "last", "print"]
             yield pa.RecordBatch.from_arrays([pa.array(t_), pa.array(first_.astype(np.int32)), pa.array(last_.astype(np.int32)), pa.nulls(len(t_), pa.int64())], names=names)
-            open_ = exists & (parts[one] > 1)[:, None] & (first | ~twice)
+            open_ = exists & several[one][:, None] & (first | ~twice)
             row, place = np.nonzero(open_)
             if len(row):
                 at = cut[0][row] + before[one][row] - place
@@ -282,7 +299,7 @@ def _settle(snippets: DataFrame, length: int, gram: int) -> DataFrame:
                 marks = hasher.spans(at, at + length).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(t[one][row]), pa.array(start), pa.array(start), pa.array(marks)], names=names)
 
-    sorted_rows = snippets.repartition("h", "part").sortWithinPartitions("h", "part")
+    sorted_rows = snippets.repartition("h", "part").sortWithinPartitions("h", "part", "t", "pos")
     return sorted_rows.mapInArrow(run, "t bigint, first int, last int, print bigint")
 
 
