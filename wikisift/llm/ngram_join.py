@@ -38,6 +38,7 @@ from wikisift.sources.tables import materialize
 _FILTER_BITS = 23
 _MAX_HOT = 1_000_000
 _COUNTED_TOGETHER = 4_000_000
+_PART_ROWS = 100_000
 _SURE = 1 << 40
 _PAIRS = "a bigint, b bigint, na bigint, nb bigint, c bigint, more bigint"
 
@@ -129,8 +130,11 @@ def _first_ngrams(texts: DataFrame, n: int, percent: int, late) -> DataFrame:
     return texts.mapInArrow(run, "h bigint, sid bigint, n int, pos int")
 
 
-def _blocks(batches, width: int):
-    """Whole groups of equal first column from a sorted stream, as arrays; a group may span batches."""
+def _blocks(batches, width: int, most: int | None = None):
+    """Whole groups of equal first column from a sorted stream, as arrays; a group may span batches.
+
+    With ``most``, a group of more rows than that may be cut over several results.
+    """
     held = None
     for b in batches:
         columns = [b.column(i).to_numpy(zero_copy_only=False) for i in range(width)]
@@ -139,6 +143,8 @@ def _blocks(batches, width: int):
         if not len(columns[0]):
             continue
         cut = int(np.searchsorted(columns[0], columns[0][-1], side="left"))
+        if most is not None and len(columns[0]) - cut > most:
+            cut = len(columns[0])
         if cut:
             yield [c[:cut] for c in columns]
         held = [c[cut:] for c in columns]
@@ -150,10 +156,15 @@ def _shared(rows: DataFrame) -> DataFrame:
     """Rows of n-grams that at least two sets hold, each set once."""
 
     def run(batches):
-        for h, sid, n, pos in _blocks(batches, 4):
-            first = np.concatenate([[True], (h[1:] != h[:-1]) | (sid[1:] != sid[:-1])])
+        last = None  # of the rows before, as a large group comes in parts
+        for h, sid, n, pos in _blocks(batches, 4, _PART_ROWS):
+            goes_on = last is not None and h[0] == last[0]
+            first = np.concatenate([[(h[0], sid[0]) != last], (h[1:] != h[:-1]) | (sid[1:] != sid[:-1])])
+            last = h[-1], sid[-1]
             h, sid, n, pos = h[first], sid[first], n[first], pos[first]
-            near = np.concatenate([[False], h[1:] == h[:-1], [False]])
+            if not len(h):
+                continue
+            near = np.concatenate([[goes_on], h[1:] == h[:-1], [False]])
             keep = near[1:] | near[:-1]
             yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (h, sid, n, pos)], names=["h", "sid", "n", "pos"])
 
@@ -192,19 +203,26 @@ def _star_pairs(rows: DataFrame, percent: int) -> DataFrame:
     """Each document with the smallest of its block that its size can match, where they have enough in common."""
 
     def run(batches):
-        for h, sid, n, pos in _blocks(batches, 4):
+        last, centre = None, None  # of the rows before, as a large group comes in parts
+        for h, sid, n, _ in _blocks(batches, 4, _PART_ROWS):
             n = n.astype(np.int64)
             # Blocks are sorted by size, so a document starts a new star when the last one is too small for it.
-            centre = np.arange(len(h))
+            centres, centre_sizes = sid.copy(), n.copy()
             opens = np.concatenate([[0], np.flatnonzero(h[1:] != h[:-1]) + 1, [len(h)]])
-            for i in np.flatnonzero(np.diff(opens) > 1):
+            goes_on = h[0] == last
+            for i in np.flatnonzero((np.diff(opens) > 1) | (goes_on & (opens[:-1] == 0))):
                 first, end = opens[i], opens[i + 1]
+                if not (goes_on and first == 0):
+                    centre = sid[first], n[first]
                 while first < end:
-                    stop = first + int(np.searchsorted(n[first:end], n[first] * 100 // percent, side="right"))
-                    centre[first:stop] = first
+                    stop = first + int(np.searchsorted(n[first:end], centre[1] * 100 // percent, side="right"))
+                    centres[first:stop], centre_sizes[first:stop] = centre
+                    if stop < end:
+                        centre = sid[stop], n[stop]
                     first = stop
-            at = np.flatnonzero(centre != np.arange(len(h)))
-            yield _pairs_table(sid[at], sid[centre[at]], n[at], n[centre[at]], np.int64(1), np.int64(0))
+            last = h[-1]
+            at = np.flatnonzero(centres != sid)
+            yield _pairs_table(sid[at], centres[at], n[at], centre_sizes[at], np.int64(1), np.int64(0))
 
     rows = rows.repartition("h").sortWithinPartitions("h", "n", "sid")
     return _promising(rows.mapInArrow(run, _PAIRS), percent)
