@@ -419,6 +419,31 @@ def fielded_search_ranges(spark, sf_dir):
     return shown.select("query_id", "doc_id", "score", "title", "extern_url", "site_url")
 
 
+def fielded_search_query_ranges(spark, sf_dir):
+    """Each brand with its own years, and every third with a largest word size."""
+    queries = brand_queries(spark, sf_dir)
+    years = queries.select(
+        "query_id", F.lit("release").alias("column"), (F.col("query_id") % 20 + 1945).cast("double").alias("low"),
+        F.when(F.col("query_id") % 2 == 0, F.col("query_id") % 20 + 1960).cast("double").alias("high"),
+    )
+    sizes = queries.where("query_id % 3 = 0").select(
+        "query_id", F.lit("word_size").alias("column"), F.lit(None).cast("double").alias("low"), F.lit(30.0).alias("high")
+    )
+    return _scores(
+        fielded.fielded_search(queries, field_index(spark, sf_dir), limit=None, query_ranges=years.union(sizes))
+    )
+
+
+def fielded_search_must_not(spark, sf_dir):
+    """Serial machines of a brand that are not built of transistors."""
+    queries = brand_queries(spark, sf_dir)
+    own = queries.select("query_id", F.explode(F.array(
+        F.struct(F.lit("architecture").alias("field"), F.lit("serial").alias("query_text"), F.lit("must").alias("occur")),
+        F.struct(F.lit("logic").alias("field"), F.lit("transistor").alias("query_text"), F.lit("must_not").alias("occur")),
+    )).alias("c")).select("query_id", "c.*")
+    return _scores(fielded.fielded_search(queries, field_index(spark, sf_dir), field_queries=own, limit=None))
+
+
 def fielded_search_one_field(spark, sf_dir):
     own = brand_queries(spark, sf_dir).withColumn("field", F.lit("company"))
     none = own.select("query_id", "query_text").where("false")
@@ -497,7 +522,7 @@ def queries() -> dict[str, Query]:
         attributes_first_success, attributes_all_matches, wiki_attributes, wiki_dump_scan,
         dump_topic_filter, site_topic_filter, title_join, attribute_strings, search_documents,
         field_statistics, fielded_search, fielded_search_top, fielded_search_ranges,
-        fielded_search_one_field, range_search, most_frequent_quantity, document_number,
+        fielded_search_one_field, fielded_search_query_ranges, fielded_search_must_not, range_search, most_frequent_quantity, document_number,
         parsed_numbers, technologies,
     )
     found: dict[str, Query] = {query.__name__: query for query in plain}

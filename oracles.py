@@ -297,6 +297,15 @@ def all_sql() -> dict[str, str]:
             FROM fhits JOIN (SELECT query_id, count(*) AS n FROM qt GROUP BY query_id) USING (query_id)
             JOIN search_docs USING (doc_id)
             WHERE found = n AND release BETWEEN 1950 AND 1980 AND word_size <= 35""",
+        "fielded_search_query_ranges": f"""WITH {FIELDED} SELECT query_id, doc_id, round(raw, 6) AS score
+            FROM fhits JOIN search_docs USING (doc_id) WHERE release >= 1945 + query_id % 20
+            AND (query_id % 2 = 1 OR release <= 1960 + query_id % 20) AND (query_id % 3 <> 0 OR word_size <= 30)""",
+        "fielded_search_must_not": f"""WITH {FIELDED}, serial AS (SELECT doc_id,
+                5 * ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf / (tf + 1.2 * (1 - 0.75 + 0.75 * len / avg_len)) AS extra
+                FROM fpost JOIN fdf USING (field, term) JOIN fstat USING (field) JOIN flen USING (field, doc_id)
+                WHERE field = 'architecture' AND term = 'serial')
+            SELECT query_id, doc_id, round(raw + extra, 6) AS score FROM fhits JOIN serial USING (doc_id)
+            WHERE doc_id NOT IN (SELECT doc_id FROM fpost WHERE field = 'logic' AND term = 'transistor')""",
         "fielded_search_one_field": f"""WITH {FIELDED} SELECT query_id, doc_id, round(sum(score), 6) AS score
             FROM contributions WHERE field = 'company' GROUP BY ALL""",
         "range_search": f"""WITH {WIKI} SELECT doc_id, 0.0::DOUBLE AS score FROM search_docs

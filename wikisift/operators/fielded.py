@@ -36,7 +36,7 @@ def _field_tokens(docs: DataFrame, field: str) -> Column:
 
 
 def fielded_vectors(docs: DataFrame, fields: tuple[str, ...] = tuple(BOOSTS)) -> DataFrame:
-    """``(field, doc_id, len, terms)`` of fields that have terms, counted inside each row."""
+    """``(field, doc_id, len, terms, ranged columns)`` of fields that have terms, counted inside each row."""
     none = F.array().cast("array<string>")
     entries = F.array(
         *(
@@ -44,18 +44,29 @@ def fielded_vectors(docs: DataFrame, fields: tuple[str, ...] = tuple(BOOSTS)) ->
             for f in fields
         )
     )
-    return docs.select("doc_id", F.inline(entries)).where(F.size("tokens") > 0).select(
+    carried = _ranged(docs)
+    return docs.select("doc_id", *carried, F.inline(entries)).where(F.size("tokens") > 0).select(
         "field",
         "doc_id",
         F.size("tokens").cast("bigint").alias("len"),
         once(term_vector(F.col("tokens"))).alias("terms"),
+        *carried,
     )
 
 
+def _ranged(table: DataFrame) -> list[str]:
+    return [c for c in RANGE_COLUMNS if c in table.columns]
+
+
 def fielded_postings(vectors: DataFrame) -> DataFrame:
-    """``(field, term, doc_id, tf, len)``; ``len`` is the length of the document's field."""
-    exploded = vectors.select("field", "doc_id", "len", F.explode("terms").alias("t"))
-    return exploded.select("field", "t.term", "doc_id", "t.tf", "len")
+    """``(field, term, doc_id, tf, len)``; ``len`` is the length of the document's field.
+
+    The ranged columns stand in every posting, so documents outside a range are left out
+    by the scan and never scored.
+    """
+    carried = _ranged(vectors)
+    exploded = vectors.select("field", "doc_id", "len", *carried, F.explode("terms").alias("t"))
+    return exploded.select("field", "t.term", "doc_id", "t.tf", "len", *carried)
 
 
 def field_stats(vectors: DataFrame) -> DataFrame:
@@ -123,6 +134,31 @@ def in_ranges(ranges: Mapping[str, Range]) -> Column:
     return condition
 
 
+def _with_occur(queries: DataFrame, *columns: str) -> DataFrame:
+    occur = F.col("occur") if "occur" in queries.columns else F.lit(None).cast("string")
+    return queries.select(*columns, F.coalesce(occur, F.lit("should")).alias("occur"))
+
+
+def _query_limits(query_ranges: DataFrame) -> DataFrame:
+    """One row per query: for each ranged column whether it is limited, and the tightest ends."""
+    own = [F.col("column") == c for c in RANGE_COLUMNS]
+    return query_ranges.groupBy("query_id").agg(
+        *[F.count(F.when(is_own, 1)).alias(f"limits_{c}") for c, is_own in zip(RANGE_COLUMNS, own)],
+        *[F.max(F.when(is_own, F.col("low"))).alias(f"low_{c}") for c, is_own in zip(RANGE_COLUMNS, own)],
+        *[F.min(F.when(is_own, F.col("high"))).alias(f"high_{c}") for c, is_own in zip(RANGE_COLUMNS, own)],
+    )
+
+
+def _within_limits(columns: list[str]) -> Column:
+    """Condition that a match lies within the limits of its query, if it has any."""
+    condition = F.lit(True)
+    for c in columns:
+        value, low, high = F.col(c), F.col(f"low_{c}"), F.col(f"high_{c}")
+        inside = value.isNotNull() & (low.isNull() | (value >= low)) & (high.isNull() | (value <= high))
+        condition = condition & ((F.coalesce(F.col(f"limits_{c}"), F.lit(0)) == 0) | inside)
+    return condition
+
+
 def fielded_search(
     queries: DataFrame,
     index: FieldIndex,
@@ -131,28 +167,32 @@ def fielded_search(
     field_queries: DataFrame | None = None,
     require_all: bool = False,
     limit: int | None = LIMIT,
+    query_ranges: DataFrame | None = None,
 ) -> DataFrame:
     """Best documents of each query: ``(query_id, doc_id, score, rank)``.
 
     ``queries(query_id, query_text)`` holds terms that are tried in every field of
     ``boosts``; ``field_queries(query_id, field, query_text)`` holds terms for one
-    field. ``ranges`` filters documents and adds nothing to the score.
+    field. Both may have a column ``occur``: ``should`` (or null), ``must``, or ``must_not``
+    for terms that no hit may hold. ``ranges`` filters the documents of all queries,
+    ``query_ranges(query_id, column, low, high)`` those of one; neither adds to the score.
     ``require_all`` keeps documents that hold every term of the query.
     """
+    occurs = "occur" in queries.columns or (field_queries is not None and "occur" in field_queries.columns)
     weights = dict(boosts or BOOSTS)
     boost_entries = F.array(
         *(F.struct(F.lit(f).alias("field"), F.lit(w).alias("boost")) for f, w in weights.items())
     )
-    terms = query_terms(queries.select("query_id", "query_text")).drop("n_terms")
-    wanted = terms.select("query_id", "term", F.inline(boost_entries), F.col("term").alias("clause"))
+    terms = query_terms(_with_occur(queries, "query_id", "query_text")).drop("n_terms")
+    wanted = terms.select("query_id", "term", "occur", F.inline(boost_entries), F.col("term").alias("clause"))
     if field_queries is not None:
-        own = query_terms(field_queries.select("query_id", "field", "query_text"))
+        own = query_terms(_with_occur(field_queries, "query_id", "field", "query_text"))
         boost = F.coalesce(
             F.element_at(F.create_map(*(F.lit(x) for item in weights.items() for x in item)), F.col("field")),
             F.lit(1.0),
         )
         wanted = wanted.unionByName(
-            own.select("query_id", "term", "field", boost.alias("boost"),
+            own.select("query_id", "term", "occur", "field", boost.alias("boost"),
                        F.concat_ws(":", "field", "term").alias("clause"))
         )
 
@@ -163,9 +203,15 @@ def fielded_search(
     weighted = weighted.join(F.broadcast(index.fields), "field")
     idf = F.log1p((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighted = weighted.select(
-        "query_id", "clause", "term", "field", "avg_len", (F.col("boost") * idf).alias("weight")
+        "query_id", "clause", "occur", "term", "field", "avg_len", (F.col("boost") * idf).alias("weight")
     )
+    if query_ranges is not None:
+        weighted = weighted.join(_query_limits(query_ranges), "query_id", "left")
     postings = index.postings
+    late = {c for c in RANGE_COLUMNS if c not in postings.columns}
+    early = {c: r for c, r in (ranges or {}).items() if c not in late}
+    if early:
+        postings = postings.where(in_ranges(early))
     if bucket_count(postings) is not None and fits:
         # The condition always holds; Spark prunes partitions only by a side that has one.
         weighted = materialize(weighted, "query-terms").where(F.col("avg_len") > 0)
@@ -173,10 +219,24 @@ def fielded_search(
         postings = postings.where(F.col("term").isin(terms)) if terms else postings
     weighted, keys = with_bucket(weighted, postings)
     matches = join_lookup(postings, weighted, [*keys, "field"], "doc_id", fits)
+    if query_ranges is not None:
+        if late:  # an index without these columns
+            matches = matches.join(index.docs.select("doc_id", *[c for c in late if c in index.docs.columns]), "doc_id")
+        matches = matches.where(_within_limits(_ranged(matches)))
     tf = F.col("tf").cast("double")
     score = F.col("weight") * tf / (tf + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
 
-    if require_all:
+    if occurs:
+        per_clause = matches.groupBy("query_id", "doc_id", "clause", "occur").agg(F.sum(score).alias("score"))
+        must = (F.col("occur") == "must") | (F.lit(require_all) & (F.col("occur") == "should"))
+        needed = wanted.where(must).groupBy("query_id").agg(F.count_distinct("clause").alias("needed"))
+        hits = per_clause.groupBy("query_id", "doc_id").agg(
+            F.sum(F.when(F.col("occur") != "must_not", F.col("score"))).alias("score"),
+            F.count(F.when(must, 1)).alias("held"), F.count(F.when(F.col("occur") == "must_not", 1)).alias("barred"),
+        )
+        needed = F.broadcast(needed) if fits else needed
+        hits = hits.where("barred = 0").join(needed, "query_id", "left").where("held = coalesce(needed, 0)")
+    elif require_all:
         per_clause = matches.groupBy("query_id", "doc_id", "clause").agg(F.sum(score).alias("score"))
         needed = wanted.groupBy("query_id").agg(F.count_distinct("clause").alias("n_clauses"))
         hits = per_clause.groupBy("query_id", "doc_id").agg(
@@ -186,7 +246,7 @@ def fielded_search(
         hits = hits.join(needed, ["query_id", "n_clauses"], "left_semi").drop("n_clauses")
     else:
         hits = matches.groupBy("query_id", "doc_id").agg(F.sum(score).alias("score"))
-    if ranges:
+    if set(ranges or ()) & late:
         allowed = index.docs.where(in_ranges(ranges)).select("doc_id")
         hits = hits.join(allowed, "doc_id", "left_semi")
     return ranked(hits.select("query_id", "doc_id", "score"), "query_id", hit_order(), limit)
