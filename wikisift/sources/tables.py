@@ -109,9 +109,12 @@ def write_by_term(df: DataFrame, path: str, order: list[str], buckets: int, rows
     others = [c for c in df.columns if c not in ("term", "term_bucket")]
     keyed = df.select(term, *others, term_bucket(F.col("term"), buckets).alias("term_bucket"))
     keys = ["term_bucket", *order]
-    tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // ROWS_PER_TASK))
+    # Spark merges small partitions of an unnumbered exchange, but never adds any.
+    tasks = -(-rows // ROWS_PER_TASK)
+    many = tasks > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = keyed.repartitionByRange(tasks, *keys) if many else keyed.repartitionByRange(*keys)
     (
-        keyed.repartitionByRange(tasks, *keys)
+        placed
         .sortWithinPartitions(*keys)
         .write.mode("overwrite")
         .partitionBy("term_bucket")
