@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from wikisift.llm import ragged
 
 _GRAM_BITS = 15
-_PIECE_BYTES = 8 << 20
+_PIECE_BYTES = 3 << 20
 UNDETERMINED = "und"
 
 # First and last code point of the blocks that tell scripts apart.

@@ -37,7 +37,7 @@ from wikisift.sources.tables import materialize
 
 _FILTER_BITS = 23
 _MAX_HOT = 1_000_000
-_COUNTED_TOGETHER = 4_000_000
+_COUNTED_TOGETHER = 2_000_000
 _PART_ROWS = 100_000
 _SURE = 1 << 40
 _PAIRS = "a bigint, b bigint, na bigint, nb bigint, c bigint, more bigint"

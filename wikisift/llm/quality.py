@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from wikisift.llm import ragged
 
-_PIECE_BYTES = 4 << 20
+_PIECE_BYTES = 2 << 20
 # Character classes.
 CLASSES = ("lower", "upper", "digit", "blank", "stop", "symbol", "other")
 _CLASS = np.full(256, 5, np.int64)
