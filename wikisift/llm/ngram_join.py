@@ -61,11 +61,13 @@ def _sets(piece: ragged.Piece, n: int):
     return grams, owner, sizes, sids.view(np.int64)
 
 
-def _once(sids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Marks the first document of each non-empty set of a piece."""
+def _once(sids: np.ndarray, sizes: np.ndarray, seen: set[int]) -> np.ndarray:
+    """Marks the first document of each non-empty set that is not in ``seen``, and adds these sets."""
     mark = np.zeros(len(sids), bool)
     mark[np.unique(sids, return_index=True)[1]] = True
-    return mark & (sizes > 0)
+    mark &= (sizes > 0) & ~np.fromiter((s in seen for s in sids.tolist()), bool, len(sids))
+    seen.update(sids[mark].tolist())
+    return mark
 
 
 def _overlap_bound(sizes: np.ndarray, percent: int) -> np.ndarray:
@@ -83,22 +85,22 @@ def set_table(docs: DataFrame, key: str, text: str, n: int) -> DataFrame:
     def run(batches):
         names = ["doc_id", "n_shingles", "sid", "copies"]
         for b in batches:
-            seen, held = [], 0
+            found, held, seen = [], 0, set()
             for piece in ragged.pieces(b.column(1)):
                 grams, owner, sizes, sids = _sets(piece, n)
-                seen.append(grams[_once(sids, sizes)[owner]])
-                held += len(seen[-1])
+                found.append(grams[_once(sids, sizes, seen)[owner]])
+                held += len(found[-1])
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).slice(piece.rows[0], piece.n), pa.array(sizes.astype(np.int64)), pa.array(sids), pa.nulls(piece.n, pa.int64())], names=names
                 )
                 if held > _COUNTED_TOGETHER:
-                    yield counted(seen, b.column(0).type, names)
-                    seen, held = [], 0
+                    yield counted(found, b.column(0).type, names)
+                    found, held = [], 0
             if held:
-                yield counted(seen, b.column(0).type, names)
+                yield counted(found, b.column(0).type, names)
 
-    def counted(seen, kind, names):
-        grams, count = np.unique(np.concatenate(seen), return_counts=True)
+    def counted(found, kind, names):
+        grams, count = np.unique(np.concatenate(found), return_counts=True)
         grams, count = grams[count > 1], count[count > 1]
         return pa.RecordBatch.from_arrays([pa.nulls(len(grams), kind), pa.nulls(len(grams), pa.int64()), pa.array(grams.view(np.int64)), pa.array(count)], names=names)
 
@@ -112,6 +114,7 @@ def _first_ngrams(texts: DataFrame, n: int, percent: int, late) -> DataFrame:
     def run(batches):
         last = late.value
         for b in batches:
+            seen: set[int] = set()
             for piece in ragged.pieces(b.column(0)):
                 grams, owner, sizes, sids = _sets(piece, n)
                 if len(last):
@@ -121,7 +124,7 @@ def _first_ngrams(texts: DataFrame, n: int, percent: int, late) -> DataFrame:
                     grams = grams[order]
                 place = np.arange(len(grams)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
                 ahead = sizes - _overlap_bound(sizes, percent) + 1
-                take = (place < ahead[owner]) & _once(sids, sizes)[owner]
+                take = (place < ahead[owner]) & _once(sids, sizes, seen)[owner]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(grams[take].view(np.int64)), pa.array(sids[owner[take]]), pa.array(sizes[owner[take]].astype(np.int32)), pa.array(place[take].astype(np.int32))],
                     names=["h", "sid", "n", "pos"],
@@ -285,11 +288,12 @@ def _set_arrays(texts: DataFrame, n: int, wanted) -> DataFrame:
     def run(batches):
         bits = wanted.value
         for b in batches:
+            seen: set[int] = set()
             for piece in ragged.pieces(b.column(0)):
                 grams, owner, sizes, sids = _sets(piece, n)
                 slot = sids.view(np.uint64) >> np.uint64(64 - _FILTER_BITS)
                 mark = (bits[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1)
-                take = _once(sids, sizes) & (mark > 0)
+                take = _once(sids, sizes, seen) & (mark > 0)
                 if take.any():
                     offsets = np.concatenate([[0], np.cumsum(sizes[take])]).astype(np.int32)
                     arrays = pa.ListArray.from_arrays(pa.array(offsets), pa.array(grams[take[owner]].view(np.int64)))
@@ -362,12 +366,12 @@ def _only(texts: DataFrame, n: int, sids: DataFrame) -> DataFrame:
     def run(batches):
         bits = wanted.value
         for b in batches:
-            keep = [np.zeros(0, bool)]
+            keep, seen = [np.zeros(0, bool)], set()
             for piece in ragged.pieces(b.column(0)):
                 _, _, sizes, sids_ = _sets(piece, n)
                 slot = sids_.view(np.uint64) >> np.uint64(64 - _FILTER_BITS)
                 mark = (bits[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1)
-                keep.append(_once(sids_, sizes) & (mark > 0))
+                keep.append(_once(sids_, sizes, seen) & (mark > 0))
             yield b.filter(pa.array(np.concatenate(keep)))
 
     return materialize(texts.mapInArrow(run, "text string"), "touched-texts")
