@@ -35,24 +35,54 @@ from wikisift.sources.tables import materialize, scratch_dir
 _MAGIC = b"WSTOKEN1"
 _HEADER = struct.Struct("<8sQQQB7x")
 _CACHE_WORDS = 300_000
+_CACHE_PIECES = 100_000
 _MANIFEST = "file string, part int, number int, n_docs bigint, n_ids bigint"
 _loaded: dict = {}
 
 
 class _Words(dict):
-    """Ids of blank-separated pieces of text, as bytes, computed once each while there is room."""
+    """Ids, as bytes, of pieces of text between blanks, for a tokenizer that drops white space and case.
+
+    Three bounded tables: pieces as they stand; and the words in them, lower-cased and
+    without stops at their end, in two generations, so frequent words outlast rare ones.
+    """
 
     def __init__(self, path: str):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.young, self.old = {}, {}
+
+    def encode(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        ids = self.young.get(word)
+        if ids is None:
+            ids = self.old.get(word)
+            if ids is None:
+                ids = self.encode(word)
+            if len(self.young) >= _CACHE_WORDS:
+                self.old, self.young = self.young, {}
+            if len(word) < 100:
+                self.young[word] = ids
+        return ids
 
-    def __missing__(self, word: str) -> bytes:
-        ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, self.kind).tobytes()
-        if len(self) >= _CACHE_WORDS:
+    def __missing__(self, piece: str) -> bytes:
+        ids = None
+        # Only where case and the cut before the stops are beyond doubt: Latin-1, no quotes, no marks of special ids.
+        if piece and "'" not in piece and "<" not in piece and max(piece) < "\u0100":
+            word = piece.lower().rstrip(".,")
+            if word and word[-1].isalpha():
+                ids = self._word(word)
+                if len(word) < len(piece):
+                    ids += self._word(piece[len(word) :])
+        if ids is None:
+            ids = self._word(piece)
+        if len(self) >= _CACHE_PIECES:
             self.clear()
-        if len(word) < 100:
-            self[word] = ids
+        if len(piece) < 100:
+            self[piece] = ids
         return ids
 
 
@@ -63,7 +93,7 @@ def _encoder(path: str, words_apart: bool):
     words = _loaded[key]
     if words_apart:
         return words.kind, lambda text: b"".join(map(words.__getitem__, text.split(" ")))
-    return words.kind, lambda text: np.array(words.tokenizer.encode(text, add_special_tokens=False).ids, words.kind).tobytes()
+    return words.kind, words.encode
 
 
 def write_file(target: str, doc_ids: list[int | None], boundaries: np.ndarray, ids: bytes, width: int) -> None:
@@ -110,8 +140,8 @@ def write_tokens(
     """Write the files into the folder ``output``; a table of the files in order, with the ids before each.
 
     ``tokenizer`` is a file of the tokenizers library that every executor can read.
-    ``words_apart`` says that it drops white space before anything else, so pieces
-    between blanks can be looked up instead of tokenised again.
+    ``words_apart`` says that it drops white space and case and takes letters apart from
+    stops, so words can be looked up instead of tokenised again.
     """
     target = _uri(output)
     fs, path = pafs.FileSystem.from_uri(target)
