@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.cases import awkward, collected, documents, frame, prose
-from wikisift.llm.suffix_dedup import op1_suffix_dedup, remove_repeated
+from wikisift.llm.suffix_dedup import op1_suffix_dedup, remove_repeated, repeated_windows
 
 
 def brute(rows, length):
@@ -45,6 +45,25 @@ def test_other_lengths(spark):
     assert collected(found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256))) == brute(CASES[:12], 40)
 
 
+@pytest.mark.parametrize("least", [1, 7, 100_000])
+@pytest.mark.parametrize("chunk", [1, 2, 4])
+def test_copied_texts_of_a_cut_group(spark, chunk, least):
+    """Copies of a text over many batches must not hide that its anchors go on after a cut."""
+    other = prose(78, 60)
+    texts = [prose(400 + i, 30) + PASSAGE[: 330 + i % 2] + prose(500 + i, 30) for i in range(6)] + [prose(410, 30) + other, other + prose(411, 30)]
+    rows = [(i, text) for i, text in enumerate(texts) for _ in range(1 + 11 * (i % 3 == 0))]
+    seen = Counter(text[i : i + 200] for text in texts for i in range(len(text) - 199))
+    want = {(t, i) for t, text in enumerate(texts) for i in range(len(text) - 199) if seen[text[i : i + 200]] > 1}
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "1")
+    try:
+        found = repeated_windows(spark.createDataFrame(rows, "t bigint, text string").repartition(3), 200, 64, chunk, least).collect()
+    finally:
+        spark.conf.set(name, before)
+    assert {(r.t, i) for r in found for i in range(r["first"], r["last"] + 1)} == want
+
+
 def test_query_and_empty_table(spark, tmp_path):
     assert collected(op1_suffix_dedup(spark, documents(spark, tmp_path / "a", CASES))) == brute(CASES, 200)
     assert op1_suffix_dedup(spark, documents(spark, tmp_path / "b", [])).count() == 0

@@ -125,30 +125,41 @@ def _groups(batches, keys: int, least: int, most: int | None = None):
         yield pa.Table.from_batches(held).combine_chunks()
 
 
-def _shared_anchors(anchors: DataFrame, chunk: int) -> DataFrame:
+def _distinct_rows(batches, keys: int):
+    """The batches of a sorted stream without rows that equal the one before them in the first ``keys`` columns."""
+    last = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        columns = [b.column(i).to_numpy() for i in range(keys)]
+        other = np.ones(b.num_rows, bool)
+        other[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+        other[0] = last != tuple(c[0] for c in columns)
+        last = tuple(c[-1] for c in columns)
+        if other.any():
+            yield b.filter(pa.array(other))
+
+
+def _shared_anchors(anchors: DataFrame, chunk: int, least: int = 100_000) -> DataFrame:
     """Anchors that occur at two places or more, with a chunk number and whether their group has several.
 
     A group is read as a stream: only its last row and the number of rows so far are kept.
+    Copies of a row, one of each batch that holds its text, go before groups are cut. So a
+    cut group has more than ``2 * chunk`` rows in its first table, and is known to have
+    several chunks there.
     """
 
     def run(batches):
-        last, seen = None, 0  # last row, and how many of its group came before this table
-        for table in _groups(batches, 1, 100_000, 2 * chunk):
-            h, t, pos = (table.column(i).to_numpy() for i in range(3))
-            other = np.concatenate([[(h[0], t[0], pos[0]) != last], (h[1:] != h[:-1]) | (t[1:] != t[:-1]) | (pos[1:] != pos[:-1])])
-            goes_on = last is not None and h[0] == last[0]
-            last = h[-1], t[-1], pos[-1]
-            table = table.filter(pa.array(other))
+        last, seen = None, 0  # anchor of the last row, and how many of its group came before this table
+        for table in _groups(_distinct_rows(batches, 3), 1, least, 2 * chunk):
             h = table.column(0).to_numpy()
-            if not len(h):
-                continue
             opens = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
             sizes = np.diff(np.append(opens, len(h)))
             before = np.zeros(len(opens), np.int64)
-            before[0] = seen if goes_on else 0
+            before[0] = seen if last is not None and h[0] == last else 0
+            last, seen = h[-1], int(sizes[-1] + before[-1])
             number = (np.arange(len(h)) - np.repeat(opens - before, sizes)) // chunk
             size = np.repeat(sizes + before, sizes)
-            seen = int(sizes[-1] + before[-1])
             table = table.append_column("part", pa.array(number.astype(np.int32))).append_column("several", pa.array(size > chunk))
             yield from table.filter(pa.array(size > 1)).to_batches()
 
@@ -303,9 +314,9 @@ def _settle(snippets: DataFrame, length: int, gram: int) -> DataFrame:
     return sorted_rows.mapInArrow(run, "t bigint, first int, last int, print bigint")
 
 
-def repeated_windows(texts: DataFrame, length: int, gram: int, chunk: int) -> DataFrame:
+def repeated_windows(texts: DataFrame, length: int, gram: int, chunk: int, least: int = 100_000) -> DataFrame:
     """``(t, first, last)``: starts of the windows of distinct ``texts(t, text)`` that occur elsewhere too."""
-    shared = materialize(_shared_anchors(_anchor_table(texts, length, gram), chunk), "shared-anchors")
+    shared = materialize(_shared_anchors(_anchor_table(texts, length, gram), chunk, least), "shared-anchors")
     found = materialize(_settle(_snippets(shared, texts, length), length, gram), "windows")
     between = found.where("print IS NOT NULL")
     twice = materialize(between.groupBy("print").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("print"), "prints")
