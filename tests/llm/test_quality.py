@@ -1,3 +1,4 @@
+import random
 from collections import Counter
 
 import numpy as np
@@ -56,6 +57,34 @@ def test_verdict_and_references(spark):
     assert {r.doc_id for r in Q.judge(docs, refs).where("kept").collect()} == {r[0] for r in clean}
 
 
+def drawn(seed, n, common):
+    """Words of which a share ``common`` are ten frequent ones; the rest hardly repeat."""
+    rng = random.Random(seed)
+    rare = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    return " ".join(rng.choice(("the of and to in is it for on as").split()) if rng.random() < common else rare() for _ in range(n))
+
+
+@pytest.mark.parametrize("coverage", [0.15, 0.37, 0.7])
+def test_words_can_reject_at_any_coverage(spark, coverage):
+    clean = [(i, drawn(i, (60, 120, 500)[i % 3], coverage), "xx", "a") for i in range(240)]
+    lists = [(900 + i, drawn(900 + i, 2000, 0), "xx", "a") for i in range(4)]
+    docs = frame(spark, clean + lists)
+    found = {r.doc_id: r for r in Q.judge(docs, Q.build_references(frame(spark, clean))).collect()}
+    assert all(found[r[0]].class_distance < 0.3 and not found[r[0]].kept for r in lists)
+    assert sum(found[r[0]].kept for r in clean) >= 0.99 * len(clean)
+
+
+def test_chance_divergence():
+    q = np.array([0.2, 0.1, 0.05, 0.65])
+    mean, deviation = Q._chance(q)
+    rng = np.random.default_rng(5)
+    for at in (2, 5, 8):
+        n = int(Q._LENGTHS[at])
+        seen = Q.js_distance(rng.multinomial(n, q, 20_000) / n, q) ** 2
+        assert mean[at] == pytest.approx(seen.mean(), rel=0.03) and deviation[at] == pytest.approx(seen.std(), rel=0.5)
+        assert Q._at_length(mean[None], np.array([0]), np.array([n])) == pytest.approx(mean[at])
+
+
 def test_no_references(spark):
     unlabelled = [(1, prose(1, 100), None, "a"), (2, None, None, "a")]
     found = collected(Q.judge(frame(spark, unlabelled), Q.build_references(frame(spark, unlabelled))).select("doc_id", "kept"))

@@ -7,6 +7,13 @@ that fits best, whatever its label says. It is kept when the classes are within
 ``max_class_distance`` and the words within ``max_word_distance``; texts of fewer than
 ``min_words`` words are too short for a histogram and fail before that.
 
+How far words can be apart depends on the share of a language's words that its common
+words cover, and a short text is far from its own language by chance. So the distance of
+the words is a share: 0 is the divergence that texts of so many words drawn from the
+reference have on average, 1 that of a text with none of the common words. Where chance
+alone spreads over more than a fifth of that range, as for few words of a language with
+low coverage, the fifth's share is what counts, so chance rejects no text.
+
 Counting references is one pass with partial sums per batch; what reaches the driver is
 bounded by ``max_languages`` and ``common_words``.
 
@@ -37,6 +44,10 @@ _CLASS[0xC0:] = 6
 _CLASS[0x80:0xC0] = -1  # not the first byte of a character
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
+# Numbers of words for which chance divergences are computed; between them and beyond, by powers.
+_LENGTHS = 2 ** np.arange(2, 14)
+# A share of 0.6 is then three standard deviations at least.
+_LEAST_RANGE = 5.0
 
 
 @dataclass
@@ -48,6 +59,9 @@ class References:
     words: np.ndarray  # sorted hashes of all common words
     columns: list[np.ndarray]  # of each language, its words
     shares: list[np.ndarray]
+    none: np.ndarray  # divergence of a text with none of its common words
+    usual: np.ndarray  # [language, step of _LENGTHS]: mean divergence of so many words drawn from it
+    spread: np.ndarray  # and its standard deviation
 
 
 def _word_keys(piece: ragged.Piece):
@@ -111,7 +125,35 @@ def build_references(docs: DataFrame, text: str = "text", lang: str = "lang", ma
         columns.append(np.searchsorted(words, np.array([k for k, _ in c], np.uint64)))
         shares.append(np.append(n, totals.get(i, 0) - n.sum()) / max(totals.get(i, 0), 1))
     classes /= np.maximum(classes.sum(axis=1, keepdims=True), 1)
-    return References(languages, classes, words, columns, shares)
+    none = np.array([js_distance(np.eye(len(q))[-1:], q)[0] ** 2 for q in shares])
+    chance = np.array([_chance(q) for q in shares]).reshape(width, 2, len(_LENGTHS))
+    return References(languages, classes, words, columns, shares, none, chance[:, 0], chance[:, 1])
+
+
+def _chance(q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and standard deviation of the divergence from ``q`` of words drawn from it, for each of ``_LENGTHS``."""
+    factorials = np.concatenate([[0], np.cumsum(np.log(np.arange(1, _LENGTHS[-1] + 1)))])
+    q = q[q > 0][:, None]
+    mean, deviation = [], []
+    for n in _LENGTHS:
+        k = np.arange(n + 1)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            rest = np.where(k < n, (n - k) * np.log1p(-q), 0)
+        chance = np.exp(factorials[n] - factorials[k] - factorials[n - k] + k * np.log(q) + rest)
+        p = k / n
+        part = (np.where(p > 0, p * np.log2(np.maximum(p, 1 / n) * 2 / (p + q)), 0) + q * np.log2(2 * q / (p + q))) / 2
+        means = (chance * part).sum(axis=1)
+        mean.append(means.sum())
+        deviation.append(np.sqrt(max(((chance * part**2).sum(axis=1) - means**2).sum(), 0)))
+    return np.array(mean), np.array(deviation)
+
+
+def _at_length(table: np.ndarray, rows: np.ndarray, n_words: np.ndarray) -> np.ndarray:
+    """Values of ``table[row]`` at these numbers of words, on a straight line of logarithms."""
+    at = np.log2(np.maximum(n_words, 1) / _LENGTHS[0])
+    step = np.clip(at.astype(np.int64), 0, len(_LENGTHS) - 2)
+    logs = np.log2(np.maximum(table, 1e-12))
+    return 2 ** (logs[rows, step] + (logs[rows, step + 1] - logs[rows, step]) * (at - step))
 
 
 def js_distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -124,7 +166,7 @@ def js_distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
 
 
 def _distances(piece: ragged.Piece, refs: References) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Number of the language that fits best, and the class and word distances to it."""
+    """Number of the language that fits best, the class distance to it, and the share of the word distance."""
     n = piece.n
     if not refs.languages:
         return np.full(n, -1), np.zeros(n), np.zeros(n)
@@ -143,9 +185,14 @@ def _distances(piece: ragged.Piece, refs: References) -> tuple[np.ndarray, np.nd
         own = held[:, columns] / total
         by_word.append(js_distance(np.hstack([own, 1 - own.sum(axis=1, keepdims=True)]), share))
     by_word = np.stack(by_word, axis=1)
-    best = (by_class + by_word).argmin(axis=1)
+    # References of different coverage are compared by the share of what each can be away.
+    shares = np.where(refs.none > 0, by_word / np.sqrt(np.maximum(refs.none, 1e-12)), 1)
+    best = (by_class + shares).argmin(axis=1)
     at = np.arange(n), best
-    return best, by_class[at], by_word[at]
+    n_words = np.diff(before)
+    usual, spread = _at_length(refs.usual, best, n_words), _at_length(refs.spread, best, n_words)
+    reach = np.maximum(refs.none[best] - usual, _LEAST_RANGE * spread)
+    return best, by_class[at], np.maximum(by_word[at] ** 2 - usual, 0) / np.maximum(reach, 1e-12)
 
 
 def text_counts(piece: ragged.Piece) -> dict[str, np.ndarray]:
