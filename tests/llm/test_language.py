@@ -34,6 +34,27 @@ def test_held_out_accuracy_and_spans(spark):
     assert row.lang_pred == "aa" and 0 < row.score < 1
 
 
+def many_labels(n_languages, docs, n_words):
+    """Languages of eight words each; one is hot, the last by name is the rarest."""
+    def text(k, seed):
+        own, rng = random.Random(k), random.Random(seed)
+        vocabulary = ["".join(own.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(5)) for _ in range(8)]
+        return " ".join(rng.choice(vocabulary) for _ in range(n_words))
+
+    names = [f"l{k:03}" for k in range(n_languages)]
+    counts = [docs * (4 if k == 0 else 2 if k < n_languages - 1 else 1) for k in range(n_languages)]
+    labels = [k for k, n in enumerate(counts) for _ in range(n)]
+    return [(i, text(k, i), names[k], "a") for i, k in enumerate(labels)]
+
+
+def test_every_label_is_learned(spark, tmp_path):
+    rows = many_labels(150, 4, 12)
+    found = L.op10_language_id(spark, documents(spark, tmp_path, rows)).collect()
+    by_id = {r.doc_id: r.lang_pred for r in found}
+    assert sum(by_id[i] == lang for i, _, lang, _ in rows) >= 0.99 * len(rows)
+    assert all(by_id[i] == lang for i, _, lang, _ in rows[-4:])
+
+
 def test_viterbi_equals_plain_search():
     rng = np.random.default_rng(3)
     for _ in range(30):

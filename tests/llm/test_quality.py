@@ -74,6 +74,12 @@ def test_words_can_reject_at_any_coverage(spark, coverage):
     assert sum(found[r[0]].kept for r in clean) >= 0.99 * len(clean)
 
 
+def test_every_label_has_a_reference(spark):
+    rows = [(i, prose(i, 60), f"l{i % 70:02}", "a") for i in range(150)]
+    refs = Q.build_references(frame(spark, rows))
+    assert refs.languages == sorted({r[2] for r in rows}) and len(refs.columns) == len(refs.none) == 70
+
+
 def test_chance_divergence():
     q = np.array([0.2, 0.1, 0.05, 0.65])
     mean, deviation = Q._chance(q)

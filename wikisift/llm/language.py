@@ -4,11 +4,11 @@ Script ranges narrow the candidate languages of each word; a Viterbi pass over p
 scores with a penalty for each switch then labels spans. The document's language is the
 one whose spans hold most letters.
 
-The word and character models are counted by Spark over a bounded sample of labelled
-rows: at most about ``docs_per_language`` documents of each of the ``max_languages``
-most frequent languages, picked by a hash of the id. The models have fixed bounds too
-(``max_words`` words, ``2**_GRAM_BITS`` character trigram cells). Prediction reads
-nothing but the text, whole.
+The word and character models are counted by Spark over a sample of labelled rows: at
+most about ``docs_per_language`` documents of each language that occurs, picked by a
+hash of the id. The models have ``max_words`` words and ``2**_GRAM_BITS`` character
+trigram cells; sample and models grow with the number of languages only. Prediction
+reads nothing but the text, whole.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0 and no
 spans; so is every text when there was nothing to learn from. A tie goes to the language
@@ -121,38 +121,35 @@ def _count_features(languages: list[str]):
 
 def train(
     labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id",
-    docs_per_language: int = 1500, max_languages: int = 64, max_words: int = 50_000, **settings,
+    docs_per_language: int = 1500, max_words: int = 50_000, **settings,
 ) -> LanguageModel:
     """Learn from the rows of ``labelled`` with a language and a text, within the bounds of the module docstring."""
     rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
     rows = rows.select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.xxhash64(F.col(key)).alias("h"))
     sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    top = sizes.orderBy(F.desc("n"), "lang").limit(max_languages).collect()
+    top = sizes.collect()
     languages = sorted(r["lang"] for r in top)
     if not languages:
         empty = np.zeros((0, 0), np.float32)
         return LanguageModel([], np.zeros(0, np.uint64), empty, empty, np.zeros((len(SCRIPT_NAMES), 0), bool))
-    pick = F.lit(False)
-    for r in top:
-        limit = int(2**64 * min(1.0, docs_per_language / r["n"])) - 2**63
-        pick = pick | ((F.col("lang") == r["lang"]) & (F.col("h") <= F.lit(min(limit, 2**63 - 1))))
+    limits = [(r["lang"], min(int(2**64 * min(1.0, docs_per_language / r["n"])) - 2**63, 2**63 - 1)) for r in top]
+    limits = labelled.sparkSession.createDataFrame(limits, "lang string, most bigint")
     counts = (
-        rows.where(pick).select("text", "lang")
+        rows.join(F.broadcast(limits), "lang").where("h <= most").select("text", "lang")
         .mapInArrow(_count_features(languages), "kind tinyint, key bigint, language int, n bigint")
         .groupBy("kind", "key", "language").agg(F.sum("n").alias("n"))
     )
-    found = counts.groupBy("kind", "key").agg(
+    found = counts.where("kind = 0").groupBy("key").agg(
         F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("language", "n"))).alias("by")
     )
-    best = found.where("kind = 0").orderBy(F.desc("total"), "key").limit(max_words).collect()
-    rest = found.where("kind > 0").collect()  # at most 2**_GRAM_BITS cells and the scripts
+    best = found.orderBy(F.desc("total"), "key").limit(max_words).collect()
+    rest = counts.where("kind > 0").toArrow()  # at most 2**_GRAM_BITS cells and the scripts, of each language
     width = len(languages)
 
-    def matrix(found_rows, height, row_of):
+    def matrix(kind, height):
+        of, key, language, n = (rest.column(name).to_numpy() for name in ("kind", "key", "language", "n"))
         m = np.zeros((height, width))
-        for r in found_rows:
-            for language, n in r["by"].items():
-                m[row_of(r), language] = n
+        m[key[of == kind], language[of == kind]] = n[of == kind]
         return m
 
     keys = np.array([r["key"] for r in best], np.int64).view(np.uint64)
@@ -161,8 +158,7 @@ def train(
     for row, i in enumerate(order):
         for language, n in best[i]["by"].items():
             words[row, language] = n
-    grams = matrix([r for r in rest if r["kind"] == 1], 1 << _GRAM_BITS, lambda r: r["key"])
-    scripts = matrix([r for r in rest if r["kind"] == 2], len(SCRIPT_NAMES), lambda r: r["key"])
+    grams, scripts = matrix(1, 1 << _GRAM_BITS), matrix(2, len(SCRIPT_NAMES))
 
     def log_share(m):
         return np.log((m + 0.5) / (m.sum(axis=0, keepdims=True) + 0.5 * len(m))).astype(np.float32)
@@ -203,15 +199,16 @@ def _viterbi(emit: np.ndarray, before: np.ndarray, penalty: float) -> np.ndarray
     counts = np.diff(before)
     order = np.argsort(-counts, kind="stable")
     base, counts = before[:-1][order], counts[order]
-    labels = np.zeros(len(emit), np.int8)
+    kind = np.min_scalar_type(-max(emit.shape[1], 1))  # one byte up to 128 languages
+    labels = np.zeros(len(emit), kind)
     if not len(emit):
         return labels
     steps = int(counts[0])
     active = np.searchsorted(-counts, -np.arange(steps), side="left")  # documents with more than t words
-    came = np.zeros(emit.shape, np.int8)
-    own = np.arange(emit.shape[1], dtype=np.int8)
+    came = np.zeros(emit.shape, kind)
+    own = np.arange(emit.shape[1], dtype=kind)
     value = emit[base[: active[0]]].astype(np.float64)
-    last = np.zeros(active[0], np.int8)
+    last = np.zeros(active[0], kind)
     for t in range(1, steps + 1):
         n = active[t] if t < steps else 0
         if n < len(value):
@@ -225,7 +222,7 @@ def _viterbi(emit: np.ndarray, before: np.ndarray, penalty: float) -> np.ndarray
         at = base[:n] + t
         came[at] = np.where(stay, own, best[:, None])
         value = np.where(stay, value, switched) + emit[at]
-    state = np.zeros(0, np.int8)
+    state = np.zeros(0, kind)
     for t in range(steps - 1, -1, -1):
         n = active[t]
         state = np.concatenate([state, last[len(state) : n]])
@@ -236,6 +233,11 @@ def _viterbi(emit: np.ndarray, before: np.ndarray, penalty: float) -> np.ndarray
     return labels
 
 
+def _piece_bytes(model: LanguageModel) -> int:
+    """Size of pieces: a word has a score for each language, so many languages make smaller ones."""
+    return _PIECE_BYTES * 16 // max(len(model.languages), 16)
+
+
 def _label_piece(model: LanguageModel, piece: ragged.Piece, with_spans: bool):
     """Predicted language number (-1: none), score, and spans of each document of a piece."""
     n, width = piece.n, len(model.languages)
@@ -283,7 +285,7 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text", keep: tu
         names = np.array([*shared.value.languages, UNDETERMINED], object)
         for b in batches:
             best, score, found = [np.zeros(0, np.int64)], [np.zeros(0)], []
-            for piece in ragged.pieces(b.column(b.num_columns - 1), _PIECE_BYTES):
+            for piece in ragged.pieces(b.column(b.num_columns - 1), _piece_bytes(shared.value)):
                 one, two, three = _label_piece(shared.value, piece, spans)
                 best.append(one), score.append(two), found.extend(three)
             out = [*b.columns[:-1], pa.array(names[np.concatenate(best)], pa.string()), pa.array(np.concatenate(score), pa.float64())]
@@ -304,7 +306,7 @@ def keep_identified(docs: DataFrame, model: LanguageModel, text: str = "text", m
     def run(batches):
         for b in batches:
             passed = [np.zeros(0, bool)]
-            for piece in ragged.pieces(b.column(at), _PIECE_BYTES):
+            for piece in ragged.pieces(b.column(at), _piece_bytes(shared.value)):
                 best, score, _ = _label_piece(shared.value, piece, False)
                 passed.append((best >= 0) & (score >= min_score))
             yield b.filter(pa.array(np.concatenate(passed)))

@@ -14,8 +14,8 @@ reference have on average, 1 that of a text with none of the common words. Where
 alone spreads over more than a fifth of that range, as for few words of a language with
 low coverage, the fifth's share is what counts, so chance rejects no text.
 
-Counting references is one pass with partial sums per batch; what reaches the driver is
-bounded by ``max_languages`` and ``common_words``.
+Counting references is one pass with partial sums per batch; what reaches the driver are
+the ``common_words`` of each language that occurs.
 
 Defined results: a null or empty text has no words and fails; with no labelled documents
 there is no reference and the rules alone decide. Repeated rows give repeated results; a
@@ -78,11 +78,10 @@ def _class_counts(piece: ragged.Piece) -> np.ndarray:
     return np.bincount(owner[counted] * width + kind[counted], minlength=piece.n * width).reshape(piece.n, width)
 
 
-def build_references(docs: DataFrame, text: str = "text", lang: str = "lang", max_languages: int = 64, common_words: int = 64) -> References:
-    """Count the references over all rows with a text and one of the most frequent languages."""
+def build_references(docs: DataFrame, text: str = "text", lang: str = "lang", common_words: int = 64) -> References:
+    """Count the references over all rows with a text and a language."""
     rows = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
-    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages)
-    languages = sorted(r["lang"] for r in sizes.collect())
+    languages = sorted(r["lang"] for r in rows.select("lang").distinct().collect())
     index = {name: i for i, name in enumerate(languages)}
     schema = pa.schema([("language", pa.int32()), ("kind", pa.int8()), ("key", pa.int64()), ("n", pa.int64())])
 
@@ -251,8 +250,9 @@ def judge(
     def run(batches):
         refs = shared.value
         languages = np.array([*refs.languages, None], object)
+        size = _PIECE_BYTES * 64 // max(len(refs.languages), 64)  # a text has a column for each common word
         for b in batches:
-            for piece in ragged.pieces(b.column(1), _PIECE_BYTES):
+            for piece in ragged.pieces(b.column(1), size):
                 counts = text_counts(piece)
                 best, by_class, by_word = _distances(piece, refs)
                 failed = (counts["n_words"] < min_words) | (100 * counts["n_repeat_words"] > max_repeat_percent * counts["n_words"])
