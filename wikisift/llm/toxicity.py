@@ -175,7 +175,8 @@ def _gradient(rows: DataFrame, model: FactorizationMachine) -> np.ndarray:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -500, 500)))
+    with np.errstate(over="ignore"):
+        return 1 / (1 + np.exp(-x))
 
 
 def fit(rows: DataFrame, cells: np.ndarray, n: int, toxic: int, rank: int, rounds: int, step: float, decay: float) -> FactorizationMachine:
