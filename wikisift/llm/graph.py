@@ -2,12 +2,45 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wikisift.sources.tables import materialize
 
 
+def forest(links: DataFrame) -> DataFrame:
+    """Fewer links ``(u, v)`` that connect the same: each task leaves out what its links so far connect.
+
+    A task keeps fewer links than it has nodes, however many it reads; no rows are moved.
+    """
+
+    def run(batches):
+        parent: dict[int, int] = {}
+
+        def root(x):
+            top = x
+            while (up := parent.get(top, top)) != top:
+                top = up
+            while x != top:
+                parent[x], x = top, parent.get(x, x)
+            return top
+
+        for b in batches:
+            u, v = b.column(0).to_pylist(), b.column(1).to_pylist()
+            keep = np.zeros(len(u), bool)
+            for i, (x, y) in enumerate(zip(u, v)):
+                x, y = root(x), root(y)
+                if x != y:
+                    parent[x] = y
+                    keep[i] = True
+            yield b.filter(pa.array(keep))
+
+    links = links.select("u", "v").where("u IS NOT NULL AND v IS NOT NULL")
+    return links.mapInArrow(run, links.schema)
+
+
 def components(links: DataFrame) -> DataFrame:
     """``(node, component)`` for every node of ``links(u, v)``: the smallest node that can be reached.
 

@@ -5,15 +5,22 @@ overlap counts. It is never formed whole: an n-gram is a block, the documents th
 it. Sizes bound what a block must look at. With threshold t, two linked documents of
 sizes x and y share at least t/(1+t)*(x+y) n-grams, and t*x <= y <= x/t. So in any common
 order of all n-grams they share one of the first x-ceil(t*x)+1 of the one and the first
-y-ceil(t*y)+1 of the other. The counts accumulated over these first n-grams, plus all
-that can be left, discard most pairs; the rest get their overlap counted in full.
+y-ceil(t*y)+1 of the other. A common n-gram at places i and j leaves at most
+min(x-i, y-j) common ones from there on; where that is too few, the pair has met before
+or is not linked, and the block passes it over. The counts accumulated over the other
+blocks, plus all that can be left behind the last of them, discard most pairs; the rest
+get their overlap counted in full.
+
+N-grams are ordered by how often they occur, rare ones first, so that what many documents
+share makes few candidates. The counts are a sketch of fixed size summed over all tasks:
+any common order gives the same result, the sketch only makes it a good one.
 
 The result is the set of connected components, so pairs inside one component need not be
-looked at twice. Each block first compares its documents with one of them (linear work,
-which merges large groups of copies), then only documents of different components.
-N-grams that more than ``hot`` documents hold come last in the order. Most are known from
-the first scan; where a block turns out larger, its documents get new first n-grams. Only
-what has nothing but such n-grams is compared in large blocks. No pair is dropped anywhere.
+looked at twice. Each document is first compared with the ``_CENTRES`` documents that most
+of its blocks begin with (linear work, which merges large groups of copies), then only
+documents of different components. Where a block has more than ``hot`` documents, its
+n-gram is put last and its documents get new first n-grams. Only what has nothing but such
+n-grams is compared in large blocks. No pair is dropped anywhere.
 
 Documents with equal sets are one row (``sid``) from the first scan on. Sets and n-grams
 are known by 64-bit hashes.
@@ -28,19 +35,22 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wikisift.llm import ragged
-from wikisift.llm.graph import components
+from wikisift.llm.graph import components, forest
 from wikisift.sources.tables import materialize
 
 _FILTER_BITS = 23
 _MAX_HOT = 1_000_000
-_COUNTED_TOGETHER = 2_000_000
 _PART_ROWS = 100_000
+_SKETCH_BITS = 22
+_SKETCH_PART = 1 << 16
+_LAST = 0xFFFF
+_CENTRES = 2
 _SURE = 1 << 40
-_PAIRS = "a bigint, b bigint, na bigint, nb bigint, c bigint, more bigint"
+_PAIRS = "a bigint, b bigint, na bigint, nb bigint, c bigint, rest bigint"
 
 
 def _sets(piece: ragged.Piece, n: int):
@@ -76,52 +86,73 @@ def _overlap_bound(sizes: np.ndarray, percent: int) -> np.ndarray:
 
 
 def set_table(docs: DataFrame, key: str, text: str, n: int) -> DataFrame:
-    """Every row as ``(doc_id, n_shingles, sid, copies null)``, and how often n-grams came up in a batch.
+    """Every row as ``(doc_id, n_shingles, sid)``, and rows of ``(part, counters)``: how often n-grams come up.
 
-    The latter have the n-gram as ``sid`` and the number of sets that hold it as ``copies``,
-    from 2 on. They cover all rows and only serve to find frequent n-grams.
+    The counters of a task have one byte each, so they stop at 255; they only order n-grams.
     """
 
     def run(batches):
-        names = ["doc_id", "n_shingles", "sid", "copies"]
+        names = ["doc_id", "n_shingles", "sid", "part", "counters"]
+        counters, kind = np.zeros(1 << _SKETCH_BITS, np.uint32), None
         for b in batches:
-            found, held, seen = [], 0, set()
+            seen: set[int] = set()
+            kind = b.column(0).type
             for piece in ragged.pieces(b.column(1)):
                 grams, owner, sizes, sids = _sets(piece, n)
-                found.append(grams[_once(sids, sizes, seen)[owner]])
-                held += len(found[-1])
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(piece.rows[0], piece.n), pa.array(sizes.astype(np.int64)), pa.array(sids), pa.nulls(piece.n, pa.int64())], names=names
-                )
-                if held > _COUNTED_TOGETHER:
-                    yield counted(found, b.column(0).type, names)
-                    found, held = [], 0
-            if held:
-                yield counted(found, b.column(0).type, names)
-
-    def counted(found, kind, names):
-        grams, count = np.unique(np.concatenate(found), return_counts=True)
-        grams, count = grams[count > 1], count[count > 1]
-        return pa.RecordBatch.from_arrays([pa.nulls(len(grams), kind), pa.nulls(len(grams), pa.int64()), pa.array(grams.view(np.int64)), pa.array(count)], names=names)
+                np.add.at(counters, (grams[_once(sids, sizes, seen)[owner]] >> np.uint64(64 - _SKETCH_BITS)).astype(np.int64), np.uint32(1))
+                own = [b.column(0).slice(piece.rows[0], piece.n), pa.array(sizes.astype(np.int64)), pa.array(sids)]
+                yield pa.RecordBatch.from_arrays([*own, pa.nulls(piece.n, pa.int32()), pa.nulls(piece.n, pa.binary())], names=names)
+        counters = np.minimum(counters, 255).astype(np.uint8).reshape(-1, _SKETCH_PART)
+        parts = np.flatnonzero(counters.any(axis=1))
+        if len(parts):
+            none = [pa.nulls(len(parts), kind), pa.nulls(len(parts), pa.int64()), pa.nulls(len(parts), pa.int64())]
+            yield pa.RecordBatch.from_arrays([*none, pa.array(parts.astype(np.int32)), pa.array([counters[k].tobytes() for k in parts], pa.binary())], names=names)
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, n_shingles bigint, sid bigint, copies bigint")
+    scanned = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
+    return scanned.mapInArrow(run, f"doc_id {kind}, n_shingles bigint, sid bigint, part int, counters binary")
+
 
+def _frequencies(scanned: DataFrame) -> np.ndarray:
+    """The summed counters of ``set_table``, cut to 16 bits: 8 MB whatever the input."""
+
+    def added(batches):
+        at, total = None, None
+        for b in batches:
+            for part, counters in zip(b.column(0).to_pylist(), b.column(1)):
+                if part != at:
+                    if at is not None:
+                        yield one(at, total)
+                    at, total = part, np.zeros(_SKETCH_PART, np.int64)
+                total += np.frombuffer(counters.as_buffer(), np.uint8)
+        if at is not None:
+            yield one(at, total)
 
-def _first_ngrams(texts: DataFrame, n: int, percent: int, late) -> DataFrame:
-    """``(h, sid, n, pos)``: the first n-grams of each set; those of ``late`` (a broadcast, sorted) come last."""
+    def one(part, total):
+        data = np.minimum(total, _LAST - 1).astype(np.uint16).tobytes()
+        return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([data], pa.binary())], names=["part", "counters"])
+
+    rows = scanned.where("part IS NOT NULL").select("part", "counters").repartition("part").sortWithinPartitions("part")
+    out = np.zeros((1 << _SKETCH_BITS) // _SKETCH_PART * _SKETCH_PART, np.uint16).reshape(-1, _SKETCH_PART)
+    for r in rows.mapInArrow(added, "part int, counters binary").toLocalIterator():
+        out[r["part"]] = np.frombuffer(r["counters"], np.uint16)
+    return out.reshape(-1)
+
+
+def _first_ngrams(texts: DataFrame, n: int, percent: int, counts, late) -> DataFrame:
+    """``(h, sid, n, pos)``: the first n-grams of each set by the broadcast ``counts``; those of ``late`` (sorted) come last."""
 
     def run(batches):
-        last = late.value
+        frequency, last = counts.value, late.value
         for b in batches:
             seen: set[int] = set()
             for piece in ragged.pieces(b.column(0)):
                 grams, owner, sizes, sids = _sets(piece, n)
+                rank = frequency[(grams >> np.uint64(64 - _SKETCH_BITS)).astype(np.int64)]
                 if len(last):
                     at = np.minimum(np.searchsorted(last, grams), len(last) - 1)
-                    is_late = last[at] == grams
-                    order = np.lexsort((grams, is_late, owner))
-                    grams = grams[order]
+                    rank[last[at] == grams] = _LAST
+                grams = grams[np.lexsort((rank, owner))]  # equal ranks stay in the order of the hashes
                 place = np.arange(len(grams)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
                 ahead = sizes - _overlap_bound(sizes, percent) + 1
                 take = (place < ahead[owner]) & _once(sids, sizes, seen)[owner]
@@ -174,63 +205,68 @@ def _shared(rows: DataFrame) -> DataFrame:
     return rows.repartition("h").sortWithinPartitions("h", "n", "sid").mapInArrow(run, "h bigint, sid bigint, n int, pos int")
 
 
-def _pairs_table(a, b, na, nb, count, more) -> pa.RecordBatch:
-    """Pairs with the smaller ``sid`` first, each once, how often it came up, and how often it may have elsewhere."""
-    swap = a > b
-    low, high = np.where(swap, b, a), np.where(swap, a, b)
-    n_low, n_high = np.where(swap, nb, na), np.where(swap, na, nb)
-    count, more = np.broadcast_to(count, low.shape), np.broadcast_to(more, low.shape)
-    if len(low):
-        order = np.lexsort((high, low))
-        low, high, n_low, n_high, count, more = (x[order] for x in (low, high, n_low, n_high, count, more))
-        first = np.flatnonzero(np.concatenate([[True], (low[1:] != low[:-1]) | (high[1:] != high[:-1])]))
-        count = np.add.reduceat(count, first)
-        low, high, n_low, n_high, more = (x[first] for x in (low, high, n_low, n_high, more))
-    arrays = [pa.array(x.astype(np.int64)) for x in (low, high, n_low, n_high, count, more)]
-    return pa.RecordBatch.from_arrays(arrays, names=["a", "b", "na", "nb", "c", "more"])
+def _pairs_table(a, b, na, nb, count, rest) -> pa.RecordBatch:
+    """Each pair once: how often it came up, and the least that may be common elsewhere."""
+    count, rest = np.broadcast_to(count, a.shape), np.broadcast_to(rest, a.shape)
+    if len(a):
+        order = np.lexsort((b, a))
+        a, b, na, nb, count, rest = (x[order] for x in (a, b, na, nb, count, rest))
+        first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+        count, rest = np.add.reduceat(count, first), np.minimum.reduceat(rest, first)
+        a, b, na, nb = (x[first] for x in (a, b, na, nb))
+    arrays = [pa.array(x.astype(np.int64)) for x in (a, b, na, nb, count, rest)]
+    return pa.RecordBatch.from_arrays(arrays, names=["a", "b", "na", "nb", "c", "rest"])
 
 
 def _promising(pairs: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose common n-grams among the first ones leave the threshold in reach.
+    """``(a, b, c)``: pairs whose common n-grams so far, with all that may be left, reach the threshold.
 
-    Past the end of the shorter list of first n-grams, no more can be common than its set has left.
+    Common n-grams have one order in both sets. So those not counted lie in blocks that
+    ``rest`` allows for, or behind the last one counted, where the shorter remainder bounds them.
     """
-    counted = pairs.groupBy("a", "b").agg(
-        F.min("na").alias("na"), F.min("nb").alias("nb"), F.sum("c").alias("c"), F.min("more").alias("more")
-    )
-    left = F.floor((percent * F.greatest("na", "nb") + 99) / 100) - 1
-    return counted.where((100 + percent) * (F.col("c") + F.col("more") + left) >= percent * (F.col("na") + F.col("nb"))).select("a", "b")
+    counted = pairs.groupBy("a", "b").agg(F.min("na").alias("na"), F.min("nb").alias("nb"), F.sum("c").alias("c"), F.min("rest").alias("rest"))
+    return counted.where((100 + percent) * (F.col("c") + F.col("rest")) >= percent * (F.col("na") + F.col("nb"))).select("a", "b", "c")
 
 
 def _star_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """Each document with the smallest of its block that its size can match, where they have enough in common."""
+    """Each document with the smallest of its block that its size can match, where they have enough in common.
+
+    ``b`` is the centre, the first of the two by size and ``sid``.
+    """
 
     def run(batches):
         last, centre = None, None  # of the rows before, as a large group comes in parts
-        for h, sid, n, _ in _blocks(batches, 4, _PART_ROWS):
-            n = n.astype(np.int64)
+        for h, sid, n, pos in _blocks(batches, 4, _PART_ROWS):
+            n, left = n.astype(np.int64), (n - pos).astype(np.int64)
             # Blocks are sorted by size, so a document starts a new star when the last one is too small for it.
-            centres, centre_sizes = sid.copy(), n.copy()
+            centres, centre_sizes, centre_left = sid.copy(), n.copy(), left.copy()
             opens = np.concatenate([[0], np.flatnonzero(h[1:] != h[:-1]) + 1, [len(h)]])
             goes_on = h[0] == last
             for i in np.flatnonzero((np.diff(opens) > 1) | (goes_on & (opens[:-1] == 0))):
                 first, end = opens[i], opens[i + 1]
                 if not (goes_on and first == 0):
-                    centre = sid[first], n[first]
+                    centre = sid[first], n[first], left[first]
                 while first < end:
                     stop = first + int(np.searchsorted(n[first:end], centre[1] * 100 // percent, side="right"))
-                    centres[first:stop], centre_sizes[first:stop] = centre
+                    centres[first:stop], centre_sizes[first:stop], centre_left[first:stop] = centre
                     if stop < end:
-                        centre = sid[stop], n[stop]
+                        centre = sid[stop], n[stop], left[stop]
                     first = stop
             last = h[-1]
-            at = np.flatnonzero(centres != sid)
-            yield _pairs_table(sid[at], centres[at], n[at], centre_sizes[at], np.int64(1), np.int64(0))
+            left = np.minimum(left, centre_left)
+            at = np.flatnonzero((centres != sid) & ((100 + percent) * left >= percent * (n + centre_sizes)))
+            yield _pairs_table(sid[at], centres[at], n[at], centre_sizes[at], np.int64(1), left[at] - 1)
 
     rows = rows.repartition("h").sortWithinPartitions("h", "n", "sid")
     return _promising(rows.mapInArrow(run, _PAIRS), percent)
 
 
+def _nearest_centres(star: DataFrame) -> DataFrame:
+    """The pairs of each document with the few centres that it shares most blocks with."""
+    nearest = Window.partitionBy("a").orderBy(F.desc("c"), "b")
+    return star.withColumn("nth", F.row_number().over(nearest)).where(F.col("nth") <= _CENTRES).select("a", "b")
+
+
 def _cross_pairs(rows: DataFrame, percent: int, hot: int, block: int = 1024) -> DataFrame:
     """All pairs of one block that are of different components and can reach the threshold.
 
@@ -251,14 +287,16 @@ def _cross_pairs(rows: DataFrame, percent: int, hot: int, block: int = 1024) ->
                     stop = first + int(np.searchsorted(n[first:end], limit, side="right"))
                     for j in range(i, stop, block):
                         others = np.arange(j, min(j + block, stop))
+                        left = np.minimum((n - pos)[some][:, None], (n - pos)[others][None, :])
                         fits = (others[None, :] > some[:, None]) & (comp[some][:, None] != comp[others][None, :])
-                        fits &= 100 * n[some][:, None] >= percent * n[others][None, :]
-                        if large:
-                            left = np.minimum((n - pos)[some][:, None], (n - pos)[others][None, :])
-                            fits &= (100 + percent) * left >= percent * (n[some][:, None] + n[others][None, :])
+                        fits &= (100 + percent) * left >= percent * (n[some][:, None] + n[others][None, :])
                         r, c = np.nonzero(fits)
+                        left = left[r, c]
                         r, c = some[r], others[c]
-                        found.append((sid[r], sid[c], n[r], n[c], np.full(len(r), _SURE if large else 1, np.int64), np.minimum(more[r], more[c])))
+                        swap = sid[r] > sid[c]
+                        r, c = np.where(swap, c, r), np.where(swap, r, c)
+                        rest = np.minimum(more[r], more[c]) + left - 1
+                        found.append((sid[r], sid[c], n[r], n[c], np.full(len(r), _SURE if large else 1, np.int64), rest))
                         held += len(r)
                         if held > 200_000:
                             yield _pairs_table(*map(np.concatenate, zip(*found)))
@@ -269,7 +307,7 @@ def _cross_pairs(rows: DataFrame, percent: int, hot: int, block: int = 1024) ->
     in_large = materialize(rows.where(F.col("block") > hot).groupBy("sid").agg(F.count(F.lit(1)).alias("more")), "in-large")
     open_rows = rows.where("held IS NULL").join(in_large, "sid", "left").withColumn("more", F.coalesce("more", F.lit(0)))
     open_rows = open_rows.select("h", "sid", "n", "pos", "comp", "more").repartition("h").sortWithinPartitions("h", "n", "sid")
-    return _promising(open_rows.mapInArrow(run, _PAIRS), percent)
+    return _promising(open_rows.mapInArrow(run, _PAIRS), percent).select("a", "b")
 
 
 def _needed_filter(sids: DataFrame):
@@ -320,7 +358,7 @@ def _links(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFram
 
 def _with_components(rows: DataFrame, links: DataFrame) -> DataFrame:
     """Rows of blocks that still span components, with the component of each."""
-    labels = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    labels = components(forest(links.select(F.col("a").alias("u"), F.col("b").alias("v"))))
     labelled = rows.join(labels.withColumnRenamed("node", "sid"), "sid", "left")
     labelled = materialize(labelled.select("h", "sid", "n", "pos", F.coalesce("component", "sid").alias("comp")), "rows")
     mixed = labelled.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("block"))
@@ -333,16 +371,17 @@ def _frequent(counts: DataFrame, hot: int) -> DataFrame:
     return materialize(counts.where(F.col("n") > hot).orderBy(F.desc("n"), "h").limit(_MAX_HOT).select("h"), "frequent")
 
 
-def set_links(texts: DataFrame, late: DataFrame, n: int, percent: int, hot: int) -> DataFrame:
+def set_links(texts: DataFrame, counts: np.ndarray, n: int, percent: int, hot: int) -> DataFrame:
     """Links ``(a, b)`` between sets that connect just what all pairs at or above the threshold connect.
 
-    ``late`` are n-grams ``h`` to be put last from the beginning; they do not change the result.
+    ``counts`` are the summed counters of ``set_table``; they do not change the result.
     """
     spark, links = texts.sparkSession, None
+    counts, late = spark.sparkContext.broadcast(counts), spark.createDataFrame([], "h bigint")
     while True:
         last = np.sort(late.toArrow()["h"].to_numpy().view(np.uint64))
-        rows = materialize(_shared(_first_ngrams(texts, n, percent, spark.sparkContext.broadcast(last))), "shared")
-        star = materialize(_star_pairs(rows, percent), "star")
+        rows = materialize(_shared(_first_ngrams(texts, n, percent, counts, spark.sparkContext.broadcast(last))), "shared")
+        star = materialize(_nearest_centres(_star_pairs(rows, percent)), "star")
         found = _links(star, texts, n, percent)
         links = found if links is None else links.union(found)
         rows = materialize(_with_components(rows, links), "mixed")
@@ -350,7 +389,8 @@ def set_links(texts: DataFrame, late: DataFrame, n: int, percent: int, hot: int)
         held_back = _frequent(large, hot)
         # Blocks held back count as large for what their documents may share.
         cross = _cross_pairs(rows.join(held_back.withColumn("held", F.lit(True)), "h", "left"), percent, hot)
-        links = links.union(_links(cross.join(star, ["a", "b"], "left_anti"), texts, n, percent))
+        checked = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        links = links.union(_links(cross.join(checked, ["a", "b"], "left_anti"), texts, n, percent))
         if held_back.isEmpty():
             return links
         # Linked pairs that only share n-grams of the blocks held back are among the documents of these blocks.
@@ -385,12 +425,11 @@ def near_duplicates(
     Two documents link when 100 times their overlap reaches ``percent`` times their union.
     """
     scanned = materialize(set_table(docs, key, text, n), "set-table")
-    sets = scanned.where("copies IS NULL").drop("copies")
-    late = _frequent(scanned.where("copies IS NOT NULL").groupBy(F.col("sid").alias("h")).agg(F.sum("copies").alias("n")), hot)
+    sets = scanned.where("part IS NULL").select("doc_id", "n_shingles", "sid")
     named = sets.where("n_shingles > 0 AND doc_id IS NOT NULL")
     first = materialize(named.groupBy("sid").agg(F.min("doc_id").alias("first")), "first-docs")
-    links = set_links(docs.where(F.col(key).isNotNull()).select(F.col(text).alias("text")), late, n, percent, hot)
-    ends = links.select("a", "b")
+    links = set_links(docs.where(F.col(key).isNotNull()).select(F.col(text).alias("text")), _frequencies(scanned), n, percent, hot)
+    ends = forest(links.select(F.col("a").alias("u"), F.col("b").alias("v"))).select(F.col("u").alias("a"), F.col("v").alias("b"))
     for end in ("a", "b"):
         ends = ends.join(first.select(F.col("sid").alias(end), F.col("first").alias(f"doc_{end}")), end)
     labels = components(materialize(ends.select(F.col("doc_a").alias("u"), F.col("doc_b").alias("v")), "doc-links"))
