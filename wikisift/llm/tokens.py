@@ -29,71 +29,160 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from wikisift.llm import ragged
 from wikisift.llm.eliasfano import EliasFano, encode
 from wikisift.sources.tables import materialize, scratch_dir
 
 _MAGIC = b"WSTOKEN1"
 _HEADER = struct.Struct("<8sQQQB7x")
-_CACHE_WORDS = 300_000
-_CACHE_PIECES = 100_000
+_CACHE_WORDS = 500_000
+_RECENT_WORDS = 40_000
+_CACHED_BYTES = 100
+_JOINED = 400
 _MANIFEST = "file string, part int, number int, n_docs bigint, n_ids bigint"
 _loaded: dict = {}
 
 
-class _Words(dict):
-    """Ids, as bytes, of pieces of text between blanks, for a tokenizer that drops white space and case.
+_LETTER = np.zeros(256, bool)
+_LETTER[65:91] = _LETTER[97:123] = True
+_STOP = np.zeros(256, bool)
+_STOP[[0x2C, 0x2E]] = True
 
-    Three bounded tables: pieces as they stand; and the words in them, lower-cased and
-    without stops at their end, in two generations, so frequent words outlast rare ones.
+
+def _units(piece: ragged.Piece) -> tuple[np.ndarray, ...]:
+    """Bytes, start and end of the units of a piece, which are plain, and the number of units before each document.
+
+    A unit is a word, cut again where an ASCII letter meets a full stop or comma. Plain ones
+    are lower-cased as far as ASCII goes. Those with a character beyond Latin-1, which may
+    compose with its letter, or with the mark of special ids are not plain and stay as they are.
+    """
+    data = piece.data
+    starts, ends, _ = ragged.words(data, piece.offsets)
+    if len(data) > 1:
+        cut = (_LETTER[data[1:]] & _STOP[data[:-1]]) | (_STOP[data[1:]] & _LETTER[data[:-1]])
+        cuts = np.setdiff1d(np.flatnonzero(cut) + 1, piece.offsets)
+        starts, ends = np.sort(np.concatenate([starts, cuts])), np.sort(np.concatenate([ends, cuts]))
+    odd = np.concatenate([[0], np.cumsum((data >= 0xC4) | (data == 0x3C))])
+    odd = odd[ends] > odd[starts]
+    folded = ragged.lower_ascii(data)
+    if odd.any():
+        lengths = (ends - starts)[odd]
+        at = np.repeat(starts[odd], lengths) + np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        folded[at] = data[at]
+    return folded, starts, ends, ~odd, np.searchsorted(starts, piece.offsets)
+
+
+class _Words:
+    """Ids of units, for a tokenizer that drops white space and case and takes letters apart from stops.
+
+    Units that came up are kept, sorted by a hash and told apart by a second one: a large
+    table, and a small one of recent units that is merged into it now and then. When there
+    are too many, those not seen for longest go.
     """
 
     def __init__(self, path: str):
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.young, self.old = {}, {}
+        self.ids, self.now = np.zeros(0, self.kind), 0
+        self.tables = [self._table(*[np.zeros(0, np.uint64)] * 2, *[np.zeros(0, np.int64)] * 3) for _ in range(2)]
+
+    @staticmethod
+    def _table(key, check, at, count, seen):
+        order = np.argsort(key)
+        return {"key": key[order], "check": check[order], "at": at[order], "count": count[order], "seen": seen[order]}
 
     def encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
-    def _word(self, word: str) -> bytes:
-        ids = self.young.get(word)
-        if ids is None:
-            ids = self.old.get(word)
-            if ids is None:
-                ids = self.encode(word)
-            if len(self.young) >= _CACHE_WORDS:
-                self.old, self.young = self.young, {}
-            if len(word) < 100:
-                self.young[word] = ids
-        return ids
-
-    def __missing__(self, piece: str) -> bytes:
-        ids = None
-        # Only where case and the cut before the stops are beyond doubt: Latin-1, no quotes, no marks of special ids.
-        if piece and "'" not in piece and "<" not in piece and max(piece) < "\u0100":
-            word = piece.lower().rstrip(".,")
-            if word and word[-1].isalpha():
-                ids = self._word(word)
-                if len(word) < len(piece):
-                    ids += self._word(piece[len(word) :])
-        if ids is None:
-            ids = self._word(piece)
-        if len(self) >= _CACHE_PIECES:
-            self.clear()
-        if len(piece) < 100:
-            self[piece] = ids
-        return ids
-
-
-def _encoder(path: str, words_apart: bool):
-    key = (path, words_apart)
-    if key not in _loaded:
-        _loaded[key] = _Words(path)
-    words = _loaded[key]
-    if words_apart:
-        return words.kind, lambda text: b"".join(map(words.__getitem__, text.split(" ")))
-    return words.kind, words.encode
+    def _tokenise(self, units: list[str], plain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all units in a row, the plain ones first, and how many each has. Plain ones are tokenised many in one call."""
+        found, counts = [np.zeros(0, self.kind)], np.zeros(len(units), np.int64)
+        at = np.flatnonzero(plain)
+        for k in range(0, len(at), _JOINED):
+            some = at[k : k + _JOINED]
+            joined = [units[i] for i in some.tolist()]
+            encoded = self.tokenizer.encode(" ".join(joined), add_special_tokens=False)
+            begins = np.cumsum([0] + [len(u) + 1 for u in joined])
+            counts[some] = np.diff(np.searchsorted(np.array([a for a, _ in encoded.offsets], np.int64), begins))
+            found.append(np.array(encoded.ids, self.kind))
+        for i in np.flatnonzero(~plain).tolist():
+            found.append(np.frombuffer(self.encode(units[i]), self.kind))
+            counts[i] = len(found[-1])
+        return np.concatenate(found), counts
+
+    def _keep(self, key, check, at, count):
+        """Add units to the recent table; merge and thin out where needed."""
+        old, recent = self.tables
+        seen = np.full(len(key), self.now)
+        recent = self._table(*(np.concatenate([recent[c], x]) for c, x in zip(("key", "check", "at", "count", "seen"), (key, check, at, count, seen))))
+        if len(recent["key"]) > _RECENT_WORDS:
+            old = {c: np.concatenate([old[c], recent[c]]) for c in old}
+            if len(old["key"]) > _CACHE_WORDS:
+                keep = np.flatnonzero(old["seen"] > np.quantile(old["seen"], 0.5))
+                old = {c: v[keep] for c, v in old.items()}
+                self.ids = self.ids[_ranges(old["at"], old["count"])]
+                old["at"] = np.cumsum(old["count"]) - old["count"]
+            old, recent = self._table(**old), {c: v[:0] for c, v in recent.items()}
+        self.tables = [old, recent]
+
+    def piece_ids(self, piece: ragged.Piece, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the documents of a piece in a row, each with the end id, and how many each has."""
+        self.now += 1
+        folded, starts, ends, plain, before = _units(piece)
+        key, first, inverse = np.unique(ragged.Hasher(folded).spans(starts, ends), return_index=True, return_inverse=True)
+        starts, ends = starts[first], ends[first]
+        lengths = ends - starts
+        check = _second_hash(folded, starts, lengths)
+        at, count = np.full(len(key), -1), np.zeros(len(key), np.int64)
+        for table in self.tables:
+            if len(table["key"]):
+                place = np.minimum(np.searchsorted(table["key"], key), len(table["key"]) - 1)
+                known = np.flatnonzero((table["key"][place] == key) & (table["check"][place] == check))
+                at[known], count[known] = table["at"][place[known]], table["count"][place[known]]
+                table["seen"][place[known]] = self.now
+        ids = self.ids
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            new = new[np.argsort(~plain[first[new]], kind="stable")]
+            raw = folded.tobytes()
+            fresh, counts = self._tokenise([raw[a:b].decode() for a, b in zip(starts[new].tolist(), ends[new].tolist())], plain[first[new]])
+            at[new], count[new] = len(ids) + np.cumsum(counts) - counts, counts
+            ids = np.concatenate([ids, fresh])
+            short = lengths[new] <= _CACHED_BYTES
+            if short.all():
+                self.ids = ids
+            else:
+                self.ids = np.concatenate([self.ids, fresh[np.repeat(short, counts)]])
+            kept = np.cumsum(counts * short) - counts * short + len(self.ids) - (counts * short).sum()
+            self._keep(key[new][short], check[new][short], kept[short], counts[short])
+        counts = count[inverse]
+        total = np.concatenate([[0], np.cumsum(counts)])
+        per_doc = total[before[1:]] - total[before[:-1]] + 1
+        out = np.full(int(per_doc.sum()), end_id, self.kind)
+        inside = np.ones(len(out), bool)
+        inside[np.cumsum(per_doc) - 1] = False
+        out[inside] = ids[_ranges(at[inverse], counts)]
+        return out, per_doc
+
+
+def _ranges(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, ``count`` of them, in a row."""
+    return np.repeat(start - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
+
+
+def _second_hash(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Another 64-bit hash of spans, independent of that of ``ragged``."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    place = np.arange(int(lengths.sum())) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    values = data[np.repeat(starts, lengths) + place].astype(np.uint64) + np.uint64(257)
+    return ragged.mix(np.add.reduceat(ragged.mix(values * np.uint64(0xD6E8FEB86659FD93) + place.astype(np.uint64)), np.cumsum(lengths) - lengths))
+
+
+def _encoder(path: str) -> _Words:
+    if path not in _loaded:
+        _loaded[path] = _Words(path)
+    return _loaded[path]
 
 
 def write_file(target: str, doc_ids: list[int | None], boundaries: np.ndarray, ids: bytes, width: int) -> None:
@@ -107,7 +196,13 @@ def write_file(target: str, doc_ids: list[int | None], boundaries: np.ndarray, i
         out.write(encode(named))
         out.write(encode(boundaries))
         out.write(ids)
-    fs.move(draft, path)
+    try:
+        fs.move(draft, path)
+    except OSError:  # on stores that replace nothing, the file of an earlier attempt stays
+        there, own = fs.get_file_info([path, draft])
+        if there.type != pafs.FileType.File or there.size != own.size:
+            raise
+        fs.delete_file(draft)
 
 
 def read_file(content: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
@@ -148,15 +243,15 @@ def write_tokens(
     fs.create_dir(path, recursive=True)
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        kind, tokenise = _encoder(tokenizer, words_apart)
-        end = np.array([end_id], kind).tobytes()
-        part, number = TaskContext.get().partitionId(), 0
+        words = _encoder(tokenizer)
+        kind, part, number = words.kind, TaskContext.get().partitionId(), 0
         names, lengths, chunks, held = [], [], [], 0
 
         def flush():
             nonlocal names, lengths, chunks, held, number
             file = f"tokens-{part:06d}-{number:06d}.bin"
-            write_file(f"{target}/{file}", names, np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64), b"".join(chunks), kind.itemsize)
+            bounds = np.concatenate([[0], np.cumsum(np.concatenate(lengths))]).astype(np.int64)
+            write_file(f"{target}/{file}", names, bounds, np.concatenate(chunks).tobytes(), kind.itemsize)
             row = pa.RecordBatch.from_pydict({
                 "file": [file], "part": pa.array([part], pa.int32()), "number": pa.array([number], pa.int32()),
                 "n_docs": [len(names)], "n_ids": [held],
@@ -164,15 +259,26 @@ def write_tokens(
             names, lengths, chunks, held, number = [], [], [], 0, number + 1
             return row
 
+        def whole(piece):
+            raw, end = piece.data.tobytes(), np.array([end_id], kind)
+            parts = [np.frombuffer(words.encode(raw[a:b].decode()), kind) for a, b in zip(piece.offsets[:-1], piece.offsets[1:])]
+            return np.concatenate([x for p in parts for x in (p, end)]), np.array([len(p) + 1 for p in parts])
+
         for b in batches:
-            for name, value in zip(b.column(0).to_pylist(), b.column(1)):
-                ids = tokenise(value.as_py() or "") + end
-                names.append(name)
-                chunks.append(ids)
-                lengths.append(len(ids) // kind.itemsize)
-                held += lengths[-1]
-                if held >= file_ids:
-                    yield flush()
+            ids_of = b.column(0).to_pylist()
+            for piece in ragged.pieces(b.column(1)):
+                ids, counts = words.piece_ids(piece, end_id) if words_apart else whole(piece)
+                ends, first = np.cumsum(counts), 0
+                while first < piece.n:  # a file ends with the document that fills it
+                    done = int(ends[first - 1]) if first else 0
+                    last = min(int(np.searchsorted(ends, done + file_ids - held)) + 1, piece.n)
+                    names += ids_of[piece.rows[first] : piece.rows[first] + last - first]
+                    lengths.append(counts[first:last])
+                    chunks.append(ids[done : ends[last - 1]])
+                    held += int(ends[last - 1]) - done
+                    first = last
+                    if held >= file_ids:
+                        yield flush()
         if names:
             yield flush()
 
