@@ -1,7 +1,10 @@
+import random
+
 import pytest
 
 from tests.llm.cases import awkward, collected, documents, edited, frame, lower, prose, words
-from wikisift.llm.graph import components
+from wikisift.llm import ngram_join
+from wikisift.llm.graph import components, forest
 from wikisift.llm.ngram_join import near_duplicates, op4_ngram_join
 
 
@@ -43,10 +46,38 @@ def corpus():
     return rows
 
 
-@pytest.mark.parametrize("hot", [64, 3])
-def test_equals_brute_force(spark, hot):
+def test_equals_brute_force(spark):
     rows = corpus()
-    assert collected(near_duplicates(frame(spark, rows), hot=hot)) == brute(rows)
+    assert collected(near_duplicates(frame(spark, rows))) == brute(rows)
+
+
+def passages(seed):
+    """Many texts of passages they share, with little of their own, some above the threshold and some below."""
+    rng = random.Random(seed)
+    shared = [prose(900 + i, 24) for i in range(7)]
+    return [(i, " ".join([*rng.sample(shared, 5), *prose(2000 + i, rng.choice([0, 1, 6, 20])).split()]), "xx", "a") for i in range(160)]
+
+
+@pytest.mark.parametrize("most", [4096, 9])
+def test_large_blocks_in_parts(spark, monkeypatch, most):
+    monkeypatch.setattr(ngram_join, "_BLOCK_ROWS", most)
+    rows = passages(most)
+    assert collected(near_duplicates(frame(spark, rows))) == brute(rows)
+
+
+def test_group_of_near_copies(spark):
+    base = prose(60, 120)
+    rows = [(i, edited(base, [i % 97, (i * 7) % 89, (i * 13) % 101]), "xx", "a") for i in range(500)] + [(500 + i, prose(700 + i, 100), "xx", "a") for i in range(20)]
+    assert collected(near_duplicates(frame(spark, rows))) == brute(rows)
+
+
+def test_forest(spark):
+    rng = random.Random(3)
+    links = [(rng.randrange(300), rng.randrange(300)) for _ in range(5000)] + [(1000, 1001), (1001, 1000), (7, 7), (None, 3)]
+    df = spark.createDataFrame(links, "u bigint, v bigint").repartition(4)
+    kept = forest(df)
+    assert kept.count() <= 4 * 301
+    assert collected(components(kept)) == collected(components(df.where("u IS NOT NULL")))
 
 
 def test_query_and_empty_table(spark, tmp_path):

@@ -18,9 +18,9 @@ any common order gives the same result, the sketch only makes it a good one.
 The result is the set of connected components, so pairs inside one component need not be
 looked at twice. Each document is first compared with the ``_CENTRES`` documents that most
 of its blocks begin with (linear work, which merges large groups of copies), then only
-documents of different components. Where a block has more than ``hot`` documents, its
-n-gram is put last and its documents get new first n-grams. Only what has nothing but such
-n-grams is compared in large blocks. No pair is dropped anywhere.
+documents of different components. Only what has hardly an n-gram of its own meets in
+large blocks; these are cut into parts, and each pair of parts is a task's work of bounded
+size. No pair is dropped anywhere.
 
 Documents with equal sets are one row (``sid``) from the first scan on. Sets and n-grams
 are known by 64-bit hashes.
@@ -43,13 +43,12 @@ from wikisift.llm.graph import components, forest
 from wikisift.sources.tables import materialize
 
 _FILTER_BITS = 23
-_MAX_HOT = 1_000_000
+_BLOCK_ROWS = 4096
 _PART_ROWS = 100_000
 _SKETCH_BITS = 22
 _SKETCH_PART = 1 << 16
-_LAST = 0xFFFF
+_MOST = 0xFFFF
 _CENTRES = 2
-_SURE = 1 << 40
 _PAIRS = "a bigint, b bigint, na bigint, nb bigint, c bigint, rest bigint"
 
 
@@ -129,7 +128,7 @@ def _frequencies(scanned: DataFrame) -> np.ndarray:
             yield one(at, total)
 
     def one(part, total):
-        data = np.minimum(total, _LAST - 1).astype(np.uint16).tobytes()
+        data = np.minimum(total, _MOST).astype(np.uint16).tobytes()
         return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([data], pa.binary())], names=["part", "counters"])
 
     rows = scanned.where("part IS NOT NULL").select("part", "counters").repartition("part").sortWithinPartitions("part")
@@ -139,19 +138,16 @@ def _frequencies(scanned: DataFrame) -> np.ndarray:
     return out.reshape(-1)
 
 
-def _first_ngrams(texts: DataFrame, n: int, percent: int, counts, late) -> DataFrame:
-    """``(h, sid, n, pos)``: the first n-grams of each set by the broadcast ``counts``; those of ``late`` (sorted) come last."""
+def _first_ngrams(texts: DataFrame, n: int, percent: int, counts) -> DataFrame:
+    """``(h, sid, n, pos)``: the first n-grams of each set by the broadcast ``counts``."""
 
     def run(batches):
-        frequency, last = counts.value, late.value
+        frequency = counts.value
         for b in batches:
             seen: set[int] = set()
             for piece in ragged.pieces(b.column(0)):
                 grams, owner, sizes, sids = _sets(piece, n)
                 rank = frequency[(grams >> np.uint64(64 - _SKETCH_BITS)).astype(np.int64)]
-                if len(last):
-                    at = np.minimum(np.searchsorted(last, grams), len(last) - 1)
-                    rank[last[at] == grams] = _LAST
                 grams = grams[np.lexsort((rank, owner))]  # equal ranks stay in the order of the hashes
                 place = np.arange(len(grams)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
                 ahead = sizes - _overlap_bound(sizes, percent) + 1
@@ -267,36 +263,35 @@ def _nearest_centres(star: DataFrame) -> DataFrame:
     return star.withColumn("nth", F.row_number().over(nearest)).where(F.col("nth") <= _CENTRES).select("a", "b")
 
 
-def _cross_pairs(rows: DataFrame, percent: int, hot: int, block: int = 1024) -> DataFrame:
+def _cross_pairs(rows: DataFrame, percent: int, tile: int = 1024) -> DataFrame:
     """All pairs of one block that are of different components and can reach the threshold.
 
-    A pair gathers its count from the blocks of up to ``hot`` documents; what it may share in
-    larger ones is added to the bound. In larger blocks the bound is what both have left there.
+    A block of k times ``_BLOCK_ROWS`` documents is cut into k parts by a hash, and every pair
+    of parts, or a part alone, is compared on its own.
     """
 
     def run(batches):
-        for h, sid, n, pos, comp, more in _blocks(batches, 6):
-            n, pos = n.astype(np.int64), pos.astype(np.int64)
-            opens = np.concatenate([[0], np.flatnonzero(h[1:] != h[:-1]) + 1, [len(h)]])
+        for g, sid, n, pos, comp, part in _blocks(batches, 6):
+            n, left_of = n.astype(np.int64), (n - pos).astype(np.int64)
+            opens = np.concatenate([[0], np.flatnonzero(g[1:] != g[:-1]) + 1, [len(g)]])
             found, held = [], 0
             for first, end in zip(opens[:-1], opens[1:]):
-                large = end - first > hot
-                for i in range(first, end, block):
-                    some = np.arange(i, min(i + block, end))
+                for i in range(first, end, tile):
+                    some = np.arange(i, min(i + tile, end))
                     limit = n[some[-1]] * 100 // percent
                     stop = first + int(np.searchsorted(n[first:end], limit, side="right"))
-                    for j in range(i, stop, block):
-                        others = np.arange(j, min(j + block, stop))
-                        left = np.minimum((n - pos)[some][:, None], (n - pos)[others][None, :])
+                    for j in range(i, stop, tile):
+                        others = np.arange(j, min(j + tile, stop))
+                        left = np.minimum(left_of[some][:, None], left_of[others][None, :])
                         fits = (others[None, :] > some[:, None]) & (comp[some][:, None] != comp[others][None, :])
+                        fits &= (part[some] < 0)[:, None] | (part[some][:, None] != part[others][None, :])
                         fits &= (100 + percent) * left >= percent * (n[some][:, None] + n[others][None, :])
                         r, c = np.nonzero(fits)
                         left = left[r, c]
                         r, c = some[r], others[c]
                         swap = sid[r] > sid[c]
                         r, c = np.where(swap, c, r), np.where(swap, r, c)
-                        rest = np.minimum(more[r], more[c]) + left - 1
-                        found.append((sid[r], sid[c], n[r], n[c], np.full(len(r), _SURE if large else 1, np.int64), rest))
+                        found.append((sid[r], sid[c], n[r], n[c], np.ones(len(r), np.int64), left - 1))
                         held += len(r)
                         if held > 200_000:
                             yield _pairs_table(*map(np.concatenate, zip(*found)))
@@ -304,10 +299,15 @@ def _cross_pairs(rows: DataFrame, percent: int, hot: int, block: int = 1024) ->
             if held:
                 yield _pairs_table(*map(np.concatenate, zip(*found)))
 
-    in_large = materialize(rows.where(F.col("block") > hot).groupBy("sid").agg(F.count(F.lit(1)).alias("more")), "in-large")
-    open_rows = rows.where("held IS NULL").join(in_large, "sid", "left").withColumn("more", F.coalesce("more", F.lit(0)))
-    open_rows = open_rows.select("h", "sid", "n", "pos", "comp", "more").repartition("h").sortWithinPartitions("h", "n", "sid")
-    return _promising(open_rows.mapInArrow(run, _PAIRS), percent).select("a", "b")
+    parts = F.ceil(F.col("block") / _BLOCK_ROWS)
+    cut = rows.withColumn("part", F.pmod(F.xxhash64("sid"), parts)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)))
+    both = F.xxhash64("h", F.least("part", "other"), F.greatest("part", "other"))
+    cut = cut.select(
+        F.when(F.col("block") <= _BLOCK_ROWS, F.col("h")).otherwise(both).alias("g"), "sid", "n", "pos", "comp",
+        F.when(F.col("part") == F.col("other"), -1).otherwise(F.col("part")).cast("int").alias("part"),
+    )
+    placed = cut.repartition("g").sortWithinPartitions("g", "n", "sid")
+    return _promising(placed.mapInArrow(run, _PAIRS), percent).select("a", "b")
 
 
 def _needed_filter(sids: DataFrame):
@@ -366,59 +366,22 @@ def _with_components(rows: DataFrame, links: DataFrame) -> DataFrame:
     return labelled.join(mixed, "h").select("h", "sid", "n", "pos", "comp", "block")
 
 
-def _frequent(counts: DataFrame, hot: int) -> DataFrame:
-    """The n-grams ``h`` of ``counts(h, n)`` that come up in more than ``hot`` sets; of very many, the most frequent."""
-    return materialize(counts.where(F.col("n") > hot).orderBy(F.desc("n"), "h").limit(_MAX_HOT).select("h"), "frequent")
-
-
-def set_links(texts: DataFrame, counts: np.ndarray, n: int, percent: int, hot: int) -> DataFrame:
+def set_links(texts: DataFrame, counts: np.ndarray, n: int, percent: int) -> DataFrame:
     """Links ``(a, b)`` between sets that connect just what all pairs at or above the threshold connect.
 
     ``counts`` are the summed counters of ``set_table``; they do not change the result.
     """
-    spark, links = texts.sparkSession, None
-    counts, late = spark.sparkContext.broadcast(counts), spark.createDataFrame([], "h bigint")
-    while True:
-        last = np.sort(late.toArrow()["h"].to_numpy().view(np.uint64))
-        rows = materialize(_shared(_first_ngrams(texts, n, percent, counts, spark.sparkContext.broadcast(last))), "shared")
-        star = materialize(_nearest_centres(_star_pairs(rows, percent)), "star")
-        found = _links(star, texts, n, percent)
-        links = found if links is None else links.union(found)
-        rows = materialize(_with_components(rows, links), "mixed")
-        large = rows.where(F.col("block") > hot).select("h", F.col("block").alias("n")).distinct().join(late, "h", "left_anti")
-        held_back = _frequent(large, hot)
-        # Blocks held back count as large for what their documents may share.
-        cross = _cross_pairs(rows.join(held_back.withColumn("held", F.lit(True)), "h", "left"), percent, hot)
-        checked = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        links = links.union(_links(cross.join(checked, ["a", "b"], "left_anti"), texts, n, percent))
-        if held_back.isEmpty():
-            return links
-        # Linked pairs that only share n-grams of the blocks held back are among the documents of these blocks.
-        touched = rows.join(held_back, "h", "left_semi").select("sid").distinct()
-        texts = _only(texts, n, materialize(touched, "touched"))
-        late = materialize(late.union(held_back).distinct(), "late")
-
-
-def _only(texts: DataFrame, n: int, sids: DataFrame) -> DataFrame:
-    """The texts whose set is one of ``sids``, and perhaps a few more."""
-    wanted = sids.sparkSession.sparkContext.broadcast(_needed_filter(sids))
-
-    def run(batches):
-        bits = wanted.value
-        for b in batches:
-            keep, seen = [np.zeros(0, bool)], set()
-            for piece in ragged.pieces(b.column(0)):
-                _, _, sizes, sids_ = _sets(piece, n)
-                slot = sids_.view(np.uint64) >> np.uint64(64 - _FILTER_BITS)
-                mark = (bits[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1)
-                keep.append(_once(sids_, sizes, seen) & (mark > 0))
-            yield b.filter(pa.array(np.concatenate(keep)))
-
-    return materialize(texts.mapInArrow(run, "text string"), "touched-texts")
+    shared = texts.sparkSession.sparkContext.broadcast(counts)
+    rows = materialize(_shared(_first_ngrams(texts, n, percent, shared)), "shared")
+    star = materialize(_nearest_centres(_star_pairs(rows, percent)), "star")
+    links = _links(star, texts, n, percent)
+    cross = _cross_pairs(_with_components(rows, links), percent)
+    checked = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return links.union(_links(cross.join(checked, ["a", "b"], "left_anti"), texts, n, percent))
 
 
 def near_duplicates(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, percent: int = 75, hot: int = 64,
+    docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, percent: int = 75,
 ) -> DataFrame:
     """``(doc_id, n_shingles, component_id)`` of every row: the smallest id reachable by links.
 
@@ -428,7 +391,7 @@ def near_duplicates(
     sets = scanned.where("part IS NULL").select("doc_id", "n_shingles", "sid")
     named = sets.where("n_shingles > 0 AND doc_id IS NOT NULL")
     first = materialize(named.groupBy("sid").agg(F.min("doc_id").alias("first")), "first-docs")
-    links = set_links(docs.where(F.col(key).isNotNull()).select(F.col(text).alias("text")), _frequencies(scanned), n, percent, hot)
+    links = set_links(docs.where(F.col(key).isNotNull()).select(F.col(text).alias("text")), _frequencies(scanned), n, percent)
     ends = forest(links.select(F.col("a").alias("u"), F.col("b").alias("v"))).select(F.col("u").alias("a"), F.col("v").alias("b"))
     for end in ("a", "b"):
         ends = ends.join(first.select(F.col("sid").alias(end), F.col("first").alias(f"doc_{end}")), end)
