@@ -25,6 +25,7 @@ from wikisift.sources.dump import read_dump
 from wikisift.sources.site import distinct_pages
 from wikisift.sources.tables import materialize, scratch_dir, spread, stream_table
 from wikisift.streaming import incremental
+from wikisift.streaming.segments import compact, create_index
 
 try:  # the operators for training data are an optional part
     import corpus_pipeline
@@ -185,7 +186,7 @@ def incremental_ids(spark, sf_dir):
     """Index the plain-http pages, then all pages: the second batch adds only the rest."""
     path = f"{scratch_dir(spark)}/incremental-{spark.range(1).select(F.uuid()).first()[0]}"
     df = table(spark, sf_dir, "pages").select(F.col("url").alias("page_name"), "html")
-    incremental.create_index(spark, path)
+    create_index(spark, path)
     incremental.incremental_index(df.where(F.startswith("page_name", F.lit("http://"))), path, 0)
     incremental.incremental_index(df, path, 1)
     # Another run that begins at 0 again replaces nothing and finds nothing new.
@@ -207,6 +208,34 @@ def streamed_ids(spark, sf_dir):
     return incremental.read_table(spark, f"{base}/index", "doc_ids").select("doc_id", "page_name", "batch_id")
 
 
+def incremental_search(spark, sf_dir):
+    """Three batches of pages, two of them compacted into one segment, searched as one index."""
+    path = f"{scratch_dir(spark)}/segments-{spark.range(1).select(F.uuid()).first()[0]}"
+    df = table(spark, sf_dir, "pages").select("page_id", F.col("url").alias("page_name"), "html")
+    create_index(spark, path)
+    for batch, part in enumerate((F.startswith("page_name", F.lit("http://")), F.col("page_id") % 2 == 0, F.lit(True))):
+        incremental.incremental_index(df.where(part).drop("page_id"), path, batch, "r")
+        if batch == 1:
+            compact(spark, path)
+    hits = search(query_table(spark, [TWO_TERMS]), incremental.stored_index(spark, path), normalize="euc", rank=False)
+    names = incremental.read_table(spark, path, "doc_ids").select("doc_id", "page_name")
+    return _scores(hits.join(names, "doc_id"), "page_name").drop("doc_id")
+
+
+def streamed_batches(spark, sf_dir):
+    """Pages that arrive in three rounds, each with those of the rounds before, from a stream with keyed state."""
+    base = f"{scratch_dir(spark)}/streamed-{spark.range(1).select(F.uuid()).first()[0]}"
+    df = table(spark, sf_dir, "pages").select(F.col("url").alias("page_name"), "html")
+    first = F.startswith("page_name", F.lit("http://"))
+    df.where(first).write.parquet(f"{base}/pages")
+    stream = spark.readStream.schema(df.schema).parquet(f"{base}/pages")
+    for arriving in (None, df.where(first | (F.length("page_name") % 2 == 0)), df):
+        if arriving is not None:
+            arriving.write.mode("append").parquet(f"{base}/pages")
+        incremental.stream_index(stream, f"{base}/index", f"{base}/offsets").awaitTermination()
+    return incremental.read_table(spark, f"{base}/index", "doc_ids").select("doc_id", "page_name", "batch_id")
+
+
 # Search
 
 
@@ -517,6 +546,7 @@ def queries() -> dict[str, Query]:
         tokens, page_text, page_checks, normalized_titles, result_urls, page_name_decoding,
         postings_tf, term_statistics, doc_statistics, index_counts, page_postings, term_lookup,
         terms_of_toxic_documents, document_ids, unseen_documents, incremental_ids, streamed_ids,
+        incremental_search, streamed_batches,
         search_two_terms, search_top_hits, search_batch_top10, search_mixed_modes, page_search,
         hit_counts, page_links, site_links, crawl_frontier, attributes_anywhere,
         attributes_first_success, attributes_all_matches, wiki_attributes, wiki_dump_scan,

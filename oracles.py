@@ -239,6 +239,12 @@ def all_sql() -> dict[str, str]:
                 coalesce(n_terms, 0)::BIGINT AS n_terms FROM names LEFT JOIN terms USING (page_id)""",
         "streamed_ids": """SELECT row_number() OVER (ORDER BY page_name) - 1 AS doc_id, page_name, 0::BIGINT AS batch_id
             FROM (SELECT DISTINCT url AS page_name FROM pages)""",
+        "incremental_search": f"""{search(TWO_TERMS, 'own_text', 'page_id', ctes=PAGE_TEXT + """,
+                own_text AS (SELECT * FROM page_text JOIN (SELECT min(page_id) AS page_id FROM pages GROUP BY url) USING (page_id))""")}
+            SELECT query_id, round(raw, 6) AS score, url AS page_name FROM ({scored('euc')}) JOIN pages ON page_id = doc_id""",
+        "streamed_batches": """WITH names AS (SELECT DISTINCT url AS page_name,
+                CASE WHEN starts_with(url, 'http://') THEN 0 WHEN length(url) % 2 = 0 THEN 1 ELSE 2 END AS batch FROM pages)
+            SELECT row_number() OVER (ORDER BY batch, page_name) - 1 AS doc_id, page_name, batch::BIGINT AS batch_id FROM names""",
         "search_two_terms": ranked("raw", TWO_TERMS),
         "search_top_hits": f"""{search(TWO_TERMS)} SELECT query_id, doc_id, round(raw, 6) AS score
             FROM ({scored('raw')}) ORDER BY round(raw, 9) DESC, doc_id LIMIT 100""",

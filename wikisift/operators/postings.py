@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from wikisift.functions.expr import once
 from wikisift.functions.text import term_vector, tokens
-from wikisift.sources.tables import choose_buckets, write_by_term
+from wikisift.operators.skew import join_lookup
+from wikisift.sources.tables import choose_buckets, with_bucket, write_by_term
 
 
 def document_vectors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -89,6 +90,11 @@ class TextIndex:
         """A lazy index; save a large one, as every use of a table reads the documents again."""
         return cls.of_vectors(document_vectors(docs, id_col, text_col))
 
+    def lookup(self, terms: DataFrame, fits: bool) -> DataFrame:
+        """``df`` and ``idf`` of each row of ``terms`` whose term is known; ``fits`` says that they may be broadcast."""
+        keyed, keys = with_bucket(terms, self.terms)
+        return join_lookup(self.terms, keyed, keys, "term", fits).drop("term_bucket")
+
     def save(self, path: str, buckets: int | None = None) -> TextIndex:
         """Write all tables. Texts are tokenised once: the rest is read from the vectors."""
         spark = self.vectors.sparkSession

@@ -11,7 +11,7 @@ from wikisift.functions.text import tokens
 from wikisift.operators.postings import TextIndex
 from wikisift.operators.ranking import ranked
 from wikisift.operators.skew import BROADCAST_ROWS, fits_broadcast, join_lookup
-from wikisift.sources.tables import bucket_count, materialize, term_bucket
+from wikisift.sources.tables import bucket_count, materialize, with_bucket
 
 TF_MODES = ("raw", "log", "max")
 # Batches of up to this many queries are summed up on the driver.
@@ -32,18 +32,6 @@ def query_terms(queries: DataFrame, text_col: str = "query_text") -> DataFrame:
     )
 
 
-def with_bucket(terms: DataFrame, table: DataFrame) -> tuple[DataFrame, list[str]]:
-    """Join keys for a term-keyed table; a stored one is also joined on its bucket.
-
-    The bucket is the partition column of stored tables, so the join prunes their
-    folders at run time.
-    """
-    buckets = bucket_count(table)
-    if buckets is None:
-        return terms, ["term"]
-    return terms.withColumn("term_bucket", term_bucket(F.col("term"), buckets)), ["term_bucket", "term"]
-
-
 def hit_order() -> list[Column]:
     """Best score first, then document id (Q-RANK).
 
@@ -133,9 +121,8 @@ def search(
     terms = query_terms(queries.select("query_id", "query_text", *per_query))
     terms = terms.withColumnsRenamed({c: f"q_{c}" for c in per_query})
     fits = fits_broadcast(terms)
-    terms, keys = with_bucket(terms, index.terms)
     # At most as many rows as there are query terms, so what fits before fits after.
-    weighted = join_lookup(index.terms, terms, keys, "term", fits).drop("term_bucket")
+    weighted = index.lookup(terms, fits)
     # A query with an unknown term has no hits, so none of its other lists is read.
     known = F.count(F.lit(1)).over(Window.partitionBy("query_id"))
     weighted = weighted.withColumn("_known", known).where(F.col("_known") == F.col("n_terms")).drop("_known")
