@@ -16,8 +16,8 @@ share makes few candidates. The counts are a sketch of fixed size summed over al
 any common order gives the same result, the sketch only makes it a good one.
 
 The result is the set of connected components, so pairs inside one component need not be
-looked at twice. Each document is first compared with the ``_CENTRES`` documents that most
-of its blocks begin with (linear work, which merges large groups of copies), then only
+looked at twice. Each document is first compared with ``_NEIGHBOURS`` documents that stand
+before it in its blocks (linear work, which merges large groups of copies), then only
 documents of different components. Only what has hardly an n-gram of its own meets in
 large blocks; these are cut into parts, and each pair of parts is a task's work of bounded
 size. No pair is dropped anywhere.
@@ -48,7 +48,8 @@ _PART_ROWS = 100_000
 _SKETCH_BITS = 22
 _SKETCH_PART = 1 << 16
 _MOST = 0xFFFF
-_CENTRES = 2
+_NEIGHBOURS = 8
+_SIGNATURE_BITS = 1024
 _PAIRS = "a bigint, b bigint, na bigint, nb bigint, c bigint, rest bigint"
 
 
@@ -84,14 +85,23 @@ def _overlap_bound(sizes: np.ndarray, percent: int) -> np.ndarray:
     return -(-(sizes * percent) // 100)
 
 
+def _signatures(grams: np.ndarray, owner: np.ndarray, count: int) -> pa.Array:
+    """A bitmap of each set. A bit that only one of two sets has stands for an n-gram that only that one has."""
+    flags = np.zeros((count, _SIGNATURE_BITS), bool)
+    flags[owner, (grams & np.uint64(_SIGNATURE_BITS - 1)).astype(np.int64)] = True
+    width = _SIGNATURE_BITS // 8
+    bounds = np.arange(count + 1, dtype=np.int32) * width
+    return pa.Array.from_buffers(pa.binary(), count, [None, pa.py_buffer(bounds), pa.py_buffer(np.packbits(flags, axis=1))])
+
+
 def set_table(docs: DataFrame, key: str, text: str, n: int) -> DataFrame:
-    """Every row as ``(doc_id, n_shingles, sid)``, and rows of ``(part, counters)``: how often n-grams come up.
+    """Every row as ``(doc_id, n_shingles, sid, bits)``, and rows of ``(part, bits)``: how often n-grams come up.
 
     The counters of a task have one byte each, so they stop at 255; they only order n-grams.
     """
 
     def run(batches):
-        names = ["doc_id", "n_shingles", "sid", "part", "counters"]
+        names = ["doc_id", "n_shingles", "sid", "part", "bits"]
         counters, kind = np.zeros(1 << _SKETCH_BITS, np.uint32), None
         for b in batches:
             seen: set[int] = set()
@@ -100,7 +110,7 @@ def set_table(docs: DataFrame, key: str, text: str, n: int) -> DataFrame:
                 grams, owner, sizes, sids = _sets(piece, n)
                 np.add.at(counters, (grams[_once(sids, sizes, seen)[owner]] >> np.uint64(64 - _SKETCH_BITS)).astype(np.int64), np.uint32(1))
                 own = [b.column(0).slice(piece.rows[0], piece.n), pa.array(sizes.astype(np.int64)), pa.array(sids)]
-                yield pa.RecordBatch.from_arrays([*own, pa.nulls(piece.n, pa.int32()), pa.nulls(piece.n, pa.binary())], names=names)
+                yield pa.RecordBatch.from_arrays([*own, pa.nulls(piece.n, pa.int32()), _signatures(grams, owner, piece.n)], names=names)
         counters = np.minimum(counters, 255).astype(np.uint8).reshape(-1, _SKETCH_PART)
         parts = np.flatnonzero(counters.any(axis=1))
         if len(parts):
@@ -109,7 +119,7 @@ def set_table(docs: DataFrame, key: str, text: str, n: int) -> DataFrame:
 
     kind = docs.schema[key].dataType.simpleString()
     scanned = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
-    return scanned.mapInArrow(run, f"doc_id {kind}, n_shingles bigint, sid bigint, part int, counters binary")
+    return scanned.mapInArrow(run, f"doc_id {kind}, n_shingles bigint, sid bigint, part int, bits binary")
 
 
 def _frequencies(scanned: DataFrame) -> np.ndarray:
@@ -131,7 +141,7 @@ def _frequencies(scanned: DataFrame) -> np.ndarray:
         data = np.minimum(total, _MOST).astype(np.uint16).tobytes()
         return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([data], pa.binary())], names=["part", "counters"])
 
-    rows = scanned.where("part IS NOT NULL").select("part", "counters").repartition("part").sortWithinPartitions("part")
+    rows = scanned.where("part IS NOT NULL").select("part", "bits").repartition("part").sortWithinPartitions("part")
     out = np.zeros((1 << _SKETCH_BITS) // _SKETCH_PART * _SKETCH_PART, np.uint16).reshape(-1, _SKETCH_PART)
     for r in rows.mapInArrow(added, "part int, counters binary").toLocalIterator():
         out[r["part"]] = np.frombuffer(r["counters"], np.uint16)
@@ -224,55 +234,55 @@ def _promising(pairs: DataFrame, percent: int) -> DataFrame:
     return counted.where((100 + percent) * (F.col("c") + F.col("rest")) >= percent * (F.col("na") + F.col("nb"))).select("a", "b", "c")
 
 
-def _star_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """Each document with the smallest of its block that its size can match, where they have enough in common.
+def _neighbour_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """Each document with the one before it in each of its blocks, where they have enough in common.
 
-    ``b`` is the centre, the first of the two by size and ``sid``.
+    Blocks are ordered by size, so the two are alike in it; documents of equal size come in
+    another order in every block, so a document meets different ones.
     """
 
     def run(batches):
-        last, centre = None, None  # of the rows before, as a large group comes in parts
+        last = None  # row before, as a large group comes in parts
         for h, sid, n, pos in _blocks(batches, 4, _PART_ROWS):
             n, left = n.astype(np.int64), (n - pos).astype(np.int64)
-            # Blocks are sorted by size, so a document starts a new star when the last one is too small for it.
-            centres, centre_sizes, centre_left = sid.copy(), n.copy(), left.copy()
-            opens = np.concatenate([[0], np.flatnonzero(h[1:] != h[:-1]) + 1, [len(h)]])
-            goes_on = h[0] == last
-            for i in np.flatnonzero((np.diff(opens) > 1) | (goes_on & (opens[:-1] == 0))):
-                first, end = opens[i], opens[i + 1]
-                if not (goes_on and first == 0):
-                    centre = sid[first], n[first], left[first]
-                while first < end:
-                    stop = first + int(np.searchsorted(n[first:end], centre[1] * 100 // percent, side="right"))
-                    centres[first:stop], centre_sizes[first:stop], centre_left[first:stop] = centre
-                    if stop < end:
-                        centre = sid[stop], n[stop], left[stop]
-                    first = stop
-            last = h[-1]
-            left = np.minimum(left, centre_left)
-            at = np.flatnonzero((centres != sid) & ((100 + percent) * left >= percent * (n + centre_sizes)))
-            yield _pairs_table(sid[at], centres[at], n[at], centre_sizes[at], np.int64(1), left[at] - 1)
-
-    rows = rows.repartition("h").sortWithinPartitions("h", "n", "sid")
+            before = [np.concatenate([x[:1] if last is None else [y], x[:-1]]) for x, y in zip((h, sid, n, left), last or (None,) * 4)]
+            last = h[-1], sid[-1], n[-1], left[-1]
+            same = (before[0] == h) & (before[1] != sid)
+            left = np.minimum(left, before[3])
+            at = np.flatnonzero(same & ((100 + percent) * left >= percent * (n + before[2])))
+            yield _pairs_table(sid[at], before[1][at], n[at], before[2][at], np.int64(1), left[at] - 1)
+
+    rows = rows.repartition("h").sortWithinPartitions("h", "n", F.xxhash64("h", "sid"))
     return _promising(rows.mapInArrow(run, _PAIRS), percent)
 
 
-def _nearest_centres(star: DataFrame) -> DataFrame:
-    """The pairs of each document with the few centres that it shares most blocks with."""
-    nearest = Window.partitionBy("a").orderBy(F.desc("c"), "b")
-    return star.withColumn("nth", F.row_number().over(nearest)).where(F.col("nth") <= _CENTRES).select("a", "b")
+def _best_pairs(pairs: DataFrame) -> DataFrame:
+    """The few pairs of each document that came up most often."""
+    best = Window.partitionBy("a").orderBy(F.desc("c"), "b")
+    return pairs.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= _NEIGHBOURS).select("a", "b")
+
+
+def _alone(bits: np.ndarray, r: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """How many bits rows ``r`` have that rows ``c`` lack."""
+    out = np.zeros(len(r), np.int64)
+    for i in range(0, len(r), 1 << 16):
+        own = bits[r[i : i + (1 << 16)]] & ~bits[c[i : i + (1 << 16)]]
+        out[i : i + (1 << 16)] = np.bitwise_count(own).sum(axis=1)
+    return out
 
 
 def _cross_pairs(rows: DataFrame, percent: int, tile: int = 1024) -> DataFrame:
     """All pairs of one block that are of different components and can reach the threshold.
 
     A block of k times ``_BLOCK_ROWS`` documents is cut into k parts by a hash, and every pair
-    of parts, or a part alone, is compared on its own.
+    of parts, or a part alone, is compared on its own. Bits of one signature alone count the
+    n-grams that a set surely has alone, which leaves out most pairs that are not linked.
     """
 
     def run(batches):
-        for g, sid, n, pos, comp, part in _blocks(batches, 6):
+        for g, sid, n, pos, comp, part, bits in _blocks(batches, 7):
             n, left_of = n.astype(np.int64), (n - pos).astype(np.int64)
+            bits = np.frombuffer(b"".join(bits), np.uint64).reshape(len(n), -1)
             opens = np.concatenate([[0], np.flatnonzero(g[1:] != g[:-1]) + 1, [len(g)]])
             found, held = [], 0
             for first, end in zip(opens[:-1], opens[1:]):
@@ -289,6 +299,9 @@ def _cross_pairs(rows: DataFrame, percent: int, tile: int = 1024) -> DataFrame:
                         r, c = np.nonzero(fits)
                         left = left[r, c]
                         r, c = some[r], others[c]
+                        most = np.minimum(n[r] - _alone(bits, r, c), n[c] - _alone(bits, c, r))
+                        able = (100 + percent) * most >= percent * (n[r] + n[c])
+                        r, c, left = r[able], c[able], left[able]
                         swap = sid[r] > sid[c]
                         r, c = np.where(swap, c, r), np.where(swap, r, c)
                         found.append((sid[r], sid[c], n[r], n[c], np.ones(len(r), np.int64), left - 1))
@@ -304,7 +317,7 @@ def _cross_pairs(rows: DataFrame, percent: int, tile: int = 1024) -> DataFrame:
     both = F.xxhash64("h", F.least("part", "other"), F.greatest("part", "other"))
     cut = cut.select(
         F.when(F.col("block") <= _BLOCK_ROWS, F.col("h")).otherwise(both).alias("g"), "sid", "n", "pos", "comp",
-        F.when(F.col("part") == F.col("other"), -1).otherwise(F.col("part")).cast("int").alias("part"),
+        F.when(F.col("part") == F.col("other"), -1).otherwise(F.col("part")).cast("int").alias("part"), "bits",
     )
     placed = cut.repartition("g").sortWithinPartitions("g", "n", "sid")
     return _promising(placed.mapInArrow(run, _PAIRS), percent).select("a", "b")
@@ -356,27 +369,29 @@ def _links(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFram
     return materialize(both.where(100 * overlap.cast("bigint") >= percent * union).select("a", "b"), "pair-links")
 
 
-def _with_components(rows: DataFrame, links: DataFrame) -> DataFrame:
-    """Rows of blocks that still span components, with the component of each."""
+def _with_components(rows: DataFrame, links: DataFrame, signatures: DataFrame) -> DataFrame:
+    """Rows of blocks that still span components, with the component and the signature of each."""
     labels = components(forest(links.select(F.col("a").alias("u"), F.col("b").alias("v"))))
     labelled = rows.join(labels.withColumnRenamed("node", "sid"), "sid", "left")
     labelled = materialize(labelled.select("h", "sid", "n", "pos", F.coalesce("component", "sid").alias("comp")), "rows")
     mixed = labelled.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("block"))
     mixed = materialize(mixed.where("lo <> hi").select("h", "block"), "blocks")
-    return labelled.join(mixed, "h").select("h", "sid", "n", "pos", "comp", "block")
+    rows = labelled.join(mixed, "h").select("h", "sid", "n", "pos", "comp", "block")
+    return rows.join(signatures.dropDuplicates(["sid"]), "sid")
 
 
-def set_links(texts: DataFrame, counts: np.ndarray, n: int, percent: int) -> DataFrame:
+def set_links(texts: DataFrame, scanned: DataFrame, n: int, percent: int) -> DataFrame:
     """Links ``(a, b)`` between sets that connect just what all pairs at or above the threshold connect.
 
-    ``counts`` are the summed counters of ``set_table``; they do not change the result.
+    ``scanned`` is the ``set_table`` of the texts.
     """
-    shared = texts.sparkSession.sparkContext.broadcast(counts)
+    shared = texts.sparkSession.sparkContext.broadcast(_frequencies(scanned))
     rows = materialize(_shared(_first_ngrams(texts, n, percent, shared)), "shared")
-    star = materialize(_nearest_centres(_star_pairs(rows, percent)), "star")
-    links = _links(star, texts, n, percent)
-    cross = _cross_pairs(_with_components(rows, links), percent)
-    checked = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    first = materialize(_best_pairs(_neighbour_pairs(rows, percent)), "neighbours")
+    links = _links(first, texts, n, percent)
+    signatures = scanned.where("part IS NULL AND n_shingles > 0").select("sid", "bits")
+    cross = _cross_pairs(_with_components(rows, links, signatures), percent)
+    checked = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     return links.union(_links(cross.join(checked, ["a", "b"], "left_anti"), texts, n, percent))
 
 
@@ -391,7 +406,7 @@ def near_duplicates(
     sets = scanned.where("part IS NULL").select("doc_id", "n_shingles", "sid")
     named = sets.where("n_shingles > 0 AND doc_id IS NOT NULL")
     first = materialize(named.groupBy("sid").agg(F.min("doc_id").alias("first")), "first-docs")
-    links = set_links(docs.where(F.col(key).isNotNull()).select(F.col(text).alias("text")), _frequencies(scanned), n, percent)
+    links = set_links(docs.where(F.col(key).isNotNull()).select(F.col(text).alias("text")), scanned, n, percent)
     ends = forest(links.select(F.col("a").alias("u"), F.col("b").alias("v"))).select(F.col("u").alias("a"), F.col("v").alias("b"))
     for end in ("a", "b"):
         ends = ends.join(first.select(F.col("sid").alias(end), F.col("first").alias(f"doc_{end}")), end)
