@@ -48,7 +48,7 @@ _PART_ROWS = 100_000
 _SKETCH_BITS = 22
 _SKETCH_PART = 1 << 16
 _MOST = 0xFFFF
-_NEIGHBOURS = 8
+_NEIGHBOURS = 4
 _SIGNATURE_BITS = 1024
 _PAIRS = "a bigint, b bigint, na bigint, nb bigint, c bigint, rest bigint"
 
@@ -192,8 +192,22 @@ def _blocks(batches, width: int, most: int | None = None):
         yield held
 
 
-def _shared(rows: DataFrame) -> DataFrame:
-    """Rows of n-grams that at least two sets hold, each set once."""
+def _partnered(h, n, pos, percent: int) -> np.ndarray:
+    """Marks rows that another row of their block could be linked with, as far as sizes and places tell."""
+    own = (100 + percent) * (n - pos).astype(np.int64) - percent * n.astype(np.int64)
+    opens = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+    counts = np.diff(np.append(opens, len(h)))
+    group = np.repeat(np.arange(len(opens)), counts)
+    order = np.lexsort((own, group))
+    best = order[opens + counts - 1]
+    second = np.where(counts > 1, own[order[np.maximum(opens + counts - 2, 0)]], np.iinfo(np.int64).min)
+    most = own[best][group]
+    most[best] = second
+    return (most >= percent * n) & (own >= percent * n[opens][group])  # blocks are sorted by size
+
+
+def _shared(rows: DataFrame, percent: int) -> DataFrame:
+    """Rows of n-grams that at least two sets hold, each set once, if they may be linked with another row there."""
 
     def run(batches):
         last = None  # of the rows before, as a large group comes in parts
@@ -206,6 +220,14 @@ def _shared(rows: DataFrame) -> DataFrame:
                 continue
             near = np.concatenate([[goes_on], h[1:] == h[:-1], [False]])
             keep = near[1:] | near[:-1]
+            open_ended = (h == h[0]) & goes_on | (h == h[-1])  # a block that may have rows in other parts
+            some = np.flatnonzero(keep & ~open_ended)
+            if len(some):
+                fits = _partnered(h[some], n[some], pos[some], percent)
+                keep[some[~fits]] = False
+                some = some[fits]
+                paired = np.concatenate([[False], h[some][1:] == h[some][:-1], [False]])
+                keep[some[~(paired[1:] | paired[:-1])]] = False
             yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (h, sid, n, pos)], names=["h", "sid", "n", "pos"])
 
     return rows.repartition("h").sortWithinPartitions("h", "n", "sid").mapInArrow(run, "h bigint, sid bigint, n int, pos int")
@@ -231,7 +253,7 @@ def _promising(pairs: DataFrame, percent: int) -> DataFrame:
     ``rest`` allows for, or behind the last one counted, where the shorter remainder bounds them.
     """
     counted = pairs.groupBy("a", "b").agg(F.min("na").alias("na"), F.min("nb").alias("nb"), F.sum("c").alias("c"), F.min("rest").alias("rest"))
-    return counted.where((100 + percent) * (F.col("c") + F.col("rest")) >= percent * (F.col("na") + F.col("nb"))).select("a", "b", "c")
+    return counted.where((100 + percent) * (F.col("c") + F.col("rest")) >= percent * (F.col("na") + F.col("nb")))
 
 
 def _neighbour_pairs(rows: DataFrame, percent: int) -> DataFrame:
@@ -323,6 +345,22 @@ def _cross_pairs(rows: DataFrame, percent: int, tile: int = 1024) -> DataFrame:
     return _promising(placed.mapInArrow(run, _PAIRS), percent).select("a", "b")
 
 
+def _within_signatures(pairs: DataFrame, signatures: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose signatures leave enough in common."""
+
+    def run(batches):
+        for b in batches:
+            na, nb = (b.column(i).to_numpy() for i in (2, 3))
+            bits = [np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint64).reshape(len(na), -1) for i in (5, 6)]
+            alone = [np.bitwise_count(x & ~y).sum(axis=1).astype(np.int64) for x, y in (bits, bits[::-1])]
+            able = (100 + percent) * np.minimum(na - alone[0], nb - alone[1]) >= percent * (na + nb)
+            yield pa.RecordBatch.from_arrays(b.columns[:5], names=["a", "b", "na", "nb", "c"]).filter(pa.array(able))
+
+    for end in ("a", "b"):
+        pairs = pairs.join(signatures.select(F.col("sid").alias(end), F.col("bits").alias(f"bits_{end}")), end)
+    return pairs.select("a", "b", "na", "nb", "c", "bits_a", "bits_b").mapInArrow(run, "a bigint, b bigint, na bigint, nb bigint, c bigint")
+
+
 def _needed_filter(sids: DataFrame):
     """A bitmap of fixed size over the hashes of ``sid``; more sets only let more pass."""
     slot = F.shiftrightunsigned("sid", 64 - _FILTER_BITS)
@@ -359,13 +397,13 @@ def _links(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFram
     pairs = materialize(pairs, "pairs")
     if pairs.isEmpty():
         return pairs
-    sids = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
-    wanted = spark.sparkContext.broadcast(_needed_filter(sids))
-    sets = materialize(_set_arrays(texts, n, wanted).dropDuplicates(["sid"]), "sets")
-    with_b = pairs.join(sets.select(F.col("sid").alias("b"), F.col("grams").alias("grams_b")), "b")
-    both = with_b.join(sets.select(F.col("sid").alias("a"), F.col("grams").alias("grams_a")), "a")
-    overlap = F.size(F.array_intersect("grams_a", "grams_b"))
-    union = F.size("grams_a") + F.size("grams_b") - overlap
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("sid"), "a", "b")
+    wanted = spark.sparkContext.broadcast(_needed_filter(ends.select("sid").distinct()))
+    # Sets are moved once for all their pairs, then once for each: no table of them is written.
+    sets = _set_arrays(texts, n, wanted).dropDuplicates(["sid"])
+    both = ends.join(sets, "sid").groupBy("a", "b").agg(F.min("grams").alias("x"), F.max("grams").alias("y"))
+    overlap = F.size(F.array_intersect("x", "y"))
+    union = F.size("x") + F.size("y") - overlap
     return materialize(both.where(100 * overlap.cast("bigint") >= percent * union).select("a", "b"), "pair-links")
 
 
@@ -377,7 +415,7 @@ def _with_components(rows: DataFrame, links: DataFrame, signatures: DataFrame) -
     mixed = labelled.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("block"))
     mixed = materialize(mixed.where("lo <> hi").select("h", "block"), "blocks")
     rows = labelled.join(mixed, "h").select("h", "sid", "n", "pos", "comp", "block")
-    return rows.join(signatures.dropDuplicates(["sid"]), "sid")
+    return rows.join(signatures, "sid")
 
 
 def set_links(texts: DataFrame, scanned: DataFrame, n: int, percent: int) -> DataFrame:
@@ -386,10 +424,12 @@ def set_links(texts: DataFrame, scanned: DataFrame, n: int, percent: int) -> Dat
     ``scanned`` is the ``set_table`` of the texts.
     """
     shared = texts.sparkSession.sparkContext.broadcast(_frequencies(scanned))
-    rows = materialize(_shared(_first_ngrams(texts, n, percent, shared)), "shared")
-    first = materialize(_best_pairs(_neighbour_pairs(rows, percent)), "neighbours")
+    rows = materialize(_shared(_first_ngrams(texts, n, percent, shared), percent), "shared")
+    signatures = scanned.where("part IS NULL AND n_shingles > 0").select("sid", "bits").dropDuplicates(["sid"])
+    signatures = materialize(signatures.join(rows.select("sid").distinct(), "sid", "left_semi"), "signatures")
+    near = _within_signatures(_neighbour_pairs(rows, percent), signatures, percent)
+    first = materialize(_best_pairs(near), "neighbours")
     links = _links(first, texts, n, percent)
-    signatures = scanned.where("part IS NULL AND n_shingles > 0").select("sid", "bits")
     cross = _cross_pairs(_with_components(rows, links, signatures), percent)
     checked = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     return links.union(_links(cross.join(checked, ["a", "b"], "left_anti"), texts, n, percent))
