@@ -19,7 +19,7 @@ from wikisift.functions import urls as U
 from wikisift.functions import values as V
 from wikisift.functions.attributes import Attribute, Source, extract_attributes
 from wikisift.operators import fielded, links, pages, postings, ranking, searchdocs
-from wikisift.operators.search import query_table, search, top_hits
+from wikisift.operators.search import query_table, search, search_best, top_hits
 from wikisift.plans import table_wiki
 from wikisift.sources.dump import read_dump
 from wikisift.sources.site import distinct_pages
@@ -282,6 +282,29 @@ def search_mixed_modes(spark, sf_dir):
     return _scores(search(numbered, document_index(spark, sf_dir), rank=False))
 
 
+def block_index(spark: SparkSession, sf_dir: str) -> postings.TextIndex:
+    """The documents with bitmaps and block maxima."""
+    return stored(
+        "blocks", spark, sf_dir,
+        lambda path: postings.TextIndex.build(table(spark, sf_dir, "documents")).save(path, blocks=True, bitmap_least=64, block_rows=32),
+    )
+
+
+def frequent_word_queries(spark: SparkSession) -> DataFrame:
+    return query_table(spark, ["the and", "of the in", "der die und", "de la", "the"])
+
+
+def search_bitmaps(spark, sf_dir):
+    """Words that fill large parts of the table: their lists are intersected as bitmaps."""
+    return _scores(search(frequent_word_queries(spark), block_index(spark, sf_dir), rank=False, prune_rows=10))
+
+
+def search_block_top10(spark, sf_dir):
+    """The same searches cut to ten hits, by the block maxima."""
+    hits, _ = search_best(frequent_word_queries(spark), block_index(spark, sf_dir), 10, tf="log", normalize="euc")
+    return _scores(hits, "rank")
+
+
 def page_search(spark, sf_dir):
     hits = search(query_table(spark, [TWO_TERMS]), page_index(spark, sf_dir), normalize="euc", rank=False)
     urls = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), "url")
@@ -547,7 +570,7 @@ def queries() -> dict[str, Query]:
         postings_tf, term_statistics, doc_statistics, index_counts, page_postings, term_lookup,
         terms_of_toxic_documents, document_ids, unseen_documents, incremental_ids, streamed_ids,
         incremental_search, streamed_batches,
-        search_two_terms, search_top_hits, search_batch_top10, search_mixed_modes, page_search,
+        search_two_terms, search_top_hits, search_batch_top10, search_bitmaps, search_block_top10, search_mixed_modes, page_search,
         hit_counts, page_links, site_links, crawl_frontier, attributes_anywhere,
         attributes_first_success, attributes_all_matches, wiki_attributes, wiki_dump_scan,
         dump_topic_filter, site_topic_filter, title_join, attribute_strings, search_documents,

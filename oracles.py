@@ -68,6 +68,7 @@ SCORES = {
     "log euc": "sum((1 + ln(tf)) * idf) / sqrt(max(sum_sq))",
 }
 BENCHMARK = "SELECT item_id AS query_id, text AS query_text FROM benchmark"
+FREQUENT = """SELECT * FROM (VALUES (0, 'the and'), (1, 'of the in'), (2, 'der die und'), (3, 'de la'), (4, 'the')) q(query_id, query_text)"""
 TWO_TERMS = "SELECT 0 AS query_id, 'the and' AS query_text"
 
 
@@ -249,6 +250,8 @@ def all_sql() -> dict[str, str]:
         "search_top_hits": f"""{search(TWO_TERMS)} SELECT query_id, doc_id, round(raw, 6) AS score
             FROM ({scored('raw')}) ORDER BY round(raw, 9) DESC, doc_id LIMIT 100""",
         "search_batch_top10": ranked("log euc", BENCHMARK, 10),
+        "search_bitmaps": f"{search(FREQUENT)} SELECT query_id, doc_id, round(raw, 6) AS score FROM ({scored('raw')})",
+        "search_block_top10": ranked("log euc", FREQUENT, 10),
         "search_mixed_modes": _mixed(),
         "page_search": f"""{search(TWO_TERMS, 'page_text', 'page_id', ctes=PAGE_TEXT)}
             SELECT query_id, doc_id, round(raw, 6) AS score, url FROM ({scored('euc')}) JOIN pages ON page_id = doc_id""",

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from wikisift.functions.expr import once
 from wikisift.functions.text import term_vector, tokens
+from wikisift.operators.blocks import BITMAP_LEAST, BLOCK_ROWS, write_blocks
 from wikisift.operators.skew import join_lookup
 from wikisift.sources.tables import choose_buckets, with_bucket, write_by_term
 
@@ -70,11 +71,13 @@ def count_docs(stats: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class TextIndex:
-    """The tables a search reads: document vectors, postings, terms ``(term, df, idf)``."""
+    """The tables a search reads: document vectors, postings, terms ``(term, df, idf)``; see ``blocks`` for the last two."""
 
     vectors: DataFrame
     postings: DataFrame
     terms: DataFrame
+    bitmaps: DataFrame | None = None
+    blocks: DataFrame | None = None
 
     @property
     def docs(self) -> DataFrame:
@@ -95,8 +98,14 @@ class TextIndex:
         keyed, keys = with_bucket(terms, self.terms)
         return join_lookup(self.terms, keyed, keys, "term", fits).drop("term_bucket")
 
-    def save(self, path: str, buckets: int | None = None) -> TextIndex:
-        """Write all tables. Texts are tokenised once: the rest is read from the vectors."""
+    def save(
+        self, path: str, buckets: int | None = None, blocks: bool = False, bitmap_least: int = BITMAP_LEAST, block_rows: int = BLOCK_ROWS
+    ) -> TextIndex:
+        """Write all tables. Texts are tokenised once: the rest is read from the vectors.
+
+        With ``blocks``, also the bitmaps of lists of ``bitmap_least`` documents and more, and
+        the maxima of blocks of about ``block_rows`` postings.
+        """
         spark = self.vectors.sparkSession
         self.vectors.write.mode("overwrite").parquet(f"{path}/vectors")
         vectors = spark.read.parquet(f"{path}/vectors")
@@ -104,13 +113,18 @@ class TextIndex:
         buckets = buckets or choose_buckets(rows)
         write_by_term(postings_of(vectors), f"{path}/postings", ["term", "doc_id"], buckets, rows)
         postings = spark.read.parquet(f"{path}/postings")
-        terms = with_idf(term_stats(postings), count_docs(doc_stats(vectors)))
+        # Counted by the bucket too, as the table is stored: the shuffle after it is by the same columns.
+        counts = postings.groupBy("term_bucket", "term").agg(F.count(F.lit(1)).alias("df")).select("term", "df")
+        terms = with_idf(counts, count_docs(doc_stats(vectors)))
         write_by_term(terms, f"{path}/terms", ["term"], buckets)
-        return TextIndex.load(spark, path)
+        if blocks:
+            write_blocks(TextIndex.load(spark, path), path, buckets, bitmap_least, block_rows)
+        return TextIndex.load(spark, path, blocks)
 
     @classmethod
-    def load(cls, spark: SparkSession, path: str) -> TextIndex:
-        return cls(*(spark.read.parquet(f"{path}/{name}") for name in ("vectors", "postings", "terms")))
+    def load(cls, spark: SparkSession, path: str, blocks: bool = False) -> TextIndex:
+        tables = ("vectors", "postings", "terms", *("bitmaps", "blocks") * blocks)
+        return cls(*(spark.read.parquet(f"{path}/{name}") for name in tables))
 
 
 def documents_of_term(postings: DataFrame, term: str) -> DataFrame:

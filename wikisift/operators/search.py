@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wikisift.functions.text import tokens
+from wikisift.operators.blocks import Report, keep_candidates, top_by_blocks
 from wikisift.operators.postings import TextIndex
 from wikisift.operators.ranking import ranked
 from wikisift.operators.skew import BROADCAST_ROWS, fits_broadcast, join_lookup
@@ -95,29 +96,15 @@ def _prune(matches: DataFrame, weighted: DataFrame, postings: DataFrame) -> Data
     return matches.join(F.broadcast(holding), ["query_id", "doc_id"], "left_semi")
 
 
-def search(
-    queries: DataFrame,
-    index: TextIndex,
-    tf: str = "raw",
-    normalize: str | None = None,
-    similarity: str = "tfidf",
-    limit: int | None = None,
-    rank: bool = True,
-) -> DataFrame:
-    """Documents that hold all tokens of a query: ``(query_id, doc_id, score, rank)``.
-
-    ``tf`` is ``raw``, ``log`` (1 + ln tf) or ``max`` (0.5 + 0.5 tf / tf_max);
-    ``normalize="euc"`` scales by the Euclidean length of the document;
-    ``similarity="cos"`` uses a binary query vector and ignores both. A column of the
-    same name in ``queries`` sets a mode per query. Ranks follow descending score,
-    then ascending document id. ``limit`` keeps the best hits of each query; without
-    ``rank`` the complete hits are returned unordered.
-    """
+def _checked(tf: str, normalize: str | None, similarity: str) -> dict[str, str]:
     if tf not in TF_MODES or normalize not in (None, "euc") or similarity not in ("tfidf", "cos"):
         raise ValueError(f"Unknown mode: tf={tf!r} normalize={normalize!r} similarity={similarity!r}")
-    defaults = {"tf": tf, "normalize": normalize or "none", "similarity": similarity}
-    per_query = [c for c in MODE_COLUMNS if c in queries.columns]
+    return {"tf": tf, "normalize": normalize or "none", "similarity": similarity}
 
+
+def _weighted_terms(queries: DataFrame, index: TextIndex) -> tuple[DataFrame, list[str], bool]:
+    """Terms of the queries whose terms are all known, the columns that set modes, and whether they fit a broadcast."""
+    per_query = [c for c in MODE_COLUMNS if c in queries.columns]
     terms = query_terms(queries.select("query_id", "query_text", *per_query))
     terms = terms.withColumnsRenamed({c: f"q_{c}" for c in per_query})
     fits = fits_broadcast(terms)
@@ -125,22 +112,11 @@ def search(
     weighted = index.lookup(terms, fits)
     # A query with an unknown term has no hits, so none of its other lists is read.
     known = F.count(F.lit(1)).over(Window.partitionBy("query_id"))
-    weighted = weighted.withColumn("_known", known).where(F.col("_known") == F.col("n_terms")).drop("_known")
-    stored = bucket_count(index.postings) is not None
-    if stored:
-        # The condition always holds; Spark prunes partitions only by a side that has one.
-        weighted = materialize(weighted, "query-terms").where(F.col("n_terms") > 0)
-    postings, prune = index.postings, False
-    if stored and fits:
-        lists = _list_sizes(weighted)
-        prune = lists.total > BROADCAST_ROWS >= lists.shortest
-        if lists.terms:
-            # Files are sorted by term: the scan skips the row groups and pages of others.
-            postings = postings.where(F.col("term").isin(lists.terms))
-    keyed, keys = with_bucket(weighted.drop("df"), postings)
-    matches = join_lookup(postings, keyed, keys, "doc_id", fits)
-    if prune:
-        matches = _prune(matches, weighted, postings)
+    return weighted.withColumn("_known", known).where(F.col("_known") == F.col("n_terms")).drop("_known"), per_query, fits
+
+
+def _hits(matches: DataFrame, defaults: dict[str, str], per_query: list[str]) -> DataFrame:
+    """``(query_id, doc_id, score)`` of the documents whose matches are all terms of a query."""
 
     def mode(name: str) -> Column:
         default = F.lit(defaults[name])
@@ -166,14 +142,78 @@ def search(
         .when(mode("normalize") == "euc", F.col("total") / euclid)
         .otherwise(F.col("total"))
     )
-    hits = per_doc.where(F.col("matched") == F.col("n_terms")).select(
-        "query_id", "doc_id", score.alias("score")
-    )
+    return per_doc.where(F.col("matched") == F.col("n_terms")).select("query_id", "doc_id", score.alias("score"))
+
+
+def search(
+    queries: DataFrame,
+    index: TextIndex,
+    tf: str = "raw",
+    normalize: str | None = None,
+    similarity: str = "tfidf",
+    limit: int | None = None,
+    rank: bool = True,
+    prune_rows: int = BROADCAST_ROWS,
+) -> DataFrame:
+    """Documents that hold all tokens of a query: ``(query_id, doc_id, score, rank)``.
+
+    ``tf`` is ``raw``, ``log`` (1 + ln tf) or ``max`` (0.5 + 0.5 tf / tf_max);
+    ``normalize="euc"`` scales by the Euclidean length of the document;
+    ``similarity="cos"`` uses a binary query vector and ignores both. A column of the
+    same name in ``queries`` sets a mode per query. Ranks follow descending score,
+    then ascending document id. ``limit`` keeps the best hits of each query; without
+    ``rank`` the complete hits are returned unordered. Lists of more than ``prune_rows``
+    postings are cut before the shuffle, to the documents of the rarest term of the query
+    if they are no more than that, else by the bitmaps of the index, if it has them.
+    """
+    defaults = _checked(tf, normalize, similarity)
+    weighted, per_query, fits = _weighted_terms(queries, index)
+    stored = bucket_count(index.postings) is not None
+    if stored:
+        # The condition always holds; Spark prunes partitions only by a side that has one.
+        weighted = materialize(weighted, "query-terms").where(F.col("n_terms") > 0)
+    postings, long, short = index.postings, False, False
+    if stored and fits:
+        lists = _list_sizes(weighted)
+        long, short = lists.total > prune_rows, lists.shortest <= prune_rows
+        if lists.terms:
+            # Files are sorted by term: the scan skips the row groups and pages of others.
+            postings = postings.where(F.col("term").isin(lists.terms))
+    keyed, keys = with_bucket(weighted.drop("df"), postings)
+    matches = join_lookup(postings, keyed, keys, "doc_id", fits)
+    if long and short:
+        matches = _prune(matches, weighted, postings)
+    elif long and index.bitmaps is not None:
+        matches = keep_candidates(matches, weighted, index.bitmaps)
+    hits = _hits(matches, defaults, per_query)
     if not rank and limit is None:
         return hits
     return ranked(hits, "query_id", hit_order(), limit)
 
 
+def search_best(
+    queries: DataFrame, index: TextIndex, limit: int, tf: str = "raw", normalize: str | None = None, similarity: str = "tfidf",
+) -> tuple[DataFrame, Report]:
+    """What :func:`search` finds with a ``limit``, by the block maxima of the index, and the postings read (Q-TOP).
+
+    Ranges of documents whose bound does not reach the last hit wanted are not read. Modes
+    per query and sets of queries beyond a broadcast go through :func:`search`.
+    """
+    defaults = _checked(tf, normalize, similarity)
+    weighted, per_query, fits = _weighted_terms(queries, index)
+    if index.blocks is None or per_query or not fits:
+        found = materialize(weighted.agg(F.coalesce(F.sum("df"), F.lit(0)).alias("df")), "list-sizes").first()[0]
+        return search(queries, index, tf, normalize, similarity, limit), Report(found, found)
+    weighted = materialize(weighted, "query-terms").where(F.col("n_terms") > 0)
+    cosine = similarity == "cos"
+    kind = "raw_euc" if cosine else tf + ("_euc" if normalize else "")
+    factor = 1 / F.sqrt(F.col("n_terms").cast("double")) if cosine else F.col("idf")
+    return top_by_blocks(
+        weighted, index, limit, kind, factor,
+        lambda matches: _hits(matches, defaults, per_query), lambda hits: ranked(hits, "query_id", hit_order(), limit),
+    )
+
+
 def top_hits(hits: DataFrame, limit: int = 100) -> DataFrame:
     """Best hits of a single query in order (Q-TOP): each task keeps its own best ones."""
     return hits.orderBy(*hit_order()).limit(limit)

@@ -120,7 +120,7 @@ def write_segment(
     spark.createDataFrame([row], BATCHES).coalesce(1).write.mode("overwrite").parquet(f"{path}/batches/{folder}")
 
 
-@dataclass(frozen=True)
+@dataclass(frozen=True, kw_only=True)
 class SegmentedIndex(TextIndex):
     """The live segments as one index. ``parts`` holds the term counts of each segment."""
 
@@ -136,7 +136,7 @@ class SegmentedIndex(TextIndex):
         )
         n_docs = sum(s.n_docs for s in segments)
         summed = parts.groupBy("term_bucket", "term").agg(F.sum("df").alias("df"))
-        return cls(vectors, postings, _with_idf(summed, n_docs).select("term", "df", "idf"), parts, n_docs)
+        return cls(vectors, postings, _with_idf(summed, n_docs).select("term", "df", "idf"), parts=parts, n_docs=n_docs)
 
     def lookup(self, terms: DataFrame, fits: bool) -> DataFrame:
         """The counts of the given terms only are read and summed."""
