@@ -7,7 +7,7 @@ import sys
 from collections.abc import Callable
 from functools import reduce, wraps
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -334,6 +334,18 @@ def crawl_frontier(spark, sf_dir):
     return found.withColumn("position", F.col("position").cast("bigint"))
 
 
+def crawl_order(spark, sf_dir):
+    """A crawl of the pages where a link leads to the next page that has the same link, from the pages without such a one before."""
+    found = links.raw_links(table(spark, sf_dir, "pages")).join(table(spark, sf_dir, "pages").select("url", "page_id"), "url")
+    first = found.groupBy("page_id", "url", "href").agg(F.min("position").alias("position"))
+    same = Window.partitionBy("href").orderBy("page_id")
+    linked = first.withColumn("to_page", F.lead("url").over(same)).where(F.col("to_page").isNotNull())
+    linked = materialize(linked.select(F.col("url").alias("from_page"), "to_page", "position"), "page-graph")
+    roots = table(spark, sf_dir, "pages").select(F.col("url").alias("page_name"), F.col("page_id").alias("position"))
+    roots = roots.join(linked.select(F.col("to_page").alias("page_name")), "page_name", "left_anti")
+    return links.crawl_order(linked, roots)
+
+
 # Attributes
 
 
@@ -571,7 +583,7 @@ def queries() -> dict[str, Query]:
         terms_of_toxic_documents, document_ids, unseen_documents, incremental_ids, streamed_ids,
         incremental_search, streamed_batches,
         search_two_terms, search_top_hits, search_batch_top10, search_bitmaps, search_block_top10, search_mixed_modes, page_search,
-        hit_counts, page_links, site_links, crawl_frontier, attributes_anywhere,
+        hit_counts, page_links, site_links, crawl_frontier, crawl_order, attributes_anywhere,
         attributes_first_success, attributes_all_matches, wiki_attributes, wiki_dump_scan,
         dump_topic_filter, site_topic_filter, title_join, attribute_strings, search_documents,
         field_statistics, fielded_search, fielded_search_top, fielded_search_ranges,

@@ -262,6 +262,21 @@ def all_sql() -> dict[str, str]:
                 row_number() OVER (PARTITION BY to_page ORDER BY from_page, position) AS n FROM site_links)
             SELECT page_name, from_page, position FROM firsts
             WHERE n = 1 AND page_name NOT IN (SELECT {PAGE_NAME} FROM pages)""",
+        "crawl_order": f"""WITH RECURSIVE {LINKS},
+            firsts AS (SELECT page_id, url, href, min(position) AS position FROM hrefs JOIN pages USING (url) GROUP BY ALL),
+            graph AS (SELECT url AS from_page, lead(url) OVER (PARTITION BY href ORDER BY page_id) AS to_page, position FROM firsts),
+            edges AS (SELECT * FROM graph WHERE to_page IS NOT NULL),
+            crawl(page_name, depth, from_page, position, place) USING KEY (page_name) AS (
+                SELECT url, 0, NULL::VARCHAR, NULL::BIGINT, row_number() OVER (ORDER BY page_id) FROM pages
+                WHERE url NOT IN (SELECT to_page FROM edges)
+                UNION
+                SELECT to_page, depth, from_page, position, row_number() OVER (ORDER BY place, position) FROM (
+                    SELECT e.to_page, c.depth + 1 AS depth, e.from_page, e.position, c.place,
+                        row_number() OVER (PARTITION BY e.to_page ORDER BY c.place, e.position) AS nth
+                    FROM crawl c JOIN edges e ON e.from_page = c.page_name
+                    WHERE e.to_page NOT IN (SELECT page_name FROM recurring.crawl)) WHERE nth = 1)
+            SELECT page_name, depth::INTEGER AS depth, from_page, position::BIGINT AS position,
+                row_number() OVER (ORDER BY depth, place) - 1 AS visit_order FROM crawl""",
         "attributes_anywhere": r"""WITH found AS (SELECT event_id, list_concat(
                 CASE WHEN regexp_matches(props, '"k"') AND regexp_matches(props, '\d')
                     THEN [{'name': 'k', 'value': regexp_extract(props, '\d+')}] ELSE [] END,

@@ -149,6 +149,9 @@ def top_by_blocks(weighted: DataFrame, index, limit: int, kind: str, factor: Col
     ``score(matches)`` makes hits of matches and ``top(hits)`` keeps the best ``limit`` of each query.
     """
     bounds = materialize(range_bounds(weighted, index.blocks, kind, factor), "bounds")
+    total = weighted.agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]
+    if bounds.isEmpty():  # no range holds all terms of a query
+        return top(score(in_ranges(index.postings, weighted, bounds))), Report(total, 0)
     observed = []
 
     def searched(ranges: DataFrame) -> DataFrame:
@@ -166,6 +169,5 @@ def top_by_blocks(weighted: DataFrame, index, limit: int, kind: str, factor: Col
     rest = bounds.join(first.select("query_id", "cell"), ["query_id", "cell"], "left_anti").join(F.broadcast(reached), "query_id", "left")
     rest = materialize(rest.where(F.col("least").isNull() | (F.col("bound") * (1 + 1e-12) + 2e-9 >= F.col("least"))), "other-ranges")
     hits = hits.unionByName(searched(rest)) if not rest.isEmpty() else hits
-    total = weighted.agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]
     return top(hits), Report(total, sum(observed))
 

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wikisift.functions.urls import hrefs, is_content_url, page_name, resolve_link
 from wikisift.operators.postings import unseen
+from wikisift.operators.ranking import with_positions
+from wikisift.operators.skew import fits_broadcast
+from wikisift.sources.tables import choose_buckets, materialize, scratch_dir, term_bucket
 
 
 def raw_links(pages: DataFrame) -> DataFrame:
@@ -48,3 +53,61 @@ def frontier(links: DataFrame, known_pages: DataFrame) -> DataFrame:
     return unseen(first_seen, known_pages, "page_name").select(
         "page_name", "first.from_page", "first.position"
     )
+
+
+VISITED = "page_name string, depth int, from_page string, position bigint, visit_order bigint"
+
+
+def crawl_order(links: DataFrame, seeds: DataFrame, buckets: int | None = None, max_depth: int | None = None) -> DataFrame:
+    """The pages in the order in which a queue visits them, from ``seeds(page_name, position)`` on.
+
+    ``(page_name, depth, from_page, position, visit_order)``: a page is queued when it is first
+    seen, by ``from_page`` at ``position`` in it; seeds have no ``from_page``. ``links`` are
+    ``(from_page, to_page, position)``.
+
+    A round follows the links of the pages that the round before has found. Links and
+    visited pages are stored by a hash bucket of the page, and a round reads the buckets of
+    its own pages and targets only, so its work goes with what it finds. Each round is a
+    written table, so a lost executor costs a re-read.
+    """
+    spark = links.sparkSession
+    folder = f"{scratch_dir(spark)}/crawl-{uuid.uuid4().hex}"
+    stored = materialize(links.select("from_page", "to_page", F.col("position").cast("bigint").alias("position")), "crawl-links")
+    buckets = buckets or choose_buckets(stored.count())
+    by_page = stored.withColumn("bucket", term_bucket(F.col("from_page"), buckets))
+    by_page.repartitionByRange("bucket", "from_page").sortWithinPartitions("bucket", "from_page").write.partitionBy("bucket").parquet(f"{folder}/links")
+    by_page = spark.read.schema(f"{stored.schema.toDDL()}, bucket int").parquet(f"{folder}/links")
+
+    def visited() -> DataFrame:
+        return spark.read.schema(f"{VISITED}, level int, bucket int").parquet(f"{folder}/visited")
+
+    def store(level: DataFrame, depth: int) -> DataFrame:
+        placed = level.withColumn("bucket", term_bucket(F.col("page_name"), buckets))
+        placed.write.partitionBy("bucket").parquet(f"{folder}/visited/level={depth}")
+        return spark.read.schema(f"{VISITED}, bucket int").parquet(f"{folder}/visited/level={depth}")
+
+    def looked_up(table: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame:
+        # The condition always holds; Spark prunes partitions only by a side that has one.
+        small = small.where("bucket >= 0")
+        return table.join(F.broadcast(small) if fits_broadcast(small) else small, keys)
+
+    first = seeds.groupBy("page_name").agg(F.min("position").alias("seed")).where(F.col("page_name").isNotNull())
+    first = with_positions(first, [F.col("seed"), F.col("page_name")], "visit_order")
+    level = store(first.selectExpr("page_name", "0 AS depth", "CAST(NULL AS STRING) AS from_page", "CAST(NULL AS BIGINT) AS position", "visit_order"), 0)
+    depth, count = 0, level.count()
+    while max_depth is None or depth < max_depth:
+        depth += 1
+        parents = level.select(F.col("page_name").alias("from_page"), "visit_order", "bucket")
+        found = looked_up(by_page, parents, ["bucket", "from_page"]).where(F.col("to_page").isNotNull())
+        found = found.groupBy(F.col("to_page").alias("page_name")).agg(F.min(F.struct("visit_order", "position", "from_page")).alias("seen"))
+        found = materialize(found.withColumn("bucket", term_bucket(F.col("page_name"), buckets)), "targets")
+        known = looked_up(visited().select("page_name", "bucket"), found.select("page_name", "bucket"), ["bucket", "page_name"])
+        new = materialize(found.join(known.select("page_name"), "page_name", "left_anti"), "new-targets")
+        if new.isEmpty():
+            break
+        new = new.select("page_name", F.lit(depth).alias("depth"), "seen.from_page", "seen.position", F.col("seen.visit_order").alias("parent"))
+        new = with_positions(new, [F.col("parent"), F.col("position"), F.col("page_name")], "visit_order")
+        new = new.withColumn("visit_order", F.col("visit_order") + count)
+        level = store(new.select("page_name", "depth", "from_page", "position", "visit_order"), depth)
+        count += level.count()
+    return visited().drop("level", "bucket")
