@@ -44,6 +44,7 @@ from wikisift.sources.tables import materialize
 
 _FILTER_BITS = 23
 _BLOCK_ROWS = 4096
+_LOT_NGRAMS = 100_000
 _PART_ROWS = 100_000
 _SKETCH_BITS = 22
 _SKETCH_PART = 1 << 16
@@ -226,8 +227,11 @@ def _shared(rows: DataFrame, percent: int) -> DataFrame:
                 fits = _partnered(h[some], n[some], pos[some], percent)
                 keep[some[~fits]] = False
                 some = some[fits]
-                paired = np.concatenate([[False], h[some][1:] == h[some][:-1], [False]])
-                keep[some[~(paired[1:] | paired[:-1])]] = False
+                again = h[some][1:] == h[some][:-1]
+                paired = np.zeros(len(some), bool)
+                paired[1:] |= again
+                paired[:-1] |= again
+                keep[some[~paired]] = False
             yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (h, sid, n, pos)], names=["h", "sid", "n", "pos"])
 
     return rows.repartition("h").sortWithinPartitions("h", "n", "sid").mapInArrow(run, "h bigint, sid bigint, n int, pos int")
@@ -281,7 +285,7 @@ def _neighbour_pairs(rows: DataFrame, percent: int) -> DataFrame:
 def _best_pairs(pairs: DataFrame) -> DataFrame:
     """The few pairs of each document that came up most often."""
     best = Window.partitionBy("a").orderBy(F.desc("c"), "b")
-    return pairs.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= _NEIGHBOURS).select("a", "b")
+    return pairs.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= _NEIGHBOURS).select("a", "b", "na", "nb")
 
 
 def _alone(bits: np.ndarray, r: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -342,7 +346,7 @@ def _cross_pairs(rows: DataFrame, percent: int, tile: int = 1024) -> DataFrame:
         F.when(F.col("part") == F.col("other"), -1).otherwise(F.col("part")).cast("int").alias("part"), "bits",
     )
     placed = cut.repartition("g").sortWithinPartitions("g", "n", "sid")
-    return _promising(placed.mapInArrow(run, _PAIRS), percent).select("a", "b")
+    return _promising(placed.mapInArrow(run, _PAIRS), percent).select("a", "b", "na", "nb")
 
 
 def _within_signatures(pairs: DataFrame, signatures: DataFrame, percent: int) -> DataFrame:
@@ -371,8 +375,8 @@ def _needed_filter(sids: DataFrame):
     return bits
 
 
-def _set_arrays(texts: DataFrame, n: int, wanted) -> DataFrame:
-    """``(sid, grams)`` of the sets that pass the bitmap ``wanted``."""
+def _packed_sets(texts: DataFrame, n: int, wanted) -> DataFrame:
+    """``(sid, grams)``, the hashes as bytes, of the sets that pass the bitmap ``wanted``."""
 
     def run(batches):
         bits = wanted.value
@@ -384,27 +388,49 @@ def _set_arrays(texts: DataFrame, n: int, wanted) -> DataFrame:
                 mark = (bits[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1)
                 take = _once(sids, sizes, seen) & (mark > 0)
                 if take.any():
-                    offsets = np.concatenate([[0], np.cumsum(sizes[take])]).astype(np.int32)
-                    arrays = pa.ListArray.from_arrays(pa.array(offsets), pa.array(grams[take[owner]].view(np.int64)))
-                    yield pa.RecordBatch.from_arrays([pa.array(sids[take]), arrays], names=["sid", "grams"])
+                    ends = np.cumsum(sizes)
+                    packed = [grams[ends[i] - sizes[i] : ends[i]].tobytes() for i in np.flatnonzero(take)]
+                    yield pa.RecordBatch.from_arrays([pa.array(sids[take]), pa.array(packed, pa.binary())], names=["sid", "grams"])
 
-    return texts.mapInArrow(run, "sid bigint, grams array<bigint>")
+    return texts.mapInArrow(run, "sid bigint, grams binary")
+
+
+def _in_lots(pairs: DataFrame) -> DataFrame:
+    """Pairs with a ``lot``: those of one cluster together, as long as its sets are few, so that a set is moved once for them."""
+    clusters = components(forest(pairs.select(F.col("a").alias("u"), F.col("b").alias("v"))))
+    placed = pairs.join(clusters.withColumnRenamed("node", "a").withColumnRenamed("component", "cluster"), "a")
+    sizes = placed.groupBy("cluster").agg(F.ceil(F.sum(F.col("na") + F.col("nb")) / _LOT_NGRAMS).alias("lots"))
+    spread = F.pmod(F.xxhash64("a", "b"), F.greatest("lots", F.lit(1)))
+    return materialize(placed.join(sizes, "cluster").select("a", "b", F.xxhash64("cluster", spread).alias("lot")), "lots")
 
 
 def _links(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs whose overlap, counted in full, reaches the threshold."""
+    """The pairs ``(a, b, na, nb)`` whose overlap, counted in full, reaches the threshold, as ``(a, b)``."""
+
+    def run(batches):
+        for b in batches:
+            found = []
+            for members, pairs in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                held = {m["sid"]: np.frombuffer(m["grams"], np.uint64) for m in members}
+                for p in pairs:
+                    x, y = held[p["a"]], held[p["b"]]
+                    common = len(np.intersect1d(x, y, assume_unique=True))
+                    if 100 * common >= percent * (len(x) + len(y) - common):
+                        found.append((p["a"], p["b"]))
+            yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
     spark = pairs.sparkSession
     pairs = materialize(pairs, "pairs")
     if pairs.isEmpty():
-        return pairs
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("sid"), "a", "b")
+        return pairs.select("a", "b")
+    pairs = _in_lots(pairs)
+    ends = pairs.select("lot", F.explode(F.array("a", "b")).alias("sid")).distinct()
     wanted = spark.sparkContext.broadcast(_needed_filter(ends.select("sid").distinct()))
-    # Sets are moved once for all their pairs, then once for each: no table of them is written.
-    sets = _set_arrays(texts, n, wanted).dropDuplicates(["sid"])
-    both = ends.join(sets, "sid").groupBy("a", "b").agg(F.min("grams").alias("x"), F.max("grams").alias("y"))
-    overlap = F.size(F.array_intersect("x", "y"))
-    union = F.size("x") + F.size("y") - overlap
-    return materialize(both.where(100 * overlap.cast("bigint") >= percent * union).select("a", "b"), "pair-links")
+    # Sets are moved once to their name and once for each lot: no table of them is written.
+    sets = _packed_sets(texts, n, wanted).dropDuplicates(["sid"])
+    members = ends.join(sets, "sid").groupBy("lot").agg(F.collect_list(F.struct("sid", "grams")).alias("members"))
+    wanted_pairs = pairs.groupBy("lot").agg(F.collect_list(F.struct("a", "b")).alias("pairs"))
+    return materialize(members.join(wanted_pairs, "lot").select("members", "pairs").mapInArrow(run, "a bigint, b bigint"), "pair-links")
 
 
 def _with_components(rows: DataFrame, links: DataFrame, signatures: DataFrame) -> DataFrame:
