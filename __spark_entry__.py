@@ -20,7 +20,7 @@ from wikisift.functions import values as V
 from wikisift.functions.attributes import Attribute, Source, extract_attributes
 from wikisift.operators import fielded, links, pages, postings, ranking, searchdocs
 from wikisift.operators.search import query_table, search, search_best, top_hits
-from wikisift.plans import table_wiki
+from wikisift.plans import dump_pipeline, table_wiki
 from wikisift.sources.dump import read_dump
 from wikisift.sources.site import distinct_pages
 from wikisift.sources.tables import materialize, scratch_dir, spread, stream_table
@@ -401,6 +401,29 @@ def wiki_dump_scan(spark, sf_dir):
     return dump.select("id", "ns", "title", F.col("revision.text._VALUE").alias("value"))
 
 
+def changed_dumps(spark, sf_dir):
+    """Three dumps by part size, of which one is replaced and one removed between two builds of the article table."""
+    base = f"{scratch_dir(spark)}/changing-{spark.range(1).select(F.uuid()).first()[0]}"
+    parts = table(spark, sf_dir, "part")
+    sizes = {"small": F.col("p_size") <= 15, "middle": F.col("p_size").between(16, 35), "large": F.col("p_size") > 35}
+
+    def write(name, rows):
+        xml = table_wiki.dump_xml(table_wiki.part_dump(rows))
+        xml.write.mode("overwrite").option("compression", "bzip2").text(f"{base}/dumps/{name}")
+
+    for name, chosen in sizes.items():
+        write(name, parts.where(chosen))
+    for changed in (False, True):
+        if changed:
+            write("small", parts.where(sizes["small"] & (F.col("p_partkey") % 2 == 0)))
+            write("large", parts.where("false"))
+        found = dump_pipeline.dump_attribute_table(spark, f"{base}/dumps/*", "*", f"{base}/work")
+        found = found.select("title", F.size("attributes").cast("bigint").alias("n_attributes"), "value")
+        if not changed:
+            found.count()
+    return found
+
+
 def _dump_articles(spark, sf_dir):
     return pages.dump_articles(table_wiki.as_dump_rows(table_wiki.part_dump(table(spark, sf_dir, "part"))))
 
@@ -584,7 +607,7 @@ def queries() -> dict[str, Query]:
         incremental_search, streamed_batches,
         search_two_terms, search_top_hits, search_batch_top10, search_bitmaps, search_block_top10, search_mixed_modes, page_search,
         hit_counts, page_links, site_links, crawl_frontier, crawl_order, attributes_anywhere,
-        attributes_first_success, attributes_all_matches, wiki_attributes, wiki_dump_scan,
+        attributes_first_success, attributes_all_matches, wiki_attributes, wiki_dump_scan, changed_dumps,
         dump_topic_filter, site_topic_filter, title_join, attribute_strings, search_documents,
         field_statistics, fielded_search, fielded_search_top, fielded_search_ranges,
         fielded_search_one_field, fielded_search_query_ranges, fielded_search_must_not, range_search, most_frequent_quantity, document_number,

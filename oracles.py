@@ -303,6 +303,8 @@ def all_sql() -> dict[str, str]:
         "wiki_attributes": f"""WITH {WIKI} SELECT id, (i - 1)::BIGINT AS n, attributes[i].name AS name, attributes[i].value AS value
             FROM (SELECT p_partkey AS id, attributes, unnest(range(1, len(attributes) + 1)) AS i FROM markup)""",
         "wiki_dump_scan": f"""WITH {WIKI} SELECT p_partkey AS id, (p_type = 'PROMO')::BIGINT AS ns, title, value FROM markup""",
+        "changed_dumps": f"""WITH {WIKI} SELECT title, len(attributes)::BIGINT AS n_attributes, value FROM articles
+            WHERE p_size BETWEEN 16 AND 35 OR p_size <= 15 AND p_partkey % 2 = 0""",
         "dump_topic_filter": f"WITH {WIKI} SELECT title, lower(category || '|' || second) AS categories FROM articles",
         "site_topic_filter": f"WITH {WIKI} SELECT title, categories FROM site",
         "title_join": f"""WITH {WIKI} SELECT title, extern_title, site_title, array_to_string(list_transform(attributes,

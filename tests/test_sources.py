@@ -10,7 +10,7 @@ from wikisift.operators.fielded import FieldIndex, fielded_search
 from wikisift.operators.pages import dump_articles, with_attributes
 from wikisift.operators.search import query_table, search
 from wikisift.operators.searchdocs import build_search_docs, join_titles
-from wikisift.plans.dump_pipeline import build_dump_index
+from wikisift.plans.dump_pipeline import Topics, build_dump_index
 from wikisift.plans.site_index import build_site_index, count_hits, search_pages
 from wikisift.sources.dump import DUMP_SCHEMA, list_dumps, read_dump, read_dump_target
 from wikisift.sources.site import distinct_pages, read_site
@@ -204,6 +204,25 @@ def test_whole_dump_pipeline(spark, dump_folder, site_folder, tmp_path):
     (tmp_path / "dumps" / "c.xml.bz2").write_bytes(bz2.compress(late))
     write_pages(tmp_path / "site", {"Late_page": SITE["VAX_11"]})
     assert {r.title for r in run().docs.collect()} - set(docs) == {"Late machine", "Late page"}
+    # a dump and a page that change under their names are read again and replace their rows
+    changed = dump_xml([page_xml(9, "Changed machine", "A machine.\n[[Category:Serial computers]]")])
+    (tmp_path / "dumps" / "c.xml.bz2").write_bytes(bz2.compress(changed) + b"")
+    os.utime(tmp_path / "dumps" / "c.xml.bz2", (2e9, 2e9))
+    write_pages(tmp_path / "site", {"Late_page": SITE["VAX_11"].replace("VAX", "WAX")})
+    os.utime(tmp_path / "site" / "Late_page.html", (2e9, 2e9))
+    again = {r.title: r for r in run().docs.collect()}
+    assert set(again) - set(docs) == {"Changed machine", "Late page"} and "WAX" in again["Late page"].text
+    # what is gone from the folders is gone from the index
+    os.remove(tmp_path / "dumps" / "c.xml.bz2")
+    os.remove(tmp_path / "site" / "Late_page.html")
+    assert {r.title for r in run().docs.collect()} == set(docs)
+
+
+def test_pipeline_options(spark, dump_folder, site_folder, tmp_path):
+    topics = Topics(dump_allow="intel", dump_deny="nothing", site_allow="zzz")
+    index = build_dump_index(
+        spark, str(dump_folder), "*", str(site_folder), str(tmp_path / "work"), str(tmp_path / "index"), topics, skip_empty_keys=True, saturate=False)
+    assert {(r.title, r.site_title) for r in index.docs.collect()} == {("Intel & <co>", None)}
 
 
 def test_custom_fields_are_kept(spark, tmp_path):

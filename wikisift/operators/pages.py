@@ -34,35 +34,37 @@ def on_topic(categories: Column, allow: str, deny: str) -> Column:
     return let(categories, lambda c: c.rlike(allow) & ~c.rlike(deny))
 
 
-def page_texts(pages: DataFrame, unknown: str = "keep") -> DataFrame:
-    """``(page_name, text)`` of article pages."""
+def page_texts(pages: DataFrame, unknown: str = "keep", keep: tuple[str, ...] = ()) -> DataFrame:
+    """``(page_name, text)`` of article pages, after the columns of ``keep``."""
     kept = pages.where(is_article_page(F.col("page_name"), F.col("html")))
-    return kept.select("page_name", once(html_to_text(F.col("html"), unknown)).alias("text"))
+    return kept.select(*keep, "page_name", once(html_to_text(F.col("html"), unknown)).alias("text"))
 
 
 def dump_articles(
-    dump: DataFrame, allow: str = presets.DUMP_ALLOW, deny: str = presets.DUMP_DENY
+    dump: DataFrame, allow: str = presets.DUMP_ALLOW, deny: str = presets.DUMP_DENY, keep: tuple[str, ...] = ()
 ) -> DataFrame:
     """``(title, value)`` of main-namespace dump pages on the topic."""
-    articles = dump.where(F.col("ns") == 0).select("title", F.col("revision.text._VALUE").alias("value"))
+    articles = dump.where(F.col("ns") == 0).select(*keep, "title", F.col("revision.text._VALUE").alias("value"))
     return articles.where(on_topic(dump_categories(F.col("value")), allow, deny))
 
 
 def site_articles(
-    pages: DataFrame, allow: str = presets.SITE_ALLOW, deny: str = presets.SITE_DENY
+    pages: DataFrame, allow: str = presets.SITE_ALLOW, deny: str = presets.SITE_DENY, keep: tuple[str, ...] = ()
 ) -> DataFrame:
     """``(title, value)`` of site pages whose category line is on the topic."""
-    texts = page_texts(pages).where(on_topic(site_categories(F.col("text")), allow, deny))
+    texts = page_texts(pages, keep=keep).where(on_topic(site_categories(F.col("text")), allow, deny))
     return texts.select(
-        title_from_page_name(F.col("page_name")).alias("title"), F.col("text").alias("value")
+        *keep, title_from_page_name(F.col("page_name")).alias("title"), F.col("text").alias("value")
     )
 
 
-def with_attributes(articles: DataFrame, rules: tuple[Source, ...] = presets.COMPUTERS) -> DataFrame:
+def with_attributes(
+    articles: DataFrame, rules: tuple[Source, ...] = presets.COMPUTERS, keep: tuple[str, ...] = ()
+) -> DataFrame:
     """Add the ``attributes`` array found in ``value``, ordered by title (A1, O1).
 
     Sorted before the rules run: a sort samples its input, which would run them twice.
     """
     return articles.orderBy("title").select(
-        "title", extract_attributes("value", rules).alias("attributes"), "value"
+        *keep, "title", extract_attributes("value", rules).alias("attributes"), "value"
     )

@@ -1,101 +1,123 @@
-"""Dump and site to searchable documents: read, filter, extract, join, index."""
+"""Dump and site to searchable documents: read, filter, extract, join, index.
+
+What was read is kept in a manifest of files with their length and time of change. A file
+that is new or changed is read in the next build, and its rows take the place of those of
+the run before; rows of files that are gone are no longer part of the table.
+"""
 
 from __future__ import annotations
 
 import uuid
-from functools import reduce
+from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from wikisift.functions import presets
+from wikisift.functions.attributes import Source
 from wikisift.operators.fielded import FieldIndex
 from wikisift.operators.pages import dump_articles, site_articles, with_attributes
 from wikisift.operators.searchdocs import build_search_docs, join_titles
 from wikisift.sources.dump import DUMP_SCHEMA, list_dumps, read_dump
-from wikisift.sources.site import read_site
+from wikisift.sources.site import list_site, read_site
 from wikisift.sources.tables import materialize
 
+MANIFEST = "file string, length bigint, modified timestamp, written bigint"
+
 
-def _missing(spark: SparkSession, files: DataFrame, done: str) -> DataFrame:
-    """The files of ``(file)`` that the table ``done`` does not name yet."""
-    spark.createDataFrame([], "file string").write.mode("ignore").parquet(f"{done}/run=none")
-    return files.join(spark.read.parquet(done).select("file"), "file", "left_anti")
+@dataclass(frozen=True)
+class Topics:
+    """Which articles are kept and what is read from them; other patterns or rules need another work folder."""
 
+    dump_allow: str = presets.DUMP_ALLOW
+    dump_deny: str = presets.DUMP_DENY
+    site_allow: str = presets.SITE_ALLOW
+    site_deny: str = presets.SITE_DENY
+    rules: tuple[Source, ...] = presets.COMPUTERS
 
-def _extend(spark: SparkSession, rows: DataFrame, files: DataFrame, path: str) -> None:
-    """Append ``rows`` as one run, then the files they come from, which publishes the run."""
-    run = uuid.uuid4().hex
-    rows.write.parquet(f"{path}/rows/run={run}")
-    files.write.parquet(f"{path}/files/run={run}")
 
+def _manifest(spark: SparkSession, path: str) -> DataFrame:
+    """``(file, length, modified, written, run)`` of the last run that read each file."""
+    spark.createDataFrame([], MANIFEST).write.mode("ignore").parquet(f"{path}/files/run=none")
+    done = spark.read.schema(f"{MANIFEST}, run string").parquet(f"{path}/files")
+    last = F.max_by(F.struct("length", "modified", "written", "run"), "written")
+    return done.groupBy("file").agg(last.alias("last")).select("file", "last.*")
 
-def _published(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """Rows of all published runs; what an interrupted run left behind is not among them."""
-    runs = spark.read.parquet(f"{path}/files").select("run").distinct()
-    rows = spark.read.schema(StructType([*schema.fields, StructField("run", StringType())])).parquet(f"{path}/rows")
-    return rows.join(runs, "run", "left_semi").drop("run")
 
+def _kept_up(spark: SparkSession, files: DataFrame, read: Callable[[DataFrame], DataFrame], path: str) -> DataFrame:
+    """A table of all ``files(file, length, modified)``; new and changed ones are read by ``read(files)`` and added.
 
-def _kept_up(spark: SparkSession, files: DataFrame, read, path: str) -> DataFrame:
-    """A table of all ``files``: those not read so far are read by ``read(files)`` and added."""
-    missing = materialize(_missing(spark, files, f"{path}/files"), "missing-files")
+    The rows of a run are written first, then its part of the manifest, which publishes
+    them. A row counts if its run is the last that read its file.
+    """
+    files = materialize(files, "listed-files")
+    known = _manifest(spark, path)
+    missing = materialize(files.join(known, ["file", "length", "modified"], "left_anti"), "missing-files")
     rows = read(missing)
     if not missing.isEmpty():
-        _extend(spark, rows, missing, path)
-    return _published(spark, path, rows.schema)
+        run, last = uuid.uuid4().hex, known.agg(F.max("written")).first()[0] or 0
+        rows.write.parquet(f"{path}/rows/run={run}")
+        missing.withColumn("written", F.lit(last + 1)).write.parquet(f"{path}/files/run={run}")
+    whole = StructType([*rows.schema.fields, StructField("run", StringType())])
+    live = _manifest(spark, path).join(files, "file", "left_semi").select("file", "run")
+    if live.isEmpty():
+        return spark.createDataFrame([], rows.schema)
+    return spark.read.schema(whole).parquet(f"{path}/rows").join(live, ["file", "run"], "left_semi").select(*rows.columns)
 
 
 def dump_table(spark: SparkSession, folder: str, target: str, work: str) -> DataFrame:
-    """Pages of the dumps a target names as Parquet, each dump converted once, also one that arrives later."""
-    files = list_dumps(spark, folder, target).select(F.col("path").alias("file"))
-    pages = _kept_up(spark, files, lambda missing: _read_dumps(spark, missing), f"{work}/dumps")
-    return pages.join(files, "file", "left_semi")
+    """Pages of the dumps a target names as Parquet, with their ``file``; each dump is converted once, and again when it changes."""
+    files = list_dumps(spark, folder, target)
+    paths = files.select("file", "path")
 
+    def read(missing: DataFrame) -> DataFrame:
+        found = [r["path"] for r in missing.join(paths, "file").collect()]  # one row per dump file
+        if not found:
+            return spark.createDataFrame([], StructType([StructField("file", StringType()), *StructType.fromDDL(DUMP_SCHEMA).fields]))
+        return read_dump(spark, found, with_file=True)
 
-def _read_dumps(spark: SparkSession, files: DataFrame) -> DataFrame:
-    """``(file, page columns)``; one row per dump file on the driver, a handful."""
-    paths = [r["file"] for r in files.collect()]
-    if not paths:
-        return spark.createDataFrame([], StructType([StructField("file", StringType()), *StructType.fromDDL(DUMP_SCHEMA).fields]))
-    return reduce(DataFrame.unionByName, (read_dump(spark, p).select(F.lit(p).alias("file"), "*") for p in paths))
+    return _kept_up(spark, files.select("file", "length", "modified"), read, f"{work}/dumps")
 
 
-def dump_attribute_table(spark: SparkSession, folder: str, target: str, work: str) -> DataFrame:
-    """Articles of the dumps with their attributes, extracted once for each dump."""
+def dump_attribute_table(spark: SparkSession, folder: str, target: str, work: str, topics: Topics = Topics()) -> DataFrame:
+    """Articles of the dumps with their attributes, extracted once for each state of a dump."""
     pages = dump_table(spark, folder, target, work)
-    files = list_dumps(spark, folder, target).select(F.col("path").alias("file"))
+    files = list_dumps(spark, folder, target).select("file", "length", "modified")
 
     def read(missing: DataFrame) -> DataFrame:
-        part = pages.join(missing, "file", "left_semi")
-        return with_attributes(dump_articles(part))
+        part = pages.join(missing.select("file"), "file", "left_semi")
+        articles = dump_articles(part, topics.dump_allow, topics.dump_deny, keep=("file",))
+        return with_attributes(articles, topics.rules, keep=("file",))
 
     name = "all" if target == "*" else files.first()["file"].rpartition("/")[2]
-    return _kept_up(spark, files, read, f"{work}/attr_dumps-{name}")
+    return _kept_up(spark, files, read, f"{work}/attr_dumps-{name}").drop("file")
 
 
-def site_attribute_table(spark: SparkSession, folder: str, work: str) -> DataFrame:
-    """Articles of the site with their attributes, extracted once for each page file."""
+def site_attribute_table(spark: SparkSession, folder: str, work: str, topics: Topics = Topics()) -> DataFrame:
+    """Articles of the site with their attributes, extracted once for each state of a page file."""
     pages = read_site(spark, folder)
-    files = pages.select(F.col("page_name").alias("file"))
 
     def read(missing: DataFrame) -> DataFrame:
-        part = pages.join(missing.withColumnRenamed("file", "page_name"), "page_name", "left_semi")
-        return with_attributes(site_articles(part))
+        part = pages.withColumn("file", F.col("page_name")).join(missing.select("file"), "file", "left_semi")
+        articles = site_articles(part, topics.site_allow, topics.site_deny, keep=("file",))
+        return with_attributes(articles, topics.rules, keep=("file",))
 
-    return _kept_up(spark, files, read, f"{work}/attr_site")
+    return _kept_up(spark, list_site(spark, folder), read, f"{work}/attr_site").drop("file")
 
 
 def build_dump_index(
-    spark: SparkSession, dump_folder: str, target: str, site_folder: str, work: str, output: str
-) -> FieldIndex:
+    spark: SparkSession, dump_folder: str, target: str, site_folder: str, work: str, output: str,
+    topics: Topics = Topics(), skip_empty_keys: bool = False, saturate: bool = True,
+) -> FieldIndex:
     """The whole pipeline; intermediate tables in ``work`` are reused, the index is replaced.
 
     All dumps of a target form one table, so several dumps give one index.
     """
     joined = join_titles(
-        dump_attribute_table(spark, dump_folder, target, work),
-        site_attribute_table(spark, site_folder, work),
+        dump_attribute_table(spark, dump_folder, target, work, topics),
+        site_attribute_table(spark, site_folder, work, topics),
+        skip_empty_keys=skip_empty_keys,
     )
-    return FieldIndex.build(build_search_docs(joined)).save(output)
-
+    return FieldIndex.build(build_search_docs(joined, saturate)).save(output)

@@ -18,26 +18,31 @@ DUMP_FILES = "*.bz2"
 
 
 def list_dumps(spark: SparkSession, folder: str, target: str = "*") -> DataFrame:
-    """``(path)`` of the dumps a target names: ``*`` all, ``1`` the first by name, else one file."""
+    """``(path, file, length, modified)`` of the dumps a target names: ``*`` all, ``1`` the first by name, else one file.
+
+    ``file`` is the name that rows read from it carry.
+    """
     pattern = DUMP_FILES if target in ("*", "1") else target.removesuffix(".bz2") + ".bz2"
-    files = (
-        spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select("path")
-    )
-    return files.agg(F.min("path").alias("path")).where("path IS NOT NULL") if target == "1" else files
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
+    files = files.select("path", F.col("_metadata.file_path").alias("file"), "length", F.col("modificationTime").alias("modified"))
+    return files.orderBy("path").limit(1) if target == "1" else files
 
 
-def read_dump(spark: SparkSession, paths: str | list[str], schema: str | StructType = DUMP_SCHEMA) -> DataFrame:
-    """One row per ``<page>``.
+def read_dump(
+    spark: SparkSession, paths: str | list[str], schema: str | StructType = DUMP_SCHEMA, with_file: bool = False
+) -> DataFrame:
+    """One row per ``<page>`` (S1), with the ``file`` it comes from if asked for.
 
     The XML reader takes a whole bz2 file in one task. Cut at the end tag of a page
     instead, a dump is text with a record delimiter, which Spark splits; the escaped
     wiki text cannot hold that tag. Give a smaller ``schema`` to parse fewer fields.
     """
     records = spark.read.option("lineSep", "</page>").text(paths)
+    file = [F.col("_metadata.file_path").alias("file")] * with_file
     start = F.regexp_extract("value", r"(?s)(<page[\s>].*)", 1)
-    pages = records.select(start.alias("page")).where(F.col("page") != "")
+    pages = records.select(*file, start.alias("page")).where(F.col("page") != "")
     parsed = F.from_xml(F.concat("page", F.lit("</page>")), schema, {"rowTag": "page"})
-    return pages.select(parsed.alias("p")).select("p.*")
+    return pages.select(*["file"] * with_file, parsed.alias("p")).select(*["file"] * with_file, "p.*")
 
 
 def read_dump_target(spark: SparkSession, folder: str, target: str = "*") -> DataFrame:

@@ -16,6 +16,14 @@ def read_site(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def list_site(spark: SparkSession, folder: str) -> DataFrame:
+    """``(file, length, modified)`` of the page files, by page name; no page is read."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.html").load(folder)
+    return files.select(
+        decode_file_name(F.col("_metadata.file_name")).alias("file"), "length", F.col("modificationTime").alias("modified")
+    )
+
+
 def distinct_pages(pages: DataFrame) -> DataFrame:
     """One row per page name, as the name alone identifies a page.
 
