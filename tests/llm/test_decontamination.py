@@ -1,10 +1,13 @@
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tests.llm.cases import awkward, collected, frame, prose
 from wikisift.llm import decontamination as D
+from wikisift.llm import ragged
 
 ITEMS = [(i, " ".join(prose(700 + i, 18).split())) for i in range(12)] + [(50, None), (51, ""), (52, "ab"), (53, "kalomi 1234")]
 
@@ -83,3 +86,25 @@ def test_grams_of_any_length():
         g = D._grams(codes, q)
         assert len(g) == 20 - q + 1 and len(set(g.tolist())) == len(g)
         assert D._grams(codes[5 : 5 + q], q)[0] == g[5]
+
+
+def test_a_phrase_of_all_items_takes_little_memory():
+    phrase = "the quick brown fox jumps over "
+    items = D.prepare([(i, phrase + prose(3000 + i, 12)) for i in range(5000)], 8, 0.08)
+    text = (phrase + "filler words. ") * 6 + phrase + prose(3007, 12)
+    piece = next(ragged.pieces(pa.array(["x", text, "", text[50:] + phrase])))
+    tracemalloc.start()
+    found = D._matches(piece, items)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 300 << 20
+    assert {(d, items.ids[i]) for d, i, *_ in found} == {(1, 7), (3, 7)}
+
+
+@pytest.mark.parametrize("together", [50, 1_000_000])
+def test_slices_change_nothing(monkeypatch, together):
+    monkeypatch.setattr(D, "_TOGETHER", together)
+    items = D.prepare([(0, "a" * 40), (1, prose(5, 20)), (2, "ab" * 25), (3, prose(5, 20) + " tail end of it")], 8, 0.08)
+    texts = ["a" * 300, prose(5, 20), "x" + prose(5, 20) + " tail end of it", "ab" * 60 + "a" * 60, None, prose(9, 60)]
+    found = D._matches(next(ragged.pieces(pa.array(texts))), items)
+    assert {(d, i) for d, i, *_ in found} == {(0, 0), (1, 1), (2, 1), (2, 3), (3, 0), (3, 2)}

@@ -1,5 +1,8 @@
+import base64
 import hashlib
+import random
 import re
+import time
 import zlib
 
 from tests.llm.cases import awkward, collected, documents, frame
@@ -70,3 +73,16 @@ def test_spans_and_redaction(spark):
     rows = S.find_secrets(frame(spark)).collect()
     assert len(rows) == len(awkward()) and all(r.spans is not None for r in rows)
     assert collected(S.find_secrets(frame(spark, [])).select("doc_id")) == []
+
+
+def test_web_tokens_as_the_plain_pattern_in_linear_time():
+    rng = random.Random(2)
+    head = base64.urlsafe_b64encode(b'{"alg":"x"}').decode().rstrip("=")
+    pattern = next(rule.pattern for rule in S.RULES if rule.kind == "jwt")
+    for _ in range(3000):
+        text = "".join(rng.choice([head, "eyJ", "eyj", "a", ".", ".", " ", "-"]) for _ in range(rng.randint(1, 14)))
+        plain = [m.span() for m in pattern.finditer(text) if S.json_header(m)]
+        assert [(a, b) for a, b, kind in S.scan(text) if kind == "jwt"] == plain
+    began = time.process_time()
+    assert S.scan("eyJ" * 350_000) == []
+    assert time.process_time() - began < 2

@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from wikisift.llm import ragged
 
 _TABLE_BITS = 22
+_MOST_TABLE_BITS = 26
+_TOGETHER = 1_000_000
 _UNICODE = 0x110000
 _GRAM_BASE = np.uint64(0x9E3779B97F4A7C15)
 _tables: dict[str, np.ndarray] = {}
@@ -80,11 +82,15 @@ class Items:
     budget: np.ndarray  # edits allowed
     need: np.ndarray  # shared q-grams asked for
     table: np.ndarray  # which hash prefixes occur
-    grams: np.ndarray  # sorted
-    gram_item: np.ndarray
+    grams: np.ndarray  # distinct, sorted
+    places: np.ndarray  # by q-gram and item: number of the q-gram, item
     gram_at: np.ndarray
     q: int
 
+    @property
+    def shift(self) -> np.uint64:
+        return np.uint64(64 - (len(self.table).bit_length() - 1))
+
 
 def prepare(rows: list[tuple], q: int, error_rate: float) -> Items:
     """Index a block of ``(item_id, text)``."""
@@ -96,10 +102,13 @@ def prepare(rows: list[tuple], q: int, error_rate: float) -> Items:
     flat = np.concatenate([np.zeros(0, np.uint64), *grams])
     item = np.repeat(np.arange(len(kept)), [len(g) for g in grams])
     at = np.concatenate([np.zeros(0, np.int64), *[np.arange(len(g)) for g in grams]])
-    order = np.argsort(flat, kind="stable")
-    table = np.zeros(1 << _TABLE_BITS, bool)
-    table[(flat >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)] = True
-    return Items([i for i, _ in kept], [c for _, c in kept], budget, sizes + 1 - q * (budget + 1), table, flat[order], item[order], at[order], q)
+    order = np.argsort(flat, kind="stable")  # items stay in order inside a q-gram
+    distinct, number = np.unique(flat[order], return_inverse=True)
+    bits = min(max((8 * len(flat)).bit_length(), _TABLE_BITS), _MOST_TABLE_BITS)  # a few q-grams to each hundred slots
+    table = np.zeros(1 << bits, bool)
+    table[(flat >> np.uint64(64 - bits)).astype(np.int64)] = True
+    places = (number.astype(np.int64) << 32) | item[order]
+    return Items([i for i, _ in kept], [c for _, c in kept], budget, sizes + 1 - q * (budget + 1), table, distinct, places, at[order], q)
 
 
 def _align(text: np.ndarray, item: np.ndarray, low: int, high: int) -> tuple[int, int, int]:
@@ -131,35 +140,83 @@ def _align(text: np.ndarray, item: np.ndarray, low: int, high: int) -> tuple[int
     return int(cost[at]), int(begin[at]), at + low + len(item)
 
 
+def _bands(doc, place, slot, items: Items):
+    """``(document, item, band)`` keys, sorted, and how many q-grams each has, of pairs of places."""
+    item = items.places[slot] & 0xFFFFFFFF
+    # A band is 2 * width diagonals, and one begins at every width, so k diagonals fit into one of them.
+    band = (place - items.gram_at[slot]) // np.maximum(items.budget[item], 4)
+    key = np.stack([np.concatenate([doc, doc]), np.concatenate([item, item]), np.concatenate([band, band - 1])])
+    return _summed(key, np.ones(key.shape[1], np.int64))
+
+
+def _summed(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    if not len(n):
+        return key, n
+    order = np.lexsort(key[::-1])
+    key, n = key[:, order], n[order]
+    first = np.flatnonzero(np.concatenate([[True], (key[:, 1:] != key[:, :-1]).any(axis=0)]))
+    return key[:, first], np.add.reduceat(n, first)
+
+
+def _expanded(doc, place, low, count, items: Items):
+    """Bands of some places and all their places in items, in slices of bounded size."""
+    key, n = np.zeros((3, 0), np.int64), np.zeros(0, np.int64)
+    before = np.concatenate([[0], np.cumsum(count)])
+    first = 0
+    while first < len(count):
+        last = max(int(np.searchsorted(before, before[first] + _TOGETHER, side="right")) - 1, first + 1)
+        c = count[first:last]
+        slot = np.repeat(low[first:last] - (np.cumsum(c) - c), c) + np.arange(c.sum())
+        more, m = _bands(np.repeat(doc[first:last], c), np.repeat(place[first:last], c), slot, items)
+        key, n = _summed(np.concatenate([key, more], axis=1), np.concatenate([n, m])) if len(n) else (more, m)
+        first = last
+    return key, n
+
+
+def _candidates(piece: ragged.Piece, grams: np.ndarray, starts: np.ndarray, items: Items):
+    """``(document, item, band)`` with as many q-grams as the lemma asks for.
+
+    Many places are worked off by documents, and those of one document by ranges of items,
+    so that what is held at once stays small however often a q-gram occurs on either side.
+    """
+    hits = np.flatnonzero(items.table[(grams >> items.shift).astype(np.int64)])
+    number = np.minimum(np.searchsorted(items.grams, grams[hits]), max(len(items.grams) - 1, 0))
+    known = items.grams[number] == grams[hits] if len(items.grams) else np.zeros(len(hits), bool)
+    hits, number = hits[known], number[known].astype(np.int64) << 32
+    if not len(hits):
+        return
+    doc = np.searchsorted(starts, hits, side="right") - 1
+    place = hits - starts[doc]
+
+    def enough(some, low, count):
+        key, n = _expanded(doc[some], place[some], low, count, items)
+        yield from key[:, n >= items.need[key[1]]].T.tolist() if len(n) else ()
+
+    low, high = np.searchsorted(items.places, number), np.searchsorted(items.places, number + (1 << 32))
+    before = np.concatenate([[0], np.cumsum(high - low)])
+    opens = np.append(np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])), len(doc))
+    d = 0
+    while d < len(opens) - 1:
+        first = opens[d]
+        e = max(int(np.searchsorted(before[opens], before[first] + _TOGETHER, side="right")) - 1, d + 1)
+        some = slice(first, opens[e])
+        total = int(before[opens[e]] - before[first])
+        parts = max(min(-(-total // _TOGETHER), len(items.ids)), 1)
+        bounds = np.linspace(0, len(items.ids), parts + 1).astype(np.int64)
+        for i, j in zip(bounds[:-1], bounds[1:]):
+            a, b = (low[some], high[some]) if parts == 1 else (np.searchsorted(items.places, number[some] + x) for x in (i, j))
+            yield from enough(some, a, b - a)
+        d = e
+
+
 def _matches(piece: ragged.Piece, items: Items):
     """``(document, item, edits, start, end)`` in code points, of one piece."""
     codes, at = _folded(piece.data.tobytes())
     characters = np.concatenate([[0], np.cumsum((piece.data & 0xC0) != 0x80)])
     starts = np.searchsorted(at, characters[piece.offsets])  # of documents, among the folded characters
     grams = _grams(codes, items.q)
-    hits = np.flatnonzero(items.table[(grams >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)])
-    low = np.searchsorted(items.grams, grams[hits], side="left")
-    count = np.searchsorted(items.grams, grams[hits], side="right") - low
-    hits, low, count = hits[count > 0], low[count > 0], count[count > 0]
-    if not len(hits):
-        return []
-    slot = np.repeat(low - (np.cumsum(count) - count), count) + np.arange(count.sum())
-    place, item = np.repeat(hits, count), items.gram_item[slot]
-    doc = np.searchsorted(starts, place, side="right") - 1
-    place = place - starts[doc]
-    diagonal = place - items.gram_at[slot]
-    # A band is 2 * width diagonals, and one begins at every width, so k diagonals fit into one of them.
-    width = np.maximum(items.budget[item], 4)
-    band = diagonal // width
-    key = np.stack([np.concatenate([doc, doc]), np.concatenate([item, item]), np.concatenate([band, band - 1])])
-    order = np.lexsort(key[::-1])
-    key = key[:, order]
-    first = np.flatnonzero(np.concatenate([[True], (key[:, 1:] != key[:, :-1]).any(axis=0)]))
-    n = np.diff(np.append(first, key.shape[1]))
-    key = key[:, first]
-    enough = n >= items.need[key[1]]
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
-    for d, i, b in key[:, enough].T.tolist():
+    for d, i, b in _candidates(piece, grams, starts, items):
         k, w = int(items.budget[i]), max(int(items.budget[i]), 4)
         text = codes[starts[d] : starts[d + 1]]
         edits, begin, end = _align(text, items.codes[i], b * w - k, (b + 2) * w + k)
