@@ -444,19 +444,38 @@ def site_topic_filter(spark, sf_dir):
     return _site_articles(spark, sf_dir).select("title", T.site_categories(F.col("value")).alias("categories"))
 
 
-def _joined(spark, sf_dir):
+def _joined(spark, sf_dir, **limits):
     return searchdocs.join_titles(
         pages.with_attributes(_dump_articles(spark, sf_dir)),
         pages.with_attributes(_site_articles(spark, sf_dir)),
+        **limits,
     )
 
 
-def title_join(spark, sf_dir):
-    return _joined(spark, sf_dir).select(
+def _title_rows(joined: DataFrame) -> DataFrame:
+    return joined.select(
         "title", "extern_title", "site_title", V.attributes_to_string(F.col("attributes")).alias("attributes"), "value"
     )
 
 
+def title_join(spark, sf_dir):
+    return _title_rows(_joined(spark, sf_dir))
+
+
+def brand_pairs(spark, sf_dir):
+    """Titles cut to their first word: frequent keys on both sides, joined as grids of small cells."""
+
+    def short(df):
+        return df.select(F.concat(F.element_at(F.split("title", " "), 1), F.lit("x")).alias("title"), "attributes", "value")
+
+    dump, site = (pages.with_attributes(read(spark, sf_dir)) for read in (_dump_articles, _site_articles))
+    joined = searchdocs.join_titles(short(dump), short(site), rows_per_split=50, pairs_per_task=100)
+    return joined.groupBy("title").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("extern_title").isNotNull() & F.col("site_title").isNotNull()).alias("n_pairs"),
+        F.sum(F.size("attributes")).alias("n_attributes"),
+    )
+
+
 def attribute_strings(spark, sf_dir):
     """The joined attributes written as strings and parsed again."""
     joined = _joined(spark, sf_dir).select("title", V.attributes_to_string(F.col("attributes")).alias("line"))
@@ -608,7 +627,7 @@ def queries() -> dict[str, Query]:
         search_two_terms, search_top_hits, search_batch_top10, search_bitmaps, search_block_top10, search_mixed_modes, page_search,
         hit_counts, page_links, site_links, crawl_frontier, crawl_order, attributes_anywhere,
         attributes_first_success, attributes_all_matches, wiki_attributes, wiki_dump_scan, changed_dumps,
-        dump_topic_filter, site_topic_filter, title_join, attribute_strings, search_documents,
+        dump_topic_filter, site_topic_filter, title_join, brand_pairs, attribute_strings, search_documents,
         field_statistics, fielded_search, fielded_search_top, fielded_search_ranges,
         fielded_search_one_field, fielded_search_query_ranges, fielded_search_must_not, range_search, most_frequent_quantity, document_number,
         parsed_numbers, technologies,

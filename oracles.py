@@ -309,6 +309,10 @@ def all_sql() -> dict[str, str]:
         "site_topic_filter": f"WITH {WIKI} SELECT title, categories FROM site",
         "title_join": f"""WITH {WIKI} SELECT title, extern_title, site_title, array_to_string(list_transform(attributes,
             lambda a: a.name || ':' || a.value), chr(9)) AS attributes, value FROM titles""",
+        "brand_pairs": f"""WITH {WIKI}, a AS (SELECT split_part(title, ' ', 1) || 'x' AS k, len(attributes) AS n FROM articles),
+            s AS (SELECT split_part(title, ' ', 1) || 'x' AS k, len(attributes) AS n FROM site)
+            SELECT coalesce(a.k, s.k) AS title, count(*) AS n_rows, count(*) FILTER (a.k IS NOT NULL AND s.k IS NOT NULL) AS n_pairs,
+                sum(coalesce(a.n, 0) + coalesce(s.n, 0))::BIGINT AS n_attributes FROM a FULL JOIN s ON lower(a.k) = lower(s.k) GROUP BY 1""",
         "attribute_strings": f"""WITH {WIKI} SELECT title, (i - 1)::BIGINT AS n, attributes[i].name AS name, attributes[i].value AS value
             FROM (SELECT title, attributes, unnest(range(1, len(attributes) + 1)) AS i FROM titles)""",
         "search_documents": f"WITH {WIKI} SELECT * FROM search_docs",

@@ -12,7 +12,7 @@ from wikisift.operators.links import extract_links, frontier
 from wikisift.operators.postings import TextIndex, documents_of_term, terms_of_document
 from wikisift.operators.ranking import assign_ids, most_frequent_by, ranked, with_positions
 from wikisift.operators.search import query_table, search
-from wikisift.operators.skew import full_outer_join
+from wikisift.operators.skew import _grid, full_outer_join
 from tests.helpers import evaluate
 
 
@@ -122,15 +122,15 @@ def test_ranked_total_order_matches_window(spark):
     assert few == {k: v for k, v in full.items() if v <= 3}
 
 
-@pytest.mark.parametrize("rows_per_split", [3, 1000])
-def test_full_outer_join_with_frequent_keys(spark, rows_per_split):
+@pytest.mark.parametrize("limits", [(3, 10**9), (1000, 10**9), (1000, 5), (4, 1)])
+def test_full_outer_join_with_frequent_keys(spark, limits):
     rng = random.Random(9)
     keys = ["hot"] * 6 + ["both"] * 4 + ["left hot"] * 5 + [f"k{i}" for i in range(12)] + [None]
     left = [(rng.choice(keys), f"l{i}") for i in range(60)]
     right = [(rng.choice([k for k in keys if k != "left hot"] + ["right hot"] * 8), f"r{i}") for i in range(60)]
     got = full_outer_join(
         spark.createDataFrame(left, "k string, a string"),
-        spark.createDataFrame(right, "k string, b string"), "k", rows_per_split)
+        spark.createDataFrame(right, "k string, b string"), "k", *limits)
     expected = [(k, a, b) for k, a in left for k2, b in right if k is not None and k == k2]
     left_keys, right_keys = {k for k, _ in left} - {None}, {k for k, _ in right} - {None}
     expected += [(k, a, None) for k, a in left if k not in right_keys]
@@ -138,6 +138,14 @@ def test_full_outer_join_with_frequent_keys(spark, rows_per_split):
     assert Counter((r.k, r.a, r.b) for r in got.collect()) == Counter(expected)
 
 
+def test_cells_of_the_grid_are_bounded(spark):
+    cases = [(1000, 1000), (1, 50_000), (50_000, 3), (7, 9), (200_000, 200_000), (None, 400)]
+    rows = spark.createDataFrame(cases, "l bigint, r bigint").select("l", "r", *(c.alias(n) for n, c in zip("ab", _grid(F.col("l"), F.col("r"), 300, 2000))))
+    for r in rows.collect():
+        left, right = -(-(r.l or 1) // r.a), -(-(r.r or 1) // r.b)
+        assert left <= 300 and right <= 300 and left * right <= 2000 * 1.3  # splits are whole rows
+
+
 def test_most_frequent(spark):
     cases = [[1.0, 2.0, 2.0, 3.0, 3.0, 4.0], [2.5e9], [1.9], [], [float("inf")], [5.0, -1.0]]
     best = evaluate(spark, V.most_frequent, cases, "value array<double>")

@@ -9,7 +9,7 @@ from wikisift.functions import values as V
 from wikisift.functions.expr import let
 from wikisift.functions.text import normalize_title
 from wikisift.operators.ranking import with_positions
-from wikisift.operators.skew import ROWS_PER_SPLIT, full_outer_join
+from wikisift.operators.skew import PAIRS_PER_TASK, ROWS_PER_SPLIT, full_outer_join
 
 
 def join_titles(
@@ -17,6 +17,7 @@ def join_titles(
     site: DataFrame,
     skip_empty_keys: bool = False,
     rows_per_split: int = ROWS_PER_SPLIT,
+    pairs_per_task: int = PAIRS_PER_TASK,
 ) -> DataFrame:
     """Full outer join of two ``(title, attributes, value)`` tables on normalised title.
 
@@ -41,6 +42,7 @@ def join_titles(
         side(site, "site"),
         "n_title",
         rows_per_split,
+        pairs_per_task,
     )
     nothing = F.array().cast("array<struct<name:string,value:string>>")
     return joined.select(

@@ -10,6 +10,7 @@ from wikisift.sources.tables import materialize
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 64 << 20
 ROWS_PER_SPLIT = 100_000
+PAIRS_PER_TASK = 20_000_000
 
 
 def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
@@ -41,25 +42,35 @@ def join_lookup(
     return salted.join(copies, [*keys, "_salt"]).drop("_salt")
 
 
-def _splits(n: Column, rows_per_split: int) -> Column:
-    return F.greatest(F.ceil(F.coalesce(n, F.lit(0)) / rows_per_split), F.lit(1)).cast("int")
+def _grid(left: Column, right: Column, rows_per_split: int, pairs_per_task: int) -> tuple[Column, Column]:
+    """Splits of either side of a key: no split has more than its rows, and no pair of splits more than its pairs."""
+    n = [F.greatest(F.coalesce(side, F.lit(0)), F.lit(1)).cast("double") for side in (left, right)]
+    splits = [F.ceil(side / rows_per_split) for side in n]
+    pairs = n[0] / splits[0] * n[1] / splits[1]
+    finer = F.sqrt(F.greatest(pairs / pairs_per_task, F.lit(1.0)))
+    # A side that is already cut into single rows leaves the rest to the other one.
+    first = F.least(F.ceil(splits[0] * finer), n[0])
+    rest = F.greatest(n[0] / first * n[1] / splits[1] / pairs_per_task, F.lit(1.0))
+    second = F.least(F.ceil(splits[1] * rest), n[1])
+    return first.cast("int"), second.cast("int")
 
 
 def full_outer_join(
-    left: DataFrame, right: DataFrame, key: str, rows_per_split: int = ROWS_PER_SPLIT
+    left: DataFrame, right: DataFrame, key: str, rows_per_split: int = ROWS_PER_SPLIT, pairs_per_task: int = PAIRS_PER_TASK
 ) -> DataFrame:
     """Full outer equi-join on ``key`` that splits frequent keys on either side.
 
     Spark's own skew handling does not cover full outer joins. Without a key of more
-    than ``rows_per_split`` rows this is the plain join. Otherwise a key with n rows
-    on a side is cut into ceil(n / rows_per_split) splits there, and the other side's
-    rows of that key are repeated once per split, so every pair meets in exactly one
-    task. A repeated row that finds no partner in its split is dropped: its key is
+    than ``rows_per_split`` rows or ``pairs_per_task`` pairs this is the plain join.
+    Otherwise the pairs of a frequent key are a grid: both sides are cut into splits by
+    their measured counts, rows are repeated once for each split of the other side, and
+    a cell of the grid, which is what meets in a task, has no more than that many pairs.
+    Every pair is in exactly one cell. A repeated row that finds no partner in its split is dropped: its key is
     present on the split side and has matched in another split. Other keys are
     neither salted nor repeated.
 
     Columns of the two sides must have different names, but for ``key``. The table of
-    frequent keys has at most rows / rows_per_split entries per side. It is written
+    frequent keys has at most rows / sqrt(pairs_per_task) entries per side. It is written
     first, so Spark knows its size and broadcasts it only below its own threshold.
     """
     sides = left.select(F.col(key), F.lit(1).alias("l"), F.lit(0).alias("r")).unionAll(
@@ -69,11 +80,10 @@ def full_outer_join(
         sides.where(F.col(key).isNotNull())
         .groupBy(key)
         .agg(F.sum("l").alias("_n_left"), F.sum("r").alias("_n_right"))
-        .where(F.greatest("_n_left", "_n_right") > rows_per_split)
+        .where((F.greatest("_n_left", "_n_right") > rows_per_split) | (F.col("_n_left").cast("double") * F.col("_n_right") > pairs_per_task))
         .select(
             F.col(key),
-            _splits(F.col("_n_left"), rows_per_split).alias("_left_splits"),
-            _splits(F.col("_n_right"), rows_per_split).alias("_right_splits"),
+            *(c.alias(f"_{side}_splits") for side, c in zip(("left", "right"), _grid(F.col("_n_left"), F.col("_n_right"), rows_per_split, pairs_per_task))),
         )
     )
     frequent = materialize(frequent, "frequent-keys")
