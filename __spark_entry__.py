@@ -6,6 +6,7 @@ import os
 import sys
 from collections.abc import Callable
 from functools import reduce, wraps
+from importlib.util import find_spec
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -27,10 +28,11 @@ from wikisift.sources.tables import materialize, scratch_dir, spread, stream_tab
 from wikisift.streaming import incremental
 from wikisift.streaming.segments import compact, create_index
 
-try:  # the operators for training data are an optional part
+# The operators for training data are an optional part; if they are there, whatever they lack is an error.
+if find_spec("corpus_pipeline") and find_spec("wikisift.llm") and find_spec("wikisift.llm.queries"):
     import corpus_pipeline
     from wikisift.llm import queries as llm
-except ImportError:
+else:
     corpus_pipeline = llm = None
 
 SITE = "https://"
