@@ -153,7 +153,7 @@ def search(
     similarity: str = "tfidf",
     limit: int | None = None,
     rank: bool = True,
-    prune_rows: int = BROADCAST_ROWS,
+    prune_rows: int | None = None,
 ) -> DataFrame:
     """Documents that hold all tokens of a query: ``(query_id, doc_id, score, rank)``.
 
@@ -163,7 +163,7 @@ def search(
     same name in ``queries`` sets a mode per query. Ranks follow descending score,
     then ascending document id. ``limit`` keeps the best hits of each query; without
     ``rank`` the complete hits are returned unordered. Lists of more than ``prune_rows``
-    postings are cut before the shuffle, to the documents of the rarest term of the query
+    postings (as many as are broadcast, unless given) are cut before the shuffle, to the documents of the rarest term of the query
     if they are no more than that, else by the bitmaps of the index, if it has them.
     """
     defaults = _checked(tf, normalize, similarity)
@@ -175,6 +175,7 @@ def search(
     postings, long, short = index.postings, False, False
     if stored and fits:
         lists = _list_sizes(weighted)
+        prune_rows = BROADCAST_ROWS if prune_rows is None else prune_rows
         long, short = lists.total > prune_rows, lists.shortest <= prune_rows
         if lists.terms:
             # Files are sorted by term: the scan skips the row groups and pages of others.
