@@ -14,7 +14,9 @@ thing that is sent to all executors; each block is one pass over all documents.
 Defined results: null and empty texts, and items of fewer than q letters and digits,
 match nothing. Of several occurrences of an item in a document the best is returned, the
 first of equal ones. Repeated rows give repeated results; a null id is returned as it is.
-Columns other than those named are ignored, whatever they are called.
+A text of any length is searched whole, in slices of bounded size where it shares much
+with many items. An empty table, of documents or items, gives an empty result. Columns other
+than those named are ignored, whatever they are called.
 """
 
 from __future__ import annotations

@@ -14,7 +14,8 @@ a line that a third of all documents share adds rows, never a group.
 
 Defined results: null and empty texts have no lines and stay empty. Lines without a word
 are never deleted. Null ids come first in the order. Rows with the same id and text are
-one document and get the same result. Columns other than those named are ignored.
+one document and get the same result. A text of any length is
+taken whole; an empty table gives an empty one. Columns other than those named are ignored.
 """
 
 from __future__ import annotations

@@ -27,8 +27,10 @@ are known by 64-bit hashes.
 
 Defined results: a null or empty text, or one without a word, has size 0 and is linked
 with nothing; a text with fewer than n words is one n-gram. A row without an id keeps its
-row, with a null component, and links nobody. Rows with the same id are one node. Columns
-other than those named are ignored, whatever they are called.
+row, with a null component, and links nobody. Rows with the same id are one node. A
+text of any length is taken whole. Pairs at the very threshold are linked; which of equal
+candidates are compared first does not show in the result. An empty table gives an empty
+one. Columns other than those named are ignored, whatever they are called.
 """
 
 from __future__ import annotations

@@ -19,7 +19,8 @@ the ``common_words`` of each language that occurs.
 
 Defined results: a null or empty text has no words and fails; with no labelled documents
 there is no reference and the rules alone decide. Repeated rows give repeated results; a
-null id is returned as it is. Columns other than those named are ignored.
+null id is returned as it is. A text of any length is counted whole;
+an empty table gives an empty one. Columns other than those named are ignored.
 """
 
 from __future__ import annotations

@@ -22,7 +22,9 @@ Nothing is sampled or capped: a frequent passage only makes more chunks.
 
 Defined results: a null text has no bytes. Strings never cross documents. Overlapping
 copies count. Rows without an id take part like all others; rows with equal texts are
-copies of each other whatever their ids. Columns other than those named are ignored.
+copies of each other whatever their ids. A text of any length is
+taken whole. All places of a repeated string count alike, so there are no ties. An empty
+table gives an empty one. Columns other than those named are ignored.
 """
 
 from __future__ import annotations

@@ -11,7 +11,8 @@ the code of the document ids, the code of the boundaries (one more than document
 
 Defined results: a null or empty text has only the end id; rows without an id come first
 and are read back with a null id; rows with the same id stand in the order of their texts.
-Columns other than those named are ignored.
+A text of any length is tokenised whole and stands in one file, which may be longer for
+it. An empty table gives no files and no rows. Columns other than those named are ignored.
 """
 
 from __future__ import annotations
