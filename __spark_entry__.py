@@ -19,6 +19,7 @@ from wikisift.functions import text as T
 from wikisift.functions import urls as U
 from wikisift.functions import values as V
 from wikisift.functions.attributes import Attribute, Source, extract_attributes
+from wikisift.functions.expr import is_blank
 from wikisift.operators import fielded, links, pages, postings, ranking, searchdocs
 from wikisift.operators.search import query_table, search, search_best, top_hits
 from wikisift.plans import dump_pipeline, table_wiki
@@ -108,6 +109,20 @@ def page_checks(spark, sf_dir):
     )
 
 
+def excluded_pages(spark, sf_dir):
+    """The pages under names of every kind that is left out, some as redirects, and blank pieces of their text."""
+    names = F.array(*(F.lit(n) for n in oracles.NAME_KINDS))
+    df = table(spark, sf_dir, "pages").withColumn("kind", F.element_at(names, (F.col("page_id") % len(oracles.NAME_KINDS) + 1).cast("int")))
+    name = F.concat("kind", F.col("page_id").cast("string"), F.when(F.col("page_id") % 11 == 0, "#top").otherwise(""))
+    html = F.when(F.col("page_id") % 7 == 0, F.concat(F.lit(presets.REDIRECT_MARK), "html")).otherwise(F.col("html"))
+    piece = F.substring("html", F.lit(1), (F.col("page_id") % 3).cast("int"))
+    return df.select(
+        "page_id", pages.is_article_page(name, html).alias("is_article"),
+        U.is_content_url(F.concat(F.lit(SITE), name), SITE).alias("is_content"),
+        is_blank(F.concat(F.lit(" \t\n"), piece)).alias("is_blank"),
+    )
+
+
 def normalized_titles(spark, sf_dir):
     wiki = table_wiki.part_dump(table(spark, sf_dir, "part"))
     return wiki.select("id", "title", T.normalize_title(F.col("title")).alias("n_title"))
@@ -622,7 +637,7 @@ def entry(spark: SparkSession) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     plain = (
-        tokens, page_text, page_checks, normalized_titles, result_urls, page_name_decoding,
+        tokens, page_text, page_checks, excluded_pages, normalized_titles, result_urls, page_name_decoding,
         postings_tf, term_statistics, doc_statistics, index_counts, page_postings, term_lookup,
         terms_of_toxic_documents, document_ids, unseen_documents, incremental_ids, streamed_ids,
         incremental_search, streamed_batches,

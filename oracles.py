@@ -102,6 +102,13 @@ LINKS = """
         position::BIGINT AS position FROM hrefs)"""
 
 
+# Beginnings of page names: plain ones, and one of each kind that a filter leaves out.
+NAME_KINDS = (
+    "Plain_", "Category:", "Category_talk:", "Special:", "User:", "Help:", "Template:", "Talk:", "File:", "MediaWiki:",
+    "User_talk:", "Special:Version/", "Special:WhatLinksHere/", "Special:Contributions/", "Special:RecentChangesLinked/",
+)
+
+
 def _content(url: str, name: str) -> str:
     special = ("Contributions", "WhatLinksHere", "RecentChangesLinked", "Version")
     spaces = ("User:", "Help:", "Template:", "Talk:", "File:", "MediaWiki:", "User_talk:")
@@ -246,6 +253,11 @@ def all_sql() -> dict[str, str]:
         "streamed_batches": """WITH names AS (SELECT DISTINCT url AS page_name,
                 CASE WHEN starts_with(url, 'http://') THEN 0 WHEN length(url) % 2 = 0 THEN 1 ELSE 2 END AS batch FROM pages)
             SELECT row_number() OVER (ORDER BY batch, page_name) - 1 AS doc_id, page_name, batch::BIGINT AS batch_id FROM names""",
+        "excluded_pages": f"""WITH named AS (SELECT page_id, html, {list(NAME_KINDS)}[page_id % {len(NAME_KINDS)} + 1] || page_id
+                || CASE WHEN page_id % 11 = 0 THEN '#top' ELSE '' END AS name FROM pages)
+            SELECT page_id, NOT (starts_with(name, 'Category:') OR starts_with(name, 'Category_talk:') OR starts_with(name, 'Special:'))
+                AND page_id % 7 <> 0 AND NOT contains(html, 'wgInternalRedirectTargetUrl') AS is_article,
+                {_content(f"('{SITE}' || name)", 'name')} AS is_content, regexp_full_match(substr(html, 1, page_id % 3), '\\s*') AS is_blank FROM named""",
         "search_two_terms": ranked("raw", TWO_TERMS),
         "search_top_hits": f"""{search(TWO_TERMS)} SELECT query_id, doc_id, round(raw, 6) AS score
             FROM ({scored('raw')}) ORDER BY round(raw, 9) DESC, doc_id LIMIT 100""",
