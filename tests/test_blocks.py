@@ -1,7 +1,9 @@
 import random
+from collections import Counter
 
 import pytest
 
+from wikisift.operators import blocks
 from wikisift.operators.postings import TextIndex
 from wikisift.operators.search import query_table, search, search_best
 
@@ -57,3 +59,12 @@ def test_fewer_postings_are_read(spark, index):
 def test_no_hits(spark, index):
     hits, report = search_best(query_table(spark, ["missing", "rare missing"]), index, 5)
     assert hits.count() == 0 and report.total == report.read == 0
+
+
+def test_a_large_vocabulary_is_neither_copied_nor_broadcast(index, monkeypatch):
+    whole = blocks.blocks_of(index.postings, index.terms, 16)
+    monkeypatch.setattr(blocks, "fits_broadcast", lambda df: False)
+    monkeypatch.setattr(blocks, "ROWS_PER_SPLIT", 1000)
+    cut = blocks.blocks_of(index.postings, index.terms, 16)
+    assert "BroadcastHashJoin" not in cut._jdf.queryExecution().executedPlan().toString()
+    assert Counter(cut.select(*whole.columns).collect()) == Counter(whole.collect())

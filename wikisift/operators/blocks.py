@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from wikisift.operators.skew import BROADCAST_BYTES, fits_broadcast, join_lookup
+from wikisift.operators.skew import BROADCAST_BYTES, ROWS_PER_SPLIT, fits_broadcast, join_lookup
 from wikisift.sources.tables import materialize, with_bucket, write_by_term
 
 BLOCK_ROWS = 512
@@ -47,9 +47,17 @@ def blocks_of(postings: DataFrame, terms: DataFrame, rows: int = BLOCK_ROWS) ->
     """``(term, shift, block, n)`` and the greatest weight of each kind, for every list."""
     ids = postings.agg((F.max("doc_id") + 1).alias("n"))  # ids are dense, or the ranges hold fewer postings
     width = F.greatest(F.lit(1.0), ids.scalar() * F.lit(float(rows)) / F.col("df"))
-    shifts = terms.select("term", F.least(F.floor(F.log2(width)), F.lit(62)).cast("int").alias("shift"))
-    keyed, keys = with_bucket(shifts, postings)
-    cut = join_lookup(postings, keyed, keys, "doc_id", fits_broadcast(keyed))
+    shifts = terms.select("term", "df", F.least(F.floor(F.log2(width)), F.lit(62)).cast("int").alias("shift"))
+    if fits_broadcast(shifts):
+        keyed, keys = with_bucket(shifts.drop("df"), postings)
+        cut = postings.join(F.broadcast(keyed), keys)
+    else:
+        # Only long lists are salted. The other terms, nearly the whole vocabulary, are neither copied nor broadcast.
+        long = shifts.where(F.col("df") > ROWS_PER_SPLIT).drop("df")
+        keyed, keys = with_bucket(long, postings)
+        cut = join_lookup(postings, keyed, keys, "doc_id", fits_broadcast(keyed)).select(*postings.columns, "shift")
+        short = shifts.where(F.col("df") <= ROWS_PER_SPLIT).drop("df")
+        cut = cut.unionByName(postings.join(short.hint("merge"), "term").select(*postings.columns, "shift"))
     cut = cut.withColumn("block", F.call_function("shiftright", F.col("doc_id"), F.col("shift")))
     greatest = [F.max(weight).alias(name) for name, weight in _weights().items()]
     return cut.groupBy("term", "shift", "block").agg(F.count(F.lit(1)).alias("n"), *greatest)

@@ -33,13 +33,14 @@ def join_lookup(
 
     The lookup side is broadcast when it was found to fit. Otherwise it is repeated
     ``salts`` times and the large side is salted by ``spread_by``, so the rows of one
-    key go to ``salts`` tasks.
+    key go to ``salts`` tasks. The hint keeps Spark from broadcasting these copies, whose
+    size it takes to be that of the lookup side's files.
     """
     if fits:
         return big.join(F.broadcast(small), keys)
     copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     salted = big.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int"))
-    return salted.join(copies, [*keys, "_salt"]).drop("_salt")
+    return salted.join(copies.hint("merge"), [*keys, "_salt"]).drop("_salt")
 
 
 def _grid(left: Column, right: Column, rows_per_split: int, pairs_per_task: int) -> tuple[Column, Column]:
