@@ -1,9 +1,11 @@
 import random
 from collections import Counter
+from dataclasses import replace
 
 import pytest
 
 from wikisift.operators import blocks
+from wikisift.operators import search as search_module
 from wikisift.operators.postings import TextIndex
 from wikisift.operators.search import query_table, search, search_best
 
@@ -68,3 +70,15 @@ def test_a_large_vocabulary_is_neither_copied_nor_broadcast(index, monkeypatch):
     cut = blocks.blocks_of(index.postings, index.terms, 16)
     assert "BroadcastHashJoin" not in cut._jdf.queryExecution().executedPlan().toString()
     assert Counter(cut.select(*whole.columns).collect()) == Counter(whole.collect())
+
+
+@pytest.mark.parametrize("mode", MODES[::3])
+@pytest.mark.parametrize("most", [1, 1500])
+def test_long_rarest_lists_still_cut_the_others(spark, index, mode, most, monkeypatch):
+    """Without bitmaps; the candidates are broadcast or meet the vectors, never all postings the shuffle."""
+    monkeypatch.setattr(search_module, "RARE_TERMS", 2)
+    plain = replace(index, bitmaps=None)
+    queries = query_table(spark, ["a b c d w1 w2", "d a c b w3 w4", "w1", "a missing"])
+    pruned = search(queries, plain, **mode, rank=False, prune_rows=most)
+    assert "candidates" in pruned._jdf.queryExecution().executedPlan().toString()
+    assert rows(pruned) == rows(search(queries, plain, **mode, rank=False))

@@ -17,6 +17,8 @@ from wikisift.sources.tables import bucket_count, materialize, with_bucket
 TF_MODES = ("raw", "log", "max")
 # Batches of up to this many queries are summed up on the driver.
 SMALL_BATCH = 1000
+# So many of the shortest lists of a query find its candidates.
+RARE_TERMS = 4
 MODE_COLUMNS = ("similarity", "tf", "normalize")
 
 
@@ -48,27 +50,30 @@ class _ListSizes:
 
     total: int
     shortest: int
+    rare: int
     terms: list[str]
 
 
 def _list_sizes(weighted: DataFrame) -> _ListSizes:
-    """Rows of all posting lists, of the shortest one of each query, and the terms if few.
+    """Rows of all posting lists, of the shortest one and the few shortest ones of each query, and the terms if few.
 
     Spark pushes a list of values down to Parquet whole only up to a number of them;
     with more terms the buckets alone have to do.
     """
+    rarest = F.slice(F.sort_array(F.collect_list("df")), 1, RARE_TERMS)
     per_query = weighted.groupBy("query_id").agg(
         F.sum("df").alias("total"),
         F.min("df").alias("shortest"),
+        F.aggregate(rarest, F.lit(0).cast("bigint"), lambda total, df: total + df).alias("rare"),
         F.slice(F.collect_set("term"), 1, _pushed_values(weighted) + 1).alias("terms"),
     )
     rows = per_query.limit(SMALL_BATCH + 1).collect()
     if len(rows) > SMALL_BATCH:
-        sums = per_query.agg(F.sum("total").alias("total"), F.sum("shortest").alias("shortest")).first()
-        return _ListSizes(sums.total, sums.shortest, [])
+        sums = per_query.agg(*(F.sum(c).alias(c) for c in ("total", "shortest", "rare"))).first()
+        return _ListSizes(sums.total, sums.shortest, sums.rare, [])
     terms = {term for row in rows for term in row.terms}
     few = sorted(terms) if len(terms) <= _pushed_values(weighted) else []
-    return _ListSizes(sum(r.total for r in rows), sum(r.shortest for r in rows), few)
+    return _ListSizes(*(sum(r[c] for r in rows) for c in ("total", "shortest", "rare")), few)
 
 
 def few_terms(weighted: DataFrame) -> list[str]:
@@ -96,6 +101,27 @@ def _prune(matches: DataFrame, weighted: DataFrame, postings: DataFrame) -> Data
     return matches.join(F.broadcast(holding), ["query_id", "doc_id"], "left_semi")
 
 
+def _prune_by_rare_terms(matches: DataFrame, weighted: DataFrame, index: TextIndex, prune_rows: int) -> DataFrame:
+    """The same where the rarest lists are too long to be broadcast: keep only matches in documents that hold the rare terms of their query.
+
+    The few shortest lists of each query are intersected by a shuffle. What is left, near
+    the number of hits, is broadcast if it fits. Else it meets the document vectors by
+    document, one shuffle that goes with the tables of documents and candidates and not
+    with the lists of common words.
+    """
+    rarest = Window.partitionBy("query_id").orderBy("df", "term")
+    rare = weighted.withColumn("_nth", F.row_number().over(rarest)).where(F.col("_nth") <= RARE_TERMS)
+    rare = rare.select("query_id", "term", F.least("n_terms", F.lit(RARE_TERMS)).alias("_wanted"))
+    keyed, keys = with_bucket(materialize(rare, "rare-terms").where(F.col("_wanted") > 0), index.postings)
+    holding = index.postings.join(F.broadcast(keyed), keys).groupBy("query_id", "doc_id", "_wanted").agg(F.count(F.lit(1)).alias("_held"))
+    holding = materialize(holding.where(F.col("_held") == F.col("_wanted")).select("query_id", "doc_id"), "candidates")
+    if holding.count() <= prune_rows:
+        return matches.join(F.broadcast(holding), ["query_id", "doc_id"], "left_semi")
+    vectors = index.vectors.select("doc_id", "terms", "tf_max", "sum_sq")
+    met = holding.hint("merge").join(vectors, "doc_id").select("query_id", "doc_id", "tf_max", "sum_sq", F.inline("terms"))
+    return met.join(F.broadcast(weighted.drop("df")), ["query_id", "term"])
+
+
 def _checked(tf: str, normalize: str | None, similarity: str) -> dict[str, str]:
     if tf not in TF_MODES or normalize not in (None, "euc") or similarity not in ("tfidf", "cos"):
         raise ValueError(f"Unknown mode: tf={tf!r} normalize={normalize!r} similarity={similarity!r}")
@@ -164,7 +190,8 @@ def search(
     then ascending document id. ``limit`` keeps the best hits of each query; without
     ``rank`` the complete hits are returned unordered. Lists of more than ``prune_rows``
     postings (as many as are broadcast, unless given) are cut before the shuffle, to the documents of the rarest term of the query
-    if they are no more than that, else by the bitmaps of the index, if it has them.
+    if they are no more than that, else by the bitmaps of the index, if it has them, else to
+    the documents of its few rarest terms, where these lists are the smaller part.
     """
     defaults = _checked(tf, normalize, similarity)
     weighted, per_query, fits = _weighted_terms(queries, index)
@@ -186,6 +213,8 @@ def search(
         matches = _prune(matches, weighted, postings)
     elif long and index.bitmaps is not None:
         matches = keep_candidates(matches, weighted, index.bitmaps)
+    elif long and lists.rare <= lists.total / 2:
+        matches = _prune_by_rare_terms(matches, weighted, index, prune_rows)
     hits = _hits(matches, defaults, per_query)
     if not rank and limit is None:
         return hits
