@@ -1,5 +1,6 @@
 import math
 import random
+import re
 from collections import Counter
 
 import pytest
@@ -7,12 +8,14 @@ from pyspark.sql import functions as F
 
 from wikisift.functions import urls as U
 from wikisift.functions import values as V
+from wikisift.operators import fielded, ranking
 from wikisift.operators.fielded import FieldIndex, fielded_search, range_search, show_hits
 from wikisift.operators.links import extract_links, frontier
 from wikisift.operators.postings import TextIndex, documents_of_term, terms_of_document
 from wikisift.operators.ranking import assign_ids, most_frequent_by, ranked, with_positions
 from wikisift.operators.search import query_table, search
 from wikisift.operators.skew import _grid, full_outer_join
+from wikisift.sources.tables import materialize
 from tests.helpers import evaluate
 
 
@@ -303,3 +306,20 @@ def test_fielded_search(spark, fields, tmp_path):
     assert sorted((r.title, r.extern_url, r.site_url) for r in shown.collect()) == [
         ("PDP-X (computer)", "https://en.wikipedia.org/wiki/PDP-X%20(computer)", None),
         ("VAX", None, "https://site.example/wiki/VAX")]
+
+
+@pytest.mark.parametrize("occur", [False, True])
+def test_matches_are_dealt_by_document(spark, fields, tmp_path, monkeypatch, occur):
+    """With more matches than a task scores, postings are moved once, before they meet the queries."""
+    index = fields.save(str(tmp_path / "dealt"), buckets=2)
+    queries = spark.createDataFrame([(i, f"serial tubes memory digital vax {i}", "should") for i in range(6)], "query_id int, query_text string, occur string")
+    queries = queries if occur else queries.drop("occur")
+    expected = fielded_search(queries, index, limit=None).collect()
+    monkeypatch.setattr(fielded, "MATCHES_PER_TASK", 1)
+    monkeypatch.setattr(ranking, "ROWS_PER_SORT", 1)
+    written = []
+    monkeypatch.setattr(ranking, "materialize", lambda df, label: written.append((label, df._jdf.queryExecution().executedPlan().toString())) or materialize(df, label))
+    got = fielded_search(queries, index, limit=None).collect()
+    assert sorted((r.query_id, r.doc_id, round(r.score, 9), r["rank"]) for r in got) == sorted((r.query_id, r.doc_id, round(r.score, 9), r["rank"]) for r in expected)
+    scored = dict(written)["unranked"]
+    assert re.search(r"Exchange hashpartitioning\(doc_id", scored) and not re.search(r"hashpartitioning\(query_id#\d+, doc_id", scored) and got

@@ -24,6 +24,8 @@ from wikisift.sources.tables import bucket_count, choose_buckets, materialize, w
 BOOSTS = {"title": 4.0, "text": 1.0, "company": 5.0, "architecture": 5.0, "logic": 5.0}
 RANGE_COLUMNS = ("release", "word_size", "clock_speed")
 LIMIT = 100
+# So many matches are scored in a task.
+MATCHES_PER_TASK = 1_000_000
 K1, B = 1.2, 0.75
 
 Range = tuple[float | None, float | None]
@@ -159,6 +161,22 @@ def _within_limits(columns: list[str]) -> Column:
     return condition
 
 
+def _by_document(postings: DataFrame, weighted: DataFrame) -> DataFrame:
+    """The postings of the weighted terms, dealt by document into as many tasks as their matches ask for.
+
+    A posting is moved once and meets all queries behind the shuffle, where a document's
+    matches are together. Before it, a task would hold the sums of every query for every
+    document of its part of a list.
+    """
+    matches = weighted.agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]
+    tasks = -(-matches // MATCHES_PER_TASK)
+    if tasks <= 1:
+        return postings
+    wanted, keys = with_bucket(weighted.select("term", "field", "avg_len").distinct(), postings)
+    found = postings.join(F.broadcast(wanted.where(F.col("avg_len") > 0)), [*keys, "field"], "left_semi")
+    return found.repartition(tasks, "doc_id")
+
+
 def fielded_search(
     queries: DataFrame,
     index: FieldIndex,
@@ -203,7 +221,7 @@ def fielded_search(
     weighted = weighted.join(F.broadcast(index.fields), "field")
     idf = F.log1p((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighted = weighted.select(
-        "query_id", "clause", "occur", "term", "field", "avg_len", (F.col("boost") * idf).alias("weight")
+        "query_id", "clause", "occur", "term", "field", "avg_len", "df", (F.col("boost") * idf).alias("weight")
     )
     if query_ranges is not None:
         weighted = weighted.join(_query_limits(query_ranges), "query_id", "left")
@@ -217,7 +235,8 @@ def fielded_search(
         weighted = materialize(weighted, "query-terms").where(F.col("avg_len") > 0)
         terms = few_terms(weighted)
         postings = postings.where(F.col("term").isin(terms)) if terms else postings
-    weighted, keys = with_bucket(weighted, postings)
+        postings = _by_document(postings, weighted)
+    weighted, keys = with_bucket(weighted.drop("df"), postings)
     matches = join_lookup(postings, weighted, [*keys, "field"], "doc_id", fits)
     if query_ranges is not None:
         if late:  # an index without these columns

@@ -12,18 +12,22 @@ from wikisift.sources.tables import materialize
 # Up to this many rows per group Spark limits each group before it shuffles
 # (spark.sql.optimizer.windowGroupLimitThreshold).
 GROUP_LIMIT = 1000
+# So many rows are ranked in a task.
+ROWS_PER_SORT = 1_000_000
 _POSITION_BITS = 33
 
 
-def with_positions(df: DataFrame, order: Sequence[Column], name: str = "position") -> DataFrame:
+def with_positions(df: DataFrame, order: Sequence[Column], name: str = "position", tasks: int = 0) -> DataFrame:
     """Add the 0-based position of each row in a total order.
 
     Rows are range-partitioned and sorted; ``monotonically_increasing_id`` then holds
     the partition and the place in it. The table is written once, so the partitions
     cannot change between counting them and adding up their sizes. Only one row per
-    partition takes part in the running sum.
+    partition takes part in the running sum. Spark merges small partitions of an unnumbered
+    exchange but never adds any; ``tasks`` asks for more.
     """
-    placed = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    many = tasks > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = (df.repartitionByRange(tasks, *order) if many else df.repartitionByRange(*order)).sortWithinPartitions(*order)
     placed = materialize(placed.withColumn("_id", F.monotonically_increasing_id()), "ordered")
     part = F.shiftright(F.col("_id"), _POSITION_BITS)
     within = F.col("_id").bitwiseAND(F.lit((1 << _POSITION_BITS) - 1))
@@ -49,12 +53,14 @@ def ranked(
 
     With a usual limit each task keeps only its own best rows before the shuffle. A
     complete ranking sorts all groups in one total order instead, so a group of any
-    size is spread over the cluster.
+    size is spread over the cluster. It is written before, as sampling the ranges would run
+    it twice, and its number of rows sets the tasks.
     """
     if limit is not None and limit <= GROUP_LIMIT:
         window = Window.partitionBy(group).orderBy(*order)
         return df.withColumn(name, F.row_number().over(window).cast("bigint")).where(F.col(name) <= limit)
-    placed = with_positions(df, [F.col(group), *order], "_position")
+    df = materialize(df, "unranked")
+    placed = with_positions(df, [F.col(group), *order], "_position", -(-df.count() // ROWS_PER_SORT))
     firsts = placed.groupBy(group).agg(F.min("_position").alias("_first"))
     result = placed.join(firsts, group).withColumn(name, F.col("_position") - F.col("_first") + 1)
     if limit is not None:
