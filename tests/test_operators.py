@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from wikisift.functions import urls as U
 from wikisift.functions import values as V
-from wikisift.operators import fielded, ranking
+from wikisift.operators import fielded, ranking, skew
 from wikisift.operators.fielded import FieldIndex, fielded_search, range_search, show_hits
 from wikisift.operators.links import extract_links, frontier
 from wikisift.operators.postings import TextIndex, documents_of_term, terms_of_document
@@ -149,6 +149,19 @@ def test_cells_of_the_grid_are_bounded(spark):
         assert left <= 300 and right <= 300 and left * right <= 2000 * 1.3  # splits are whole rows
 
 
+def test_small_cells_do_not_repeat_rows(spark, monkeypatch):
+    """400 x 300 pairs in cells of 20: all rows are packed once and moved once."""
+    seen = []
+    monkeypatch.setattr(skew, "packed", lambda *a, make=skew.packed: seen.append(make(*a)) or seen[-1])
+    left, right = (spark.range(n).selectExpr("if(id < 9, concat('k', id), 'hot') AS k", f"id AS {c}") for n, c in ((409, "a"), (309, "b")))
+    got = full_outer_join(left, right, "k", 5, 20)
+    assert got.count() == 400 * 300 + 9 and got.where("a IS NULL OR b IS NULL").isEmpty()
+    assert got.distinct().count() == got.count()
+    for packs, side, n in zip(seen, ("left", "right"), (400, 300)):
+        sizes = [r[0] for r in packs.selectExpr(f"size(_{side}_rows)").collect()]
+        assert sum(sizes) == n and max(sizes) <= 8
+
+
 def test_most_frequent(spark):
     cases = [[1.0, 2.0, 2.0, 3.0, 3.0, 4.0], [2.5e9], [1.9], [], [float("inf")], [5.0, -1.0]]
     best = evaluate(spark, V.most_frequent, cases, "value array<double>")

@@ -64,11 +64,12 @@ def full_outer_join(
     Spark's own skew handling does not cover full outer joins. Without a key of more
     than ``rows_per_split`` rows or ``pairs_per_task`` pairs this is the plain join.
     Otherwise the pairs of a frequent key are a grid: both sides are cut into splits by
-    their measured counts, rows are repeated once for each split of the other side, and
-    a cell of the grid, which is what meets in a task, has no more than that many pairs.
-    Every pair is in exactly one cell. A repeated row that finds no partner in its split is dropped: its key is
-    present on the split side and has matched in another split. Other keys are
-    neither salted nor repeated.
+    their measured counts, and a cell of the grid, which is what meets at a time, has no
+    more than that many pairs. Every pair is in exactly one cell. A split is one packed
+    row, and what is shuffled are blocks of splits: a split is repeated once for each
+    block of the other side, and blocks have up to ``PAIRS_PER_TASK`` pairs, however small
+    the cells are. Rows whose frequent key the other side lacks are passed on. Other keys are neither packed
+    nor repeated.
 
     Columns of the two sides must have different names, but for ``key``. The table of
     frequent keys has at most rows / sqrt(pairs_per_task) entries per side. It is written
@@ -84,32 +85,36 @@ def full_outer_join(
         .where((F.greatest("_n_left", "_n_right") > rows_per_split) | (F.col("_n_left").cast("double") * F.col("_n_right") > pairs_per_task))
         .select(
             F.col(key),
-            *(c.alias(f"_{side}_splits") for side, c in zip(("left", "right"), _grid(F.col("_n_left"), F.col("_n_right"), rows_per_split, pairs_per_task))),
+            ((F.col("_n_left") > 0) & (F.col("_n_right") > 0)).alias("_both"),
+            *(
+                c.alias(f"_{side}_{name}")
+                for name, limits in (("splits", (rows_per_split, pairs_per_task)), ("blocks", (max(rows_per_split, ROWS_PER_SPLIT), max(pairs_per_task, PAIRS_PER_TASK))))
+                for side, c in zip(("left", "right"), _grid(F.col("_n_left"), F.col("_n_right"), *limits))
+            ),
         )
     )
     frequent = materialize(frequent, "frequent-keys")
     if frequent.isEmpty():
         return left.join(right, key, "full_outer")
 
-    def salted(df: DataFrame, own: str, other: str) -> DataFrame:
-        # Row numbers spread copies evenly; they are stored, so a retried task sees the same.
-        rows = materialize(df.withColumn("_row", F.monotonically_increasing_id()), "salted")
-        own_splits, other_splits = (
-            F.coalesce(F.col(f"_{s}_splits"), F.lit(1)) for s in (own, other)
-        )
-        return (
-            rows.join(frequent, key, "left")
-            .withColumn(f"_{own}_salt", F.pmod("_row", own_splits).cast("int"))
-            .withColumn(f"_{other}_salt", F.explode(F.sequence(F.lit(0), other_splits - 1)))
-            .withColumn(f"_{own}_copies", other_splits)
-            .drop("_left_splits", "_right_splits", "_row")
-        )
-
-    joined = salted(left, "left", "right").join(
-        salted(right, "right", "left"), [key, "_left_salt", "_right_salt"], "full_outer"
-    )
-    matched = F.col("_left_copies").isNotNull() & F.col("_right_copies").isNotNull()
-    single = F.coalesce("_left_copies", "_right_copies") == 1
-    return joined.where(matched | single).drop(
-        "_left_salt", "_right_salt", "_left_copies", "_right_copies"
-    )
+    # Row numbers spread rows evenly over splits; they are stored, so a retried task sees the same.
+    rows = [materialize(df.withColumn("_row", F.monotonically_increasing_id()), "numbered") for df in (left, right)]
+    others = [[c for c in df.columns if c != key] for df in (left, right)]
+    plain = [r.join(frequent, key, "left_anti").select(key, *names) for r, names in zip(rows, others)]
+    found = plain[0].join(plain[1], key, "full_outer")
+    packs = [packed(r, frequent, key, *names) for r, names in zip(rows, (("left", "right"), ("right", "left")))]
+    pairs = packs[0].join(packs[1].hint("merge"), [key, "_left_block", "_right_block"])
+    pairs = pairs.select(key, "_right_rows", F.inline("_left_rows")).select(key, *others[0], F.inline("_right_rows"))
+    alone = [r.join(frequent.where(~F.col("_both")), key).select(key, *names) for r, names in zip(rows, others)]
+    return found.unionByName(pairs).unionByName(alone[0], True).unionByName(alone[1], True)
+
+
+def packed(rows: DataFrame, frequent: DataFrame, key: str, own: str, other: str) -> DataFrame:
+    """``(key, blocks of either side, rows)``: each split of the frequent keys of one side, once for each block of the other."""
+    names = [c for c in rows.columns if c not in (key, "_row")]
+    mine = rows.join(frequent.where("_both"), key).withColumn("_split", F.pmod("_row", F.col(f"_{own}_splits")).cast("int"))
+    packs = mine.groupBy(key, "_split", f"_{own}_blocks", f"_{other}_blocks").agg(F.collect_list(F.struct(*names)).alias(f"_{own}_rows"))
+    return packs.select(
+        key, F.pmod("_split", F.col(f"_{own}_blocks")).alias(f"_{own}_block"), f"_{own}_rows",
+        F.explode(F.sequence(F.lit(0), F.col(f"_{other}_blocks") - 1)).alias(f"_{other}_block"),
+    )
