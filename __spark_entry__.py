@@ -357,7 +357,8 @@ def crawl_order(spark, sf_dir):
     first = found.groupBy("page_id", "url", "href").agg(F.min("position").alias("position"))
     same = Window.partitionBy("href").orderBy("page_id")
     linked = first.withColumn("to_page", F.lead("url").over(same)).where(F.col("to_page").isNotNull())
-    linked = materialize(linked.select(F.col("url").alias("from_page"), "to_page", "position"), "page-graph")
+    # A link leads to the next such page, so pages of near numbers are near each other.
+    linked = materialize(linked.select(F.col("url").alias("from_page"), "to_page", "position", F.col("page_id").alias("place")), "page-graph")
     roots = table(spark, sf_dir, "pages").select(F.col("url").alias("page_name"), F.col("page_id").alias("position"))
     roots = roots.join(linked.select(F.col("to_page").alias("page_name")), "page_name", "left_anti")
     return links.crawl_order(linked, roots)

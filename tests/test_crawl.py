@@ -47,3 +47,26 @@ def test_depth_limit_and_nothing(spark):
     assert [r[0] for r in crawled(spark, chain, [("c0", 0)], max_depth=2)] == ["c0", "c1", "c2"]
     assert crawled(spark, [], [("x", 0)]) == [("x", 0, None, None, 0)]
     assert crawled(spark, chain, []) == []
+
+
+@pytest.mark.parametrize(("block_links", "burst_links"), [(1, 12), (7, 40), (20, 10), (1000, 100_000)])
+def test_bursts_and_rounds_in_turn(spark, block_links, burst_links):
+    rng = random.Random(block_links)
+    links = [(f"p{i:03}", f"p{min(i + rng.randrange(1, 4), 79):03}", rng.randrange(5)) for i in range(80) for _ in range(2)]
+    links += [(f"p{rng.randrange(80):03}", f"p{rng.randrange(80):03}", None) for _ in range(6)] + [("p010", f"leaf{i}", 9) for i in range(5)]
+    # A page has a link at a place once.
+    links = list({(f, p, t): (f, t, p) for f, t, p in links if p is not None}.values())
+    links.sort(key=lambda x: (x[0], x[2], x[1]))
+    seeds = [("p000", 0), ("p040", 1), ("leaf3", 2)]
+    assert crawled(spark, links, seeds, block_links=block_links, burst_links=burst_links) == queue(links, seeds)
+
+
+def test_a_narrow_crawl_takes_no_job_for_each_level(spark):
+    chain = [(f"c{i:03}", f"c{i + 1:03}", 0) for i in range(150)] + [("c020", "c090", 1)]
+    group = "narrow-crawl"
+    spark.sparkContext.setJobGroup(group, group)
+    found = crawled(spark, chain, [("c000", 0)], block_links=10, burst_links=60)
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    spark.sparkContext.setJobGroup("", "")
+    assert found == queue(chain, [("c000", 0)])
+    assert jobs < 300

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
+from heapq import heapify, heappop, heappush
+from typing import TYPE_CHECKING
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,7 +14,10 @@ from wikisift.functions.urls import hrefs, is_content_url, page_name, resolve_li
 from wikisift.operators.postings import unseen
 from wikisift.operators.ranking import with_positions
 from wikisift.operators.skew import fits_broadcast
-from wikisift.sources.tables import choose_buckets, materialize, scratch_dir, term_bucket
+from wikisift.sources.tables import MANY_BUCKETS, choose_buckets, materialize, scratch_dir, term_bucket
+
+if TYPE_CHECKING:
+    import pyarrow as pa
 
 
 def raw_links(pages: DataFrame) -> DataFrame:
@@ -55,59 +61,169 @@ def frontier(links: DataFrame, known_pages: DataFrame) -> DataFrame:
     )
 
 
-VISITED = "page_name string, depth int, from_page string, position bigint, visit_order bigint"
-
-
-def crawl_order(links: DataFrame, seeds: DataFrame, buckets: int | None = None, max_depth: int | None = None) -> DataFrame:
+VISITED = "page_name string, depth int, from_page string, position bigint, visit_order bigint, block int"
+# Links of neighbouring pages that are stored together, links that a task follows at a time, and neighbours of a block that are kept.
+BLOCK_LINKS = 5_000
+BURST_LINKS = 500_000
+NEAR_BLOCKS = 8
+
+
+def _blocks(links: DataFrame, block_links: int) -> DataFrame:
+    """``(from_page, block)``: pages in the order of ``place``, or else of their names, cut where a block has its links."""
+    order = [F.col(c) for c in ("place", "from_page") if c in links.columns]
+    numbered = with_positions(links.where(F.col("from_page").isNotNull()), order, "_n")
+    first = F.floor(F.min("_n") / F.lit(block_links)).cast("int")
+    return materialize(numbered.groupBy("from_page").agg(first.alias("block")), "crawl-blocks")
+
+
+Blocks = dict[int, tuple[int, list[tuple[int, int]]]]
+
+
+def _block_graph(links: DataFrame) -> Blocks:
+    """The links of each block, and the few other blocks that most of them lead to, each with its number of links."""
+    counts = links.groupBy("block", "to_block").agg(F.count(F.lit(1)).alias("n"))
+    others = F.when(F.col("to_block") != F.col("block"), F.struct("n", "to_block"))
+    near = F.slice(F.sort_array(F.collect_list(others), asc=False), 1, NEAR_BLOCKS)
+    rows = counts.groupBy("block").agg(F.sum("n").alias("n"), near.alias("near")).collect()
+    return {r.block: (r.n, [(n, b) for n, b in r.near]) for r in rows}
+
+
+def _burst_blocks(graph: Blocks, needed: list[int], burst_links: int) -> set[int] | None:
+    """The blocks ``needed`` and, by most links, as many of those they lead to as a burst takes; None if it does not take the first ones."""
+    chosen = set(needed)
+    room = burst_links - sum(graph[b][0] for b in chosen)
+    if room < 0:
+        return None
+    waiting = [(-n, b) for first in needed for n, b in graph[first][1]]
+    heapify(waiting)
+    while waiting:
+        _, b = heappop(waiting)
+        if b not in chosen and b in graph and graph[b][0] <= room:
+            room -= graph[b][0]
+            chosen.add(b)
+            for n, other in graph[b][1]:
+                heappush(waiting, (-n, other))
+    return chosen
+
+
+def _follow(loaded: set[int], depth: int, count: int, max_depth: int | None) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """A task that follows links level by level until a page has links that are not ``loaded``."""
+
+    def run(links: pa.Table, state: pa.Table) -> pa.Table:
+        import pyarrow as pa
+
+        by_page: dict[str, list] = {}
+        columns = (links[c].to_pylist() for c in ("from_page", "position", "to_page", "to_block"))
+        for page, position, target, block in zip(*columns):
+            by_page.setdefault(page, []).append((position is not None, position, target, block))
+        names, orders, blocks = (state[c].to_pylist() for c in ("page_name", "visit_order", "block"))
+        seen, at, number = set(names), depth, count
+        level = [(name, b) for _, name, b in sorted((o, n, b) for o, n, b in zip(orders, names, blocks) if o is not None)]
+        found = []
+        while level and (max_depth is None or at < max_depth) and all(b is None or b in loaded for _, b in level):
+            at += 1
+            following = []
+            for page, _ in level:
+                for _, position, target, block in sorted(by_page.get(page, ()), key=lambda x: x[:3]):
+                    if target not in seen:
+                        seen.add(target)
+                        found.append((target, at, page, position, number, block))
+                        following.append((target, block))
+                        number += 1
+            level = following
+        types = (pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int32())
+        columns = zip(*found) if found else [()] * len(types)
+        fields = ("page_name", "depth", "from_page", "position", "visit_order", "block")
+        return pa.table([pa.array(c, t) for c, t in zip(columns, types)], fields)
+
+    return run
+
+
+def crawl_order(
+    links: DataFrame, seeds: DataFrame, buckets: int | None = None, max_depth: int | None = None,
+    block_links: int = BLOCK_LINKS, burst_links: int = BURST_LINKS,
+) -> DataFrame:
     """The pages in the order in which a queue visits them, from ``seeds(page_name, position)`` on.
 
     ``(page_name, depth, from_page, position, visit_order)``: a page is queued when it is first
     seen, by ``from_page`` at ``position`` in it; seeds have no ``from_page``. ``links`` are
-    ``(from_page, to_page, position)``.
-
-    A round follows the links of the pages that the round before has found. Links and
-    visited pages are stored by a hash bucket of the page, and a round reads the buckets of
-    its own pages and targets only, so its work goes with what it finds. Each round is a
-    written table, so a lost executor costs a re-read.
+    ``(from_page, to_page, position)``; a column ``place`` says which pages stand near each
+    other, else their names do. Results do not depend on it.
+
+    A level needs the order of the one before, so levels follow one another. Links are stored
+    in blocks of near pages. While the blocks of a level have no more than ``burst_links``
+    links, one task gets them and those they lead to, and follows levels until a page has
+    links elsewhere; a narrow crawl thus takes steps by blocks, not by levels. A wider
+    level is a distributed round, which reads the blocks of its own pages and, stored by a hash
+    bucket, the visited pages among its targets. Each step is a written table, so a lost
+    executor costs a re-read.
     """
     spark = links.sparkSession
     folder = f"{scratch_dir(spark)}/crawl-{uuid.uuid4().hex}"
-    stored = materialize(links.select("from_page", "to_page", F.col("position").cast("bigint").alias("position")), "crawl-links")
-    buckets = buckets or choose_buckets(stored.count())
-    by_page = stored.withColumn("bucket", term_bucket(F.col("from_page"), buckets))
-    by_page.repartitionByRange("bucket", "from_page").sortWithinPartitions("bucket", "from_page").write.partitionBy("bucket").parquet(f"{folder}/links")
-    by_page = spark.read.schema(f"{stored.schema.toDDL()}, bucket int").parquet(f"{folder}/links")
+    place = [c for c in ("place",) if c in links.columns]
+    stored = materialize(links.select("from_page", "to_page", F.col("position").cast("bigint").alias("position"), *place), "crawl-links")
+    total = stored.count()
+    buckets = buckets or choose_buckets(total)
+    blocks = _blocks(stored, max(block_links, -(-total // MANY_BUCKETS)))
+    targets = blocks.select(F.col("from_page").alias("to_page"), F.col("block").alias("to_block"))
+    by_page = stored.drop("place").where(F.col("to_page").isNotNull()).join(blocks, "from_page").join(targets, "to_page", "left")
+    by_page = by_page.select("from_page", "to_page", "position", "to_block", "block")
+    by_page.repartitionByRange("block", "from_page").sortWithinPartitions("block", "from_page").write.partitionBy("block").parquet(f"{folder}/links")
+    by_page = spark.read.schema(by_page.schema).parquet(f"{folder}/links")
+    graph = _block_graph(by_page)
 
     def visited() -> DataFrame:
-        return spark.read.schema(f"{VISITED}, level int, bucket int").parquet(f"{folder}/visited")
+        return spark.read.schema(f"{VISITED}, step int, bucket int").parquet(f"{folder}/visited")
 
-    def store(level: DataFrame, depth: int) -> DataFrame:
-        placed = level.withColumn("bucket", term_bucket(F.col("page_name"), buckets))
-        placed.write.partitionBy("bucket").parquet(f"{folder}/visited/level={depth}")
-        return spark.read.schema(f"{VISITED}, bucket int").parquet(f"{folder}/visited/level={depth}")
+    def store(found: DataFrame, step: int) -> DataFrame:
+        placed = found.withColumn("bucket", term_bucket(F.col("page_name"), buckets))
+        placed.write.partitionBy("bucket").parquet(f"{folder}/visited/step={step}")
+        return spark.read.schema(f"{VISITED}, bucket int").parquet(f"{folder}/visited/step={step}")
 
-    def looked_up(table: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame:
+    def looked_up(table: DataFrame, small: DataFrame, keys: list[str], partition: str) -> DataFrame:
         # The condition always holds; Spark prunes partitions only by a side that has one.
-        small = small.where("bucket >= 0")
+        small = small.where(f"{partition} >= 0")
         return table.join(F.broadcast(small) if fits_broadcast(small) else small, keys)
 
-    first = seeds.groupBy("page_name").agg(F.min("position").alias("seed")).where(F.col("page_name").isNotNull())
-    first = with_positions(first, [F.col("seed"), F.col("page_name")], "visit_order")
-    level = store(first.selectExpr("page_name", "0 AS depth", "CAST(NULL AS STRING) AS from_page", "CAST(NULL AS BIGINT) AS position", "visit_order"), 0)
-    depth, count = 0, level.count()
-    while max_depth is None or depth < max_depth:
-        depth += 1
-        parents = level.select(F.col("page_name").alias("from_page"), "visit_order", "bucket")
-        found = looked_up(by_page, parents, ["bucket", "from_page"]).where(F.col("to_page").isNotNull())
-        found = found.groupBy(F.col("to_page").alias("page_name")).agg(F.min(F.struct("visit_order", "position", "from_page")).alias("seen"))
+    def burst(level: DataFrame, loaded: set[int]) -> DataFrame:
+        near = by_page.where(F.col("block").isin(sorted(loaded)))
+        ends = near.select(F.col("to_page").alias("page_name")).distinct().withColumn("bucket", term_bucket(F.col("page_name"), buckets))
+        known = looked_up(visited().select("page_name", "bucket"), ends, ["bucket", "page_name"], "bucket").select("page_name")
+        none = F.lit(None)
+        state = level.select("page_name", "visit_order", "block").unionByName(
+            known.select("page_name", none.cast("bigint").alias("visit_order"), none.cast("int").alias("block"))
+        )
+        task = F.lit(0).alias("task")
+        sides = near.select("*", task).groupBy("task").cogroup(state.select("*", task).groupBy("task"))
+        return sides.applyInArrow(_follow(loaded, depth, count, max_depth), VISITED)
+
+    def round(level: DataFrame) -> DataFrame:
+        parents = level.select(F.col("page_name").alias("from_page"), "visit_order", "block")
+        found = looked_up(by_page, parents, ["block", "from_page"], "block")
+        found = found.groupBy(F.col("to_page").alias("page_name")).agg(F.min(F.struct("visit_order", "position", "from_page", "to_block")).alias("seen"))
         found = materialize(found.withColumn("bucket", term_bucket(F.col("page_name"), buckets)), "targets")
-        known = looked_up(visited().select("page_name", "bucket"), found.select("page_name", "bucket"), ["bucket", "page_name"])
-        new = materialize(found.join(known.select("page_name"), "page_name", "left_anti"), "new-targets")
-        if new.isEmpty():
+        known = looked_up(visited().select("page_name", "bucket"), found.select("page_name", "bucket"), ["bucket", "page_name"], "bucket")
+        new = found.join(known.select("page_name"), "page_name", "left_anti")
+        new = new.select("page_name", F.lit(depth + 1).alias("depth"), "seen.from_page", "seen.position", F.col("seen.visit_order").alias("parent"), F.col("seen.to_block").alias("block"))
+        new = with_positions(materialize(new, "new-targets"), [F.col("parent"), F.col("position"), F.col("page_name")], "visit_order")
+        return new.withColumn("visit_order", F.col("visit_order") + count).select("page_name", "depth", "from_page", "position", "visit_order", "block")
+
+    first = seeds.groupBy("page_name").agg(F.min("position").alias("seed")).where(F.col("page_name").isNotNull())
+    first = with_positions(first, [F.col("seed"), F.col("page_name")], "visit_order").join(blocks.withColumnRenamed("from_page", "page_name"), "page_name", "left")
+    level = store(first.selectExpr("page_name", "0 AS depth", "CAST(NULL AS STRING) AS from_page", "CAST(NULL AS BIGINT) AS position", "visit_order", "block"), 0)
+    step, depth, count = 0, 0, level.count()
+    width = count
+    while width and (max_depth is None or depth < max_depth):
+        step += 1
+        needed = [r.block for r in level.select("block").distinct().where(F.col("block").isNotNull()).collect()]
+        # A block without targets has no links here.
+        loaded = _burst_blocks(graph, [b for b in needed if b in graph], burst_links) if width <= burst_links else None
+        if loaded is not None:
+            loaded |= set(needed)
+        found = store(round(level) if loaded is None else burst(level, loaded), step)
+        ends = found.groupBy("depth").agg(F.count(F.lit(1)).alias("n")).agg(F.max(F.struct("depth", "n")).alias("last"), F.sum("n").alias("n")).first()
+        if ends.last is None:
             break
-        new = new.select("page_name", F.lit(depth).alias("depth"), "seen.from_page", "seen.position", F.col("seen.visit_order").alias("parent"))
-        new = with_positions(new, [F.col("parent"), F.col("position"), F.col("page_name")], "visit_order")
-        new = new.withColumn("visit_order", F.col("visit_order") + count)
-        level = store(new.select("page_name", "depth", "from_page", "position", "visit_order"), depth)
-        count += level.count()
-    return visited().drop("level", "bucket")
+        (depth, width), count = ends.last, count + ends.n
+        level = found.where(F.col("depth") == depth)
+    return visited().drop("step", "bucket", "block")
