@@ -2,6 +2,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests.helpers import evaluate
 from wikisift.functions import text as T
@@ -119,3 +120,19 @@ def test_categories(spark):
         spark, T.site_categories,
         ["x [[Categories]]: [[A b]][[C]] [[D]]", "[[Category]]: [[Unibus]]", "[[Category]]: none"],
     ) == ["A b|C", "Unibus", None]
+
+
+def test_token_bag_and_vectors_as_tokens_in_order(spark):
+    from collections import Counter
+
+    from wikisift.operators.postings import document_vectors
+
+    texts = ["PDP-11/60 and pdp-11", "-a- b//c d--e/", "plain words, plain", "x-y x/y x-y a", "--", "", None, "é-1 naïve/7-"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    rows = df.select("doc_id", T.tokens(F.col("text")).alias("t"), T.token_bag(F.col("text")).alias("bag")).collect()
+    vectors = {r.doc_id: r for r in document_vectors(df).collect()}
+    for row in rows:
+        assert (row.bag is None) == (row.t is None) and sorted(row.bag or []) == sorted(row.t or [])
+        counts, vector = Counter(row.t or []), vectors[row.doc_id]
+        assert {t.term: t.tf for t in vector.terms} == counts and [t.term for t in vector.terms] == sorted(counts)
+        assert (vector.len, vector.tf_max, vector.sum_sq) == (sum(counts.values()), max(counts.values(), default=0), sum(n * n for n in counts.values()))

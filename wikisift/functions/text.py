@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from wikisift.functions.expr import let
 
 # Token shape and delimiters, title and category patterns.
-TOKEN = r"[a-zA-Z0-9](?:[a-zA-Z0-9-\/]*[a-zA-Z0-9])?"
+TOKEN = r"[a-zA-Z0-9]++(?:[-\/]++[a-zA-Z0-9]++)*+"
 TOKEN_DELIMITER = r"[-\/]"
 PARENTHESES = r"\(.*?\)"
 DUMP_CATEGORY = r"\[\[Category:(.*?)[\]|]"
@@ -128,14 +128,30 @@ def html_to_text(html: Column, unknown: str = "keep") -> Column:
 
 def tokens(text: Column) -> Column:
     """Lower-case tokens in order; ``pdp-11/60`` gives itself, then ``pdp``, ``11``, ``60`` (P5)."""
-    words = F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
 
     def with_parts(word: Column) -> Column:
-        compound = F.contains(word, F.lit("-")) | F.contains(word, F.lit("/"))
         parts = F.concat(F.array(word), F.split(word, TOKEN_DELIMITER, -1))
-        return F.when(compound, parts).otherwise(F.array(word))
+        return F.when(_is_compound(word), parts).otherwise(F.array(word))
 
-    return F.flatten(F.transform(words, with_parts))
+    return F.flatten(F.transform(_words(text), with_parts))
+
+
+def token_bag(text: Column) -> Column:
+    """The tokens of :func:`tokens` in any order, for counting: only compounds are taken apart word by word."""
+
+    def with_parts(words: Column) -> Column:
+        parts = F.split(F.array_join(F.filter(words, _is_compound), "/"), TOKEN_DELIMITER, -1)
+        return F.when(F.exists(words, _is_compound), F.concat(words, parts)).otherwise(words)
+
+    return let(_words(text), with_parts)
+
+
+def _words(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
+
+
+def _is_compound(word: Column) -> Column:
+    return F.contains(word, F.lit("-")) | F.contains(word, F.lit("/"))
 
 
 def term_vector(token_array: Column) -> Column:
@@ -146,9 +162,9 @@ def term_vector(token_array: Column) -> Column:
     """
 
     def runs(ordered: Column) -> Column:
-        starts = F.filter(
-            F.sequence(F.lit(0), F.size(ordered) - 1),
-            lambda i: (i == 0) | (F.get(ordered, i) != F.get(ordered, i - 1)),
+        # Nulls where a run goes on, so that each token is compared once.
+        starts = F.array_compact(
+            F.transform(ordered, lambda token, i: F.when((i == 0) | (token != F.get(ordered, i - 1)), i))
         )
         return let(
             starts,

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wikisift.functions.expr import once
-from wikisift.functions.text import term_vector, tokens
+from wikisift.functions.text import term_vector, token_bag
 from wikisift.functions.urls import result_url
 from wikisift.operators.ranking import ranked
 from wikisift.operators.search import few_terms, hit_order, query_terms, with_bucket
@@ -33,8 +33,8 @@ Range = tuple[float | None, float | None]
 
 def _field_tokens(docs: DataFrame, field: str) -> Column:
     if docs.schema[field].dataType.typeName() == "array":
-        return F.flatten(F.transform(F.col(field), tokens))
-    return tokens(F.col(field))
+        return F.flatten(F.transform(F.col(field), token_bag))
+    return token_bag(F.col(field))
 
 
 def fielded_vectors(docs: DataFrame, fields: tuple[str, ...] = tuple(BOOSTS)) -> DataFrame:
@@ -107,7 +107,7 @@ class FieldIndex:
         docs = spark.read.parquet(f"{path}/docs")
         fielded_vectors(docs, self.searched).write.mode("overwrite").parquet(f"{path}/vectors")
         vectors = spark.read.parquet(f"{path}/vectors")
-        rows = vectors.agg(F.sum(F.size("terms"))).first()[0] or 0
+        rows = vectors.agg(F.sum(F.size("terms.tf"))).first()[0] or 0  # reads no term
         buckets = buckets or choose_buckets(rows)
         keys = ["term", "field", "doc_id"]
         write_by_term(fielded_postings(vectors), f"{path}/postings", keys, buckets, rows)

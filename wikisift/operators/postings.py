@@ -7,8 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wikisift.functions.expr import once
-from wikisift.functions.text import term_vector, tokens
+from wikisift.functions.expr import let, once
+from wikisift.functions.text import term_vector, token_bag
 from wikisift.operators.blocks import BITMAP_LEAST, BLOCK_ROWS, write_blocks
 from wikisift.operators.skew import join_lookup
 from wikisift.sources.tables import choose_buckets, with_bucket, write_by_term
@@ -20,16 +20,15 @@ def document_vectors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Terms are counted inside each row. Documents are identified by ``id_col``, one row
     each. ``sum_sq`` is the sum of squared term counts, ``len`` the number of tokens.
     """
-    vectors = docs.select(
-        F.col(id_col).alias("doc_id"), once(term_vector(tokens(F.col(text_col)))).alias("terms")
-    )
+    counted = let(token_bag(F.col(text_col)), lambda bag: F.struct(term_vector(bag).alias("terms"), F.size(bag).alias("len")))
+    vectors = docs.select(F.col(id_col).alias("doc_id"), once(counted).alias("c"))
     zero = F.lit(0).cast("bigint")
     return vectors.select(
         "doc_id",
-        "terms",
-        F.coalesce(F.array_max(F.transform("terms", lambda t: t["tf"])), zero).alias("tf_max"),
-        F.aggregate("terms", zero, lambda total, t: total + t["tf"] * t["tf"]).alias("sum_sq"),
-        F.aggregate("terms", zero, lambda total, t: total + t["tf"]).alias("len"),
+        "c.terms",
+        F.coalesce(F.array_max(F.col("c.terms.tf")), zero).alias("tf_max"),
+        F.aggregate("c.terms.tf", zero, lambda total, tf: total + tf * tf).alias("sum_sq"),
+        F.when(F.size("c.terms") > 0, F.col("c.len")).otherwise(0).cast("bigint").alias("len"),
     )
 
 
@@ -109,7 +108,7 @@ class TextIndex:
         spark = self.vectors.sparkSession
         self.vectors.write.mode("overwrite").parquet(f"{path}/vectors")
         vectors = spark.read.parquet(f"{path}/vectors")
-        rows = vectors.agg(F.sum(F.size("terms"))).first()[0] or 0
+        rows = vectors.agg(F.sum(F.size("terms.tf"))).first()[0] or 0  # reads no term
         buckets = buckets or choose_buckets(rows)
         write_by_term(postings_of(vectors), f"{path}/postings", ["term", "doc_id"], buckets, rows)
         postings = spark.read.parquet(f"{path}/postings")
