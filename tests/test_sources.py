@@ -297,3 +297,22 @@ def test_stream_of_page_files(spark, tmp_path):
     assert ids == {"A": 0, "B": 1, "C(x)": 2}
     hits = search(query_table(spark, ["alpha"]), inc.stored_index(spark, path))
     assert {r.doc_id for r in hits.collect()} == {0, 2}
+
+
+def test_rows_of_one_row_group_are_spread_before_filters(spark, tmp_path):
+    path = str(tmp_path / "one")
+    spark.range(20_000).coalesce(1).write.parquet(path)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        table = spark.read.parquet(path)
+        # As many splits as cores, but all rows in one of them.
+        assert table.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+        even = spread(table)
+        tasks = even.where("id % 3 > 0").groupBy(F.spark_partition_id().alias("p")).count().collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert len(tasks) >= 4 and max(r["count"] for r in tasks) <= 5000
+    assert even.agg(F.count("id"), F.sum("id")).first() == (20_000, 199_990_000)
+    assert spread(spark.range(100).limit(0)).count() == 0

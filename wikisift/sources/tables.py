@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wikisift.functions.expr import once
+
 ROWS_PER_BUCKET = 250_000
 MANY_BUCKETS = 4096
 ROWS_PER_TASK = 5_000_000
@@ -67,15 +69,20 @@ def write_once(df: DataFrame, path: str) -> DataFrame:
 
 
 def spread(df: DataFrame, per_core: int = 2) -> DataFrame:
-    """Spread a few large splits over all cores before costly expressions.
+    """Spread a table whose rows stand in a few splits over all cores before costly expressions.
 
-    An input that already has a split per core, as any large one does, is returned
-    unchanged, so this never shuffles a large table.
+    Splits say little: a Parquet file is cut by bytes, but its rows go with their row
+    group, so many splits may be empty. Rows are counted by split, which reads no column.
+    An input of even splits for all cores, as any large one has, is returned unchanged.
+    Else its rows are dealt out and leave a generator, as Spark would move later filters
+    below a mere repartition, into the few tasks.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
+    counts = df.groupBy(F.spark_partition_id().alias("split")).agg(F.count(F.lit(1)).alias("n"))
+    found = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.coalesce(F.max("n"), F.lit(0)).alias("most")).first()
+    if found.most * cores <= 2 * found.rows:
         return df
-    return df.repartition(cores * per_core)
+    return df.repartition(cores * per_core).select(once(F.struct(*df.columns)).alias("row")).select("row.*")
 
 
 def choose_buckets(rows: int) -> int:
