@@ -1,10 +1,14 @@
+import collections
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 
 from tests.llm.cases import awkward, collected, documents, frame
 from wikisift.llm import language as L
+from wikisift.llm import ragged
 
 VOCABULARY = {
     "aa": ["the", "of", "and", "thing", "with", "was", "here", "tion"], "bb": ["der", "und", "nicht", "schön", "ist", "wir", "keit", "heit"],
@@ -95,3 +99,66 @@ def test_filter_keeps_rows_as_they_are(spark):
     model = L.train(docs)
     kept = L.keep_identified(docs, model)
     assert kept.schema == docs.schema and collected(kept) == collected(docs.where("doc_id < 900"))
+
+
+def test_features_and_labels_take_little_memory():
+    """A piece of 3 MB once took over 100 MB in each Python worker for its hashes and trigrams alone."""
+    rng = np.random.default_rng(8)
+    letters = rng.integers(97, 123, 3 << 20).astype(np.uint8)
+    letters[rng.integers(0, len(letters), len(letters) // 6)] = 0x20
+    texts = [part.tobytes().decode() for part in np.array_split(letters, 400)]
+    langs = ["aa", "bb", None, "cc"] * 100
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array(langs)], names=["text", "lang"])
+    languages = ["aa", "bb", "cc"]
+
+    def peak(run):
+        tracemalloc.start()
+        try:
+            return run(), tracemalloc.get_traced_memory()[1] >> 20
+        finally:
+            tracemalloc.stop()
+
+    def counted():
+        total = {0: 0, 1: 0, 2: 0}
+        for out in L._count_features(languages)([batch]):
+            total[out.column(0)[0].as_py()] += sum(out.column(3).to_pylist())
+        return total
+
+    total, most = peak(counted)
+    words = [t.split() for t, lang in zip(texts, langs) if lang]
+    n_words, n_letters = sum(map(len, words)), sum(len(w) for t in words for w in t)
+    assert total == {0: n_words, 1: n_letters, 2: n_words}
+    assert most < 120
+    scores = np.zeros((1 << 15, 3), np.float32)
+    model = L.LanguageModel(languages, np.zeros(0, np.uint64), np.zeros((0, 3), np.float32), scores, np.ones((len(L.SCRIPT_NAMES), 3), bool))
+    piece = next(ragged.pieces(batch.column(0), L._PIECE_BYTES))
+    assert peak(lambda: L._label_piece(model, piece, False))[1] < 120
+
+
+def test_feature_counts_equal_plain_counts():
+    texts, langs = [text_in(k, i, 40) for i, k in enumerate(list(VOCABULARY) * 3)], [*VOCABULARY, *"abcd", *VOCABULARY]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array(langs)], names=["text", "lang"])
+    found, wanted = collections.Counter(), collections.Counter()
+    for out in L._count_features(list(VOCABULARY))([batch]):
+        for kind, key, language, n in zip(*(c.to_pylist() for c in out.columns)):
+            found[kind, key, language] += n
+    for text, lang in zip(texts, langs):
+        if lang not in VOCABULARY:
+            continue
+        data = ragged.LETTERS_ONLY[np.frombuffer(text.encode(), np.uint8)]
+        starts, ends, _ = ragged.words(data, np.array([0, len(data)]))
+        language = list(VOCABULARY).index(lang)
+        for k, (a, b) in enumerate(zip(starts, ends)):
+            wanted[0, int(ragged.Hasher(data).spans(starts, ends)[k].view(np.int64)), language] += 1
+            wanted[2, L._script(data[a:b].tobytes()), language] += 1
+            for cell in L._grams(data[a:b], np.array([0]), np.array([b - a]))[0]:
+                wanted[1, int(cell), language] += 1
+    assert found == wanted
+
+
+def test_keeping_over_several_pieces(spark):
+    texts = [text_in("aa", i, 900) if i % 3 else "1 2 3" for i in range(2000)]
+    docs = frame(spark, [(i, t, "aa", "a") for i, t in enumerate(texts)]).coalesce(1)
+    model = L.train(docs)
+    kept = L.keep_identified(docs, model, min_score=0.0)
+    assert collected(kept) == collected(docs.where("doc_id % 3 <> 0"))

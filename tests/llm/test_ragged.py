@@ -46,3 +46,10 @@ def test_elias_fano_round_trip(values):
 def test_elias_fano_is_small():
     values = np.cumsum(np.random.default_rng(0).integers(1, 2000, 50_000))
     assert len(encode(values)) * 8 / len(values) < 13
+
+
+def test_word_hashes_equal_those_of_the_whole():
+    data = np.frombuffer(b"".join(b"w%d " % (i % 977) for i in range(200_000)) + b"x" * 700_000 + b" end", np.uint8)
+    starts, ends, _ = ragged.words(data, np.array([0, len(data)]))
+    assert (ragged.word_hashes(data, starts, ends) == ragged.Hasher(data).spans(starts, ends)).all()
+    assert len(ragged.word_hashes(data, starts[:0], ends[:0])) == 0

@@ -72,6 +72,21 @@ def _grams(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.n
     return (ragged.mix(code) >> np.uint64(64 - _GRAM_BITS)).astype(np.int64), owner
 
 
+def _gram_blocks(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The same for some of the words at a time, as a cell takes many times the memory of its bytes."""
+    for block in ragged.blocks(starts, ends):
+        cells, owner = _grams(data, starts[block], ends[block])
+        yield cells, owner + block.start
+
+
+def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys and the sum of their counts."""
+    unique, inverse = np.unique(keys, return_inverse=True)
+    sums = np.zeros(len(unique), np.int64)
+    np.add.at(sums, inverse, n)
+    return unique, sums
+
+
 def _script(word: bytes) -> int:
     """Script of the first letter, -1 for a word without one."""
     for char in word.decode("utf-8", "replace"):
@@ -85,7 +100,7 @@ def _distinct(data: np.ndarray, offsets: np.ndarray):
     """Words of a piece and its distinct words: spans, words before each document, first occurrence, number."""
     folded = ragged.LETTERS_ONLY[data]
     starts, ends, before = ragged.words(folded, offsets)
-    keys = ragged.Hasher(folded).spans(starts, ends)
+    keys = ragged.word_hashes(folded, starts, ends)
     unique, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
     return folded, starts, ends, before, unique, first, inverse
 
@@ -105,10 +120,16 @@ def _count_features(languages: list[str]):
                 count = len(languages)
                 label = np.repeat(labels[piece.rows], np.diff(before))
                 script = np.array([_script(folded[starts[i] : ends[i]].tobytes()) for i in first])
-                cells, owner = _grams(folded, starts, ends)
-                for kind, key, lang in ((0, inverse, label), (1, cells, label[owner]), (2, script[inverse], label)):
-                    known = (lang >= 0) & (key >= 0)
-                    pair, n = np.unique(key[known] * count + lang[known], return_counts=True)
+                # Cells and scripts of a word are counted once, times its occurrences in each language.
+                word, times = np.unique(inverse[label >= 0] * count + label[label >= 0], return_counts=True)
+                word, lang = word // count, word % count
+                cells = [_summed(cell * count + lang[owner], times[owner]) for cell, owner in _gram_blocks(folded, starts[first[word]], ends[first[word]])]
+                if not cells:
+                    continue
+                cells = _summed(*(np.concatenate(part) for part in zip(*cells)))
+                lettered = script[word] >= 0
+                scripts = _summed((script[word] * count + lang)[lettered], times[lettered])
+                for kind, (pair, n) in enumerate(((word * count + lang, times), cells, scripts)):
                     key_of = pair // count
                     out = unique[key_of].view(np.int64) if kind == 0 else key_of
                     yield pa.RecordBatch.from_arrays(
@@ -183,9 +204,9 @@ def _emissions(model: LanguageModel, folded, starts, ends, unique, first) -> tup
         script[i] = _script(folded[starts[first[i]] : ends[first[i]]].tobytes())
         lettered[i] = script[i] >= 0
     if len(new):
-        cells, owner = _grams(folded, starts[first[new]], ends[first[new]])
-        sums = np.stack([np.bincount(owner, model.gram_scores[cells, k], len(new)) for k in range(width)], axis=1)
-        scores[new] = sums
+        for cells, owner in _gram_blocks(folded, starts[first[new]], ends[first[new]]):
+            words, low = new[owner[0] : owner[-1] + 1], owner[0]
+            scores[words] = np.stack([np.bincount(owner - low, model.gram_scores[cells, k], len(words)) for k in range(width)], axis=1)
     scores -= scores.max(axis=1, keepdims=True)
     np.maximum(scores, -model.spread, out=scores)
     fits = model.scripts[script]  # for a script that no language has, all stay candidates
@@ -305,11 +326,10 @@ def keep_identified(docs: DataFrame, model: LanguageModel, text: str = "text", m
 
     def run(batches):
         for b in batches:
-            passed = [np.zeros(0, bool)]
             for piece in ragged.pieces(b.column(at), _piece_bytes(shared.value)):
                 best, score, _ = _label_piece(shared.value, piece, False)
-                passed.append((best >= 0) & (score >= min_score))
-            yield b.filter(pa.array(np.concatenate(passed)))
+                # Passed on by the piece: a second copy of a whole batch is never held.
+                yield b.slice(piece.rows[0], piece.n).filter(pa.array((best >= 0) & (score >= min_score)))
 
     return docs.mapInArrow(run, docs.schema)
 

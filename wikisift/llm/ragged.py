@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 PIECE_BYTES = 1 << 20
+_BLOCK_BYTES = 1 << 18
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _SPACE = np.zeros(256, bool)
@@ -115,6 +116,26 @@ class Hasher:
         return mix((self._sums[ends] - self._sums[starts]) * self._back[starts])
 
 
+def blocks(starts: np.ndarray, ends: np.ndarray, limit: int = _BLOCK_BYTES) -> Iterator[slice]:
+    """Cut spans into runs of about ``limit`` bytes each, so that arrays with numbers for each byte stay small."""
+    sums = np.cumsum(ends - starts)
+    first = 0
+    while first < len(sums):
+        done = sums[first - 1] if first else 0
+        last = max(int(np.searchsorted(sums, done + limit, side="right")), first + 1)
+        yield slice(first, last)
+        first = last
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of each word, as by a :class:`Hasher` of all of ``data``: a hash does not depend on the place."""
+    keys = np.zeros(len(starts), np.uint64)
+    for block in blocks(starts, ends):
+        begin = starts[block.start]
+        keys[block] = Hasher(data[begin : ends[block.stop - 1]]).spans(starts[block] - begin, ends[block] - begin)
+    return keys
+
+
 def ngrams(units: np.ndarray, before: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Hash of every run of ``n`` units inside a document, and the document of each.
 
