@@ -1,9 +1,12 @@
 import random
+import tracemalloc
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from tests.llm.cases import awkward, collected, documents, edited, frame, lower, prose, words
-from wikisift.llm import ngram_join
+from wikisift.llm import graph, ngram_join, ragged
 from wikisift.llm.graph import components, forest
 from wikisift.llm.ngram_join import near_duplicates, op4_ngram_join
 
@@ -91,3 +94,42 @@ def test_components(spark):
     found = dict(tuple(r) for r in components(spark.createDataFrame(links, "u bigint, v bigint")).collect())
     want = {9: 4, 7: 4, 4: 4, 1: 1, 2: 1, 3: 1, 50: 20} | {i: 100 for i in range(100, 161)} | {x: 20 for x in range(20, 40)}
     assert found == want
+
+
+@pytest.mark.parametrize("kind", ["bigint", "string"])
+def test_few_links_need_few_tables(spark, monkeypatch, kind):
+    """Every round writes several tables; a long chain took over 20 however few its links were."""
+    rng = random.Random(3)
+    links = [(i, i + 1) for i in range(100, 160)] + [(rng.randrange(300, 400), rng.randrange(300, 400)) for _ in range(60)] + [(7, 7), (None, 8)]
+    rng.shuffle(links)
+    df = spark.createDataFrame(links, "u bigint, v bigint").selectExpr(f"cast(u as {kind}) u", f"cast(v as {kind}) v")
+    written = []
+    write = graph.materialize
+    monkeypatch.setattr(graph, "materialize", lambda *a: written.append(a[1]) or write(*a))
+    few = collected(components(df))
+    tables = len(written)
+    monkeypatch.setattr(graph, "_FEW_LINKS", 50)  # rounds first, one task for what remains
+    assert collected(components(df)) == few and len(written) > 2 * tables
+    monkeypatch.setattr(graph, "_FEW_LINKS", 0)
+    assert collected(components(df)) == few
+    assert tables <= 4
+
+
+def test_sets_of_a_piece_take_little_memory():
+    """The hashes of a piece once had several numbers for every byte, and as many powers stayed in the worker."""
+    rng = np.random.default_rng(9)
+    letters = rng.integers(97, 123, 1 << 20).astype(np.uint8)
+    letters[rng.integers(0, len(letters), len(letters) // 6)] = 0x20
+    piece = next(ragged.pieces(pa.array([part.tobytes() for part in np.array_split(letters, 100)], pa.binary())))
+    ragged._powers.clear()
+    tracemalloc.start()
+    try:
+        grams, owner, sizes, sids = ngram_join._sets(piece, 5)
+        most = tracemalloc.get_traced_memory()[1] >> 20
+    finally:
+        tracemalloc.stop()
+    assert len(grams) == sizes.sum() > 100_000 and len(sids) == 100
+    starts, ends, before = ragged.words(piece.data, piece.offsets)
+    plain = ragged.ngrams(ragged.Hasher(piece.data).spans(starts, ends), before, 5)[0]
+    assert sorted(np.unique(plain)) == sorted(np.unique(grams))
+    assert most < 25

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from wikisift.sources.tables import materialize
 
+_FEW_LINKS = 200_000
+
 
 def forest(links: DataFrame) -> DataFrame:
     """Fewer links ``(u, v)`` that connect the same: each task leaves out what its links so far connect.
@@ -41,6 +43,29 @@ def forest(links: DataFrame) -> DataFrame:
     return links.mapInArrow(run, links.schema)
 
 
+def _few_solved(links: DataFrame) -> DataFrame:
+    """``(label, to)``: the smallest label that each one reaches, by one task. For a bounded number of links, each in both directions."""
+
+    def run(batches):
+        held = [[c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches]
+        u, v = (np.concatenate(x) for x in zip(*held))
+        nodes, u = np.unique(u, return_inverse=True)
+        v = np.searchsorted(nodes, v)
+        top = np.arange(len(nodes))
+        while True:
+            low = top.copy()
+            np.minimum.at(low, top[u], top[v])
+            while ((ends := low[low]) != low).any():
+                low = ends
+            if (low[top] == top).all():
+                break
+            top = low[top]
+        yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[top])], names=["label", "to"])
+
+    kind = links.schema["u"].dataType.simpleString()
+    return links.coalesce(1).mapInArrow(run, f"label {kind}, to {kind}")
+
+
 def components(links: DataFrame) -> DataFrame:
     """``(node, component)`` for every node of ``links(u, v)``: the smallest node that can be reached.
 
@@ -48,12 +73,17 @@ def components(links: DataFrame) -> DataFrame:
     pointers to their ends and relabels the links, so the links that remain shrink
     quickly whatever the shape of a component. Each round is a written table: a lost
     executor costs a re-read. A node with many links only adds rows to pre-aggregated
-    minima and to plain joins, which are split when skewed.
+    minima and to plain joins, which are split when skewed. At most ``_FEW_LINKS`` links
+    are followed to their ends by one task: for so few, rounds are nothing but small jobs,
+    and each leaves its code and buffers in the executors.
     """
     both = links.select("u", "v").where("u <> v")
     left = materialize(both.union(both.select("v", "u")).distinct(), "links")
     labels = materialize(left.select(F.col("u").alias("node")).distinct().withColumn("component", F.col("node")), "labels")
-    while not left.isEmpty():
+    while count := left.count():
+        if count <= _FEW_LINKS:
+            hooks = materialize(_few_solved(left), "hooks").withColumnRenamed("label", "component")
+            return materialize(labels.join(hooks, "component", "left").select("node", F.coalesce("to", "component").alias("component")), "labels")
         hooks = left.groupBy(F.col("u").alias("label")).agg(F.min("v").alias("to")).where("`to` < label")
         hooks = materialize(hooks, "hooks")
         while True:

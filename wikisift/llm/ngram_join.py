@@ -60,7 +60,7 @@ def _sets(piece: ragged.Piece, n: int):
     """Distinct n-gram hashes of each document, ascending, their owner, and set sizes and hashes."""
     data = ragged.lower_ascii(piece.data)
     starts, ends, before = ragged.words(data, piece.offsets)
-    grams, owner = ragged.ngrams(ragged.Hasher(data).spans(starts, ends), before, n)
+    grams, owner = ragged.ngrams(ragged.word_hashes(data, starts, ends), before, n)
     order = np.lexsort((grams, owner))
     grams, owner = grams[order], owner[order]
     if len(grams):

@@ -95,7 +95,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 def powers(base: int, count: int) -> np.ndarray:
     have = _powers.get(base)
     if have is None or len(have) < count:
-        size = max(count, PIECE_BYTES + (1 << 16))
+        size = (count | 0xFFFF) + (1 << 16)  # what a worker keeps follows the longest stretch it has hashed
         have = np.full(size, base, np.uint64)
         have[0] = 1
         have = np.multiply.accumulate(have)
