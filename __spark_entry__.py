@@ -486,12 +486,16 @@ def brand_pairs(spark, sf_dir):
     def short(df):
         return df.select(F.concat(F.element_at(F.split("title", " "), 1), F.lit("x")).alias("title"), "attributes", "value")
 
-    dump, site = (pages.with_attributes(read(spark, sf_dir)) for read in (_dump_articles, _site_articles))
-    joined = searchdocs.join_titles(short(dump), short(site), rows_per_split=50, pairs_per_task=100)
-    return joined.groupBy("title").agg(
+    sides = [materialize(short(pages.with_attributes(read(spark, sf_dir))), "short-titles") for read in (_dump_articles, _site_articles)]
+    # Pairs are many and titles few: a pair is counted by the number of its title, which is cheaper to look up.
+    titles = materialize(ranking.assign_ids(sides[0].select("title").union(sides[1].select("title")).distinct(), "title", "title_id"), "title-numbers")
+    dump, site = (side.join(titles, "title", "left") for side in sides)
+    joined = searchdocs.join_titles(dump, site, rows_per_split=50, pairs_per_task=100, keep=("title_id",))
+    counts = joined.groupBy(F.coalesce("title_id", F.lit(-1)).alias("title_id")).agg(
         F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("extern_title").isNotNull() & F.col("site_title").isNotNull()).alias("n_pairs"),
-        F.sum(F.size("attributes")).alias("n_attributes"),
+        F.sum("n_attributes").alias("n_attributes"),
     )
+    return counts.join(titles, "title_id", "left").select("title", "n_rows", "n_pairs", "n_attributes")
 
 
 def attribute_strings(spark, sf_dir):

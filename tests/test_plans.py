@@ -51,3 +51,16 @@ def test_no_python_in_the_plans(spark):
     assert physical(joined).count("Exchange hashpartitioning") == 2
     assert "_salt" not in physical(joined)
     assert "Exchange" not in physical(typed_documents(dump.select("title", F.lit("a").alias("site_title"), F.lit("b").alias("extern_title"), "attributes", "value")))
+
+
+def test_pairs_of_frequent_keys_are_counted_where_they_are_made(spark):
+    """Packs carry what is read and nothing else, and pairs do not become rows before they are counted."""
+    tables = [spark.createDataFrame([(t, [("a", str(i))] * (i % 3), "v") for i in range(n) for t in ("hot", None)] + [("one", None, "v")], BAG)
+              .withColumn("number", F.when(F.col("title") == "hot", 7)) for n in (23, 17)]
+    joined = join_titles(*tables, rows_per_split=5, pairs_per_task=20, keep=("number",))
+    sums = joined.groupBy("number").agg(F.count(F.lit(1)).alias("n"), F.sum("n_attributes").alias("a"), F.sum(F.size("attributes")).alias("b"))
+    expected = sum(i % 3 + j % 3 for i in range(23) for j in range(17))
+    alone = sum(i % 3 for i in range(23)) + sum(j % 3 for j in range(17))
+    assert {tuple(r) for r in sums.collect()} == {(7, 23 * 17, expected, expected), (None, 1 + 23 + 17, alone, alone)}
+    plan = physical(joined.groupBy("number").agg(F.count(F.lit(1)), F.sum("n_attributes")))
+    assert plan.index("Generate posexplode(_left_rows") < plan.index("Union") and not any(c in plan for c in ("_value", "extern_attributes", "site_attributes"))

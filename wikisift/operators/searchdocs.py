@@ -18,13 +18,17 @@ def join_titles(
     skip_empty_keys: bool = False,
     rows_per_split: int = ROWS_PER_SPLIT,
     pairs_per_task: int = PAIRS_PER_TASK,
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """Full outer join of two ``(title, attributes, value)`` tables on normalised title.
 
-    Gives ``(title, extern_title, site_title, attributes, value)``; site attributes and
-    text come first. ``skip_empty_keys`` keeps titles that normalise to nothing from
-    matching each other.
+    Gives ``(title, extern_title, site_title, attributes, value, n_attributes)``; site attributes and
+    text come first. ``n_attributes`` is the size of ``attributes``: each side's own is counted before
+    the join, so a reader of that number alone carries no attributes along. Columns ``keep`` of both
+    tables follow, from the row that gives the title. ``skip_empty_keys`` keeps titles that normalise
+    to nothing from matching each other.
     """
+    nothing = F.array().cast("array<struct<name:string,value:string>>")
 
     def side(df: DataFrame, name: str) -> DataFrame:
         key = normalize_title(F.col("title"))
@@ -35,6 +39,8 @@ def join_titles(
             F.col("title").alias(f"{name}_title"),
             F.col("attributes").alias(f"{name}_attributes"),
             F.col("value").alias(f"{name}_value"),
+            F.size(F.coalesce("attributes", nothing)).alias(f"{name}_count"),
+            *(F.col(c).alias(f"{name}_{c}") for c in keep),
         )
 
     joined = full_outer_join(
@@ -44,7 +50,6 @@ def join_titles(
         rows_per_split,
         pairs_per_task,
     )
-    nothing = F.array().cast("array<struct<name:string,value:string>>")
     return joined.select(
         F.coalesce("extern_title", "site_title").alias("title"),
         "extern_title",
@@ -53,6 +58,8 @@ def join_titles(
             F.coalesce("site_attributes", nothing), F.coalesce("extern_attributes", nothing)
         ).alias("attributes"),
         F.concat_ws(" ", "site_value", "extern_value").alias("value"),
+        (F.coalesce("site_count", F.lit(0)) + F.coalesce("extern_count", F.lit(0))).alias("n_attributes"),
+        *(F.when(F.col("extern_title").isNotNull(), F.col(f"extern_{c}")).otherwise(F.col(f"site_{c}")).alias(c) for c in keep),
     )
 
 

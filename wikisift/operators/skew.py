@@ -11,6 +11,7 @@ BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 64 << 20
 ROWS_PER_SPLIT = 100_000
 PAIRS_PER_TASK = 20_000_000
+BLOCK_TASKS = 10_000
 
 
 def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
@@ -68,8 +69,11 @@ def full_outer_join(
     more than that many pairs. Every pair is in exactly one cell. A split is one packed
     row, and what is shuffled are blocks of splits: a split is repeated once for each
     block of the other side, and blocks have up to ``PAIRS_PER_TASK`` pairs, however small
-    the cells are. Rows whose frequent key the other side lacks are passed on. Other keys are neither packed
-    nor repeated.
+    the cells are. A pack has an array for each column, so columns that nobody reads are
+    not packed. The rows of packs that meet are unpacked at the end, after all other rows have
+    joined them as packs of one: a reader that counts or sums takes its pairs from the loop that
+    makes them. Rows whose frequent key the other side lacks are passed on. Other keys are
+    not repeated.
 
     Columns of the two sides must have different names, but for ``key``. The table of
     frequent keys has at most rows / sqrt(pairs_per_task) entries per side. It is written
@@ -94,27 +98,46 @@ def full_outer_join(
         )
     )
     frequent = materialize(frequent, "frequent-keys")
-    if frequent.isEmpty():
+    blocks = F.when(F.col("_both"), F.col("_left_blocks").cast("bigint") * F.col("_right_blocks")).otherwise(0)
+    found = frequent.agg(F.count(F.lit(1)).alias("keys"), F.sum(blocks).alias("blocks")).first()
+    if not found.keys:
         return left.join(right, key, "full_outer")
 
     # Row numbers spread rows evenly over splits; they are stored, so a retried task sees the same.
     rows = [materialize(df.withColumn("_row", F.monotonically_increasing_id()), "numbered") for df in (left, right)]
     others = [[c for c in df.columns if c != key] for df in (left, right)]
-    plain = [r.join(frequent, key, "left_anti").select(key, *names) for r, names in zip(rows, others)]
-    found = plain[0].join(plain[1], key, "full_outer")
-    packs = [packed(r, frequent, key, *names) for r, names in zip(rows, (("left", "right"), ("right", "left")))]
-    pairs = packs[0].join(packs[1].hint("merge"), [key, "_left_block", "_right_block"])
-    pairs = pairs.select(key, "_right_rows", F.inline("_left_rows")).select(key, *others[0], F.inline("_right_rows"))
-    alone = [r.join(frequent.where(~F.col("_both")), key).select(key, *names) for r, names in zip(rows, others)]
-    return found.unionByName(pairs).unionByName(alone[0], True).unionByName(alone[1], True)
+    sides = ("left", "right")
+
+    def single(df: DataFrame, names: list[str], side: str) -> DataFrame:
+        return df.select(key, F.array("_row").alias(f"_{side}_rows"), *(F.array(c).alias(c) for c in names))
+
+    plain = [single(r.join(frequent, key, "left_anti"), names, side) for r, names, side in zip(rows, others, sides)]
+    packs = [packed(r, frequent, key, *names) for r, names in zip(rows, (sides, sides[::-1]))]
+    # Packs are few bytes for many pairs; Spark, which sees bytes, would merge their tasks.
+    tasks = max(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(2 * found.blocks, BLOCK_TASKS))
+    packs = [p.repartition(tasks, key, "_left_block", "_right_block") for p in packs]
+    pairs = packs[0].join(packs[1].hint("merge"), [key, "_left_block", "_right_block"]).drop("_left_block", "_right_block")
+    alone = [single(r.join(frequent.where(~F.col("_both")), key), names, side) for r, names, side in zip(rows, others, sides)]
+    lots = plain[0].join(plain[1], key, "full_outer").unionByName(pairs).unionByName(alone[0], True).unionByName(alone[1], True)
+    # The last step of all, so what reads the pairs does so in the loop that makes them, and no pair is ever a row on its own.
+    first = lots.select("*", F.posexplode_outer("_left_rows").alias("_at", "_row"))
+    first = first.select(key, *(F.get(c, F.col("_at")).alias(c) for c in others[0]), "_right_rows", *others[1])
+    second = first.select("*", F.posexplode_outer("_right_rows").alias("_at", "_row"))
+    return second.select(key, *others[0], *(F.get(c, F.col("_at")).alias(c) for c in others[1]))
 
 
 def packed(rows: DataFrame, frequent: DataFrame, key: str, own: str, other: str) -> DataFrame:
-    """``(key, blocks of either side, rows)``: each split of the frequent keys of one side, once for each block of the other."""
+    """``(key, blocks of either side, numbers of the rows, columns)``: each split of the frequent keys of one side, once for each block of the other.
+
+    A column is an array of its own, so Spark leaves out those that nobody reads.
+    """
     names = [c for c in rows.columns if c not in (key, "_row")]
     mine = rows.join(frequent.where("_both"), key).withColumn("_split", F.pmod("_row", F.col(f"_{own}_splits")).cast("int"))
-    packs = mine.groupBy(key, "_split", f"_{own}_blocks", f"_{other}_blocks").agg(F.collect_list(F.struct(*names)).alias(f"_{own}_rows"))
+    # In a struct, as lists leave out nulls.
+    lists = [F.collect_list(F.struct(c)).alias(c) for c in names]
+    packs = mine.groupBy(key, "_split", f"_{own}_blocks", f"_{other}_blocks").agg(F.collect_list("_row").alias(f"_{own}_rows"), *lists)
     return packs.select(
         key, F.pmod("_split", F.col(f"_{own}_blocks")).alias(f"_{own}_block"), f"_{own}_rows",
+        *(F.col(c).getField(c).alias(c) for c in names),
         F.explode(F.sequence(F.lit(0), F.col(f"_{other}_blocks") - 1)).alias(f"_{other}_block"),
     )
