@@ -3,6 +3,7 @@ from collections import deque
 
 import pytest
 
+from wikisift.operators import links as graph
 from wikisift.operators.links import crawl_order
 
 LINKS = "from_page string, to_page string, position int"
@@ -70,3 +71,33 @@ def test_a_narrow_crawl_takes_no_job_for_each_level(spark):
     spark.sparkContext.setJobGroup("", "")
     assert found == queue(chain, [("c000", 0)])
     assert jobs < 300
+
+
+def test_far_links_do_not_end_a_task_that_has_room(spark, monkeypatch):
+    """Links from every page to far ones: what a task still takes are all other blocks, not only the nearest."""
+    rng = random.Random(4)
+    links = [(f"c{i:03}", f"c{i + 1:03}", 5) for i in range(300)]
+    links += [(f"c{i:03}", f"d{j}{rng.randrange(40):03}", rng.randrange(5)) for i in range(0, 300, 7) for j in range(3)]
+    links += [(f"d{j}{i:03}", f"e{i}", None) for i in range(40) for j in range(3)] + [(f"e{i}", f"d{i % 3}{i:03}", 1) for i in range(40)]
+    links = list({(f, p): (f, t, p) for f, t, p in links}.values())
+    tasks = []
+    monkeypatch.setattr(graph, "_follow", lambda *a, make=graph._follow: tasks.append(a[0]) or make(*a))
+    by_place = [(f, t, -1 if p is None else p) for f, t, p in links]
+    expected = [(n, d, f, None if p == -1 else p, v) for n, d, f, p, v in queue(by_place, [("c000", 0)])]
+    assert crawled(spark, links, [("c000", 0)], block_links=4, burst_links=len(links)) == expected
+    assert len(tasks) == 1
+
+
+def test_a_task_gets_links_as_numbers_in_batches():
+    import pyarrow as pa
+
+    names = ("is_link", "from_id", "position", "to_id", "to_block")
+    types = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32())
+    rows = [(0, 4, None, None, None), (0, 7, 1, None, 0), (0, 9, 0, None, 0)]
+    # Page 7 leads to 3 twice, and to the known 4; page 9 to 2 and 3 from one place; page 2 to 20, whose links are elsewhere.
+    rows += [(1, 2, 0, 20, 6), (1, 7, None, 3, None), (1, 7, 0, 4, 0), (1, 7, 2, 3, None), (1, 9, 5, 2, 0), (1, 9, 5, 3, None)]
+    for size in (1, 4, 100):
+        parts = [rows[i:i + size] for i in range(0, len(rows), size)]
+        batches = [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part), types)], names) for part in parts]
+        found = pa.Table.from_batches(list(graph._follow({0}, 10, 50, None)(iter(batches)))).to_pylist()
+        assert [tuple(r.values()) for r in found] == [(2, 11, 9, 5, 50, 0), (3, 11, 9, 5, 51, None), (20, 12, 2, 0, 52, 6)]
